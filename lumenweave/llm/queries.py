@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .decontaminate import op5_decontaminate
+from .fingerprint import op1_fingerprint
+from .ngrams import op8_ngrams
+from .pii import op2_pii
+from .quality import op9_quality
 from .simhash import op3_simhash
+from .tokencount import op7_tokens
 
-QUERIES = {
-    "op3_simhash": op3_simhash,
-}
+QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_pii, op3_simhash, op5_decontaminate, op7_tokens, op8_ngrams, op9_quality)}
 
 ORACLES: dict[str, str] = {}
