@@ -44,45 +44,61 @@ def shingle_fingerprint(text: bytes, k: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
 
 
-def word_fingerprints(texts: list[bytes]) -> np.ndarray:
-    """128-bit SimHash of the distinct words of each text, as two 64-bit columns; no words: 0."""
-    out = np.zeros((len(texts), 2), np.uint64)
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """The bits that are set in over half the rows of hashes, as 64-bit columns."""
+    n, columns = hashes.shape
+    ones = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(n, 8 * columns), axis=1).sum(0, dtype=np.int64)
+    return np.frombuffer(np.packbits(2 * ones > n).tobytes(), ">u8")
+
+
+def word_fingerprints(texts: list[bytes], k: int = 5) -> np.ndarray:
+    """128-bit SimHash of the distinct words of each text and 64-bit SimHash of its k-word shingles, as 64-bit columns; no words: 0."""
+    out = np.zeros((len(texts), 3), np.uint64)
     for first, last in blocks(texts):
         w = Words(texts[first:last])
+        shingles, owner = w.shingles(k)
+        cut = np.searchsorted(owner, np.arange(last - first + 1))
         for i in range(last - first):
             own = np.unique(w.hash[w.first[i] : w.first[i + 1]])
             if len(own):
-                both = np.stack((own, mix(own + np.uint64(0x632BE59BD9B4E019))), 1).astype(">u8")
-                ones = np.unpackbits(both.view(np.uint8).reshape(len(own), 16), axis=1).sum(0, dtype=np.int64)
-                out[first + i] = np.frombuffer(np.packbits(2 * ones > len(own)).tobytes(), ">u8")
+                out[first + i, :2] = _majority(np.stack((own, mix(own + np.uint64(0x632BE59BD9B4E019))), 1))
+                out[first + i, 2:] = _majority(np.unique(shingles[cut[i] : cut[i + 1]])[:, None])
     return out
 
 
+def columns_of(kind: str) -> list[str]:
+    return ["f0", "f1", "f2"] if kind == "words" else ["f0", "f1"]
+
+
 def _fingerprint_batches(kind: str, k: int, batches):
     for batch in batches:
         texts = [x.encode() for x in batch.column(1).to_pylist()]
         if kind == "words":
-            f = word_fingerprints(texts)
+            f = word_fingerprints(texts, k)
         else:
             f = np.zeros((len(texts), 2), np.uint64)
             f[:, 0] = np.fromiter((shingle_fingerprint(x, k) for x in texts), np.uint64, len(texts))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(f[:, i].view(np.int64)) for i in (0, 1))], names=["doc_id", "f0", "f1"])
+        yield pa.RecordBatch.from_arrays([*(c for c, n in zip(batch.columns, batch.schema.names) if n != "text"), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in f.T)], names=[*(n for n in batch.schema.names if n != "text"), *columns_of(kind)])
 
 
 def fingerprints(docs: DataFrame, kind: str = "shingles", k: int = 3) -> DataFrame:
-    """documents to (doc_id, f0, f1: long): 64 bits of k-word shingles in f0 (f1 zero), or 128 of distinct words.
+    """documents to (doc_id, f0, f1: long): 64 bits of k-word shingles in f0 (f1 zero); or of kind words, 128 of distinct words and in f2 64 of k-word shingles.
 
     Null and empty texts have no words and fingerprint zero. Rows stay one to one, repeated ids and null ids too.
     """
     prepare(docs.sparkSession)
-    return docs.select("doc_id", text_column(docs).alias("text")).mapInArrow(partial(_fingerprint_batches, kind, k), "doc_id long, f0 long, f1 long")
+    return docs.select("doc_id", text_column(docs).alias("text")).mapInArrow(partial(_fingerprint_batches, kind, k), ", ".join(f"{c} long" for c in ["doc_id", *columns_of(kind)]))
 
 
 class Cut:
-    """Segments of a fingerprint: number, bits in each; the distance up to which pairs link."""
+    """Segments of a fingerprint: number, bits in each; the distances up to which pairs link, of f0 with f1 and of f2."""
+
+    def __init__(self, segments: int, bits: int, distance: int, shingle_distance: int = 64):
+        self.segments, self.bits, self.distance, self.shingle_distance = segments, bits, distance, shingle_distance
 
-    def __init__(self, segments: int, bits: int, distance: int):
-        self.segments, self.bits, self.distance = segments, bits, distance
+    def near(self, a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+        out = np.bitwise_count(a[0] ^ b[0]).astype(np.int16) + np.bitwise_count(a[1] ^ b[1]) <= self.distance
+        return out & (np.bitwise_count(a[2] ^ b[2]) <= self.shingle_distance) if len(a) > 2 else out
 
     def parts(self, f0: np.ndarray, f1: np.ndarray, widths: list[int]) -> list[np.ndarray]:
         """Consecutive groups of bits, from the top of f0 on."""
@@ -116,35 +132,35 @@ def _segment_batches(cut: Cut, batches):
 
 
 def _variant_batches(cut: Cut, hot: dict[int, np.ndarray], batches):
-    """Rows (key, f0, f1, rep): one for each segment and deleted bit; for hot keys one for each piece outside the segment."""
+    """Rows (key, rep, f0, f1, ...): one for each segment and deleted bit; for hot keys one for each piece outside the segment."""
     one = np.uint64(1)
     for b in batches:
-        f0, f1, rep = (b.column(i).to_numpy().view(np.uint64) for i in (0, 1, 2))
-        pieces = cut.pieces_of(f0, f1)
-        for s, v in enumerate(cut.segments_of(f0, f1)):
+        columns = [b.column(i).to_numpy().view(np.uint64) for i in range(b.num_columns)]  # rep first
+        names = ["key", *b.schema.names]
+        pieces = cut.pieces_of(*columns[1:3])
+        for s, v in enumerate(cut.segments_of(*columns[1:3])):
             crowded = hot.get(s, np.empty(0, np.uint64))
             for i in range(cut.bits):
                 bit = one << np.uint64(i)
                 key = combine([np.full(len(v), s * 64 + i + 1, np.uint64), v & ~bit])
                 full = np.isin(v, crowded) | np.isin(v ^ bit, crowded) if len(crowded) else np.zeros(len(v), bool)
-                plain = ~full
-                rows = [(key[plain], f0[plain], f1[plain], rep[plain])]
+                rows = [(key, ~full)]
                 if full.any():
-                    rows += [(combine([key[full], np.full(int(full.sum()), p + 1, np.uint64), x[full]]), f0[full], f1[full], rep[full]) for p, (own, x) in enumerate(pieces) if own != s]
-                for row in rows:
-                    if len(row[0]):
-                        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in row], names=["key", "f0", "f1", "rep"])
+                    rows += [(combine([key, np.full(len(v), p + 1, np.uint64), x]), full) for p, (own, x) in enumerate(pieces) if own != s]
+                for keys, chosen in rows:
+                    if chosen.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(x[chosen].view(np.int64)) for x in (keys, *columns)], names=names)
 
 
-def _reach(f0: np.ndarray, f1: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def _reach(prints: list[np.ndarray], cut: Cut) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links of a run: each member is compared only with those not yet reached."""
-    left, a, b = np.arange(len(f0)), [], []
+    left, a, b = np.arange(len(prints[0])), [], []
     while len(left) > 1:
         front, left = left[:1], left[1:]
         while len(front) and len(left):
             step = max(1, (1 << 21) // len(left))
             now, front = front[:step], front[step:]
-            near = np.bitwise_count(f0[now, None] ^ f0[left]).astype(np.int16) + np.bitwise_count(f1[now, None] ^ f1[left]) <= distance
+            near = cut.near([f[now, None] for f in prints], [f[left] for f in prints])
             hit = near.any(0)
             a.append(now[near.argmax(0)[hit]])
             b.append(left[hit])
@@ -152,7 +168,7 @@ def _reach(f0: np.ndarray, f1: np.ndarray, distance: int) -> tuple[np.ndarray, n
     return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, int), np.empty(0, int))
 
 
-def run_links(key, f0, f1, rep, distance: int) -> np.ndarray:
+def run_links(key: np.ndarray, rep: np.ndarray, prints: list[np.ndarray], cut: Cut) -> np.ndarray:
     """Verified links of rows sorted by key, as (smallest, member) pairs of what they join."""
     edges = runs_of(key)
     size = np.diff(edges)
@@ -165,12 +181,12 @@ def run_links(key, f0, f1, rep, distance: int) -> np.ndarray:
         i = at[small & (at + n < ends)]
         if n > 1 and not len(i):
             break
-        near = np.bitwise_count(f0[i] ^ f0[i + n]).astype(np.int16) + np.bitwise_count(f1[i] ^ f1[i + n]) <= distance
+        near = cut.near([f[i] for f in prints], [f[i + n] for f in prints])
         a.append(i[near])
         b.append(i[near] + n)
         n += 1
     for j in np.flatnonzero(size > 64):
-        x, y = _reach(f0[edges[j] : edges[j + 1]], f1[edges[j] : edges[j + 1]], distance)
+        x, y = _reach([f[edges[j] : edges[j + 1]] for f in prints], cut)
         a.append(x + edges[j])
         b.append(y + edges[j])
     if not a or not sum(map(len, a)):
@@ -181,52 +197,73 @@ def run_links(key, f0, f1, rep, distance: int) -> np.ndarray:
     return np.stack((nodes[root[member]], nodes[member]), 1)
 
 
-def _link_batches(distance: int, batches):
+def _link_batches(cut: Cut, batches):
     """Links of rows sorted by key; the last run of a part waits for the rest of it."""
+
+    def links(columns):
+        got = run_links(columns[0], columns[1], [x.view(np.uint64) for x in columns[2:]], cut)
+        if len(got):
+            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+
     held, n = [], 0
     for b in batches:
-        held.append([b.column(i).to_numpy() for i in range(4)])
+        held.append([b.column(i).to_numpy() for i in range(b.num_columns)])
         n += b.num_rows
         if n < 200_000:
             continue
-        key, f0, f1, rep = (np.concatenate(x) for x in zip(*held))
-        cut = int(np.searchsorted(key, key[-1]))
-        held, n = [[x[cut:] for x in (key, f0, f1, rep)]], len(key) - cut
-        yield from _links(key[:cut], f0[:cut], f1[:cut], rep[:cut], distance)
+        columns = [np.concatenate(x) for x in zip(*held)]
+        end = int(np.searchsorted(columns[0], columns[0][-1]))
+        held, n = [[x[end:] for x in columns]], len(columns[0]) - end
+        yield from links([x[:end] for x in columns])
     if held:
-        yield from _links(*(np.concatenate(x) for x in zip(*held)), distance)
-
-
-def _links(key, f0, f1, rep, distance):
-    got = run_links(key, f0.view(np.uint64), f1.view(np.uint64), rep, distance)
-    if len(got):
-        yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+        yield from links([np.concatenate(x) for x in zip(*held)])
 
 
 def fingerprint_links(fps: DataFrame, cut: Cut) -> DataFrame:
-    """Distinct fingerprints (f0, f1, rep) to links (a, b) between their reps, which join what lies within the distance."""
+    """Distinct fingerprints (rep, f0, f1, perhaps f2) to links (a, b) between their reps, which join what lies within the distance."""
     spark = fps.sparkSession
     n = fps.count()
     most = max(HOT, cut.segments * n // 50_000)  # so hot values are 50,000 at most
     crowded = fps.select("f0", "f1").mapInArrow(partial(_segment_batches, cut), "s int, v long").groupBy("s", "v").count().where(F.col("count") > most).select("s", "v").collect()
     hot = {s: np.array(sorted(x.v for x in crowded if x.s == s), np.int64).view(np.uint64) for s in {x.s for x in crowded}}
-    variants = fps.select("f0", "f1", "rep").mapInArrow(partial(_variant_batches, cut, hot), "key long, f0 long, f1 long, rep long")
-    dealt = variants.repartition(width(spark), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(partial(_link_batches, cut.distance), "a long, b long").distinct()
+    schema = ", ".join(f"{c} long" for c in ["key", *fps.columns])
+    dealt = fps.mapInArrow(partial(_variant_batches, cut, hot), schema).repartition(width(spark), "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(partial(_link_batches, cut), "a long, b long").distinct()
 
 
 def groups(prints: DataFrame, cut: Cut) -> DataFrame:
-    """(doc_id, f0, f1) to (doc_id, f0, f1, component_id): the smallest doc_id reachable over links, itself included.
+    """(doc_id, f0, f1, perhaps f2, ...) with component_id added: the smallest doc_id reachable over links, itself included.
 
     Rows of equal fingerprints are one group, of one row before any shuffle of variants. A row without a doc_id belongs
     to the group of its fingerprint; the component is null if no row of that fingerprint has a doc_id. An empty table
     gives an empty table.
     """
-    distinct = written(prints.groupBy("f0", "f1").agg(F.min("doc_id").alias("rep")), "fingerprints")
-    links = fingerprint_links(distinct.where("rep is not null"), cut)
+    names = [c for c in ("f0", "f1", "f2") if c in prints.columns]
+    distinct = written(prints.groupBy(*names).agg(F.min("doc_id").alias("rep")), "fingerprints")
+    links = fingerprint_links(distinct.where("rep is not null").select("rep", *names), cut)
     roots = components(links)
-    classes = distinct.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("f0", "f1", F.coalesce("root", "rep").alias("component_id"))
-    return prints.join(classes, ["f0", "f1"])
+    classes = distinct.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(*names, F.coalesce("root", "rep").alias("component_id"))
+    return prints.join(classes, names)
+
+
+#: The cut of kind words for texts whose five-word shingles are alike by about 0.8 or more.
+LIKE_TEXTS = Cut(5, 24, 13, 13)
+
+
+def one_of_each(docs: DataFrame, cut: Cut = LIKE_TEXTS, k: int = 5) -> DataFrame:
+    """docs with one row of each group of near copies: that of its smallest doc_id; all columns as they were.
+
+    Groups are those of `near_copies` by words. Of repeated rows one stays, and of rows without a doc_id those that no
+    row with one is a copy of, one of each text.
+    """
+    prepare(docs.sparkSession)
+    marked = docs.select("doc_id", text_column(docs).alias("text"), F.xxhash64(text_column(docs)).alias("own_hash"))
+    prints = written(marked.mapInArrow(partial(_fingerprint_batches, "words", k), "doc_id long, own_hash long, f0 long, f1 long, f2 long"), "prints")
+    kept = groups(prints, cut).where("doc_id = component_id or (doc_id is null and component_id is null)")
+    kept = kept.select(F.col("doc_id").alias("own_id"), "own_hash").distinct()
+    rows = docs.withColumn("own_hash", F.xxhash64(text_column(docs)))
+    same = rows["doc_id"].eqNullSafe(kept["own_id"]) & (rows["own_hash"] == kept["own_hash"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "own_hash"]).drop("own_hash")
 
 
 def near_copies(docs: DataFrame, kind: str = "shingles", k: int = 3, segments: int = 2, bits: int = 32, distance: int = 3) -> DataFrame:
