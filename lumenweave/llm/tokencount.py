@@ -41,8 +41,17 @@ def _packed(*arrays: np.ndarray) -> bytes:
     return b"".join(map(_one, arrays))
 
 
+def _planes(x: np.ndarray) -> np.ndarray:
+    """The bytes of 32-bit integers, all first ones, all second ones, and so on."""
+    return np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T).reshape(-1)
+
+
+def _from_planes(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x.reshape(4, -1).T).view("<i4").reshape(-1)
+
+
 def _one(x: np.ndarray) -> bytes:
-    data = pa.compress(x.tobytes(), codec="zstd", asbytes=True)
+    data = pa.Codec("zstd", compression_level=3).compress(x.tobytes(), asbytes=True)
     return np.array([x.nbytes, len(data)], np.int64).tobytes() + data
 
 
@@ -77,14 +86,17 @@ def _block(number: int, shards: int, ids: list, texts: list[str]):
         sizes.append(len(text.encode()))
     raw = [x.encode() for x in place]
     shard = np.fromiter((zlib.crc32(x) % shards for x in raw), np.int32, len(raw))
-    order = np.argsort(shard, kind="stable")
+    by_word = np.array(sorted(range(len(raw)), key=raw.__getitem__), np.int64)  # like words side by side pack well
+    order = by_word[np.argsort(shard[by_word], kind="stable")]
     new = np.empty(len(raw), np.int32)
     new[order] = np.arange(len(raw), dtype=np.int32)  # places in the order in which the shards answer
     ends = np.searchsorted(shard[order], np.arange(shards + 1))
     rows = [(number, s, _strings([raw[i] for i in order[a:b]]), None) for s, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
     own = np.array([-(1 << 63) if x is None else x for x in ids], np.int64)
     empty = [np.empty(0, np.int32)]
-    freqs = _packed(own, np.array([x is None for x in ids], np.uint8), np.array(sizes, np.int64), np.array(kinds, np.int32), new[np.concatenate(at + empty)], np.concatenate(times + empty))
+    spots, times = new[np.concatenate(at + empty)], np.concatenate(times + empty)
+    order = np.lexsort((spots, np.repeat(np.arange(len(kinds)), kinds)))  # by document, so steps between places are small
+    freqs = _packed(own, np.array([x is None for x in ids], np.uint8), np.array(sizes, np.int64), np.array(kinds, np.int32), _planes(np.diff(spots[order], prepend=np.int32(0))), _planes(times[order]))
     return pa.RecordBatch.from_pylist([dict(zip(_SCHEMA.names, r)) for r in [*rows, (number, -1, None, freqs)]], schema=_SCHEMA)
 
 
@@ -150,7 +162,8 @@ def _summed(limit: int, batches):
                 x[small == 255] = large
                 pieces.append(x)
                 continue
-            ids, null, sizes, kinds, at, times = _unpacked(freqs, np.int64, np.uint8, np.int64, np.int32, np.int32, np.int32)
+            ids, null, sizes, kinds, at, times = _unpacked(freqs, np.int64, np.uint8, np.int64, np.int32, np.uint8, np.uint8)
+            at, times = np.cumsum(_from_planes(at), dtype=np.int64), _from_planes(times)
             each = np.concatenate([*pieces, np.empty(0, np.int64)])[at] * times
             pieces = []
             total = np.concatenate(([0], np.cumsum(each)))
