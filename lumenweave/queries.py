@@ -1,6 +1,779 @@
-"""Queries over the tables of a folder: name to (spark, sf_dir) -> DataFrame, and name to DuckDB SQL."""
+"""Queries over the tables of a folder: name to (spark, sf_dir) -> DataFrame, and name to DuckDB SQL.
+
+The SQL is written apart from the operators: extraction is held against rows built from the templates' parameters,
+windows against recursion or correlated queries, equality joins against pattern searches.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import templates as t
+from .functions import text as T
+from .operators import codeindex, correlate, discover, evidence, extract, lineage
+from .operators.scan import events as scan_events
+from .plans import reads, reproduction
+from .streaming import state
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    """Registers a query under its function's name; whole numbers come out as long."""
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = f(spark, sf_dir)
+            return df.select(*(F.col(n).cast("long").alias(n) if k in ("int", "smallint", "tinyint") else F.col(n) for n, k in df.dtypes))
+
+        QUERIES[f.__name__] = run
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _d(template: str) -> str:
+    return t.for_duckdb(template)
+
+
+def _papers(spark, d):
+    return t.derived(spark, d, t.PAPERS)
+
+
+def _events(spark, d):
+    return scan_events(_papers(spark, d))
+
+
+# ── scalar functions ─────────────────────────────────────────────────────────
+
+_SLUG = "coalesce(nullif(substr(trim(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '-'), 1, {1}), ''), 'untitled')"
+
+
+@query(f"select page_id, {_SLUG.format('url', 60)} as slug from pages")
+def slugify(spark, d):
+    t.tables(spark, d, "pages")
+    return spark.table("pages").select("page_id", T.slugify(F.col("url")).alias("slug"))
+
+
+@query("""select p_partkey, substr(sha256(trim(regexp_replace(regexp_replace(x, '\\\\(label|tag|nonumber|notag)\\*?(\\{[^}]*\\})?', '', 'g'), '\\s+', ' ', 'g'))), 1, 12) as content_hash
+from (select p_partkey, 'a  = ' || p_name || chr(10) || chr(92) || 'label{eq:' || p_partkey || '} ' || chr(92) || 'nonumber' as x from part)""")
+def content_hash(spark, d):
+    t.tables(spark, d, "part")
+    x = F.concat(F.lit("a  = "), "p_name", F.lit("\n\\label{eq:"), "p_partkey", F.lit("} \\nonumber"))
+    return spark.table("part").select("p_partkey", T.content_hash(x).alias("content_hash"))
+
+
+@query("select event_id, 'ev:' || substr(sha256(event_type || '|evi://u/' || user_id || '|' || case when event_id % 2 = 0 then 'line ' || event_id else 'None' end || '|' || case when event_id % 3 = 0 then props else 'None' end), 1, 16) as id from events")
+def evidence_id(spark, d):
+    t.tables(spark, d, "events")
+    k = F.col("event_id")
+    return spark.table("events").select("event_id", T.evidence_id(F.col("event_type"), F.concat(F.lit("evi://u/"), "user_id"), F.when(k % 2 == 0, F.concat(F.lit("line "), k)), F.when(k % 3 == 0, F.col("props"))).alias("id"))
+
+
+@query("select s_suppkey, 'absent:' || substr(sha256(s_name || '|' || s_nationkey || '|m|'), 1, 12) as ref from supplier")
+def absence_ref(spark, d):
+    t.tables(spark, d, "supplier")
+    return spark.table("supplier").select("s_suppkey", T.absence_ref(F.col("s_name"), F.col("s_nationkey").cast("string"), F.lit("m")).alias("ref"))
+
+
+@query("select item_id, 'p:claim:' || substr(sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(text)), 1, 12) as id from benchmark")
+def claim_id(spark, d):
+    t.tables(spark, d, "benchmark")
+    return spark.table("benchmark").select("item_id", T.claim_id(F.lit("p"), F.col("text")).alias("id"))
+
+
+@query("select item_id, 'evi://paper/' || url_encode(text || ' ~*(a+b)/c') as uri from benchmark")
+def uri_encode(spark, d):
+    t.tables(spark, d, "benchmark")
+    return spark.table("benchmark").select("item_id", T.paper_uri(F.concat("text", F.lit(" ~*(a+b)/c"))).alias("uri"))
+
+
+_IDS = """select p_partkey as k, case p_partkey % 6 when 0 then 'https://arxiv.org/abs/2103.' || lpad(cast(p_partkey as string), 5, '0') || 'v' || cast(p_partkey % 4 + 1 as string) when 1 then ' arXiv:2001.' || lpad(cast(p_partkey as string), 5, '0') || ' '
+ when 2 then 'https://doi.org/10.48550/arXiv.1706.' || lpad(cast(p_partkey as string), 5, '0') when 3 then 'doi: 10.1000/x' || cast(p_partkey as string) || ').' when 4 then 'https://github.com/own' || cast(p_size as string) || '/repo' || cast(p_partkey as string) || '.git' else 'just words ' || p_name end as x from part"""
+
+
+@query(f"""select k, case k % 6 when 0 then '2103.' || lpad(k::string, 5, '0') when 1 then '2001.' || lpad(k::string, 5, '0') when 2 then '1706.' || lpad(k::string, 5, '0') end as arxiv_id, case k % 6 when 0 then (k % 4 + 1)::bigint end as version,
+case k % 6 when 2 then '10.48550/arXiv.1706.' || lpad(k::string, 5, '0') when 3 then '10.1000/x' || k end as doi, case k % 6 when 4 then regexp_extract(x, 'com/([^/]+)/', 1) end as owner, case k % 6 when 4 then 'repo' || k end as name from {_d(_IDS)}""")
+def parse_identifiers(spark, d):
+    x = F.col("x")
+    rows = t.derived(spark, d, _IDS)
+    id_, version = T.arxiv_parts(x)
+    owner, name = T.repo_parts(x)
+    return rows.select("k", id_.alias("arxiv_id"), version.alias("version"), T.doi_of(x).alias("doi"), owner.alias("owner"), name.alias("name"))
+
+
+_NAMES = "select p_partkey as k, 'The ' || p_name || ' V-Net Encoder for ' || p_type || ' Self-Gate' as x from part"
+_STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+
+
+@query(f"""select k, array_to_string(list_concat(w, list_filter(['vnet', 'selfgate'], lambda y: not list_contains(w, y))), ',') as tokens from (select k, list_filter(string_split_regex(lower(x), '[^a-z0-9]+'), lambda y: length(y) > 2 and y not in ({_STOPS})) as w from {_d(_NAMES)})""")
+def name_tokens(spark, d):
+    return t.derived(spark, d, _NAMES).select("k", F.array_join(T.name_tokens(F.col("x")), ",").alias("tokens"))
+
+
+_WORDS = "select p_partkey as k, case p_partkey % 5 when 0 then 'encoder' when 1 then 'generator' when 2 then 'user' when 3 then 'tokenizer' else 'network' || cast(p_size as string) end as w from part"
+
+
+@query(f"select k, case k % 5 when 0 then 'encode' when 1 then 'generate' when 3 then 'tokenize' end as verb, case k % 5 when 0 then 'encod' when 1 then 'gener' when 2 then 'user' when 3 then 'token' else 'netwo' end as stem from {_d(_WORDS)}")
+def verb_stem(spark, d):
+    return t.derived(spark, d, _WORDS).select("k", T.verb_form(F.col("w")).alias("verb"), T.prefix_stem(F.col("w")).alias("stem"))
+
+
+@query("select p_partkey as k, case p_partkey % 3 when 0 then 'a = 1 ' when 1 then 'keep ' || chr(92) || '% this ' else '' end || chr(10) || 'next' as text from part")
+def strip_comments(spark, d):
+    t.tables(spark, d, "part")
+    k = F.col("p_partkey")
+    x = F.when(k % 3 == 0, "a = 1 % note").when(k % 3 == 1, "keep \\% this % but not this").otherwise("% all")
+    return spark.table("part").select(k.alias("k"), T.strip_comments(F.concat(x, F.lit("\nnext"))).alias("text"))
+
+
+# ── extraction ───────────────────────────────────────────────────────────────
+
+
+@query("""select 'P' || p_partkey || 'v1' as paper_version, p.path as section_path, p.level::bigint as level, replace(p.title, '#', p_name) as title, p.label as latex_label, p.line::bigint as src_line_start, (p.ord)::bigint as ordinal
+from part, (values ('1', 1, 'Introduction to #', null, 4, 0, 0), ('1.1', 2, 'Model architecture', 'sec:m', 9, 1, 0), ('*remarks', 2, 'Remarks', null, 12, 2, 0), ('2', 1, 'Training', null, 14, 3, 0), ('2.1', 2, 'Loss', null, 15, 4, 0), ('A', 1, 'Proofs', null, 18, 5, 1), ('A.1', 2, 'Details', null, 19, 6, 1)) p(path, level, title, label, line, ord, late) where late = 0 or p_partkey % 5 = 0""")
+def extract_sections(spark, d):
+    return extract.sections(_events(spark, d)).select("paper_version", "section_path", "level", "title", "latex_label", "src_line_start", "ordinal")
+
+
+@query("""select 'P' || p_partkey || 'v1' as paper_version, e.env as environment, replace(replace(e.latex, '#', (p_partkey % 9)::string), '@', (p_partkey % 4)::string) as latex, e.num as derived_number, e.conf as number_conf, e.line::bigint as src_line
+from part, (values ('equation', 'y = a_{#} x', '1', 'LIKELY', 10), ('align', 'a = b', '2', 'LIKELY', 11), ('align', 'c = d \\nonumber', null, 'UNKNOWN', 11), ('align', 'e = f', '3', 'LIKELY', 11), ('displaymath', 'z < @', null, 'UNKNOWN', 16)) e(env, latex, num, conf, line)""")
+def equation_numbers(spark, d):
+    return extract.equations(_events(spark, d)).select("paper_version", "environment", "latex", "derived_number", "number_conf", "src_line")
+
+
+@query("""select 'P' || p_partkey || 'v1' as paper_version, v.ord::bigint as ordinal, v.symbol, case v.ord when 0 then p_size || 'e-4' when 1 then '0.' || lpad(p_size::string, 2, '0') else (p_size * 8)::string end as value_text,
+case v.ord when 0 then (p_size || 'e-4')::double when 1 then ('0.' || lpad(p_size::string, 2, '0'))::double else (p_size * 8)::double end as value_num, 7::bigint as src_line from part, (values (0, 'tau'), (1, 'dropout'), (2, 'hidden size')) v(ord, symbol)""")
+def stated_values(spark, d):
+    return extract.stated_values(_events(spark, d)).select("paper_version", "ordinal", "symbol", "value_text", "value_num", "src_line")
+
+
+@query("""select 'P' || p_partkey || 'v1' as paper_version, 'https://github.com/lab' || p_partkey % 11 || '/tool' || p_partkey % 13 || '.git' as url, 'github.com' as host, 'lab' || p_partkey % 11 as owner, 'tool' || p_partkey % 13 as repo, true as in_abstract, 2::bigint as src_line from part""")
+def declared_urls(spark, d):
+    return extract.declared_urls(_events(spark, d)).select("paper_version", "url", "host", "owner", "repo", "in_abstract", "src_line")
+
+
+@query("""select 'P' || p_partkey || 'v1' as paper_version, c.ord::bigint as ordinal, case c.ord when 0 then 'k' || p_partkey % 7 when 1 then 'k' || p_partkey % 5 else 'z' || p_partkey % 3 end as bib_key, case when c.ord < 2 then 'cite' else 'citep' end as command,
+case when c.ord < 2 then 'We extend earlier work \\cite{k' || p_partkey % 7 || ', k' || p_partkey % 5 || '}.' end as context, 5::bigint as src_line from part, (values (0), (1), (2)) c(ord)""")
+def citation_sites(spark, d):
+    c = extract.citation_sites(_events(spark, d))
+    # the sentence before begins with a title, which runs on without a full stop
+    context = F.when(F.col("ordinal") < 2, F.regexp_extract("context", r"(We extend.*)$", 1))
+    return c.select("paper_version", "ordinal", "bib_key", "command", context.alias("context"), "src_line")
+
+
+@query("""select 'P' || p_partkey || 'v1' as paper_version, 'step-brand-' || substr(p_brand, 7) as slug, 'Step ' || p_brand as name, 'latex_env' as presentation, true as extractable, (case when p_partkey % 5 = 0 then 20 else 18 end)::bigint as src_line from part""")
+def algorithms(spark, d):
+    return extract.algorithms(_events(spark, d)).select("paper_version", "slug", "name", "presentation", "extractable", "src_line")
+
+
+_KIND_CASE = "case " + " ".join(f"when regexp_matches(x, '(?i){p}') then '{k}'" for k, p in T.TITLE_KINDS) + " end"
+_TITLES = "select p_partkey as k, case p_partkey % 12 when 0 then 'Loss function' when 1 then 'Pre-training setup' when 2 then 'Tokenization' when 3 then 'Experiments' when 4 then 'Our Approach' when 5 then 'Data collection' when 6 then 'Optimizer' when 7 then 'Zero-shot use' when 8 then 'Model training' when 9 then 'Glossary' else p_name end as x from part"
+
+
+@query(f"select k, {_KIND_CASE} as kind from {_d(_TITLES)}")
+def component_kinds(spark, d):
+    return t.derived(spark, d, _TITLES).select("k", T.kind_of_title(F.col("x")).alias("kind"))
+
+
+@query("""select 'P' || p_partkey || 'v1' as paper_version, c.slug, c.kind, 'P' || p_partkey || 'v1:sec:' || c.path as section_id from part, (values ('model-architecture', 'architecture', '1.1'), ('training', 'training', '2'), ('loss', 'loss', '2.1')) c(slug, kind, path)""")
+def section_components(spark, d):
+    return extract.components(extract.sections(_events(spark, d))).select("paper_version", "slug", "kind", "section_id")
+
+
+@query("""select 'P' || p_partkey || 'v1' as paper_version, v.symbol, 'P' || p_partkey || 'v1:sec:1' as section_id from part, (values ('tau'), ('dropout'), ('hidden size')) v(symbol)""")
+def locate_section(spark, d):
+    e = _events(spark, d)
+    return extract.located(extract.stated_values(e), extract.sections(e)).select("paper_version", "symbol", "section_id")
+
+
+@query("""select 'P' || p_partkey || 'v1' as paper_version, c.entity, (case when c.entity = 'sections' and p_partkey % 5 = 0 then 7 else c.n end)::bigint as n from part, (values ('sections', 5), ('equations', 5), ('numbered_equations', 3), ('stated_values', 3), ('declared_urls', 1), ('citation_sites', 3), ('components', 3), ('algorithms', 1), ('unextractable_algorithms', 0)) c(entity, n)""")
+def paper_counts(spark, d):
+    return extract.paper_counts(extract.ingest(_events(spark, d)))
+
+
+@query("""select 'P' || p_partkey || 'v1' as paper_version, s.entity, s.n::bigint as n, case s.entity when 'equations' then '1; 2; ' || substr(sha256('c = d'), 1, 12) || '; 3; ' || substr(sha256('z < ' || p_partkey % 4), 1, 12) when 'algorithms' then 'step-brand-' || substr(p_brand, 7)
+when 'components' then 'loss; model-architecture; training' else 'tau=' || p_size || 'e-4; dropout=0.' || lpad(p_size::string, 2, '0') || '; hidden size=' || p_size * 8 end as labels from part, (values ('equations', 5), ('algorithms', 1), ('components', 3), ('stated_values', 3)) s(entity, n)""")
+def paper_skeleton(spark, d):
+    return reads.skeleton(extract.ingest(_events(spark, d))).where("entity != 'sections'")
+
+
+# ── evidence ─────────────────────────────────────────────────────────────────
+
+_ASSESS = f"""with s as (select * from {_d(t.SIGNALS)} where not contradicted), k as (select distinct subject_kind, subject_id from {_d(t.SIGNALS)}),
+n as (select k.*, (select count(*) from s where s.subject_id = k.subject_id and weight = 'DECISIVE') d, (select count(*) from s where s.subject_id = k.subject_id and weight = 'STRONG') st, (select count(*) from s where s.subject_id = k.subject_id and weight = 'WEAK') w from k),
+j as (select n.*, (select string_agg(detail, '; ' order by ord) from s where s.subject_id = n.subject_id and weight = 'DECISIVE') ds, (select string_agg(detail, '; ' order by ord) from s where s.subject_id = n.subject_id and weight = 'STRONG') ss, (select string_agg(detail, '; ' order by ord) from s where s.subject_id = n.subject_id and weight = 'WEAK') ws from n)
+select subject_kind, subject_id, case when d > 0 then 'CONFIRMED' when st >= 2 or (st = 1 and w > 0) then 'LIKELY' when st + w > 0 then 'POSSIBLE' else 'UNKNOWN' end as confidence,
+case when d > 0 then ds when st >= 2 then ss when st = 1 and w > 0 then ss || '; ' || ws when st = 1 then ss when w > 0 then ws else 'no supporting evidence was found' end as rationale from j"""
+
+
+@query(_ASSESS)
+def assess_confidence(spark, d):
+    return evidence.assess(t.derived(spark, d, t.SIGNALS))
+
+
+@query(f"with a as ({_ASSESS}) select subject_id, case when confidence in ('CONFIRMED', 'LIKELY') then case when subject_id::bigint % 2 = 0 then 'POSSIBLE' when confidence = 'CONFIRMED' then 'LIKELY' else confidence end else confidence end as confidence from a")
+def confidence_ceiling(spark, d):
+    a = evidence.assess(t.derived(spark, d, t.SIGNALS))
+    top = F.when(F.col("subject_id").cast("long") % 2 == 0, "POSSIBLE").otherwise("LIKELY")
+    return a.select("subject_id", T.at_most(F.col("confidence"), top).alias("confidence"))
+
+
+def _user_evidence(spark, d):
+    s = t.derived(spark, d, t.SIGNALS)
+    e = s.select("subject_kind", "subject_id", F.col("weight").alias("kind"), F.concat(F.lit("evi://e/"), F.col("ord") % 50).alias("uri"), F.lit(None).cast("string").alias("locator"), F.col("detail").alias("excerpt"), F.when(F.col("contradicted"), "CONTRADICTS").otherwise("SUPPORTS").alias("stance"))
+    there = spark.range(25).select(F.concat(F.lit("evi://e/"), F.col("id") * 2).alias("uri"))
+    return s, e, there
+
+
+@query(f"""with s as (select * from {_d(t.SIGNALS)}) select subject_id, case when exists (select 1 from s x where x.subject_id = k.subject_id and not x.contradicted and x.ord % 50 % 2 = 0) then 'CONFIRMED' else 'UNKNOWN' end as confidence,
+(select count(*) from s x where x.subject_id = k.subject_id and (x.contradicted or x.ord % 50 % 2 = 0)) as n_kept from (select distinct subject_id from s) k""")
+def evidence_invariant(spark, d):
+    s, e, there = _user_evidence(spark, d)
+    final, kept = evidence.record(s.select(*evidence.SUBJECT).distinct().withColumn("confidence", F.lit("CONFIRMED")), e, there)
+    n = kept.groupBy("subject_id").agg(F.count("*").alias("n_kept"))
+    return final.join(n, "subject_id", "left").select("subject_id", "confidence", F.coalesce("n_kept", F.lit(0)).alias("n_kept"))
+
+
+@query(f"""select subject_id, 'ev:' || substr(sha256(weight || '|evi://e/' || ord % 50 || '|None|' || detail), 1, 16) as evidence_id, case when contradicted then 'CONTRADICTS' else 'SUPPORTS' end as stance from {_d(t.SIGNALS)}""")
+def evidence_for_subject(spark, d):
+    _, e, _ = _user_evidence(spark, d)
+    e = e.withColumn("id", T.evidence_id(*(F.col(c) for c in ("kind", "uri", "locator", "excerpt"))))
+    links = e.select(F.col("id").alias("evidence_id"), *evidence.SUBJECT, "stance").distinct()
+    return evidence.evidence_for(e.select("id", "kind", "uri", "excerpt").distinct(), links).select("subject_id", "evidence_id", "stance")
+
+
+_ITEMS = """select doc_id as item, 'D' || cast(doc_id % 9 as string) as paper_version, case when doc_id % 11 = 0 then ' ' else 'Name ' || cast(doc_id as string) end as name, case when doc_id % 4 = 0 then cast(null as string) when doc_id % 7 = 0 then 'gadget' else 'loss' end as kind, doc_id as n from documents"""
+
+
+@query(f"""select item, case when item % 11 = 0 then 'no name' when item % 4 <> 0 and item % 7 = 0 then 'unknown kind' when item % 3 <> 0 then 'no cited address resolves' end as reason, item % 11 <> 0 and (item % 4 = 0 or item % 7 <> 0) and item % 3 = 0 as accepted,
+case when item % 11 <> 0 and (item % 4 = 0 or item % 7 <> 0) and item % 3 = 0 and item % 2 = 0 then paper_version || ':sec:' || item end as section_id from {_d(_ITEMS)}""")
+def validate_writeback(spark, d):
+    rows = t.derived(spark, d, _ITEMS)
+    own = F.concat(F.lit("evi://paper/x/"), F.when(F.col("n") % 2 == 0, "section/").otherwise("values/"), "n")
+    items = rows.withColumn("uris", F.array(F.concat(F.lit("evi://nowhere/"), "n"), own))
+    there = rows.where("n % 3 = 0").select(own.alias("uri"))
+    return evidence.validate_components(items.drop("n"), there).select("item", "reason", "accepted", "section_id")
+
+
+# ── code index ───────────────────────────────────────────────────────────────
+
+
+def _lines(spark, d):
+    return t.derived(spark, d, t.CODE_LINES)
+
+
+def _symbols(spark, d):
+    none = F.lit(None).cast("string")
+    return t.derived(spark, d, t.SYMBOLS).withColumns({"signature": none, "parent": none})
+
+
+@query(f"""select repo, path, line::bigint as line, text from (select *, row_number() over (partition by repo order by path, line) as n from {_d(t.CODE_LINES)} where regexp_matches(text, 'rate = 1\\.\\d{{3}}7')) where n <= 20""")
+def text_search(spark, d):
+    return codeindex.search_text(_lines(spark, d), r"rate = 1\.\d{3}7", 20)
+
+
+@query(f"""with s as (select repo, qualified_name, (contains(lower(name || ' ' || qualified_name), 'encode')::int + contains(lower(name || ' ' || qualified_name), 'ring')::int) as hits from {_d(t.SYMBOLS)})
+select repo, 'encode ring' as query, hits::bigint as hits, qualified_name, n as rank from (select *, row_number() over (partition by repo order by hits desc, qualified_name) as n from s where hits > 0) where n <= 10""")
+def symbol_search(spark, d):
+    s = _symbols(spark, d)
+    q = s.select("repo").distinct().select("repo", F.lit("encode ring").alias("query"), F.array(F.lit("encode"), F.lit("ring")).alias("terms"))
+    return codeindex.search_symbols(s, q, 10).select("repo", "query", "hits", "qualified_name", "rank")
+
+
+@query(f"""with q as (select distinct repo, x as query from {_d(t.SYMBOLS)}, (values ('gizmo turbine'), ('loss7')) q(x)), s as (select * from {_d(t.SYMBOLS)}), h as (select q.repo, q.query, s.qualified_name, list_sum(list_transform(string_split(q.query, ' '), lambda w: contains(lower(s.name || ' ' || s.qualified_name), w)::int)) as hits from q join s using (repo)),
+b as (select repo, query, least(count(*), 20) as n, first(qualified_name order by hits desc, qualified_name) as best from h where hits > 0 group by all)
+select q.repo, q.query, b.best is not null as found, coalesce(b.n, 0)::bigint as n, b.best, case when b.best is null then 'absent:' || substr(sha256(q.repo || '|' || q.query || '|python-ast:symbol_search|'), 1, 12) end as absence_ref from q left join b using (repo, query)""")
+def search_or_absence(spark, d):
+    s = _symbols(spark, d)
+    return codeindex.searched(s, s.select("repo", F.explode(F.array(F.lit("gizmo turbine"), F.lit("loss7"))).alias("query")).distinct())
+
+
+@query(f"""with p as (select repo, path, line from {_d(t.CODE_LINES)} where line % 40 = 0), s as (select * from {_d(t.SYMBOLS)})
+select repo, path, line::bigint as line, coalesce((select first(qualified_name order by ordinal) from s where s.repo = p.repo and s.file_path = p.path and p.line between line_start and line_end and kind in ('function', 'method')), (select first(qualified_name order by ordinal) from s where s.repo = p.repo and s.file_path = p.path and p.line between line_start and line_end)) as symbol from p""")
+def enclosing_symbol(spark, d):
+    return codeindex.enclosing(_lines(spark, d).where("line % 40 = 0").select("repo", "path", "line"), _symbols(spark, d))
+
+
+@query(f"""with c as (select distinct repo, path, line, regexp_extract(text, 'y = (fn_[0-9]+)\\(', 1) as name from {_d(t.CODE_LINES)} where regexp_matches(text, 'y = fn_[0-9]+\\(') union select distinct repo, path, line, regexp_extract(text, 'def (fn_[0-9]+)\\(', 1) from {_d(t.CODE_LINES)} where regexp_matches(text, 'def fn_[0-9]+\\(')), s as (select * from {_d(t.SYMBOLS)}),
+j as (select c.repo, a.qualified_name as callee, b.qualified_name as caller, row_number() over (partition by c.repo, a.qualified_name, c.path, c.line order by b.ordinal) as n from c join s a on a.repo = c.repo and a.name = c.name join s b on b.repo = c.repo and b.file_path = c.path and c.line between b.line_start and b.line_end and b.qualified_name <> a.qualified_name)
+select distinct repo, callee, caller from j where n = 1""")
+def callers_of(spark, d):
+    return codeindex.callers(_symbols(spark, d), _lines(spark, d))
+
+
+@query(f"""select repo, file_path as path, count(*) as n, string_agg(case when n <= 6 then qualified_name end, ',' order by n) as listed from (select *, row_number() over (partition by repo, file_path order by line_start, ordinal) as n from {_d(t.SYMBOLS)}) group by repo, file_path""")
+def repo_outline(spark, d):
+    return codeindex.outline(_symbols(spark, d))
+
+
+@query("""select 'c' || doc_id % 5 as repo, case when doc_id % 3 = 0 then 'py' when doc_id % 3 = 1 then 'md' else '' end as extension, count(*) as n from documents group by all""")
+def language_histogram(spark, d):
+    t.tables(spark, d, "documents")
+    k = F.col("doc_id")
+    path = F.concat(F.lit("src.v1/f"), k, F.when(k % 3 == 0, ".PY").when(k % 3 == 1, ".md").otherwise(""))
+    return codeindex.languages(spark.table("documents").select(F.concat(F.lit("c"), k % 5).alias("repo"), path.alias("path")))
+
+
+_SOURCE_FILES = """select 'r' || cast(p_partkey % 10 as string) as repo, 'pkg/f' || cast(p_partkey as string) || '.py' as path, 'LIMIT = ' || cast(p_size as string) || chr(10) || 'class Net' || cast(p_size as string) || ':' || chr(10) || '    def run(self, x):' || chr(10) || '        return x' || chr(10) || 'async def go(a, b=' || cast(p_size as string) || '):' || chr(10) || '    pass' || case when p_partkey % 10 = 3 then chr(10) || 'oops (' else '' end as text from part"""
+
+
+@query("""select 'r' || p_partkey % 10 as repo, 'pkg/f' || p_partkey || '.py::' || replace(s.q, '#n', p_size::string) as qualified_name, s.kind, s.a::bigint as line_start, s.b::bigint as line_end, replace(s.sig, '#n', p_size::string) as signature from part,
+(values ('LIMIT#constant', 'constant', 1, 1, null), ('Net#n#class', 'class', 2, 4, 'class Net#n'), ('Net#n.run#method', 'method', 3, 4, 'def run(self, x)'), ('go#function', 'function', 5, 6, 'async def go(a, b=#n)')) s(q, kind, a, b, sig) where p_partkey % 10 <> 3""")
+def python_symbols(spark, d):
+    return codeindex.python_symbols(t.derived(spark, d, _SOURCE_FILES)).where("warning is null").select("repo", "qualified_name", "kind", "line_start", "line_end", "signature")
+
+
+# ── correlation ──────────────────────────────────────────────────────────────
+
+_MAP_VALUES = f"""with l as (select * from {_d(t.CODE_LINES)}), q as (select distinct 'r' || p_partkey % 10 as repo, v as value from part, unnest([p_size || 'e-4', '0.' || lpad(p_size::string, 2, '0')]) u(v)),
+h as (select q.repo, q.value, count(*) as n, min({{'path': l.path, 'line': l.line}}) as f from q join l on l.repo = q.repo and contains(l.text, q.value) and regexp_matches(l.text, '(^|[^A-Za-z0-9_.])' || replace(q.value, '.', '\\.') || '($|[^A-Za-z0-9_.])') group by all),
+v as (select 'P' || p_partkey || 'v1' as paper_version, 'r' || p_partkey % 10 as repo, 'tau' as label, p_size || 'e-4' as value from part union all select 'P' || p_partkey || 'v1', 'r' || p_partkey % 10, 'dropout', '0.' || lpad(p_size::string, 2, '0') from part)
+select v.paper_version, v.repo, v.label, case when h.n is null then 'ABSENT' when v.value in ('0.1', '0.5') then 'AMBIGUOUS' when h.n > 6 then 'AMBIGUOUS' else 'MATCHED' end as status, case when h.n <= 6 then h.f.path || ':' || h.f.line end as site from v left join h using (repo, value)
+union all select 'P' || p_partkey || 'v1', 'r' || p_partkey % 10, 'hidden size', 'UNKNOWN', null from part"""
+
+
+def _mapped_values(spark, d):
+    e = _events(spark, d)
+    values = extract.located(extract.stated_values(e), extract.sections(e))
+    return correlate.map_values(values, t.derived(spark, d, t.PAIRS), codeindex.literals(_lines(spark, d)), _symbols(spark, d))
+
+
+@query(_MAP_VALUES)
+def map_stated_values(spark, d):
+    return _mapped_values(spark, d).select("paper_version", "repo", "label", "status", "site")
+
+
+@query(f"with m as ({_MAP_VALUES}) select status, case when status in ('MATCHED', 'ABSENT') then 'CONFIRMED' else 'UNKNOWN' end as confidence, count(*) as n from m group by all")
+def map_value_histogram(spark, d):
+    return correlate.graded(_mapped_values(spark, d)).groupBy("status", "confidence").agg(F.count("*").alias("n"))
+
+
+def _mapped_components(spark, d):
+    return correlate.map_components(t.derived(spark, d, t.COMPONENTS), t.derived(spark, d, t.PAIRS), _symbols(spark, d), _lines(spark, d), _mapped_values(spark, d))
+
+
+_GENERIC = ", ".join(f"'{w}'" for w in T.GENERIC_WORDS)
+_MAP_COMPONENTS = f"""with c as (select paper_version, 'r' || substr(paper_version, 2, length(paper_version) - 3)::bigint % 10 as repo, id, name, source, list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda y: length(y) > 2 and y not in ({_STOPS})) as tk from {_d(t.COMPONENTS)}),
+u as (select distinct repo, tk from c), s as (select repo, qualified_name, lower(name || ' ' || qualified_name) as hay from {_d(t.SYMBOLS)}),
+vb as (select repo, tk, [tk, list_transform(tk, lambda x: case when regexp_matches(x, '^.{{3,}}[a-z](er|or)$') then case when x[-3] = 'e' then x[:-3] else x[:-3] || 'e' end else x end)] as vs from u),
+q as (select repo, tk, unnest(case when len(tk) >= 2 then vs else vs[1:1] end) as terms from vb),
+r as (select q.repo, q.tk, q.terms, s.qualified_name, s.hay, list_sum(list_transform(q.terms, lambda x: contains(s.hay, x)::int)) as hits from q join s on s.repo = q.repo),
+f as (select distinct repo, tk, qualified_name, hay from (select *, row_number() over (partition by repo, terms order by hits desc, qualified_name) as n from (select distinct * from r where hits > 0)) where n <= 25),
+g as (select repo, tk, max(list_sum(list_transform(tk, lambda x: contains(hay, x[:case when length(x) > 5 then 5 else length(x) end])::int))) as covered from f group by all),
+l as (select distinct repo, text from {_d(t.CODE_LINES)}), w as (select distinct repo, x from c, unnest(tk) z(x) where length(x) >= 4 and x not in ({_GENERIC})), i as (select distinct w.repo, w.x from w join l on l.repo = w.repo and contains(l.text, w.x))
+select c.paper_version, c.name as label, case when g.covered is not null then case when g.covered / len(c.tk) < 0.5 then 'UNKNOWN' when c.source <> 'DETERMINISTIC' and g.covered = len(c.tk) and len(c.tk) >= 2 then 'MATCHED' else 'AMBIGUOUS' end
+when c.source = 'DETERMINISTIC' or len(list_filter(c.tk, lambda x: length(x) >= 4 and x not in ({_GENERIC}))) = 0 then 'UNKNOWN' when exists (select 1 from i where i.repo = c.repo and list_contains(c.tk, i.x)) then 'AMBIGUOUS' else 'ABSENT' end as status from c left join g on g.repo = c.repo and g.tk = c.tk"""
+
+
+@query(_MAP_COMPONENTS)
+def map_components(spark, d):
+    return _mapped_components(spark, d).select("paper_version", "label", "status")
+
+
+@query("""select 'P' || p_partkey || 'v1' as paper_version, 'Step ' || p_brand as label, case when exists (select 1 from part s where s.p_partkey % 10 = p.p_partkey % 10 and (contains(case s.p_partkey % 4 when 0 then 'encode_' || replace(s.p_name, ' ', '_') when 1 then 'loss' || s.p_size else 'fn' end, 'step') or contains(case s.p_partkey % 4 when 0 then 'encode_' || s.p_name when 1 then 'loss' || s.p_size else 'fn' end, 'brand'))) then 'AMBIGUOUS' else 'ABSENT' end as status from part p""")
+def map_algorithms(spark, d):
+    e = _events(spark, d)
+    a = extract.located(extract.algorithms(e), extract.sections(e)).withColumn("id", F.concat("paper_version", F.lit(":algo:"), "slug"))
+    return correlate.map_algorithms(a, t.derived(spark, d, t.PAIRS), _symbols(spark, d)).select("paper_version", "label", "status")
+
+
+@query(f"""with m as (select paper_version, status from ({_MAP_VALUES}) union all select paper_version, status from ({_MAP_COMPONENTS})) select paper_version, count(*) filter (status = 'MATCHED') as n_matched, count(*) filter (status = 'ABSENT') as n_absent, count(*) filter (status = 'AMBIGUOUS') as n_ambiguous, count(*) filter (status = 'UNKNOWN') as n_unknown from m group by 1""")
+def map_summary(spark, d):
+    both = _mapped_values(spark, d).unionByName(_mapped_components(spark, d))
+    return correlate.histogram(both, ["paper_version"])
+
+
+_BEHAVIOUR = """select 'P' || p_partkey || 'v1' as paper_version, 'r' || p_partkey % 10 as repo, b.kind, b.subject, case when p_size >= 0 then 'BLOCKING' end as severity from part, (values ('TRAINING', 'learning-rate warmup'), ('TRAINING', 'weight decay'), ('ARCHITECTURAL', 'dropout')) b(kind, subject)
+where (b.subject = 'learning-rate warmup' and p_partkey % 2 = 0) or (b.subject = 'weight decay' and not exists (select 1 from lineitem l where l.l_suppkey % 10 = p_partkey % 10 and l.l_suppkey % 10 < 4 and l.l_partkey % 4 = 3 and l.l_orderkey % 997 <> 0))"""
+
+
+@query(_BEHAVIOUR)
+def behaviour_differences(spark, d):
+    rows = correlate.behaviour_differences(_papers(spark, d), t.derived(spark, d, t.PAIRS), _lines(spark, d))
+    return rows.where("subject != 'dropout'").select("paper_version", "repo", "kind", "subject", "severity")
+
+
+@query(f"""with m as ({_MAP_COMPONENTS}), c as (select * from {_d(t.COMPONENTS)}) select m.paper_version, m.label as subject, case c.kind when 'loss' then 'BLOCKING' when 'training' then 'BLOCKING' when 'optimizer' then 'SIGNIFICANT' when 'architecture' then 'SIGNIFICANT' else 'MINOR' end as severity from m join c using (paper_version) where m.status = 'ABSENT'""")
+def missing_components(spark, d):
+    return correlate.missing_components(correlate.graded(_mapped_components(spark, d)), t.derived(spark, d, t.COMPONENTS)).select("paper_version", "subject", "severity")
+
+
+@query(f"select paper_version, label as subject, label || ' = ' || (case label when 'tau' then p_size || 'e-4' else '0.' || lpad(p_size::string, 2, '0') end) as paper_states from ({_MAP_VALUES}) m join part on m.paper_version = 'P' || p_partkey || 'v1' where status = 'ABSENT'")
+def changed_hyperparameters(spark, d):
+    return correlate.changed_values(correlate.graded(_mapped_values(spark, d))).select("paper_version", "subject", "paper_states")
+
+
+_TEXTS = "select paper_version, 'we use 1.' || lpad(cast(k as string), 5, '0') || '9 and 1.' || lpad(cast(k + 10 as string), 5, '0') as tex, k from (select p_partkey as k, 'P' || cast(p_partkey as string) || 'v1' as paper_version from part where p_partkey < 40)"
+
+
+@query(f"""with l as (select *, regexp_extract(text, 'rate = (1\\.[0-9]{{5}})$', 1) as c from {_d(t.CODE_LINES)} where regexp_matches(text, 'rate = 1\\.[0-9]{{5}}$')), f as (select repo, c, min({{'path': path, 'line': line}}) as at from l group by all), p as (select *, 'r' || k % 10 as repo from {_d(_TEXTS)})
+select p.paper_version, p.repo, f.at.path as path, count(*) as n, min(f.at.line)::bigint as line from p join f on f.repo = p.repo and not contains(p.tex, f.c) group by all""")
+def hidden_constants(spark, d):
+    papers = t.derived(spark, d, _TEXTS)
+    pairs = papers.select("paper_version", F.concat(F.lit("r"), F.col("k") % 10).alias("repo"))
+    return correlate.hidden_constants(papers.select("paper_version", "tex"), pairs, _lines(spark, d)).select("paper_version", "repo", "path", "n", "line")
+
+
+_DOWNLOADS = "select 'r' || cast(page_id % 7 as string) as repo, 'get' || cast(page_id % 3 as string) || '.py' as path, cast(page_id as int) as line, 'fetch(\"' || split_part(url, '?', 1) || case when page_id % 2 = 0 then '.pth' else '.html' end || '\")' as text from pages"
+
+
+@query(f"""select repo, path, count(*) as n, string_agg(case when n <= 4 then line || ': ' || substr(u, 1, 120) end, '; ' order by line) as listed from (select *, row_number() over (partition by repo, path order by line) as n from (select *, regexp_extract(text, '"(.*[.]pt)h"', 1) as u from {_d(_DOWNLOADS)} where text like '%.pth%')) group by all""")
+def external_artifacts(spark, d):
+    return correlate.external_artifacts(t.derived(spark, d, _DOWNLOADS))
+
+
+_VERDICTS = """select 'P' || cast(l_orderkey % 60 as string) as paper_version, 'r' || cast(l_suppkey % 4 as string) as repo, 'component' as anchor_kind, cast(l_linenumber as string) || '-' || cast(l_partkey % 3 as string) as label, min(case l_returnflag when 'A' then 'ABSENT' when 'N' then 'MATCHED' else 'UNKNOWN' end) as status,
+ min(case when l_quantity < 10 then 'BLOCKING' when l_quantity < 25 then 'SIGNIFICANT' else 'MINOR' end) as severity from lineitem group by l_orderkey % 60, l_suppkey % 4, l_linenumber, l_partkey % 3"""
+
+
+@query(f"""with v as (select * from {_d(_VERDICTS)}), c as (select paper_version, repo, count(*) filter (status = 'MATCHED') as n_matched, count(*) filter (status = 'ABSENT') as n_absent, count(*) filter (severity = 'BLOCKING') as n_blocking, count(*) filter (severity = 'SIGNIFICANT') as n_significant from v group by all)
+select a.*, (select count(*) + 1 from c b where b.paper_version = a.paper_version and (b.n_blocking, b.n_absent, b.n_significant, -b.n_matched) < (a.n_blocking, a.n_absent, a.n_significant, -a.n_matched))::bigint as place,
+not exists (select 1 from c b where b.paper_version = a.paper_version and b.repo <> a.repo and (b.n_blocking, b.n_absent, b.n_significant, -b.n_matched) <= (a.n_blocking, a.n_absent, a.n_significant, -a.n_matched)) as closest from c a""")
+def compare_implementations(spark, d):
+    v = t.derived(spark, d, _VERDICTS)
+    return correlate.compare_repositories(v, v).select("paper_version", "repo", "n_matched", "n_absent", "n_blocking", "n_significant", "place", "closest")
+
+
+@query(f"""with v as (select * from {_d(_VERDICTS)}), r as (select distinct paper_version, repo from v), a as (select distinct paper_version, anchor_kind, label from v), x as (select a.*, r.repo, coalesce(v.status, 'UNKNOWN') as status from a join r using (paper_version) left join v using (paper_version, anchor_kind, label, repo))
+select paper_version, anchor_kind, label, count(distinct status) = 1 as agree, string_agg(status, ',' order by repo) as statuses from x group by all""")
+def anchor_agreement(spark, d):
+    return correlate.agreement(t.derived(spark, d, _VERDICTS).drop("severity"))
+
+
+# ── discovery ────────────────────────────────────────────────────────────────
+
+
+def _candidates(spark, d):
+    return t.derived(spark, d, t.CANDIDATES)
+
+
+_SIGNAL_SQL = f"""with c as (select *, declared as s1, owner_name = 'Ada Lovelace' as s2, repo_name = split_part(title, ':', 1) or (length(repo_name) >= 3 and contains(lower(split_part(title, ':', 1)), lower(replace(repo_name, '-', '')))) as s3, contains(readme, arxiv_id) as s4 from {_d(t.CANDIDATES)})"""
+
+
+@query(_SIGNAL_SQL + """, n as (select paper_version, repo, unnest([case when s1 then 'declared_in_paper' end, case when s2 then 'author_owner_match' end, case when s3 then 'name_affinity' end, case when s4 then 'readme_backlink' end]) as name from c)
+select paper_version, repo, name, case name when 'declared_in_paper' then 'DECISIVE' else 'STRONG' end as weight from n where name is not null""")
+def candidate_signals(spark, d):
+    return discover.signals(_candidates(spark, d)).select("paper_version", "repo", "name", "weight")
+
+
+@query(_SIGNAL_SQL + """ select paper_version, repo, case when s1 then case when s2 or s3 or s4 then 'OFFICIAL' else 'DECLARED_DEPENDENCY' end when contains(readme, 'unofficial') then 'REPRODUCTION' when s2 then 'ORGANIZATION' when s3 or s4 then 'THIRD_PARTY' else 'UNRELATED' end as relation,
+case when s1 then case when archived then 'LIKELY' else 'CONFIRMED' end when not contains(readme, 'unofficial') and not s2 and not s3 and not s4 then 'UNKNOWN' when s2::int + s3::int + s4::int >= 2 then 'LIKELY' when s2 or s3 or s4 then 'POSSIBLE' else 'UNKNOWN' end as confidence from c""")
+def candidate_relation(spark, d):
+    none = spark.createDataFrame([], "paper_version string, repo string, n_files long, n_matched int, n_missing int, score double, checked string, missing string")
+    return discover.assessed(_candidates(spark, d), none).select("paper_version", "repo", "relation", "confidence")
+
+
+_KIND_FILES = {"loss": "false", "training": "b like 'train%'", "dataset": "b like 'dataset%'", "architecture": "b like 'model%'", "evaluation": "false"}
+
+
+@query(f"""with f as (select owner as repo, string_split(path, '/')[-1] as b from {_d(t.TREES)} where path like '%.py' and path not like 'docs/%'), r as (select 'own' || s_suppkey as repo from supplier), n as (select repo, count(f.b) as n_files, {", ".join(f"coalesce(bool_or({p}), false) as {k}" for k, p in _KIND_FILES.items())} from r left join f using (repo) group by 1),
+m as (select *, ({" + ".join(f"{k}::int" for k in _KIND_FILES)}) as hit, array_to_string(list_filter([{", ".join(f"case when not {k} then '{k}' end" for k in sorted(_KIND_FILES))}], lambda x: x is not null), ',') as miss from n)
+select repo, n_files, case when n_files > 0 then hit::bigint end as n_matched, case when n_files > 0 then hit / 5 end as score, case when n_files = 0 then 'NONE' when n_files < 12 then 'SHALLOW_SMALL_REPO' else 'SHALLOW' end as checked, case when n_files > 0 then miss end as missing from m""")
+def shallow_coverage(spark, d):
+    files = t.derived(spark, d, t.TREES).withColumnRenamed("owner", "repo")
+    t.tables(spark, d, "supplier")
+    wanted = spark.table("supplier").select(F.lit("p").alias("paper_version"), F.concat(F.lit("own"), "s_suppkey").alias("repo"), F.explode(F.array(*map(F.lit, [*_KIND_FILES, "module"]))).alias("kind"))
+    return discover.coverage(files, wanted).select("repo", "n_files", "n_matched", "score", "checked", "missing")
+
+
+_RANKED = """select paper_version, repo, seed, relation, confidence, name_match, name_contradicted, coverage, stars from (select 'C' || cast(o_custkey % 300 as string) as paper_version, 'r' || cast(o_orderkey as string) as repo, cast(o_orderkey as int) as seed, case o_orderkey % 7 when 0 then 'OFFICIAL' when 1 then 'ORGANIZATION' when 2 then 'REPRODUCTION' when 3 then 'THIRD_PARTY' when 4 then 'DECLARED_DEPENDENCY' when 5 then 'DERIVED' else 'UNRELATED' end as relation,
+ case o_orderkey % 4 when 0 then 'CONFIRMED' when 1 then 'LIKELY' when 2 then 'POSSIBLE' else 'UNKNOWN' end as confidence, o_orderkey % 3 = 0 as name_match, o_orderkey % 11 = 0 as name_contradicted, case when o_orderkey % 5 = 0 then cast(null as double) else cast(o_orderkey % 5 as double) / 4 end as coverage, o_orderkey % 6 as stars from orders)"""
+_RANK_KEY = "(case when relation in ('DECLARED_DEPENDENCY', 'DERIVED') or name_contradicted then 0 else 1 end, case confidence when 'CONFIRMED' then 3 when 'LIKELY' then 2 when 'POSSIBLE' then 1 else 0 end, case relation when 'OFFICIAL' then 4 when 'ORGANIZATION' then 3 when 'REPRODUCTION' then 3 when 'THIRD_PARTY' then 2 when 'DECLARED_DEPENDENCY' then 1 else 0 end, name_match::int, coalesce(coverage, -1), stars, -seed)"
+
+
+@query(f"""with c as (select *, {_RANK_KEY} as k from {_d(_RANKED)} where relation <> 'UNRELATED') select paper_version, repo, (select count(*) from c b where b.paper_version = a.paper_version and b.k > a.k) + 1 as rank from c a""")
+def rank_candidates(spark, d):
+    return discover.ranked(t.derived(spark, d, _RANKED)).select("paper_version", "repo", "rank")
+
+
+@query(f"""with c as (select *, {_RANK_KEY} as k from {_d(_RANKED)} where relation not in ('UNRELATED', 'DERIVED', 'DECLARED_DEPENDENCY')) select paper_version, first(repo order by (confidence in ('CONFIRMED', 'LIKELY'))::int desc, k desc) as repo from c group by 1""")
+def chosen_implementation(spark, d):
+    return discover.chosen(discover.ranked(t.derived(spark, d, _RANKED)))
+
+
+@query(f"""select paper_version, repo, coalesce(case when description is null then false when description = 'Point cloud registration' then true else not contains(lower(title), split_part(lower(description), ' ', 2)) end, false) as contradicts from {_d(t.CANDIDATES)}""")
+def description_contradicts(spark, d):
+    return _candidates(spark, d).select("paper_version", "repo", T.description_contradicts(F.col("description"), F.col("title")).alias("contradicts"))
+
+
+# ── lineage ──────────────────────────────────────────────────────────────────
+
+
+def _entries(spark, d):
+    return t.derived(spark, d, t.ENTRIES)
+
+
+def _sites(spark, d):
+    return t.derived(spark, d, t.SITES)
+
+
+@query(f"""with e as (select * from {_d(t.ENTRIES)}), s as (select * from {_d(t.SITES)}) select paper_version, bib_key, title, (select count(*) from s where s.paper_version = e.paper_version and s.bib_key = e.bib_key) as sites from e""")
+def refs_with_site_counts(spark, d):
+    return lineage.cited_counts(_entries(spark, d), _sites(spark, d)).select("paper_version", "bib_key", "title", "sites")
+
+
+@query(f"""with e as (select * from {_d(t.ENTRIES)}), s as (select paper_version, bib_key, count(*) as n from {_d(t.SITES)} group by all), r as (select e.*, coalesce(s.n, 0) as sites, row_number() over (partition by paper_version order by coalesce(s.n, 0) desc, year desc, bib_key) as rank from e left join s using (paper_version, bib_key))
+select paper_version, coalesce(arxiv_id, 'bib:' || bib_key) as to_paper, year::bigint as year, sites, rank, case when sites > 1 then 'PREDECESSOR' else 'CITES' end as relation from r where rank <= 10""")
+def predecessors(spark, d):
+    return lineage.predecessors(_entries(spark, d), _sites(spark, d), 10).select("paper_version", "to_paper", "year", "sites", "rank", "relation")
+
+
+_WORKS = """select 'Q' || cast(o_custkey % 50 as string) as cited, cast(row_number() over (partition by o_custkey % 50 order by o_orderkey) - 1 as int) as place, 'Title ' || cast(o_orderkey as string) as title, cast(2000 + o_orderkey % 20 as int) as year, cast(o_orderkey % 1000 as bigint) as cited_by_count, case when o_orderkey % 3 = 0 then 'a' || cast(o_orderkey as string) end as arxiv_id, o_orderkey as k from orders"""
+_CITED = """select 'Q' || cast(o_custkey % 50 as string) as cited, o_orderkey as place, case when o_orderkey % 6 = 0 then 'a' || cast(o_orderkey as string) end as arxiv_id, 'TITLE ' || cast(o_orderkey as string) as title, 's' || cast(o_orderkey as string) as paper_id, o_orderkey % 10 = 0 as is_influential, o_orderkey % 4 = 0 as method, o_orderkey % 8 < 3 as quoted from orders where o_orderkey % 2 = 0"""
+
+
+def _forward(spark, d):
+    c = t.derived(spark, d, _CITED)
+    empty = F.array().cast("array<string>")
+    c = c.withColumns({"intents": F.when(F.col("method"), F.array(F.lit("methodology"))).otherwise(empty), "contexts": F.when(F.col("quoted"), F.array(F.lit("so they say"))).otherwise(empty)})
+    return lineage.forward(t.derived(spark, d, _WORKS), c)
+
+
+_FORWARD = f"""select cited, case when k % 3 = 0 then 'a' || k when k % 2 = 0 then 's' || k else 'title:' || substr(sha256(lower(title)), 1, 12) end as from_paper, case when k % 2 = 0 and (k % 10 = 0 or k % 4 = 0) then 'SUCCESSOR' else 'CITES' end as relation,
+case when k % 2 = 0 and (k % 10 = 0 or k % 4 = 0) then 'LIKELY' when k % 2 = 0 and k % 8 < 3 then 'CONFIRMED' else 'LIKELY' end as confidence, k, place, year, cited_by_count from {_d(_WORKS)}"""
+
+
+@query(f"select cited, from_paper, relation, confidence from ({_FORWARD})")
+def forward_edges(spark, d):
+    return _forward(spark, d).select("cited", "from_paper", "relation", "confidence")
+
+
+@query(f"""select cited, from_paper, n as rank from (select *, row_number() over (partition by cited order by (k % 2 = 0 and k % 10 = 0) desc, (k % 2 = 0 and k % 4 = 0) desc, cited_by_count desc, year desc, place) as n from ({_FORWARD}) where place < 40) where n <= 10""")
+def successor_rank(spark, d):
+    return lineage.successors(_forward(spark, d), 10).select("cited", "from_paper", "rank")
+
+
+@query(f"""with s as (select * from {_d(t.SITES)}), e as (select * from {_d(t.ENTRIES)}), m as (select * from (values ('says 10 of'), ('says n')) m(method)) select m.method, s.paper_version, s.bib_key, e.title, s.context from m join s on contains(lower(s.context), 'says') left join e on e.paper_version = s.paper_version and e.bib_key = s.bib_key""")
+def trace_method(spark, d):
+    methods = spark.createDataFrame([("says 10 of",), ("says n",)], "method string")
+    sections = spark.createDataFrame([], "paper_version string, section_path string, title string, body string, ordinal int")
+    return lineage.trace_method(_sites(spark, d), _entries(spark, d), sections, methods)[0].select("method", "paper_version", "bib_key", "title", "context")
+
+
+_EDGES = "select distinct 'C' || cast(o_custkey % 700 as string) as from_paper, 'C' || cast(o_orderkey % 700 as string) as to_paper, 'CITES' as relation from orders"
+
+
+@query(f"""select p as paper, from_paper, to_paper, relation from {_d(_EDGES)}, (values ('C1'), ('C2'), ('C699')) q(p) where from_paper = p or to_paper = p""")
+def lineage_edges_of(spark, d):
+    asked = spark.createDataFrame([("C1",), ("C2",), ("C699",)], "paper string")
+    return reads.lineage_of(t.derived(spark, d, _EDGES), asked)
+
+
+# ── graph reads and plans ────────────────────────────────────────────────────
+
+
+@query(f"with v as (select * from {_d(t.VERSIONS)}) select arxiv_id, version::bigint as version, paper_version from v a where version = (select max(version) from v b where b.arxiv_id = a.arxiv_id)")
+def latest_version(spark, d):
+    return reads.latest(t.derived(spark, d, t.VERSIONS).select("arxiv_id", "version", "paper_version"), "arxiv_id", "version")
+
+
+_SNAPS = "select 'r' || cast(o_custkey % 40 as string) as repo_id, o_orderdate as indexed_at, 's' || cast(o_orderkey as string) as commit_sha from orders"
+
+
+@query(f"select repo_id, commit_sha from (select *, row_number() over (partition by repo_id order by indexed_at desc, commit_sha desc) as n from {_d(_SNAPS)}) where n = 1")
+def latest_snapshot(spark, d):
+    return reads.latest(t.derived(spark, d, _SNAPS), "repo_id", "indexed_at").select("repo_id", "commit_sha")
+
+
+def _verdicts(spark, d):
+    return correlate.graded(_mapped_components(spark, d))
+
+
+@query(f"""with m as ({_MAP_COMPONENTS}), c as (select * from {_d(t.COMPONENTS)}) select c.paper_version, c.slug, c.kind, coalesce(m.status, 'UNMAPPED') as status from c left join m on m.paper_version = c.paper_version and c.source <> 'DETERMINISTIC'""")
+def components_left_mappings(spark, d):
+    c = t.derived(spark, d, t.COMPONENTS).join(t.derived(spark, d, t.PAIRS), "paper_version")
+    m = _verdicts(spark, d).join(c.where("source = 'DETERMINISTIC'").select(F.col("id").alias("anchor_id")), "anchor_id", "left_anti")
+    return reproduction.with_status(c, m).select("paper_version", "slug", "kind", "status")
+
+
+@query(f"with m as ({_MAP_VALUES}) select paper_version, label as symbol, status, case when status in ('MATCHED', 'ABSENT') then 'CONFIRMED' else 'UNKNOWN' end as confidence from m")
+def values_left_mappings(spark, d):
+    v = extract.stated_values(_events(spark, d)).join(t.derived(spark, d, t.PAIRS), "paper_version")
+    return reproduction.with_status(v, correlate.graded(_mapped_values(spark, d))).select("paper_version", "symbol", "status", "confidence")
+
+
+@query(f"""with v as (select * from {_d(_VERDICTS)}) select paper_version, repo, status, count(*) as n from v group by all""")
+def mapping_histogram(spark, d):
+    v = t.derived(spark, d, _VERDICTS).withColumn("snapshot_id", F.concat("repo", F.lit("@"), F.length("label")))
+    return reads.status_by_repository(v)
+
+
+_LIBRARY = "select 'L' || cast(c_custkey as string) as arxiv_id, '10.1000/x' || cast(c_custkey % 1400 as string) as doi, case when c_custkey % 9 = 0 then cast(null as string) else 'L' || cast(c_custkey as string) || 'v1' end as latest_version from customer"
+_ASKED = "select case c_custkey % 3 when 0 then 'L' || cast(c_custkey as string) when 1 then 'https://doi.org/10.1000/X' || cast(c_custkey as string) else 'L' || cast(c_custkey as string) || '%' end as text from customer"
+
+
+@query(f"""with p as (select * from {_d(_LIBRARY)} where latest_version is not null), a as (select distinct text, case when text like 'https%' then lower(substr(text, 17)) else text end as key from {_d(_ASKED)}), f as (select text, count(*) as n, min(arxiv_id) as i, min(latest_version) as v from a join p on p.arxiv_id = a.key or p.doi = a.key group by 1)
+select a.text, case when f.n = 1 then 'FOUND' when f.n > 1 then 'AMBIGUOUS' else 'NOT_FOUND' end as status, case when f.n = 1 then f.i end as arxiv_id, case when f.n = 1 then f.v end as paper_version from a left join f using (text)""")
+def resolve_exact_id(spark, d):
+    return reads.resolve(t.derived(spark, d, _ASKED), t.derived(spark, d, _LIBRARY))
+
+
+_URIS = "select 'evi://' || case p_partkey % 6 when 0 then 'paper/P' || cast(p_partkey as string) || '/section/1%2E2' when 1 then 'repo/own/r' || cast(p_partkey as string) || '/file/a/b.py' when 2 then 'mapping/P1/own/r' || cast(p_partkey as string) when 3 then 'paper/P%20' || cast(p_partkey as string) when 4 then 'nothing/' || cast(p_partkey as string) else 'lineage/P' || cast(p_partkey as string) end as uri, p_partkey as k from part"
+
+
+@query(f"select uri, case k % 6 when 0 then 'section' when 1 then 'file' when 2 then 'mapping' when 3 then 'paper' when 5 then 'lineage' end as kind, case k % 6 when 0 then 'P' || k when 1 then 'own/r' || k when 2 then 'P1' when 3 then 'P ' || k when 5 then 'P' || k end as subject, case k % 6 when 0 then '1.2' when 1 then 'a/b.py' when 2 then 'own/r' || k end as target from {_d(_URIS)}")
+def route_address(spark, d):
+    return reads.route(t.derived(spark, d, _URIS).select("uri"))
+
+
+@query("""select 'P' || p_partkey || 'v1' as paper_version, (case when r = 'x' then '9' else r end) as ref, substr(sha256(case r when '1' then 'y = a_{' || p_partkey % 9 || '} x' when '2' then 'a = b' else 'e = f' end), 1, 12) as content_hash, 1::bigint as n_same from part, (values ('1'), ('2'), ('3')) q(r)""")
+def equation_by_number(spark, d):
+    e = extract.equations(_events(spark, d))
+    asked = _papers(spark, d).select("paper_version", F.explode(F.array(*map(F.lit, ["1", "2", "3", "9"]))).alias("ref"))
+    return reads.equation(e, asked)
+
+
+@query(f"""with e as (select * from {_d(t.ENTRIES)}), s as (select * from {_d(t.SITES)}) select paper_version, count(*) as n, sum((select count(*) from s where s.paper_version = e.paper_version and s.bib_key = e.bib_key))::bigint as n_sites, count(*) filter (arxiv_id is not null or doi is not null) as n_resolved from e group by 1""")
+def reference_summary(spark, d):
+    return reads.references(_entries(spark, d), _sites(spark, d))
+
+
+_PLAN = f"""with c as (select c.*, m.status, case kind when 'dataset' then 'dataset' when 'architecture' then 'architecture' when 'loss' then 'training' when 'optimizer' then 'training' when 'evaluation' then 'evaluation' end as part from {_d(t.COMPONENTS)} c join ({_MAP_COMPONENTS}) m using (paper_version)), p as (select distinct paper_version, x as part from {_d(t.PAIRS)}, (values ('dataset'), ('preprocessing'), ('architecture'), ('training'), ('evaluation')) q(x)),
+n as (select p.paper_version, p.part, count(c.id) as n, count(*) filter (c.status = 'MATCHED') as n_matched from p left join c on c.paper_version = p.paper_version and c.part = p.part group by all),
+v as (select paper_version, 'hyperparameters' as part, count(*) as n, count(*) filter (status = 'MATCHED') as n_matched from ({_MAP_VALUES}) group by 1)
+select paper_version, part, n, n_matched, case when n = 0 then 'UNKNOWN' when n = n_matched then 'KNOWN' else 'PARTIAL' end as status from n union all select paper_version, part, n, n_matched, case when n_matched > 0 then 'PARTIAL' else 'UNKNOWN' end from v"""
+
+
+def _plan(spark, d):
+    e = _events(spark, d)
+    pairs = t.derived(spark, d, t.PAIRS)
+    c = reproduction.component_parts(t.derived(spark, d, t.COMPONENTS), _verdicts(spark, d), pairs)
+    v = reproduction.value_part(extract.stated_values(e), correlate.graded(_mapped_values(spark, d)), pairs)
+    return c.unionByName(v)
+
+
+@query(_PLAN)
+def plan_sections(spark, d):
+    return _plan(spark, d).select("paper_version", "part", "n", "n_matched", "status")
+
+
+@query(f"with p as ({_PLAN}) select paper_version, count(*) filter (status = 'KNOWN') as n_known, count(*) filter (status = 'PARTIAL') as n_partial, count(*) filter (status = 'UNKNOWN') as n_unknown from p group by 1")
+def plan_readiness(spark, d):
+    return reproduction.readiness(_plan(spark, d)).drop("repo")
+
+
+@query(f"""select paper_version, 'value' as "check", label || ' = ' || case label when 'tau' then p_size || 'e-4' else '0.' || lpad(p_size::string, 2, '0') end as subject, site as "where" from ({_MAP_VALUES}) m join part on m.paper_version = 'P' || p_partkey || 'v1' where status = 'MATCHED' union all select paper_version, 'component', label, null from ({_MAP_COMPONENTS}) where status = 'ABSENT'""")
+def plan_verification(spark, d):
+    both = _mapped_values(spark, d).unionByName(_mapped_components(spark, d))
+    return reproduction.verification(both).drop("repo")
+
+
+@query(f"""with v as (select * from {_d(_VERDICTS)}) select paper_version, repo, label as subject, severity, row_number() over (partition by paper_version, repo order by case severity when 'BLOCKING' then 0 when 'SIGNIFICANT' then 1 else 2 end, label) as place from v""")
+def plan_risks(spark, d):
+    v = t.derived(spark, d, _VERDICTS).select("paper_version", "repo", F.lit("MISSING_COMPONENT").alias("kind"), F.col("label").alias("subject"), "severity")
+    v = v.withColumn("severity_order", F.array_position(T.strings(correlate.SEVERITY_ORDER), F.col("severity")))
+    return reproduction.risks(v).select("paper_version", "repo", "subject", "severity", "place")
+
+
+_MANIFESTS = """select 'r' || cast(s_suppkey as string) as repo, case s_suppkey % 3 when 0 then 'requirements.txt' when 1 then 'setup.py' else 'README.md' end as path, case s_suppkey % 3 when 0 then '# deps' || chr(10) || 'numpy==1.' || cast(s_nationkey as string) || chr(10) || case when s_suppkey % 2 = 0 then 'torch' else 'torch>=2' end when 1 then 'setup(python_requires="' || cast(s_nationkey as string) || '", x=["jax"])' else 'needs CUDA 11.' || cast(s_nationkey as string) end as text from supplier"""
+
+
+@query("""select 'r' || s_suppkey as repo, case s_suppkey % 3 when 0 then 'requirements.txt' else 'setup.py' end as file, o::bigint as ordinal, case s_suppkey % 3 when 0 then case o when 0 then 'numpy==1.' || s_nationkey when 1 then case when s_suppkey % 2 = 0 then 'torch' else 'torch>=2' end end else case o when 0 then s_nationkey::string else 'jax' end end as dependency,
+s_suppkey % 3 = 0 and (o = 0 or s_suppkey % 2 = 1) as pinned from supplier, (values (0), (1)) q(o) where s_suppkey % 3 < 2""")
+def manifest_dependencies(spark, d):
+    from .sources import landing
+
+    return landing.manifest_dependencies(t.derived(spark, d, _MANIFESTS))
+
+
+@query("""select 'r' || s_suppkey as repo, case when s_suppkey % 3 = 1 then s_nationkey::string end as python, case when s_suppkey % 3 = 2 then '11.' || s_nationkey end as cuda from supplier""")
+def stated_environment(spark, d):
+    from .sources import landing
+
+    return landing.stated_environment(t.derived(spark, d, _MANIFESTS))
+
+
+# ── state ────────────────────────────────────────────────────────────────────
+
+
+@query(f"""with recursive b(source, capacity, refill) as (values ('click', 1.0::double, 1.0 / 300), ('view', 3.0::double, 1.0 / 900), ('error', 2.0::double, 1.0 / 400), ('signup', 1.0::double, 1.0 / 1200), ('purchase', 5.0::double, 1.0 / 500)), r as (select source, ts, seq, row_number() over (partition by source order by ts, seq) as n from {_d(t.REQUESTS)}),
+f as (select r.source, r.n, r.ts, r.seq, 0.0::double as wait, b.capacity - 1 as tokens from r join b using (source) where n = 1 union all select r.source, r.n, r.ts, r.seq, greatest(0, (1 - least(b.capacity, f.tokens + (epoch_us(r.ts) - epoch_us(f.ts)) / 1e6 * b.refill)) / b.refill), greatest(0, least(b.capacity, f.tokens + (epoch_us(r.ts) - epoch_us(f.ts)) / 1e6 * b.refill) - 1) from f join r on r.source = f.source and r.n = f.n + 1 join b on b.source = f.source)
+select source, seq, round(wait, 3) > 0 as blocked, round(wait)::bigint as wait from f""")
+def token_bucket_waits(spark, d):
+    limits = state.buckets(spark, {"click": (1, 1 / 300), "view": (3, 1 / 900), "error": (2, 1 / 400), "signup": (1, 1 / 1200), "purchase": (5, 1 / 500)})
+    return state.token_waits(t.derived(spark, d, t.REQUESTS), limits).select("source", "seq", (F.round("wait", 3) > 0).alias("blocked"), F.round("wait").cast("long").alias("wait"))
+
+
+@query(f"""with p as (select * from {_d(t.PUTS)}), g as (select * from {_d(t.GETS)}) select g.key, g.seq, coalesce(p.body is not null and (p.expires_at is null or p.expires_at >= g.ts), false) as hit, case when p.expires_at is null or p.expires_at >= g.ts then p.body end as body from g asof left join p on g.key = p.key and g.ts >= p.ts""")
+def ttl_cache_hits(spark, d):
+    return state.ttl_lookups(t.derived(spark, d, t.PUTS), t.derived(spark, d, t.GETS)).select("key", "seq", "hit", "body")
+
+
+_BASE = "select c_custkey as id, c_name as title, case when c_custkey % 2 = 0 then c_mktsegment end as abstract from customer where c_custkey % 3 > 0"
+_DELTA = "select o_custkey as id, case when o_orderkey % 5 = 0 then cast(null as string) else 'T' || cast(o_orderkey as string) end as title, case when o_orderkey % 2 = 0 then o_orderpriority end as abstract, o_orderkey as seq from orders where o_custkey % 4 = 0"
+
+
+@query(f"""with b as (select * from {_d(_BASE)}), l as (select * from {_d(_DELTA)} x where seq = (select max(seq) from {_d(_DELTA)} y where y.id = x.id)) select coalesce(b.id, l.id) as id, case when l.id is not null then l.title else b.title end as title, coalesce(l.abstract, b.abstract) as abstract from b full join l on l.id = b.id""")
+def upsert_coalesce(spark, d):
+    return state.coalesce_upsert(t.derived(spark, d, _BASE), t.derived(spark, d, _DELTA), ["id"], "seq", always=["title"])
+
+
+@query(f"with x as (select * from {_d(_DELTA)}) select id, title, abstract, seq from x a where not exists (select 1 from x b where b.id = a.id and b.seq > a.seq)")
+def last_writer_wins(spark, d):
+    return state.last_writer_wins(t.derived(spark, d, _DELTA), ["id"], "seq")
+
+
+@query(f"""with v as (select * from {_d(t.VERSIONS)}), w as (select 'C' || c_custkey || 'v1' as paper_version from customer) select paper_version from w where paper_version not in (select paper_version from v where parser_version = '3' or source_kind <> 'LATEX')""")
+def stale_for_reparse(spark, d):
+    wanted = t.derived(spark, d, "select 'C' || cast(c_custkey as string) || 'v1' as paper_version from customer")
+    return state.to_parse(t.derived(spark, d, t.VERSIONS), wanted)
+
+
+@query(f"""with c as (select paper_version, slug, source from {_d(t.COMPONENTS)}) select * from c where source <> 'DETERMINISTIC' or substr(paper_version, 2, length(paper_version) - 3)::bigint % 4 > 0 union all select 'P' || p_partkey || 'v1', 'new', 'DETERMINISTIC' from part where p_partkey % 4 = 0""")
+def rederive_keep_agent(spark, d):
+    old = t.derived(spark, d, t.COMPONENTS).select("paper_version", "slug", "source")
+    papers = t.derived(spark, d, "select 'P' || cast(p_partkey as string) || 'v1' as paper_version, 'new' as slug, 'DETERMINISTIC' as source from part where p_partkey % 4 = 0")
+    return state.rederived(old, papers, papers)
+
+
+# ── landed sources ───────────────────────────────────────────────────────────
+
+_BODIES = """select c_custkey as k, '2001.' || lpad(cast(c_custkey as string), 5, '0') as id, c_name as name, c_mktsegment as word, c_nationkey as n from customer"""
+
+
+@query(f"select id as cited, 's' || k as paper_id, case when k % 2 = 0 then '2101.' || lpad(k::string, 5, '0') end as arxiv_id, name as title, (2000 + n)::bigint as year, k % 3 = 0 as is_influential, 'methodology' as intent from {_d(_BODIES)}")
+def landed_citations(spark, d):
+    from .sources import landing
+
+    q = F.lit('"')
+    body = F.concat(F.lit('{"data":[{"contexts":["a"],"intents":["methodology"],"isInfluential":'), (F.col("k") % 3 == 0).cast("string"), F.lit(',"citingPaper":{"paperId":"s'), "k", F.lit('","title":"'), "name", F.lit('","year":'), F.col("n") + 2000, F.lit(',"citationCount":1,"externalIds":{'), F.when(F.col("k") % 2 == 0, F.concat(F.lit('"ArXiv":"2101.'), F.lpad("k", 5, "0"), q)).otherwise(""), F.lit("}}}]}"))
+    rows = t.derived(spark, d, _BODIES).select(F.col("id").alias("arxiv_id"), body.alias("body"))
+    return landing.citing_papers(rows).select("cited", "paper_id", "arxiv_id", "title", "year", "is_influential", F.col("intents")[0].alias("intent"))
+
+
+@query(f"select id as cited, name as title, n * 3 as cited_by_count, case k % 3 when 0 then '2102.' || lpad(k::string, 5, '0') when 1 then '2103.' || lpad(k::string, 5, '0') end as arxiv_id from (select * replace (n::bigint as n) from {_d(_BODIES)})")
+def landed_citing_works(spark, d):
+    from .sources import landing
+
+    k = F.lpad("k", 5, "0")
+    place = F.when(F.col("k") % 3 == 0, F.concat(F.lit("https://arxiv.org/abs/2102."), k)).otherwise("https://x.org/1")
+    doi = F.when(F.col("k") % 3 == 1, F.concat(F.lit("https://doi.org/10.48550/arxiv.2103."), k)).otherwise("https://doi.org/10.1/2")
+    body = F.concat(F.lit('{"results":[{"title":"'), "name", F.lit('","publication_year":2020,"cited_by_count":'), F.col("n") * 3, F.lit(',"doi":"'), doi, F.lit('","locations":[{"landing_page_url":null},{"landing_page_url":"'), place, F.lit('"}]}]}'))
+    rows = t.derived(spark, d, _BODIES).select(F.col("id").alias("arxiv_id"), body.alias("body"))
+    return landing.citing_works(rows).select("cited", "title", "cited_by_count", "arxiv_id")
+
+
+@query(f"select 'own/' || k as repo, 'own' as owner, 'r' || k as name, (n * 2)::bigint as stars, k % 2 = 0 as archived, 'MIT' as license from {_d(_BODIES)} where k % 5 > 0")
+def landed_repositories(spark, d):
+    from .sources import landing
+
+    body = F.concat(F.lit('{"name":"r'), "k", F.lit('","owner":{"login":"own","type":"User"},"description":null,"stargazers_count":'), F.col("n") * 2, F.lit(',"archived":'), (F.col("k") % 2 == 0).cast("string"), F.lit(',"license":{"spdx_id":"MIT"}}'))
+    rows = t.derived(spark, d, _BODIES).select(F.concat(F.lit("own/"), "k").alias("repo"), F.when(F.col("k") % 5 > 0, 200).otherwise(404).alias("status"), body.alias("body"))
+    return landing.repo_records(rows).select("repo", "owner", "name", "stars", "archived", "license")
+
+
+@query(f"select '10.1/' || k as doi, name as title, 'Ada ' || word as first_author, (2000 + n)::bigint as year, 'so ' || word || ' it is' as abstract, '10.2/' || k as ref_doi from {_d(_BODIES)}")
+def landed_works(spark, d):
+    from .sources import landing
+
+    body = F.concat(F.lit('{"message":{"title":["'), "name", F.lit('"],"author":[{"given":"Ada","family":"'), "word", F.lit('"}],"issued":{"date-parts":[['), F.col("n") + 2000, F.lit(',5]]},"abstract":"<p>so <b>'), "word", F.lit('</b> it is</p>","reference":[{"key":"r1","DOI":"10.2/'), "k", F.lit('"}]}}'))
+    works = landing.work_records(t.derived(spark, d, _BODIES).select(F.concat(F.lit("10.1/"), "k").alias("doi"), body.alias("body")))
+    refs = landing.work_references(works).select("doi", "ref_doi")
+    return works.join(refs, "doi").select("doi", "title", F.col("authors")[0].alias("first_author"), "year", "abstract", "ref_doi")
