@@ -16,6 +16,7 @@ from .functions import text as T
 from .operators import codeindex, correlate, discover, evidence, extract, lineage
 from .operators.scan import events as scan_events
 from .plans import reads, reproduction
+from .sources.landing import shared_checkpoints
 from .streaming import state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +51,12 @@ def _events(spark, d):
     return scan_events(_papers(spark, d))
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """Written once to the shared folder, for plans that read it more than once."""
+    shared_checkpoints(df.sparkSession)
+    return df.checkpoint()
+
+
 # ── scalar functions ─────────────────────────────────────────────────────────
 
 _SLUG = "coalesce(nullif(substr(trim(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '-'), 1, {1}), ''), 'untitled')"
@@ -189,19 +196,19 @@ def section_components(spark, d):
 
 @query("""select 'P' || p_partkey || 'v1' as paper_version, v.symbol, 'P' || p_partkey || 'v1:sec:1' as section_id from part, (values ('tau'), ('dropout'), ('hidden size')) v(symbol)""")
 def locate_section(spark, d):
-    e = _events(spark, d)
+    e = _kept(_events(spark, d))
     return extract.located(extract.stated_values(e), extract.sections(e)).select("paper_version", "symbol", "section_id")
 
 
 @query("""select 'P' || p_partkey || 'v1' as paper_version, c.entity, (case when c.entity = 'sections' and p_partkey % 5 = 0 then 7 else c.n end)::bigint as n from part, (values ('sections', 5), ('equations', 5), ('numbered_equations', 3), ('stated_values', 3), ('declared_urls', 1), ('citation_sites', 3), ('components', 3), ('algorithms', 1), ('unextractable_algorithms', 0)) c(entity, n)""")
 def paper_counts(spark, d):
-    return extract.paper_counts(extract.ingest(_events(spark, d)))
+    return extract.paper_counts(extract.ingest(_kept(_events(spark, d))))
 
 
 @query("""select 'P' || p_partkey || 'v1' as paper_version, s.entity, s.n::bigint as n, case s.entity when 'equations' then '1; 2; ' || substr(sha256('c = d'), 1, 12) || '; 3; ' || substr(sha256('z < ' || p_partkey % 4), 1, 12) when 'algorithms' then 'step-brand-' || substr(p_brand, 7)
 when 'components' then 'loss; model-architecture; training' else 'tau=' || p_size || 'e-4; dropout=0.' || lpad(p_size::string, 2, '0') || '; hidden size=' || p_size * 8 end as labels from part, (values ('equations', 5), ('algorithms', 1), ('components', 3), ('stated_values', 3)) s(entity, n)""")
 def paper_skeleton(spark, d):
-    return reads.skeleton(extract.ingest(_events(spark, d))).where("entity != 'sections'")
+    return reads.skeleton(extract.ingest(_kept(_events(spark, d)))).where("entity != 'sections'")
 
 
 # ── evidence ─────────────────────────────────────────────────────────────────
@@ -340,7 +347,7 @@ union all select 'P' || p_partkey || 'v1', 'r' || p_partkey % 10, 'hidden size',
 
 
 def _mapped_values(spark, d):
-    e = _events(spark, d)
+    e = _kept(_events(spark, d))
     values = extract.located(extract.stated_values(e), extract.sections(e))
     return correlate.map_values(values, t.derived(spark, d, t.PAIRS), codeindex.literals(_lines(spark, d)), _symbols(spark, d))
 
@@ -355,8 +362,9 @@ def map_value_histogram(spark, d):
     return correlate.graded(_mapped_values(spark, d)).groupBy("status", "confidence").agg(F.count("*").alias("n"))
 
 
-def _mapped_components(spark, d):
-    return correlate.map_components(t.derived(spark, d, t.COMPONENTS), t.derived(spark, d, t.PAIRS), _symbols(spark, d), _lines(spark, d), _mapped_values(spark, d))
+def _mapped_components(spark, d, values: DataFrame | None = None):
+    values = values if values is not None else _mapped_values(spark, d)
+    return correlate.map_components(t.derived(spark, d, t.COMPONENTS), t.derived(spark, d, t.PAIRS), _symbols(spark, d), _lines(spark, d), values)
 
 
 _GENERIC = ", ".join(f"'{w}'" for w in T.GENERIC_WORDS)
@@ -379,14 +387,15 @@ def map_components(spark, d):
 
 @query("""select 'P' || p_partkey || 'v1' as paper_version, 'Step ' || p_brand as label, case when exists (select 1 from part s where s.p_partkey % 10 = p.p_partkey % 10 and (contains(case s.p_partkey % 4 when 0 then 'encode_' || replace(s.p_name, ' ', '_') when 1 then 'loss' || s.p_size else 'fn' end, 'step') or contains(case s.p_partkey % 4 when 0 then 'encode_' || s.p_name when 1 then 'loss' || s.p_size else 'fn' end, 'brand'))) then 'AMBIGUOUS' else 'ABSENT' end as status from part p""")
 def map_algorithms(spark, d):
-    e = _events(spark, d)
+    e = _kept(_events(spark, d))
     a = extract.located(extract.algorithms(e), extract.sections(e)).withColumn("id", F.concat("paper_version", F.lit(":algo:"), "slug"))
     return correlate.map_algorithms(a, t.derived(spark, d, t.PAIRS), _symbols(spark, d)).select("paper_version", "label", "status")
 
 
 @query(f"""with m as (select paper_version, status from ({_MAP_VALUES}) union all select paper_version, status from ({_MAP_COMPONENTS})) select paper_version, count(*) filter (status = 'MATCHED') as n_matched, count(*) filter (status = 'ABSENT') as n_absent, count(*) filter (status = 'AMBIGUOUS') as n_ambiguous, count(*) filter (status = 'UNKNOWN') as n_unknown from m group by 1""")
 def map_summary(spark, d):
-    both = _mapped_values(spark, d).unionByName(_mapped_components(spark, d))
+    values = _kept(_mapped_values(spark, d))
+    both = values.unionByName(_mapped_components(spark, d, values))
     return correlate.histogram(both, ["paper_version"])
 
 
@@ -582,8 +591,8 @@ def latest_snapshot(spark, d):
     return reads.latest(t.derived(spark, d, _SNAPS), "repo_id", "indexed_at").select("repo_id", "commit_sha")
 
 
-def _verdicts(spark, d):
-    return correlate.graded(_mapped_components(spark, d))
+def _verdicts(spark, d, values: DataFrame | None = None):
+    return correlate.graded(_mapped_components(spark, d, values))
 
 
 @query(f"""with m as ({_MAP_COMPONENTS}), c as (select * from {_d(t.COMPONENTS)}) select c.paper_version, c.slug, c.kind, coalesce(m.status, 'UNMAPPED') as status from c left join m on m.paper_version = c.paper_version and c.source <> 'DETERMINISTIC'""")
@@ -642,10 +651,10 @@ select paper_version, part, n, n_matched, case when n = 0 then 'UNKNOWN' when n
 
 
 def _plan(spark, d):
-    e = _events(spark, d)
     pairs = t.derived(spark, d, t.PAIRS)
-    c = reproduction.component_parts(t.derived(spark, d, t.COMPONENTS), _verdicts(spark, d), pairs)
-    v = reproduction.value_part(extract.stated_values(e), correlate.graded(_mapped_values(spark, d)), pairs)
+    values = _kept(_mapped_values(spark, d))
+    c = reproduction.component_parts(t.derived(spark, d, t.COMPONENTS), _verdicts(spark, d, values), pairs)
+    v = reproduction.value_part(extract.stated_values(_events(spark, d)), correlate.graded(values), pairs)
     return c.unionByName(v)
 
 
@@ -661,7 +670,8 @@ def plan_readiness(spark, d):
 
 @query(f"""select paper_version, 'value' as "check", label || ' = ' || case label when 'tau' then p_size || 'e-4' else '0.' || lpad(p_size::string, 2, '0') end as subject, site as "where" from ({_MAP_VALUES}) m join part on m.paper_version = 'P' || p_partkey || 'v1' where status = 'MATCHED' union all select paper_version, 'component', label, null from ({_MAP_COMPONENTS}) where status = 'ABSENT'""")
 def plan_verification(spark, d):
-    both = _mapped_values(spark, d).unionByName(_mapped_components(spark, d))
+    values = _kept(_mapped_values(spark, d))
+    both = values.unionByName(_mapped_components(spark, d, values))
     return reproduction.verification(both).drop("repo")
 
 
