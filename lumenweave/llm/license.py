@@ -1,7 +1,8 @@
 """License scans: TF-IDF cosine of headers and license files to templates, then inheritance from the nearest directory.
 
-Only DataFrame functions run: a header's terms meet the templates' weights by map lookups, and files without a license
-of their own take that of the nearest directory above them, found by joins on directory paths.
+Only DataFrame functions run. Texts are read once for their license lines; each distinct header's terms are weighed
+against the templates' once, and files without a license of their own take that of the nearest directory above them,
+found by joins on directory paths.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table, text_column
+from .shared import prepare, table, text_column
 
 #: Fixed notices that headers are compared with.
 TEMPLATES = {
@@ -60,24 +61,28 @@ def _map(values: dict) -> Column:
     return F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
 
 
-def scored(files: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """files (text, ...) with header (its license lines), own_license, own_score and header_share added."""
-    idf, other, vectors = weights(templates)
+def headers(files: DataFrame) -> DataFrame:
+    """files (text, ...) without texts, with header (the license lines) and header_share: one pass, written once."""
+    prepare(files.sparkSession)
     text = text_column(files)
-    low = F.lower(text)
-    some = F.contains(low, F.lit("licen")) | F.contains(low, F.lit("copyright")) | F.contains(low, F.lit("rights reserved")) | F.contains(low, F.lit("spdx"))
-    lines = F.when(some, F.filter(F.split(text, "\n"), lambda x: x.rlike(HEADER))).otherwise(F.array().cast("array<string>"))
-    out = files.withColumn("header", F.array_join(lines, "\n"))
-    out = out.withColumn("own_terms", F.when(F.col("header") == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(F.lower("header"), F.lit(_TERM), F.lit(0))))
-    frequency = F.transform(F.array_distinct("own_terms"), lambda t: F.struct(t.alias("t"), (F.size(F.filter(F.col("own_terms"), lambda x: x == t)) * F.coalesce(F.try_element_at(_map(idf), t), F.lit(other))).alias("w")))
-    out = out.withColumn("vector", frequency)
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-    dot = lambda v: F.aggregate("vector", F.lit(0.0), lambda a, x: a + x["w"] * F.coalesce(F.try_element_at(_map(v), x["t"]), F.lit(0.0)))
-    each = [F.struct((dot(v) / norm).alias("score"), F.lit(-i).alias("rank"), F.lit(name).alias("name")) for i, (name, v) in enumerate(vectors.items())]
-    out = out.withColumn("best", F.when(F.size("vector") > 0, F.array_max(F.array(*each))))
-    good = F.col("best.score") >= LEAST
-    share = F.length("header") / F.greatest(F.length(text), F.lit(1))
-    return out.withColumns({"own_license": F.when(good, F.col("best.name")), "own_score": F.round("best.score", 6), "header_share": share}).drop("own_terms", "vector", "best")
+    some = F.lower(text).rlike("licen|copyright|rights reserved|spdx")
+    header = F.when(some, F.array_join(F.filter(F.split(text, "\n"), lambda x: x.rlike(HEADER)), "\n")).otherwise("")
+    kept = [c for c in files.columns if c not in ("text", "header", "n_text")]
+    cut = files.select(*kept, header.alias("header"), F.length(text).alias("n_text")).checkpoint()
+    return cut.withColumn("header_share", F.length("header") / F.greatest("n_text", F.lit(1))).drop("n_text")
+
+
+def scored(heads: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+    """Distinct headers (header) with own_license and own_score: the template of the largest cosine, the first of equal ones."""
+    idf, other, vectors = weights(templates)
+    own = F.regexp_extract_all(F.lower("header"), F.lit(_TERM), F.lit(0))
+    terms_ = heads.select("header", F.explode(own).alias("t")).groupBy("header", "t").agg(F.count("*").alias("n"))
+    weighted = terms_.withColumn("w", F.col("n") * F.coalesce(F.try_element_at(_map(idf), "t"), F.lit(other)))
+    dot = lambda v: F.sum(F.col("w") * F.coalesce(F.try_element_at(_map(v), "t"), F.lit(0.0)))
+    sums = weighted.groupBy("header").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *(dot(v).alias(f"d{i}") for i, v in enumerate(vectors.values())))
+    each = [F.struct((F.col(f"d{i}") / F.col("norm")).alias("score"), F.lit(-i).alias("rank"), F.lit(name).alias("name")) for i, name in enumerate(vectors)]
+    best = sums.select("header", F.array_max(F.array(*each)).alias("best"))
+    return best.select("header", F.when(F.col("best.score") >= LEAST, F.col("best.name")).alias("own_license"), F.round("best.score", 6).alias("own_score"))
 
 
 def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
@@ -88,7 +93,10 @@ def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     Null and empty texts have no header; a null path inherits nothing; repeated rows stay; other columns are kept unless
     they clash with the new ones, which win.
     """
-    rows = scored(files, templates).withColumn("own_dir", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
+    cut = headers(files).withColumn("own_dir", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
+    headed, bare = cut.where("header != ''"), cut.where("header = ''")
+    found = headed.join(scored(headed.select("header").distinct(), templates), "header", "left").select(*cut.columns, "own_license", "own_score")
+    rows = found.unionByName(bare.withColumns({"own_license": F.lit(None).cast("string"), "own_score": F.lit(None).cast("double")}))
     is_file = F.col("own_license").isNotNull() & F.col("path").isNotNull() & (F.col("path").rlike(FILE_NAME) | (F.col("header_share") >= FILE_SHARE))
     dirs = rows.where(is_file).groupBy(F.col("own_dir").alias("above")).agg(F.min_by(F.struct("own_license", "own_score"), F.struct(-F.col("own_score"), F.col("path"))).alias("x"))
     names = F.split("own_dir", "/")
