@@ -156,7 +156,13 @@ def _flags(rows: DataFrame, column: str, keys: list[str], part: int) -> DataFram
 
 def behaviour_differences(papers: DataFrame, pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """Behaviours that a paper (paper_version, tex) tells of and whose vocabulary its repository lacks."""
-    quotes = [F.when(F.col("tex").rlike("(?i)" + b[1]), F.struct(F.lit(i).alias("behaviour"), F.trim(F.regexp_replace(F.regexp_extract("tex", "(?is).{0,95}?(?:" + b[1] + ").{0,95}", 0), r"\s+", " ")).alias("quote"))) for i, b in enumerate(BEHAVIOURS)]
+    def quote(pattern: str):
+        """The first place of a pattern with 95 characters on either side."""
+        at, tex = F.regexp_instr("tex", F.lit(pattern)), F.col("tex")
+        start = F.greatest(at - 95, F.lit(1))
+        return F.trim(F.regexp_replace(F.substring(tex, start, at - start + F.length(F.regexp_extract("tex", pattern, 0)) + 95), r"\s+", " "))
+
+    quotes = [F.when(F.col("tex").rlike("(?i)" + b[1]), F.struct(F.lit(i).alias("behaviour"), quote("(?i)" + b[1]).alias("quote"))) for i, b in enumerate(BEHAVIOURS)]
     told = papers.select("paper_version", F.explode(F.array_compact(F.array(*quotes))).alias("x")).select("paper_version", "x.*").join(pairs, "paper_version")
     code = _flags(lines, "text", ["repo"], 2)
     shown = code.select("repo", F.explode(F.array(*(F.struct(F.lit(i).alias("behaviour"), F.col(f"b{i}").alias("there")) for i in range(len(BEHAVIOURS))))).alias("x")).select("repo", "x.*").where("there")

@@ -405,7 +405,7 @@ where (b.subject = 'learning-rate warmup' and p_partkey % 2 = 0) or (b.subject =
 
 @query(_BEHAVIOUR)
 def behaviour_differences(spark, d):
-    rows = correlate.behaviour_differences(_papers(spark, d), t.derived(spark, d, t.PAIRS), _lines(spark, d))
+    rows = correlate.behaviour_differences(_kept(_papers(spark, d)), t.derived(spark, d, t.PAIRS), _lines(spark, d))
     return rows.where("subject != 'dropout'").select("paper_version", "repo", "kind", "subject", "severity")
 
 
