@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 
 U = np.uint64
 _BASE, _UNBASE = U(0x9E3779B97F4A7C15), U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

@@ -197,20 +197,26 @@ def _searched(ids: list[str], texts: list[bytes], window: int, batches):
         yield pa.RecordBatch.from_arrays([columns.get(n, b.column(n)) for n in b.schema.names], names=b.schema.names)
 
 
-def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+def _chained(first, second, batches):
+    """Two steps in one Python worker."""
+    yield from second(first(batches))
+
+
+def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, then=None, schema=None) -> DataFrame:
     """docs (all columns but spans and items, if they have such) with spans and items.
 
     spans: word offsets start, end, start, end, ... of hit runs (from several automata they may overlap); items: the
     ids of items with a window in the text, sorted as strings (null ids: empty string). Null and empty texts have none, and so has every text
-    if there are no items. Rows stay one to one.
+    if there are no items. Rows stay one to one. then turns the batches of the last pass into ones of schema.
     """
     prepare(docs.sparkSession)
     out = docs.withColumns({"text": F.col("text").cast("string"), "spans": F.lit(None).cast("array<int>"), "items": F.lit(None).cast("array<string>")})
-    schema = out.schema
+    own = out.schema
     out = out.withColumn("text", text_column(out))
-    for ids, texts in _item_blocks(items):
-        out = out.mapInArrow(partial(_searched, ids, texts, window), schema)
-    return out
+    passes = [partial(_searched, ids, texts, window) for ids, texts in _item_blocks(items) or [([], [])]]
+    for p in passes[:-1]:
+        out = out.mapInArrow(p, own)
+    return out.mapInArrow(partial(_chained, passes[-1], then), schema or own) if then else out.mapInArrow(passes[-1], own)
 
 
 def _merged(spans: list[int] | None) -> list[tuple[int, int]]:
@@ -268,12 +274,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, cover
     names = docs.columns
     own = {n: f"own_{n}" for n in ("spans", "items") if n in names}
     docs = docs.withColumnsRenamed(own)
-    found = matches(docs.where("text is not null"), items, window)
-    clean = found.mapInArrow(partial(_cleaned, coverage), found.schema).drop("spans", "items")
+    clean = matches(docs.where("text is not null"), items, window, partial(_cleaned, coverage)).drop("spans", "items")
     return clean.unionByName(docs.where("text is null")).withColumnsRenamed({v: k for k, v in own.items()}).select(*names)
 
 
 def op5_decontaminate(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    got = matches(docs, table(spark, sf_dir, "benchmark"))
-    return got.mapInArrow(_digest_batches, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return matches(docs, table(spark, sf_dir, "benchmark"), then=_digest_batches, schema="doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")

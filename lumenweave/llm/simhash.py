@@ -24,6 +24,8 @@ from .shared import prepare, text_column, width, written
 
 #: Fingerprints in a run of equal keys beyond which its keys are cut again, at least; it alters cost, not links.
 HOT = 2048
+#: Rows of equal keys up to which all pairs are compared at once, and rows that a task holds; longer runs are searched from member to member.
+SMALL_RUN, HELD = 12, 100_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _digest = partial(xxhash.xxh64_intdigest, seed=42)
 _CUT = 1 << 16
@@ -173,11 +175,11 @@ def run_links(key: np.ndarray, rep: np.ndarray, prints: list[np.ndarray], cut: C
     edges = runs_of(key)
     size = np.diff(edges)
     a, b = [], []
-    small = np.repeat(size, size) <= 64
+    small = np.repeat(size, size) <= SMALL_RUN
     n = 1
     at = np.arange(len(key))
     ends = np.repeat(edges[1:], size)
-    while n < min(65, size.max(initial=0)):
+    while n < min(SMALL_RUN + 1, size.max(initial=0)):
         i = at[small & (at + n < ends)]
         if n > 1 and not len(i):
             break
@@ -185,7 +187,7 @@ def run_links(key: np.ndarray, rep: np.ndarray, prints: list[np.ndarray], cut: C
         a.append(i[near])
         b.append(i[near] + n)
         n += 1
-    for j in np.flatnonzero(size > 64):
+    for j in np.flatnonzero(size > SMALL_RUN):
         x, y = _reach([f[edges[j] : edges[j + 1]] for f in prints], cut)
         a.append(x + edges[j])
         b.append(y + edges[j])
@@ -209,7 +211,7 @@ def _link_batches(cut: Cut, batches):
     for b in batches:
         held.append([b.column(i).to_numpy() for i in range(b.num_columns)])
         n += b.num_rows
-        if n < 200_000:
+        if n < HELD:
             continue
         columns = [np.concatenate(x) for x in zip(*held)]
         end = int(np.searchsorted(columns[0], columns[0][-1]))
