@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import likeness
 from .blocks import SPACES, Words, blocks, combine, mix, runs_of
 from .components import components, local_roots
 from .shared import prepare, text_column, width, written
@@ -248,20 +249,26 @@ def groups(prints: DataFrame, cut: Cut) -> DataFrame:
     return prints.join(classes, names)
 
 
-#: The cut of kind words for texts whose five-word shingles are alike by about 0.8 or more.
+#: The cut of kind words by which near_copies estimates that five-word shingles are alike by about 0.8 or more.
 LIKE_TEXTS = Cut(5, 24, 13, 13)
 
 
-def one_of_each(docs: DataFrame, cut: Cut = LIKE_TEXTS, k: int = 5) -> DataFrame:
+def one_of_each(docs: DataFrame, like: float = likeness.LIKE, k: int = 5) -> DataFrame:
     """docs with one row of each group of near copies: that of its smallest doc_id; all columns as they were.
 
-    Groups are those of `near_copies` by words. Of repeated rows one stays, and of rows without a doc_id those that no
-    row with one is a copy of, one of each text.
+    Groups are joined by pairs whose sets of k-word shingles have a Jaccard similarity of like or more, each of them
+    compared exactly. Of repeated rows one stays, and of rows without a doc_id those that no row with one has the
+    shingles of, one of each text.
     """
     prepare(docs.sparkSession)
-    marked = docs.select("doc_id", text_column(docs).alias("text"), F.xxhash64(text_column(docs)).alias("own_hash"))
-    prints = written(marked.mapInArrow(partial(_fingerprint_batches, "words", k), "doc_id long, own_hash long, f0 long, f1 long, f2 long"), "prints")
-    kept = groups(prints, cut).where("doc_id = component_id or (doc_id is null and component_id is null)")
+    found, uri = likeness.sets_of(docs, k)
+    sets = written(found, "sets")
+    first = F.min_by(F.struct("file", "start", "size", "bands"), F.struct("doc_id", "file", "start"))
+    classes = written(sets.groupBy("s0", "s1").agg(F.min("doc_id").alias("rep"), first.alias("x")).select("s0", "s1", "rep", "x.*"), "classes")
+    roots = components(likeness.links(classes.where("rep is not null"), uri, like))
+    likeness.drop(uri)
+    named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("s0", "s1", F.coalesce("root", "rep").alias("component_id"))
+    kept = sets.select("doc_id", "own_hash", "s0", "s1").join(named, ["s0", "s1"]).where("doc_id = component_id or (doc_id is null and component_id is null)")
     kept = kept.select(F.col("doc_id").alias("own_id"), "own_hash").distinct()
     rows = docs.withColumn("own_hash", F.xxhash64(text_column(docs)))
     same = rows["doc_id"].eqNullSafe(kept["own_id"]) & (rows["own_hash"] == kept["own_hash"])
