@@ -33,6 +33,21 @@ TEMPLATES = {
 LEAST = 0.35
 #: A line that belongs to a license header, and terms of it.
 HEADER = r"(?i)licen[cs]ed? |licen[cs]e\b|copyright|all rights reserved|spdx-"
+#: SPDX identifiers, and licenses' own words: where their notice or full text begins, and where that ends if it is there.
+SPDX = r"(?i)spdx-license-identifier:\s*\(?([a-z0-9.-]+?)(?:-only|-or-later|\+)?(?:[^a-z0-9.+-]|$)"
+_GNU = r"gnu {0}general public license (?:version {1}, (?:29 june 2007|june 1991)|as published by the free software foundation[,;] (?:either )?version {1}\b)"
+PASSAGES = {
+    "MIT": ("permission is hereby granted, free of charge, to any person obtaining a copy", "use or other dealings in the software"),
+    "BSD-3-Clause": (r"redistribution and use in source and binary forms, with or without modification, are permitted (?:under the bsd 3-clause|.*?neither the name)", "possibility of such damage"),
+    "Apache-2.0": (r"apache license,? version 2\.0,? january 2004|licensed under the apache license, version 2\.0 \(the license\)", "end of terms and conditions|limitations under the license"),
+    "MPL-2.0": (r"mozilla public license,? version 2\.0 =|subject to the terms of the mozilla public license, v\. 2\.0", r"defined by the mozilla public license, v\. 2\.0|mozilla\.org/mpl/2\.0"),
+    "LGPL-3.0": (_GNU.format("lesser ", 3), "permanent authorization for you to choose that version"),
+    "GPL-3.0": (_GNU.format("", 3), r"why-not-lgpl\.html"),
+    "GPL-2.0": (_GNU.format("", 2), "possibility of such damages"),
+    "CC0-1.0": (r"cc0 1\.0 universal", "with respect to this cc0 or use of the work"),
+    "CC-BY-NC-4.0": (r"creative commons attribution-noncommercial 4\.0 international", r"creativecommons\.org\."),
+    "CC-BY-4.0": (r"creative commons attribution 4\.0 international (?:public license|license \()", r"creativecommons\.org\."),
+}
 _TERM = r"[a-z0-9]+(?:[.-][0-9a-z]+)*"
 #: Names of license files, and the share of a text that header lines make up if it is one by content.
 FILE_NAME, FILE_SHARE = r"(?i)(^|/)(licen[cs]e|copying)[^/]*$", 0.4
@@ -61,15 +76,29 @@ def _map(values: dict) -> Column:
     return F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
 
 
+def stated(text: Column) -> Column:
+    """(name, share) of the license that a text names by an SPDX identifier or by its own words, and what share these make up; else null."""
+    flat = F.regexp_replace(F.lower(text), r"[\s*#/;\"“”]+", " ")
+    by_id = F.try_element_at(_map({n.lower(): n for n in TEMPLATES}), F.lower(F.regexp_extract(text, SPDX, 1)))
+    line = F.length(F.regexp_extract(text, SPDX, 0)) / F.greatest(F.length(text), F.lit(1))
+    found = F.when(by_id.isNotNull(), F.struct(by_id.alias("name"), line.alias("share")))
+    for name, (start, end) in PASSAGES.items():
+        own = F.regexp_extract(flat, f"(?:{start})(?:.*(?:{end}))?", 0)
+        found = found.when(own != "", F.struct(F.lit(name).alias("name"), (F.length(own) / F.length(flat)).alias("share")))
+    return found
+
+
 def headers(files: DataFrame) -> DataFrame:
-    """files (text, ...) without texts, with header (the license lines) and header_share: one pass, written once."""
+    """files (text, ...) without texts, with header (the license lines), header_share and stated_license: one pass, written once."""
     prepare(files.sparkSession)
     text = text_column(files)
     some = F.lower(text).rlike("licen|copyright|rights reserved|spdx")
     header = F.when(some, F.array_join(F.filter(F.split(text, "\n"), lambda x: x.rlike(HEADER)), "\n")).otherwise("")
-    kept = [c for c in files.columns if c not in ("text", "header", "n_text")]
-    cut = files.select(*kept, header.alias("header"), F.length(text).alias("n_text")).checkpoint()
-    return cut.withColumn("header_share", F.length("header") / F.greatest("n_text", F.lit(1))).drop("n_text")
+    kept = [c for c in files.columns if c not in ("text", "header", "n_text", "stated_license")]
+    own = F.when(F.lower(text).rlike("spdx-|cc0 |public licen|permission is hereby|redistribution and use|apache licen|creative commons"), stated(text))
+    cut = files.select(*kept, header.alias("header"), F.length(text).alias("n_text"), own.alias("stated_license")).checkpoint()
+    share = F.greatest(F.length("header") / F.greatest("n_text", F.lit(1)), "stated_license.share")
+    return cut.select(*kept, "header", share.alias("header_share"), F.col("stated_license.name").alias("stated_license"))
 
 
 def scored(heads: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
@@ -88,6 +117,7 @@ def scored(heads: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame
 def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """files (path, text) to all rows as (path, license, score, origin, inherited_from).
 
+    A license that the text names by its SPDX identifier or in its own words has score 1, before any cosine.
     origin: header (its own), directory (of the nearest directory above or beside it with a license file, named in
     inherited_from) or none. A directory with several license files has the license of the best score, then least path.
     Null and empty texts have no header; a null path inherits nothing; repeated rows stay; other columns are kept unless
@@ -97,6 +127,8 @@ def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     headed, bare = cut.where("header != ''"), cut.where("header = ''")
     found = headed.join(scored(headed.select("header").distinct(), templates), "header", "left").select(*cut.columns, "own_license", "own_score")
     rows = found.unionByName(bare.withColumns({"own_license": F.lit(None).cast("string"), "own_score": F.lit(None).cast("double")}))
+    said = F.col("stated_license").isNotNull()
+    rows = rows.withColumns({"own_license": F.coalesce("stated_license", "own_license"), "own_score": F.when(said, F.lit(1.0)).otherwise(F.col("own_score"))})
     is_file = F.col("own_license").isNotNull() & F.col("path").isNotNull() & (F.col("path").rlike(FILE_NAME) | (F.col("header_share") >= FILE_SHARE))
     dirs = rows.where(is_file).groupBy(F.col("own_dir").alias("above")).agg(F.min_by(F.struct("own_license", "own_score"), F.struct(-F.col("own_score"), F.col("path"))).alias("x"))
     names = F.split("own_dir", "/")
