@@ -14,7 +14,6 @@ BLOCK = 1 << 20
 U = np.uint64
 _BASE, _UNBASE = U(0x9E3779B97F4A7C15), U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MIX1, _MIX2, _STEP = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0xD6E8FEB86659FD93)
-_BYTES = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 _powers: dict[str, np.ndarray] = {}
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -31,6 +30,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+#: An odd number for each byte, by the fixed formula above, so stored hashes stay comparable.
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _BASE) | U(1)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse modulo 2**64."""
     if not _powers or len(_powers["up"]) < n:

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch that carries whole texts; keeps a worker's batch to some tens of MB.
-TEXT_BATCH = 1000
+#: Bytes and rows of an Arrow batch that carries whole texts, so that a worker's batch has a bound.
+BATCH_BYTES, TEXT_BATCH = 16 << 20, 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,8 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def prepare(spark: SparkSession) -> str:
     """Small Arrow batches for whole texts, and the shared folder as a URI.
 
-    The folder is the one in spark.checkpoint.dir; a temporary one is set only where that is unset (tests).
+    The folder is the one in spark.checkpoint.dir; a temporary one is set only where that is unset and one machine does
+    all the work (tests). Elsewhere executors would not see each other's files, so that is an error.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
     uri = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
@@ -29,6 +32,8 @@ def prepare(spark: SparkSession) -> str:
         got = context._jsc.sc().getCheckpointDir()
         if got.isDefined():
             return got.get()
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         uri = "file://" + tempfile.mkdtemp(prefix="shared-")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(uri)
@@ -86,7 +91,9 @@ def mapped(uri: str, dtype):
     if not isinstance(store, fs.LocalFileSystem):
         local = os.path.join(tempfile.gettempdir(), uuid.uuid5(uuid.NAMESPACE_URL, uri).hex)
         if not os.path.exists(local):
-            fs.copy_files(path, local, source_filesystem=store, destination_filesystem=fs.LocalFileSystem())
+            part = f"{local}.{uuid.uuid4().hex}"
+            fs.copy_files(path, part, source_filesystem=store, destination_filesystem=fs.LocalFileSystem())
+            os.replace(part, local)
         path = local
     if not os.path.getsize(path):
         return np.empty(0, dtype)
