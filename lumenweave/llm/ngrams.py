@@ -33,6 +33,8 @@ CHUNK, SCORED = 3_000_000, 4 << 20
 PEEK = 0.01
 #: Words with a short code, at most; the last code is for all others.
 CODES = (1 << 16) - 1
+#: A word has a short code if more than one of so many words of the sample is it.
+LEAST_SHARE = 1 << 20
 #: Entries of a sorted array for each slot of its index, about.
 SLOT = 16
 
@@ -62,8 +64,9 @@ class Deal:
     Longer runs with a hot second word are dealt by the first and the third.
     """
 
-    def __init__(self, shards: int, hot: list[int], pairs: list[int], codes: list[int]):
-        self.shards, self.hot, self.pairs, self.codes = shards, *(np.sort(np.array(x, np.int64).view(U)) for x in (hot, pairs, codes))
+    def __init__(self, shards: int, wide: int, hot: list[int], pairs: list[int], codes: list[int]):
+        self.shards, self.wide = shards, wide  # of runs, and of words
+        self.hot, self.pairs, self.codes = (np.sort(np.array(x, np.int64).view(U)) for x in (hot, pairs, codes))
 
     def is_hot(self, words: np.ndarray) -> np.ndarray:
         return np.isin(words, self.hot)
@@ -140,14 +143,14 @@ def _held_out(ids) -> np.ndarray:
     return np.array([zlib.crc32(str("" if i is None else i).encode()) % 7 == 2 for i in ids], bool)
 
 
-_DEALT = "shard int, kind int, payload binary, totals string"
-_DEALT_NAMES = [x.split()[0] for x in _DEALT.split(", ")]
+DEALT = "shard int, kind int, payload binary, totals string"
+DEALT_NAMES = [x.split()[0] for x in DEALT.split(", ")]
 #: Kinds of dealt rows: 3 and more for runs of so many words; and three that go to the shards of words.
 CONTEXTS, WORDS, PAIRS = 0, 1, 2
 
 
 def _batch(rows: list[tuple]):
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.string()))], names=_DEALT_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.string()))], names=DEALT_NAMES)
 
 
 def _slices(kind: int, shard: np.ndarray, columns: list[np.ndarray], sums: list[np.ndarray], codes: np.ndarray) -> list[tuple]:
@@ -166,6 +169,7 @@ def _counted(words: np.ndarray, places: np.ndarray, order: int) -> tuple[list[np
             _, code = np.unique(code, return_inverse=True)
             code, size = code.astype(U), int(code.max()) + 1
         code, size = code * U(room) + ids[places - order + 1 + i].astype(U), size * room
+    del ids
     by = np.argsort(code)
     edges = runs_of(code[by])
     first = places[by[edges[:-1]]]
@@ -178,7 +182,9 @@ def _count_batches(deal: Deal, order: int, batches):
 
     def out():
         skips = np.cumsum([0, *(len(w) for w, _ in parts)])
-        columns, times = _counted(np.concatenate([w for w, _ in parts]), np.concatenate([p + s for (_, p), s in zip(parts, skips)]), order)
+        words, places = np.concatenate([w for w, _ in parts]), np.concatenate([p + s for (_, p), s in zip(parts, skips)])
+        parts.clear()
+        columns, times = _counted(words, places, order)
         return _batch(_slices(order, deal(columns), columns, [times], deal.codes))
 
     for b in batches:
@@ -190,7 +196,7 @@ def _count_batches(deal: Deal, order: int, batches):
             n += len(places)
             if n >= CHUNK:
                 yield out()
-                parts, n = [], 0
+                n = 0
     if n:
         yield out()
 
@@ -297,8 +303,16 @@ def _shards(batches):
         yield own, held
 
 
+def _merged_rows(parts: list[list[np.ndarray]], words: int) -> list[np.ndarray]:
+    """Rows of columns of words and of numbers, with equal words as one."""
+    columns = [np.concatenate(x) for x in zip(*parts)]
+    _, first, sums = _merged(combine(columns[:words]) if words > 1 else columns[0], columns[words:])
+    return [c[first] for c in columns[:words]] + sums
+
+
 def _store_runs(uri: str, deal: Deal, k: int, order: int, batches):
     """Stores each shard's runs of k words with their contexts; passes on the runs of k - 1, or, from three on, the words."""
+    last: dict[int, list] = {CONTEXTS: [], WORDS: [], PAIRS: []}  # what goes to the shards of words, once for a task
     for shard, rows in _shards(batches):
         passed = [x for x in rows if x[1] != k]
         payloads = [x[2] for x in rows if x[1] == k]
@@ -315,31 +329,43 @@ def _store_runs(uri: str, deal: Deal, k: int, order: int, batches):
         edges = runs_of(context[by])
         own, kinds, away = context[by[edges[:-1]]], _kinds(by, edges, times), away[by[edges[:-1]]]
         sections += [*_sorted(own[~away]), *_contexts(kinds[~away])]
-        out = _slices(CONTEXTS, shard_of(own[away], deal.shards), [own[away]], list(kinds[away].T), deal.codes) if away.any() else []
+        if away.any():
+            last[CONTEXTS].append([own[away], *kinds[away].T])
         totals = {"k": k, "shard": shard, "of": _of_count(times)}
-        word, at, (raw,) = _merged(columns[-1], [times if k == order else np.zeros_like(times)])
-        suffix, first, (n,) = _merged(combine(columns[1:]), [np.ones_like(times)])
+        if k == order:
+            word, _, (raw,) = _merged(columns[-1], [times])
+            last[WORDS].append([word, raw, np.zeros_like(raw)])
+        _, first, (n,) = _merged(combine(columns[1:]), [np.ones_like(times)])
         rest = [c[first] for c in columns[1:]]
+        del columns
         if k > 3:
             by = np.lexsort((rest[0], *rest[:1:-1], rest[1]))
             rest, n = [c[by] for c in rest], n[by]
-            out += _slices(k - 1, deal(rest), rest, [n], deal.codes)
-            if raw.any():
-                out += _slices(WORDS, shard_of(word, deal.shards), [word], [raw, np.zeros_like(raw)], deal.codes)
+            passed += _slices(k - 1, deal(rest), rest, [n], deal.codes)
         else:
             hot = deal.is_hot(rest[0])
-            out += _slices(PAIRS, shard_of(rest[1][hot], deal.shards), [c[hot] for c in rest], [n[hot]], deal.codes) if hot.any() else []
-            before, after, suffix, n = rest[0][~hot], rest[1][~hot], suffix[~hot], n[~hot]
-            sections += [*_sorted(suffix), *_numbers(n)]
+            if hot.any():
+                last[PAIRS].append([*(c[hot] for c in rest), n[hot]])
+            before, after, n = rest[0][~hot], rest[1][~hot], n[~hot]
+            suffix = combine([before, after])
+            by = np.argsort(suffix)
+            sections += [*_sorted(suffix[by]), *_numbers(n[by])]
             by = np.argsort(before)
             edges = runs_of(before[by])
             sections += [*_sorted(before[by[edges[:-1]]], True), *_contexts(_kinds(by, edges, n))]
             totals["of_pairs"] = _of_count(n)
-            follows, _, (distinct,) = _merged(after, [np.ones_like(n)])
-            both, _, sums = _merged(np.concatenate((word, follows)), [np.concatenate((raw, 0 * distinct)), np.concatenate((0 * raw, distinct))])
-            out += _slices(WORDS, shard_of(both, deal.shards), [both], sums, deal.codes)
+            word, _, (distinct,) = _merged(after, [np.ones_like(n)])
+            last[WORDS].append([word, np.zeros_like(distinct), distinct])
         _put(f"{uri}/runs{k}-{shard}", sections)
-        yield _batch([*passed, *out, (shard, -1, None, json.dumps(totals))])
+        yield _batch([*passed, (shard, -1, None, json.dumps(totals))])
+    for kind, parts in last.items():
+        if parts:
+            words = 2 if kind == PAIRS else 1
+            columns = _merged_rows(parts, words)
+            if words == 2:
+                by = np.lexsort(columns[1::-1])
+                columns = [c[by] for c in columns]
+            yield _batch(_slices(kind, shard_of(columns[words - 1], deal.wide), columns[:words], columns[words:], deal.codes))
 
 
 _FOUND = "what string, key long, n1 long, n2 long, n3 long, total long, totals string"
@@ -382,7 +408,7 @@ def discounts(of_count: list[int]) -> list[float]:
     return [min(max(d, 0.0), float(k)) for k, d in enumerate(each, 1)]
 
 
-def _peeked(rows: DataFrame, shards: int) -> Deal:
+def _peeked(rows: DataFrame, shards: int, wide: int) -> Deal:
     """The deal that a sample of documents suggests: words and pairs that would fill a shard by themselves, and frequent words."""
 
     def counted(batches):
@@ -398,10 +424,12 @@ def _peeked(rows: DataFrame, shards: int) -> Deal:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "n", "kind"])
 
     sums = rows.sample(PEEK, 1).select("text").mapInArrow(counted, "h long, n long, kind long").groupBy("h", "kind").agg(F.sum("n").alias("n"))
-    top = sums.orderBy(F.desc("kind"), F.desc("n"), "h").limit(CODES + 8 * shards).collect()
-    total = sum(r.n for r in top if r.kind == 2)
-    crowds = lambda kind: [r.h for r in top if r.kind == kind and r.n > total / shards]
-    return Deal(shards, crowds(0), crowds(1), [r.h for r in top if r.kind == 0][:CODES])
+    sums = written(sums, "ngram-peek")
+    total = sums.where("kind = 2").agg(F.sum("n")).first()[0] or 0
+    much = sums.where(F.col("n") > F.lit(total / shards)).where("kind < 2").collect()  # fewer than shards of each kind
+    often = sums.where("kind = 0 and n > 1").where(F.col("n") * LEAST_SHARE > total).select("h", "n").collect()  # fewer than LEAST_SHARE
+    codes = [r.h for r in sorted(often, key=lambda r: (-r.n, r.h))[:CODES]]
+    return Deal(shards, wide, [r.h for r in much if r.kind == 0], [r.h for r in much if r.kind == 1], codes)
 
 
 def train(docs: DataFrame, order: int = ORDER) -> dict:
@@ -412,15 +440,18 @@ def train(docs: DataFrame, order: int = ORDER) -> dict:
     """
     if order < 3:
         raise ValueError("runs have three words or more")
-    spark = docs.sparkSession
-    prepare(spark)
-    n = width(spark)
-    shards, uri = 2 * n, fresh(spark, "ngrams")
+    prepare(docs.sparkSession)
+    wide = width(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), text_column(docs).alias("text"))
-    deal = _peeked(docs, shards)
-    rows = docs.mapInArrow(partial(_count_batches, deal, order), _DEALT)
+    deal = _peeked(docs, 2 * wide, wide)
+    return stored(docs.mapInArrow(partial(_count_batches, deal, order), DEALT), deal, order)
+
+
+def stored(rows: DataFrame, deal: Deal, order: int) -> dict:
+    """Sums dealt counts of runs, stores the model's files in the shared folder, and gives what describes it."""
+    spark, uri, n = rows.sparkSession, fresh(rows.sparkSession, "ngrams"), deal.wide
     for k in range(order, 2, -1):
-        rows = rows.repartitionById(n, "shard").sortWithinPartitions("shard").mapInArrow(partial(_store_runs, uri, deal, k, order), _DEALT)
+        rows = rows.repartitionById(n, "shard").sortWithinPartitions("shard").mapInArrow(partial(_store_runs, uri, deal, k, order), DEALT)
     found = written(rows.repartitionById(n, "shard").sortWithinPartitions("shard").mapInArrow(partial(_store_words, uri, deal), _FOUND), "ngram-totals")
     totals = [json.loads(r.totals) for r in found.where("what = 'totals'").select("totals").collect()]
     spread = found.where("what != 'totals'").groupBy("what", "key").agg(*(F.sum(c).alias(c) for c in ("n1", "n2", "n3", "total"))).collect()
@@ -428,7 +459,7 @@ def train(docs: DataFrame, order: int = ORDER) -> dict:
     one = [t for t in totals if t["k"] == 1]
     whole = {x: sum(t[x] for t in one) for x in ("tokens", "words", "types")}
     return whole | {
-        "uri": uri, "shards": shards, "order": order, "hot": deal.hot.view(np.int64).tolist(), "pairs": deal.pairs.view(np.int64).tolist(),
+        "uri": uri, "shards": deal.shards, "wide": n, "order": order, "hot": deal.hot.view(np.int64).tolist(), "pairs": deal.pairs.view(np.int64).tolist(),
         "spread": {what: [[r.key, r.n1, r.n2, r.n3, r.total] for r in spread if r.what == what] for what in ("word", "pair")},
         "files": [[f"runs{t['k']}" if t["k"] > 1 else "words", t["shard"]] for t in totals],
         "of_words": add(1), "discounts": [discounts(x) for x in (add(1), add(None, "of_pairs"), *(add(k) for k in range(3, order + 1)))],
@@ -440,7 +471,7 @@ class Model:
 
     def __init__(self, about: dict):
         self.__dict__.update(about)
-        self.deal = Deal(self.shards, self.hot, self.pairs, [])
+        self.deal = Deal(self.shards, self.wide, self.hot, self.pairs, [])
         self.there, self.open = {tuple(x) for x in self.files}, {}
         self.spread = {what: sorted((int(np.int64(h).view(U)), *x) for h, *x in rows) for what, rows in self.spread.items()}
         self.spread = {what: (np.array([x[0] for x in rows], U), np.array([x[1:] for x in rows], np.int64).reshape(-1, 4)) for what, rows in self.spread.items()}
@@ -466,11 +497,10 @@ class Model:
     def words_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Counts, numbers of distinct words before, and contexts (rows of _kinds) of distinct words."""
         c, cc, kinds = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.zeros((len(words), 4), np.int64)
-        shard = shard_of(words, self.shards)
-        for f, rows in self.by_shard("words", shard):
+        for f, rows in self.by_shard("words", shard_of(words, self.wide)):
             at, found = f.find(0, words[rows])
             c[rows], cc[rows] = f.numbers(3, at, found), f.numbers(6, at, found)
-        for f, rows in self.by_shard("runs3", shard):
+        for f, rows in self.by_shard("runs3", shard_of(words, self.shards)):
             kinds[rows] = f.contexts(21, *f.find(18, words[rows]))
         self._spread("word", words, kinds, np.flatnonzero(self.deal.is_hot(words)))
         return c, cc, kinds
@@ -479,9 +509,9 @@ class Model:
         """Numbers of distinct words before pairs."""
         out, key = np.zeros(len(word), np.int64), combine([before, word])
         hot = self.deal.is_hot(before)
-        for name, mine, by, i in (("runs3", ~hot, before, 12), ("words", hot, word, 9)):
+        for name, mine, by, shards, i in (("runs3", ~hot, before, self.shards, 12), ("words", hot, word, self.wide, 9)):
             own = np.flatnonzero(mine)
-            for f, rows in self.by_shard(name, shard_of(by[own], self.shards)):
+            for f, rows in self.by_shard(name, shard_of(by[own], shards)):
                 out[own[rows]] = f.numbers(i + 3, *f.find(i, key[own[rows]]))
         return out
 
@@ -495,27 +525,30 @@ class Model:
         self._spread("pair", context, kinds, np.flatnonzero(self.deal.apart(columns)))
         return n, kinds
 
-    def scores(self, texts: list[bytes]):
-        """Per text of a block: tokens, known tokens, base score, score."""
-        words, places, owner = sequence(texts, self.order)
-        docs = len(texts)
+    def log10(self, words: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probabilities of the words at some places, each after order - 1 others; and the words' counts."""
         both, ids = np.unique(words, return_inverse=True)
         c, cc, kinds = self.words_of(both)
         cut = [np.array([0.0, *d]) for d in self.discounts]
         of = np.array([0, *self.of_words[:2], self.words - sum(self.of_words[:2])], float)
         rest = float(of @ cut[0]) / self.types if self.types else 1.0
         low = (cc - cut[0][np.minimum(cc, 3)]).clip(0) / max(self.types, 1) + rest / (self.words + 1)
-        at = ids[places]
-        p = low[at]
+        p = low[ids[places]]
         for k in range(2, self.order + 1):
             columns = [words[places - k + 1 + i] for i in range(k)]
             n, found = (self.pairs_of(*columns), kinds[ids[places - 1]]) if k == 2 else self.runs_of(columns)
             d, total = cut[k - 1], found[:, 3]
             mixed = ((n - d[np.minimum(n, 3)]).clip(0) + found[:, :3] @ d[1:] * p) / np.maximum(total, 1)
             p = np.where(total > 0, mixed, p)
+        return np.log10(p), c[ids[places]]
+
+    def scores(self, texts: list[bytes]):
+        """Per text of a block: tokens, known tokens, base score, score."""
+        words, places, owner = sequence(texts, self.order)
+        p, c = self.log10(words, places)
         base = np.log10((c + 1) / (self.tokens + self.words + 1))
-        total = lambda x: np.bincount(owner, x, docs)
-        return np.bincount(owner, minlength=docs), total((c > 0)[at].astype(float)).astype(np.int64), total(base[at]), total(np.log10(p))
+        total = lambda x: np.bincount(owner, x, len(texts))
+        return np.bincount(owner, minlength=len(texts)), total((c > 0).astype(float)).astype(np.int64), total(base), total(p)
 
 
 _models: dict[str, Model] = {}

@@ -75,7 +75,7 @@ def test_matches_brute_force(spark, monkeypatch, chunk, order, most):
     monkeypatch.setattr(ngrams, "SCORED", 500)
     rows = rows_of(120, 1)
     docs = spark.createDataFrame([(*x, "p") for x in rows], SCHEMA)
-    about = ngrams._peeked(docs.fillna(""), 2 * ngrams.width(spark))
+    about = ngrams._peeked(docs.fillna(""), 2 * ngrams.width(spark), ngrams.width(spark))
     assert most < 1 or len(about.hot) and len(about.pairs)  # spread words and pairs are part of what is tested
     got = sorted((tuple(r) for r in ngrams.score(docs, order).collect()), key=str)
     want = brute(rows, order)
