@@ -176,8 +176,8 @@ def _counted(words: np.ndarray, places: np.ndarray, order: int) -> tuple[list[np
     return [words[first - order + 1 + i] for i in range(order)], np.diff(edges)
 
 
-def _count_batches(deal: Deal, order: int, batches):
-    """Counts of the training documents' runs, dealt out by shard."""
+def dealt_counts(deal: Deal, order: int, sequences):
+    """Counts of the runs in blocks of (words, places), dealt out by shard."""
     parts, n = [], 0
 
     def out():
@@ -187,25 +187,34 @@ def _count_batches(deal: Deal, order: int, batches):
         columns, times = _counted(words, places, order)
         return _batch(_slices(order, deal(columns), columns, [times], deal.codes))
 
-    for b in batches:
-        train = ~_held_out(b.column(0).to_pylist())
-        texts = [x.encode() for x, t in zip(b.column(1).to_pylist(), train) if t]
-        for first, last in blocks(texts):
-            words, places, _ = sequence(texts[first:last], order)
-            parts.append((words, places))
-            n += len(places)
-            if n >= CHUNK:
-                yield out()
-                n = 0
+    for words, places in sequences:
+        parts.append((words, places))
+        n += len(places)
+        if n >= CHUNK:
+            yield out()
+            n = 0
     if n:
         yield out()
 
 
+def _count_batches(deal: Deal, order: int, batches):
+    """Counts of the training documents' runs."""
+
+    def training():
+        for b in batches:
+            train = ~_held_out(b.column(0).to_pylist())
+            texts = [x.encode() for x, t in zip(b.column(1).to_pylist(), train) if t]
+            for first, last in blocks(texts):
+                yield sequence(texts[first:last], order)[:2]
+
+    yield from dealt_counts(deal, order, training())
+
+
 def _of_count(n: np.ndarray, most: int = 4) -> list[int]:
     return np.bincount(np.minimum(n, most + 1).astype(np.int64), minlength=most + 2)[1 : most + 1].tolist()
 
 
-def _sorted(key: np.ndarray, whole: bool = False) -> list[np.ndarray]:
+def sorted_keys(key: np.ndarray, whole: bool = False) -> list[np.ndarray]:
     """Sorted distinct hashes as (bits of the index, index, rest of each hash): 32 bits after those of the index, or all 64."""
     bits = max(0, min(32, (len(key) // SLOT).bit_length() - 1))
     top = key >> U(64 - bits) if bits else np.zeros(len(key), U)
@@ -233,14 +242,14 @@ def _contexts(kinds: np.ndarray) -> list[np.ndarray]:
     return [code, np.flatnonzero(~short).astype(np.uint32), kinds[~short].astype(np.int64).reshape(-1)]
 
 
-def _put(uri: str, sections: list[np.ndarray]) -> None:
+def put(uri: str, sections: list[np.ndarray]) -> None:
     """A file of arrays: their number and bytes first, each at a multiple of eight."""
     sizes = np.array([len(sections), *(x.nbytes for x in sections)], np.int64)
     put_bytes(uri, b"".join([sizes.tobytes(), *(np.ascontiguousarray(x).tobytes() + bytes(-x.nbytes % 8) for x in sections)]))
 
 
-class _File:
-    """A mapped file of _put."""
+class File:
+    """A mapped file of put."""
 
     def __init__(self, uri: str):
         raw = mapped(uri, np.uint8)
@@ -322,13 +331,13 @@ def _store_runs(uri: str, deal: Deal, k: int, order: int, batches):
         *columns, times = _gathered(payloads, k, 1, deal.codes)
         key, first, (times,) = _merged(combine(columns), [times])
         columns = [c[first] for c in columns]
-        sections = [*_sorted(key), *_numbers(times)]
+        sections = [*sorted_keys(key), *_numbers(times)]
         away = deal.apart(columns)
         context = combine(columns[:-1])
         by = np.argsort(context)
         edges = runs_of(context[by])
         own, kinds, away = context[by[edges[:-1]]], _kinds(by, edges, times), away[by[edges[:-1]]]
-        sections += [*_sorted(own[~away]), *_contexts(kinds[~away])]
+        sections += [*sorted_keys(own[~away]), *_contexts(kinds[~away])]
         if away.any():
             last[CONTEXTS].append([own[away], *kinds[away].T])
         totals = {"k": k, "shard": shard, "of": _of_count(times)}
@@ -349,14 +358,14 @@ def _store_runs(uri: str, deal: Deal, k: int, order: int, batches):
             before, after, n = rest[0][~hot], rest[1][~hot], n[~hot]
             suffix = combine([before, after])
             by = np.argsort(suffix)
-            sections += [*_sorted(suffix[by]), *_numbers(n[by])]
+            sections += [*sorted_keys(suffix[by]), *_numbers(n[by])]
             by = np.argsort(before)
             edges = runs_of(before[by])
-            sections += [*_sorted(before[by[edges[:-1]]], True), *_contexts(_kinds(by, edges, n))]
+            sections += [*sorted_keys(before[by[edges[:-1]]], True), *_contexts(_kinds(by, edges, n))]
             totals["of_pairs"] = _of_count(n)
             word, _, (distinct,) = _merged(after, [np.ones_like(n)])
             last[WORDS].append([word, np.zeros_like(distinct), distinct])
-        _put(f"{uri}/runs{k}-{shard}", sections)
+        put(f"{uri}/runs{k}-{shard}", sections)
         yield _batch([*passed, (shard, -1, None, json.dumps(totals))])
     for kind, parts in last.items():
         if parts:
@@ -391,7 +400,7 @@ def _store_words(uri: str, deal: Deal, batches):
         keys, _, kinds = _merged(keys, kinds)
         found += [("pair", h, *x) for h, x in zip(keys.view(np.int64).tolist(), np.stack(kinds, 1).tolist())]
         if len(words):
-            _put(f"{uri}/words-{shard}", [*_sorted(words, True), *_numbers(raw), *_numbers(distinct), *_sorted(key), *_numbers(n)])
+            put(f"{uri}/words-{shard}", [*sorted_keys(words, True), *_numbers(raw), *_numbers(distinct), *sorted_keys(key), *_numbers(n)])
             said.append(json.dumps({"k": 1, "shard": shard, "of": _of_count(distinct), "of_pairs": _of_count(n), "tokens": int(raw.sum()), "words": len(words), "types": int(distinct.sum())}))
         found += [("totals", None, None, None, None, None, x) for x in said]
         found = [(*x, None)[: len(_FOUND_NAMES)] for x in found]
@@ -484,7 +493,7 @@ class Model:
             at = name, int(shard[order[a]])
             if at in self.there:
                 if at not in self.open:
-                    self.open[at] = _File(f"{self.uri}/{at[0]}-{at[1]}")
+                    self.open[at] = File(f"{self.uri}/{at[0]}-{at[1]}")
                 yield self.open[at], order[a:b]
 
     def _spread(self, what: str, keys: np.ndarray, out: np.ndarray, rows: np.ndarray) -> None:

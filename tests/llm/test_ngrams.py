@@ -99,8 +99,8 @@ def test_large_arrays_are_found(tmp_path):
     key = np.unique(mix(np.arange(50_000, dtype=np.uint64)))
     for whole in (False, True):
         for n in (0, 1, 5, 31, 32, 50_000):
-            ngrams._put(f"{tmp_path}/{whole}-{n}", ngrams._sorted(key[:n], whole))
-            f = ngrams._File(f"{tmp_path}/{whole}-{n}")
+            ngrams.put(f"{tmp_path}/{whole}-{n}", ngrams.sorted_keys(key[:n], whole))
+            f = ngrams.File(f"{tmp_path}/{whole}-{n}")
             asked = np.concatenate((key[:n][::-1], mix(np.arange(60_000, 70_000, dtype=np.uint64))))
             at, found = f.find(0, asked)
             assert found[:n].all() and not found[n:].any() and (at[:n] == np.arange(n)[::-1]).all()
