@@ -10,14 +10,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import prepare, table, text_column
+from .shared import prepare, table, text_column, written
 
 MARGINS = ("source", "lang", "topic")
 #: Cells that the driver rakes in memory (some 100 bytes each); more are raked in Spark.
 MOST_CELLS = 100_000
 ROUNDS, EXACT = 200, 1e-9
-#: Target shares are observed ones to this power, unless given; and the share of all tokens to keep.
+#: Target shares of values without a stated one are observed ones to this power; and the share of all tokens to keep.
 POWER, BUDGET = 0.5, 0.5
+#: Stated targets of the registered query and of the pipeline; other languages share what is left.
+TARGETS = {"lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.1}}
 SEED = 17
 
 
@@ -40,8 +42,16 @@ def described(docs: DataFrame) -> DataFrame:
 
 
 def targets_of(totals: dict, given: dict | None, power: float) -> dict:
-    """Target shares of a margin's values: the given ones (others get none), else the observed ones to a power."""
-    raw = {k: float(given.get(k, 0.0)) for k in totals} if given else {k: t**power for k, t in totals.items()}
+    """Target shares of a margin's values, which sum to 1.
+
+    Values with a stated share have that; the others share what is left of 1 in proportion to observed totals to a power.
+    Stated values that don't occur are passed over.
+    """
+    given = given or {}
+    left = max(0.0, 1.0 - sum(given.values()))
+    others = {k: float(t) ** power for k, t in totals.items() if k not in given}
+    whole = sum(others.values())
+    raw = {k: float(given[k]) if k in given else left * others[k] / whole for k in totals}
     whole = sum(raw.values())
     return {k: x / whole if whole else 0.0 for k, x in raw.items()}
 
@@ -77,7 +87,7 @@ def calibrated(share: np.ndarray, tokens: np.ndarray, budget: float) -> np.ndarr
 def weights(cells: DataFrame, targets: dict | None = None, power: float = POWER, budget: float = BUDGET) -> DataFrame:
     """cells (mix_source, mix_lang, mix_topic, tokens) with probability."""
     names = [f"mix_{m}" for m in MARGINS]
-    if cells.limit(MOST_CELLS + 1).count() > MOST_CELLS:
+    if cells.count() > MOST_CELLS:
         return _weights_in_spark(cells, targets or {}, power, budget)
     rows = cells.orderBy(*names).collect()
     schema = ", ".join(f"{n} string" for n in names) + ", tokens long, probability double"
@@ -105,11 +115,11 @@ def _weights_in_spark(cells: DataFrame, targets: dict, power: float, budget: flo
     goals = []
     for m, n in zip(MARGINS, names):
         raw = out.groupBy(n).agg(F.sum("tokens").alias("t"))
-        if targets.get(m):
-            given = spark.createDataFrame([(str(k), float(v)) for k, v in targets[m].items()], f"{n} string, raw double")
-            raw = raw.join(given, n, "left").select(n, F.coalesce("raw", F.lit(0.0)).alias("raw"))
-        else:
-            raw = raw.select(n, F.pow("t", F.lit(power)).alias("raw"))
+        given = spark.createDataFrame([(str(k), float(v)) for k, v in (targets.get(m) or {}).items()], f"{n} string, stated double")
+        raw = raw.join(given, n, "left").withColumn("other", F.when(F.col("stated").isNull(), F.pow("t", F.lit(power))).otherwise(0.0)).checkpoint()
+        others = float(raw.agg(F.sum("other")).first()[0] or 0) or 1.0
+        left = max(0.0, 1.0 - sum((targets.get(m) or {}).values()))
+        raw = raw.select(n, F.coalesce("stated", F.col("other") * F.lit(left / others)).alias("raw"))
         whole = float(raw.agg(F.sum("raw")).first()[0]) or 1.0
         goals.append(raw.select(n, (F.col("raw") / whole).alias("goal")).checkpoint())
     for _ in range(ROUNDS):
@@ -139,19 +149,23 @@ def _weights_in_spark(cells: DataFrame, targets: dict, power: float, budget: flo
 def mix(docs: DataFrame, targets: dict | None = None, power: float = POWER, budget: float = BUDGET, seed: int = SEED) -> DataFrame:
     """docs with mix_tokens, mix_source, mix_lang, mix_topic, probability and kept added (columns of those names are replaced).
 
-    targets: margin to {value: weight}; margins without have the observed shares to the power. Nulls are a value of
-    their own (empty string); null and empty texts hold one token. A document is kept if a uniform hash of its doc_id
+    targets: margin to {value: share}, as `targets_of` reads them. Nulls are a value of their own (empty string); null and empty texts hold one token. A document is kept if a uniform hash of its doc_id
     (of its text if that is null) and the seed lies under its cell's probability, so repeated rows share their fate. An
     empty table gives an empty table.
     """
+    prepare(docs.sparkSession)
     rows = described(docs.drop("probability", "kept"))
     names = [f"mix_{m}" for m in MARGINS]
-    cells = rows.groupBy(*names).agg(F.sum("mix_tokens").alias("tokens"))
+    cells = written(rows.groupBy(*names).agg(F.sum("mix_tokens").alias("tokens")), "cells")
     found = weights(cells, targets, power, budget).drop("tokens")
+    if cells.count() <= MOST_CELLS:  # some MB at most, so no text is shuffled
+        found = F.broadcast(found)
     luck = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text")), F.lit(seed)), 11) / F.lit(float(1 << 53))
-    return rows.join(found, names).withColumn("kept", luck < F.col("probability"))
+    # the place of kept is taken before the join, so that texts need not go through it
+    out = rows.withColumn("kept", luck).join(found, names)
+    return out.select(*rows.columns, "probability", (F.col("kept") < F.col("probability")).alias("kept"))
 
 
 def op10_mixing(spark, sf_dir):
-    got = mix(table(spark, sf_dir, "documents"))
+    got = mix(table(spark, sf_dir, "documents"), TARGETS)
     return got.select("doc_id", "mix_source", "mix_lang", "mix_topic", "mix_tokens", "probability", "kept")

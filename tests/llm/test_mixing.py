@@ -25,7 +25,9 @@ def plain(rows, targets, power, budget):
         have = {}
         for k, n in cells.items():
             have[k[i]] = have.get(k[i], 0) + n
-        raw = {v: float(targets[m].get(v, 0)) if targets.get(m) else n**power for v, n in have.items()}
+        given = targets.get(m, {})
+        left, others = max(0, 1 - sum(given.values())), sum(n**power for v, n in have.items() if v not in given)
+        raw = {v: given[v] if v in given else left * n**power / others for v, n in have.items()}
         goals.append({v: x / sum(raw.values()) for v, x in raw.items()})
     share = {k: n / total for k, n in cells.items()}
     for _ in range(mixing.ROUNDS):
@@ -45,7 +47,7 @@ def plain(rows, targets, power, budget):
 
 
 @pytest.mark.parametrize("most", [mixing.MOST_CELLS, 2])
-@pytest.mark.parametrize("targets", [{}, {"lang": {"de": 3, "en": 1, "": 1}, "source": {"a": 1, "b": 1}}])
+@pytest.mark.parametrize("targets", [{}, {"lang": {"de": 3, "en": 1, "": 1}, "source": {"a": 1, "b": 1}}, {"lang": {"de": 0.5, "not there": 0.2}, "topic": {"x": 0.1}}])
 def test_probabilities(spark, monkeypatch, most, targets):
     monkeypatch.setattr(mixing, "MOST_CELLS", most)
     if most == 2:
@@ -77,3 +79,10 @@ def test_full_cells():
     assert p[0] == 1 and p[3] == 0 and (p * tokens).sum() == pytest.approx(70)
     assert p[1] * tokens[1] / (p[2] * tokens[2]) == pytest.approx(3)
     assert mixing.calibrated(share, tokens, 1e6).tolist() == [1, 1, 1, 0]
+
+
+def test_topics_by_form(spark):
+    texts = {"| a | b | c | d |": "table", "Under the MIT License": "license", "a@b.org": "contact", "few words": "short", "w " * 400: "prose", "w " * 4000: "long", None: "short"}
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.text: (r.mix_topic, r.mix_source, r.mix_lang) for r in mixing.mix(docs).collect()}
+    assert got == {t: (x, "", "") for t, x in texts.items()}
