@@ -30,14 +30,36 @@ def tools_table(spark: SparkSession, tools: dict = TOOLS) -> DataFrame:
 
 
 def _type_fits(value: str, type_: str):
-    """Whether a variant, whose SQL type is in the SQL text value, is of the JSON type in the SQL text type_."""
+    """Whether e.value, a variant whose SQL type is in the SQL text value, is of the JSON type in the SQL text type_.
+
+    A number is an integer by its value, so 1.0 and 1e2 are integers too.
+    """
     return (
-        f"case {type_} when 'string' then {value} = 'STRING' when 'integer' then {value} = 'BIGINT' "
+        f"case {type_} when 'string' then {value} = 'STRING' when 'integer' then {value} = 'BIGINT' or ({value} = 'DOUBLE' or {value} like 'DECIMAL%') and try_variant_get(e.value, '$', 'double') = floor(try_variant_get(e.value, '$', 'double')) "
         f"when 'number' then {value} = 'BIGINT' or {value} = 'DOUBLE' or {value} like 'DECIMAL%' when 'boolean' then {value} = 'BOOLEAN' "
         f"when 'array' then {value} like 'ARRAY%' when 'object' then {value} like 'OBJECT%' when 'null' then {value} = 'VOID' else true end"
     )
 
 
+#: A string of a JSON text, a number of it, or a stretch of neither.
+_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|-?[0-9][0-9.eE+-]*+|[^"0-9-]++'
+
+
+def canonical(text):
+    """JSON without spaces and with sorted keys, with equal numbers written equally.
+
+    Whole numbers below 1e15 have no fraction and no exponent (1.0, 1e0: 1), other decimals no zeros at their end, and
+    numbers with an exponent are written as the nearest double. Digits inside strings stay.
+    """
+    value = lambda x: x.try_cast("double")
+    plain = lambda x: F.regexp_replace(F.regexp_replace(x, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    whole = lambda x: (value(x) == F.floor(value(x))) & (F.abs(value(x)) < 1e15)
+    number = lambda x: F.when(x.rlike("^-?[0-9]+$"), F.when(x == "-0", "0").otherwise(x)).when(whole(x), value(x).cast("long").cast("string")).when(x.rlike("[eE]"), value(x).cast("string")).otherwise(plain(x))
+    tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
+    cut = F.array_join(F.transform(tokens, lambda x: F.when(x.rlike("^-?[0-9]"), number(x)).otherwise(x)), "")
+    return F.when(text.rlike(r"[0-9][.eE]|-0"), cut).otherwise(text)
+
+
 def parts(messages: DataFrame) -> DataFrame:
     """Messages cut into parts: (conv_id, turn, role, part, kind, v, content), kind message, call or result."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -78,12 +100,12 @@ def chat_lines(messages: DataFrame, tools: DataFrame) -> DataFrame:
     results_at = first.where("kind = 'result'").select(*key, F.col("first").alias("result_at"))
     calls = named.where("kind = 'call'").withColumn("name", get("name")).withColumn("args", F.coalesce(get("arguments", "variant"), F.expr("parse_json('{}')")))
     calls = calls.withColumn("given", F.expr("try_variant_get(v, '$.arguments', 'map<string,variant>')"))
-    calls = calls.join(F.broadcast(tools), "name", "left").join(calls_at, key, "left").join(results_at, key, "left")
+    calls = calls.join(tools, "name", "left").join(calls_at, key, "left").join(results_at, key, "left")
     fits = _type_fits("schema_of_variant(e.value)", "element_at(types, e.key)")
     given = "coalesce(given, map())"
     valid = F.expr(f"types is not null and (given is not null or try_variant_get(v, '$.arguments', 'variant') is null) and forall(map_entries({given}), e -> map_contains_key(types, e.key) and ({fits})) and forall(required, p -> map_contains_key({given}, p))")
     calls = calls.withColumn("fits", F.coalesce(valid, F.lit(False)))
-    order = call_order(calls.where(place == F.col("call_at")).select(*key, "turn", F.expr("try_variant_get(v, '$.after', 'array<string>')").alias("after")))
+    order = call_order(calls.where(place == F.col("call_at")).select(*key, "turn", F.expr("try_variant_get(v, '$.after', 'array<string>')").alias("after")).distinct())
     calls = calls.join(order, key, "left")
     status = (
         F.when(F.col("call_id").isNull() | F.col("conv_id").isNull(), "broken").when(place != F.col("call_at"), "duplicate").when(F.col("cyclic"), "cycle")
@@ -92,7 +114,7 @@ def chat_lines(messages: DataFrame, tools: DataFrame) -> DataFrame:
     call_rows = calls.withColumn("status", status).select(
         "conv_id", "turn", "part", "kind", "call_id", "name", "status", F.coalesce("at_turn", "turn").alias("at_turn"), F.coalesce("level", F.lit(0)).alias("level"),
         F.when(F.col("v").isNull(), F.to_json(F.struct(F.col("content"), F.lit("call").alias("type"))))
-        .otherwise(F.to_json(F.struct(F.col("args").alias("arguments"), F.col("call_id").alias("id"), "name", F.lit("call").alias("type")))).alias("json"),
+        .otherwise(canonical(F.to_json(F.struct(F.col("args").alias("arguments"), F.col("call_id").alias("id"), "name", F.lit("call").alias("type"))))).alias("json"),
     )
     results = named.where("kind = 'result'").join(results_at, key, "left").join(calls_at, key, "left").join(order, key, "left")
     content = F.coalesce(get("content", "variant"), F.expr("to_variant_object(named_struct('text', content))"))
@@ -100,30 +122,70 @@ def chat_lines(messages: DataFrame, tools: DataFrame) -> DataFrame:
         "conv_id", "turn", "part", "kind", "call_id", F.lit(None).cast("string").alias("name"),
         F.when(F.col("call_id").isNull() | F.col("conv_id").isNull(), "broken").when(F.col("call_at").isNull(), "unmatched").when(place != F.col("result_at"), "duplicate").otherwise("ok").alias("status"),
         F.greatest("turn", "at_turn").alias("at_turn"), (F.coalesce("level", F.lit(0)) + 1).alias("level"),
-        F.to_json(F.struct(content.alias("content"), F.col("call_id").alias("id"), F.lit("result").alias("type"))).alias("json"),
+        canonical(F.to_json(F.struct(content.alias("content"), F.col("call_id").alias("id"), F.lit("result").alias("type")))).alias("json"),
     )
     none = F.lit(None).cast("string")
     plain_rows = plain.select("conv_id", "turn", "part", "kind", none.alias("call_id"), none.alias("name"), F.lit("ok").alias("status"), F.col("turn").alias("at_turn"), F.lit(0).alias("level"), F.to_json(F.struct("content", "role")).alias("json"))
     return plain_rows.unionByName(call_rows).unionByName(result_rows)
 
 
+#: Calls of a conversation up to which it is ordered in one row; those of more are ordered together, round by round.
+AT_ONCE = 128
+
+
 def call_order(calls: DataFrame) -> DataFrame:
     """calls (conv_id, call_id, turn, after: array of call ids) to (conv_id, call_id, at_turn, level, cyclic).
 
     level is the longest chain of calls that a call comes after, and at_turn the latest turn along it; ids that no call
-    has are passed over. Calls on a cycle, or after one, are cyclic and keep their own turn. Rounds are as many as the
-    longest chain, and none without links.
+    has are passed over. Calls on a cycle, or after one, are cyclic and keep their own turn. Of repeated calls the least
+    turn counts, and the least list of equal turns. Conversations of few calls are ordered each in one row; the rounds of
+    the others are as many as their longest chain.
     """
     key = ["conv_id", "call_id"]
-    own = calls.groupBy(*key).agg(F.min("turn").alias("at_turn"), F.first("after").alias("after")).checkpoint()
+    own = calls.groupBy(*key).agg(F.min(F.struct(F.col("turn").alias("at_turn"), F.col("after"))).alias("x")).select(*key, "x.*").checkpoint()
+    linked = own.where("size(after) > 0").select("conv_id").distinct()
+    free = own.join(linked, "conv_id", "left_anti").select(*key, "at_turn", F.lit(0).alias("level"), F.lit(False).alias("cyclic"))
+    asked = own.join(linked, "conv_id", "left_semi")
+    sizes = asked.groupBy("conv_id").agg(F.count("*").alias("n"))
+    few = asked.join(sizes.where(F.col("n") <= AT_ONCE).select("conv_id"), "conv_id", "left_semi")
+    many = asked.join(sizes.where(F.col("n") > AT_ONCE).select("conv_id"), "conv_id", "left_semi")
+    return free.unionByName(_ordered_at_once(few)).unionByName(_ordered_in_rounds(many))
+
+
+def _ordered_at_once(calls: DataFrame) -> DataFrame:
+    """Each conversation's calls as one array, in which levels and turns travel along links as often as there are calls."""
+    rows = calls.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("call_id", "at_turn", "after"))).alias("own"))
+    ids = F.transform("own", lambda c: c["call_id"])
+    before = lambda c: F.filter(F.transform(F.coalesce(c["after"], F.array().cast("array<string>")), lambda a: F.array_position("ids", a).cast("int")), lambda i: i > 0)
+    rows = rows.withColumn("ids", ids).withColumn("links", F.transform("own", before))
+    start = F.transform("own", lambda c: F.struct(F.lit(0).alias("level"), c["at_turn"].alias("at_turn")))
+    most = lambda now, ps, f, name: F.array_max(F.transform(ps, lambda i: F.element_at(now, i)[name]))
+    step = lambda now, _: F.transform(
+        F.col("links"),
+        lambda ps, k: F.when(F.size(ps) == 0, F.element_at(now, k + 1)).otherwise(
+            F.struct((most(now, ps, None, "level") + 1).alias("level"), F.greatest(F.element_at(now, k + 1)["at_turn"], most(now, ps, None, "at_turn")).alias("at_turn"))
+        ),
+    )
+    done = rows.withColumn("found", F.aggregate(F.sequence(F.lit(1), F.size("own")), start, step))
+    each = done.select("conv_id", F.size("own").alias("n"), F.explode(F.arrays_zip("own", "found")).alias("x"))
+    cyclic = F.col("x.found.level") >= F.col("n")  # no chain is as long as there are calls
+    return each.select(
+        "conv_id", F.col("x.own.call_id").alias("call_id"), F.when(cyclic, F.col("x.own.at_turn")).otherwise(F.col("x.found.at_turn")).alias("at_turn"),
+        F.when(cyclic, 0).otherwise(F.col("x.found.level")).alias("level"), cyclic.alias("cyclic"),
+    )
+
+
+def _ordered_in_rounds(calls: DataFrame) -> DataFrame:
+    key = ["conv_id", "call_id"]
+    own = calls.checkpoint()
     done = own.select(*key, "at_turn", F.lit(0).alias("level"), F.lit(False).alias("cyclic"))
-    links = own.select(*key, F.explode("after").alias("before")).distinct().join(own.select("conv_id", F.col("call_id").alias("before")), ["conv_id", "before"]).checkpoint()
-    if not links.limit(1).count():
+    if not own.limit(1).count():
         return done
+    links = own.select(*key, F.explode("after").alias("before")).distinct().join(own.select("conv_id", F.col("call_id").alias("before")), ["conv_id", "before"]).checkpoint()
     waiting = own.join(links, key, "left_semi").select(*key, "at_turn")
     done = done.join(links, key, "left_anti").checkpoint()
     while True:
-        latest = done.select("conv_id", F.col("call_id").alias("before"), F.col("at_turn").alias("t"), F.col("level").alias("l"), "cyclic")
+        latest = done.select("conv_id", F.col("call_id").alias("before"), F.col("at_turn").alias("t"), F.col("level").alias("l"))
         ready = links.join(waiting, key).join(latest, ["conv_id", "before"], "left").groupBy(*key).agg(F.max("t").alias("t"), F.max("l").alias("l"), F.bool_and(F.col("l").isNotNull()).alias("all"), F.max("at_turn").alias("at_turn"))
         new = ready.where("all").select(*key, F.greatest("at_turn", "t").alias("at_turn"), (F.col("l") + 1).alias("level"), F.lit(False).alias("cyclic")).checkpoint()
         if not new.limit(1).count():

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 
@@ -82,3 +83,39 @@ def test_canonical_json(lines):
 
 def test_empty(spark):
     assert chat.chat_lines(spark.createDataFrame([], SCHEMA), chat.tools_table(spark)).count() == 0
+
+
+def test_numbers_are_written_by_value(spark):
+    raw = {"1": "1", "1.0": "1", "1e2": "100", "-0": "0", "-0.0": "0", "1.50": "1.5", "-2.250": "-2.25", "1E-7": "1.0E-7", "0.10": "0.1", "12345678901234567890": "12345678901234567890", "1e3": "1000"}
+    rows = [(i, 0, "assistant", '<tool_call>{"name":"lookup","id":"a","arguments":{"scale":' + n + ',"key":"1.0 \\" 1e2 1.50"}}</tool_call>') for i, n in enumerate(raw)]
+    df = spark.createDataFrame([(*r, "") for r in rows], SCHEMA)
+    got = {r.conv_id: r for r in chat.chat_lines(df, chat.tools_table(spark)).collect() if r.kind == "call"}
+    for i, want in enumerate(raw.values()):
+        assert got[i].json == '{"arguments":{"key":"1.0 \\" 1e2 1.50","scale":' + want + '},"id":"a","name":"lookup","type":"call"}'
+    rows = [(i, 0, "assistant", call("a", args=None).replace('"x"', '"x","limit":' + n)) for i, n in enumerate(["1.0", "1e2", "1.5", "2"])]
+    df = spark.createDataFrame([(*r, "") for r in rows], SCHEMA)
+    got = {r.conv_id: r.status for r in chat.chat_lines(df, chat.tools_table(spark)).collect() if r.kind == "call"}
+    assert got == {0: "unanswered", 1: "unanswered", 2: "invalid", 3: "unanswered"}
+
+
+@pytest.mark.parametrize("most", [0, 128])
+def test_order_against_plain_version(spark, monkeypatch, most):
+    monkeypatch.setattr(chat, "AT_ONCE", most)
+    r = random.Random(most)
+    rows = []
+    for conv in range(8):
+        n = r.randint(1, 12)
+        rows += [(conv, f"c{i}", r.randint(0, 9), [f"c{r.randrange(n + 1)}" for _ in range(r.randint(0, 2))] if r.random() < 0.7 else None) for i in range(n)]
+    rows += [(100, f"c{i}", i, [f"c{i - 1}"]) for i in range(40)]
+    rows += rows[:3]
+    got = sorted(tuple(x) for x in chat.call_order(spark.createDataFrame(rows, "conv_id long, call_id string, turn long, after array<string>")).collect())
+    own = {(c, i): (t, [a for a in after or [] if any(x[0] == c and x[1] == a for x in rows)]) for c, i, t, after in rows}
+
+    def level(key, path=()):
+        if key in path:
+            return None
+        each = [level((key[0], a), (*path, key)) for a in own[key][1]]
+        return None if None in each else (max([own[key][0], *(t for t, _ in each)]), 1 + max(l for _, l in each) if each else 0)
+
+    want = sorted((*k, *(level(k) or (t, 0)), level(k) is None) for k, (t, _) in own.items())
+    assert got == want
