@@ -1,77 +1,122 @@
 """Document fingerprints: every hash of a five-word shingle below a fixed fraction of the hash range is kept.
 
 Sketches of parts merge by union, and the share of common hashes among those of the smaller sketch estimates
-containment, however unequal two documents are. A text with words but without a kept hash keeps its least one, so that
-no text with words has an empty sketch.
+containment, however unequal two documents are. A short text may have no hash below the fraction, or a few that say
+little. So beside its sketch a fingerprint holds a bit filter of all shingles, about a byte for each, and a text of few
+shingles keeps all its hashes; where the smaller sketch is thin, the short text's hashes are looked up in the other's
+filter. Filters of any two sizes compare and merge, as a larger one folds into a smaller one.
 """
 
 from __future__ import annotations
 
 import hashlib
 from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Words, blocks
+from .blocks import Words, blocks, mix
 from .shared import prepare, table, text_column, width
 
 WORDS = 5
 #: One of so many hashes is kept.
 SCALE = 8
+#: A text of so many distinct shingles at most keeps them all beside its sketch; a sketch of fewer hashes in common range is thin.
+FEW, THIN = 64, 16
+#: Bits of a filter for each distinct shingle, at least, and bits that a shingle sets.
+ROOM, PROBES = 8, 4
 
+U = np.uint64
 
-def sketches(texts: list[bytes], k: int = WORDS, scale: int = SCALE) -> list[np.ndarray]:
-    """The sorted distinct kept hashes of each text; no words: none."""
-    out: list[np.ndarray] = []
-    under = np.uint64((1 << 64) // scale)
+
+class Print(NamedTuple):
+    """kept: sorted hashes below the fraction; rest: those above it, of a text with few shingles; bits: the filter."""
+
+    kept: np.ndarray
+    rest: np.ndarray
+    bits: np.ndarray
+
+
+def _probes(h: np.ndarray) -> np.ndarray:
+    """Places of shingles in a filter as 32-bit fractions of its length, so that halving a filter halves each place."""
+    return np.stack([mix(h + U((i + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> U(32) for i in range(PROBES)])
+
+
+def _filter(h: np.ndarray) -> np.ndarray:
+    size = max(6, (ROOM * max(len(h), 1) - 1).bit_length())
+    out = np.zeros(1 << size, bool)
+    out[(_probes(h) >> U(32 - size)).astype(np.int64).ravel()] = len(h) > 0
+    return out
+
+
+def prints(texts: list[bytes], k: int = WORDS, scale: int = SCALE) -> list[Print]:
+    """The fingerprint of each text; no words: nothing kept."""
+    out: list[Print] = []
+    under = U((1 << 64) // scale)
     for first, last in blocks(texts):
-        n = last - first
         h, owner = Words(texts[first:last]).shingles(k)
-        keep = h < under
-        kept = np.zeros(n, bool)
-        kept[owner[keep]] = True
-        has = np.zeros(n, bool)
-        has[owner] = True
-        least = has & ~kept
-        if least.any():
-            starts = np.flatnonzero(np.diff(owner, prepend=-1))
-            low = np.zeros(n, np.uint64)
-            low[owner[starts]] = np.minimum.reduceat(h, starts)
-            keep |= least[owner] & (h == low[owner])
-        h, owner = h[keep], owner[keep]
-        order = np.lexsort((h, owner))
-        h, owner = h[order], owner[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-        h, owner = h[new], owner[new]
-        out += np.split(h, np.searchsorted(owner, np.arange(1, n)))
+        for own in np.split(h, np.searchsorted(owner, np.arange(1, last - first))):
+            own = np.unique(own)
+            cut = int(np.searchsorted(own, under))
+            out.append(Print(own[:cut], own[cut:] if len(own) <= FEW else own[:0], _filter(own)))
     return out
 
 
-def merge(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> np.ndarray:
-    """The sketch of two parts' shingles together; a least hash that stood in for none gives way to kept ones."""
-    both = np.union1d(a, b)
-    kept = both[both < np.uint64((1 << 64) // scale)]
-    return kept if len(kept) else both[:1]
+def sketches(texts: list[bytes], k: int = WORDS, scale: int = SCALE) -> list[np.ndarray]:
+    """The sorted distinct hashes of each text that lie below the fraction."""
+    return [x.kept for x in prints(texts, k, scale)]
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    return bits.reshape(size, -1).any(1) if len(bits) > size else bits
+
+
+def merge(a: Print, b: Print) -> Print:
+    """The fingerprint of two parts' shingles together; the filter is as long as the longer one, and a larger one folds."""
+    rest = np.union1d(a.rest, b.rest)
+    small = all(len(x.rest) or x.bits.sum() <= PROBES * len(x.kept) for x in (a, b)) and len(rest) <= FEW
+    size = min(len(a.bits), len(b.bits))
+    return Print(np.union1d(a.kept, b.kept), rest if small else rest[:0], _folded(a.bits, size) | _folded(b.bits, size))
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated containment of the smaller in the larger, 0 to 1; both empty: 1, one empty: 0."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    return len(np.intersect1d(a, b, assume_unique=True)) / min(len(a), len(b))
+def _held(own: np.ndarray, other: Print) -> float:
+    """Share of hashes that another text's filter holds, less what chance holds."""
+    size = len(other.bits).bit_length() - 1
+    hits = other.bits[(_probes(own) >> U(32 - size)).astype(np.int64)].all(0).mean()
+    chance = float(other.bits.mean()) ** PROBES
+    return min(1.0, max(0.0, (hits - chance) / (1 - chance))) if chance < 1 else 0.0
+
+
+def likeness(a: Print, b: Print) -> float:
+    """Estimated containment of the smaller in the larger, 0 to 1; both without shingles: 1, one: 0.
+
+    The smaller is that of fewer kept hashes, of equally many that of the shorter filter. Where it is thin and has all
+    its hashes, these are looked up in the other's: exactly if that too has all, else in its filter.
+    """
+    one, two = (a, b) if (len(a.kept), len(a.bits), len(a.rest)) <= (len(b.kept), len(b.bits), len(b.rest)) else (b, a)
+    if not one.bits.any() or not two.bits.any():
+        return float(one.bits.any() == two.bits.any())
+    whole = len(one.rest) > 0 or _probes(one.kept).size and one.bits.sum() <= PROBES * len(one.kept)
+    if len(one.kept) >= THIN or not whole:
+        return len(np.intersect1d(one.kept, two.kept, assume_unique=True)) / len(one.kept) if len(one.kept) else 0.0
+    own = np.concatenate((one.kept, one.rest))
+    if len(two.rest):
+        other = np.concatenate((two.kept, two.rest))
+        return len(np.intersect1d(own, other, assume_unique=True)) / min(len(own), len(other))
+    return _held(own, two)
 
 
-def written_out(sketch: np.ndarray) -> str:
-    """Kept hashes as 16 hexadecimal digits each, in order."""
-    return sketch.astype(">u8").tobytes().hex()
+def written_out(x: Print) -> str:
+    """Kept hashes as 16 hexadecimal digits each, in order; then, after colons, the others of a short text, and the filter."""
+    return ":".join((*(h.astype(">u8").tobytes().hex() for h in x[:2]), np.packbits(x.bits).tobytes().hex()))
 
 
-def read_back(text: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(text), ">u8").astype(np.uint64)
+def read_back(text: str) -> Print:
+    kept, rest, bits = map(bytes.fromhex, text.split(":"))
+    return Print(*(np.frombuffer(x, ">u8").astype(U) for x in (kept, rest)), np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool))
 
 
 def edit(text: str, following: str) -> str:
@@ -95,14 +140,15 @@ def _neighbours(batches):
     last = None
     for b in batches:
         bucket, guest, ids, texts = (b.column(i).to_pylist() for i in range(4))
-        prints = sketches([x.encode() for x in texts])
-        rows = list(zip(bucket, guest, ids, texts, prints))
+        rows = list(zip(bucket, guest, ids, texts, prints([x.encode() for x in texts])))
+        if not rows:
+            continue
         if last:
             rows.insert(0, last)
         pairs = [(x, y) for x, y in zip(rows, rows[1:]) if not x[1] and x[0] == y[0]]
         last = rows[-1]
         edited = [edit(x[3], y[3]).encode() for x, y in pairs]
-        after = sketches(edited)
+        after = prints(edited)
         yield pa.RecordBatch.from_pydict(
             {
                 "doc_id": pa.array([x[2] for x, _ in pairs], pa.int64()),
