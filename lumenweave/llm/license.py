@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,33 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
     "Proprietary": "Copyright. All rights reserved. Unauthorized copying of this file is strictly prohibited.",
 }
+#: Fixed texts of licenses and of the notices that they ask for, with which license files are compared.
+FULL = {
+    "MIT": """MIT License Copyright (c) Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons
+to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR
+IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "BSD-3-Clause": """BSD 3-Clause License Copyright (c) All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above
+copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names
+of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS
+"AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE
+COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY
+WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "Apache-2.0": """Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. "License" shall mean the terms
+and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document. "Licensor" shall mean the copyright owner or entity authorized by the copyright owner that is
+granting the License. Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR
+CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "GPL-3.0": """GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license
+document, but changing it is not allowed. Preamble The GNU General Public License is a free, copyleft license for software and other kinds of works. This program is free software: you can redistribute
+it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is
+distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for
+more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.""",
+}
 #: Least cosine of a header to the template whose license it has.
 LEAST = 0.35
 #: A line that belongs to a license header, and terms of it.
@@ -57,19 +85,23 @@ def terms(text: str) -> list[str]:
     return re.findall(_TERM, text.lower())
 
 
-def weights(templates: dict[str, str] = TEMPLATES) -> tuple[dict[str, float], float, dict[str, dict[str, float]]]:
-    """Inverse document frequencies of the templates' terms, that of other terms, and each template's unit vector."""
+def all_templates(templates: dict[str, str] = TEMPLATES, full: dict[str, str] = FULL) -> list[tuple[str, str]]:
+    return [*templates.items(), *full.items()]
+
+
+def weights(templates: list[tuple[str, str]] | None = None) -> tuple[dict[str, float], float, list[tuple[str, dict[str, float]]]]:
+    """Inverse document frequencies of the templates' terms, that of other terms, and each template's license and unit vector."""
+    templates = templates or all_templates()
     n = len(templates)
-    holds = {t for x in templates.values() for t in terms(x)}
-    idf = {t: math.log((1 + n) / (1 + sum(t in terms(x) for x in templates.values()))) + 1 for t in sorted(holds)}
-    other = math.log(1 + n) + 1
-    out = {}
-    for name, text in templates.items():
-        own = terms(text)
-        raw = {t: own.count(t) * idf[t] for t in own}
+    counts = [Counter(terms(text)) for _, text in templates]
+    holds = Counter(t for c in counts for t in c)
+    idf = {t: math.log((1 + n) / (1 + holds[t])) + 1 for t in sorted(holds)}
+    out = []
+    for (name, _), own in zip(templates, counts):
+        raw = {t: k * idf[t] for t, k in own.items()}
         norm = math.sqrt(sum(x * x for x in raw.values()))
-        out[name] = {t: x / norm for t, x in raw.items()}
-    return idf, other, out
+        out.append((name, {t: x / norm for t, x in raw.items()}))
+    return idf, math.log(1 + n) + 1, out
 
 
 def _map(values: dict) -> Column:
@@ -89,32 +121,37 @@ def stated(text: Column) -> Column:
 
 
 def headers(files: DataFrame) -> DataFrame:
-    """files (text, ...) without texts, with header (the license lines), header_share and stated_license: one pass, written once."""
+    """files (path, text, ...) to (path, row: their other columns, header, header_share, stated_license): one pass, written once.
+
+    The header is the license lines of a text, or the whole text of a file that is named as a license file.
+    """
     prepare(files.sparkSession)
     text = text_column(files)
     some = F.lower(text).rlike("licen|copyright|rights reserved|spdx")
-    header = F.when(some, F.array_join(F.filter(F.split(text, "\n"), lambda x: x.rlike(HEADER)), "\n")).otherwise("")
-    kept = [c for c in files.columns if c not in ("text", "header", "n_text", "stated_license")]
+    lines = F.when(some, F.array_join(F.filter(F.split(text, "\n"), lambda x: x.rlike(HEADER)), "\n")).otherwise("")
+    header = F.when(F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False)), text).otherwise(lines)
+    files = files.select("path", F.struct(*[c for c in files.columns if c != "text"]).alias("row"), "text")
+    kept = ["path", "row"]
     own = F.when(F.lower(text).rlike("spdx-|cc0 |public licen|permission is hereby|redistribution and use|apache licen|creative commons"), stated(text))
     cut = files.select(*kept, header.alias("header"), F.length(text).alias("n_text"), own.alias("stated_license")).checkpoint()
     share = F.greatest(F.length("header") / F.greatest("n_text", F.lit(1)), "stated_license.share")
     return cut.select(*kept, "header", share.alias("header_share"), F.col("stated_license.name").alias("stated_license"))
 
 
-def scored(heads: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+def scored(heads: DataFrame, templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """Distinct headers (header) with own_license and own_score: the template of the largest cosine, the first of equal ones."""
     idf, other, vectors = weights(templates)
     own = F.regexp_extract_all(F.lower("header"), F.lit(_TERM), F.lit(0))
     terms_ = heads.select("header", F.explode(own).alias("t")).groupBy("header", "t").agg(F.count("*").alias("n"))
     weighted = terms_.withColumn("w", F.col("n") * F.coalesce(F.try_element_at(_map(idf), "t"), F.lit(other)))
     dot = lambda v: F.sum(F.col("w") * F.coalesce(F.try_element_at(_map(v), "t"), F.lit(0.0)))
-    sums = weighted.groupBy("header").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *(dot(v).alias(f"d{i}") for i, v in enumerate(vectors.values())))
-    each = [F.struct((F.col(f"d{i}") / F.col("norm")).alias("score"), F.lit(-i).alias("rank"), F.lit(name).alias("name")) for i, name in enumerate(vectors)]
+    sums = weighted.groupBy("header").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *(dot(v).alias(f"d{i}") for i, (_, v) in enumerate(vectors)))
+    each = [F.struct((F.col(f"d{i}") / F.col("norm")).alias("score"), F.lit(-i).alias("rank"), F.lit(name).alias("name")) for i, (name, _) in enumerate(vectors)]
     best = sums.select("header", F.array_max(F.array(*each)).alias("best"))
     return best.select("header", F.when(F.col("best.score") >= LEAST, F.col("best.name")).alias("own_license"), F.round("best.score", 6).alias("own_score"))
 
 
-def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """files (path, text) to all rows as (path, license, score, origin, inherited_from).
 
     A license that the text names by its SPDX identifier or in its own words has score 1, before any cosine.
@@ -139,7 +176,7 @@ def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     own = F.col("own_license").isNotNull()
     from_above = ~own & F.col("near").isNotNull() & F.col("path").isNotNull()
     return out.select(
-        *[c for c in files.columns if c not in ("license", "score", "origin", "inherited_from", "text")],
+        *[F.col(f"row.`{c}`").alias(c) for c in files.columns if c not in ("license", "score", "origin", "inherited_from", "text")],
         F.when(own, F.col("own_license")).when(from_above, F.col("near.x.own_license")).alias("license"),
         F.when(own, F.col("own_score")).when(from_above, F.col("near.x.own_score")).alias("score"),
         F.when(own, "header").when(from_above, "directory").otherwise("none").alias("origin"),

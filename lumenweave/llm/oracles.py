@@ -20,14 +20,15 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(
 CHAT = """select conv_id, turn, 0::bigint as part, 'message' as kind, null::string as call_id, null::string as name, 'ok' as status, turn as at_turn, 0::bigint as level,
 '{"content":' || to_json(coalesce(text, '')) || case when role is null then '' else ',"role":' || to_json(role) end || '}' as json from conversations where role is null or role <> 'tool'"""
 
-_TEMPLATES = ", ".join(f"({i}, '{n}', '{x}')" for i, (n, x) in enumerate(lic.TEMPLATES.items()))
+_ALL = lic.all_templates()
+_TEMPLATES = ", ".join(f"({i}, '{n}', '{x}')" for i, (n, x) in enumerate(_ALL))
 _TERMS = "regexp_extract_all(lower({0}), '[a-z0-9]+(?:[.-][0-9a-z]+)*')"
 
 LICENSE = f"""with t as (select * from (values {_TEMPLATES}) v(i, name, x)), tt as (select i, term, count(*) as n from (select i, unnest({_TERMS.format("x")}) as term from t) group by all),
-idf as (select term, ln(12.0 / (1 + count(*))) + 1 as idf from tt group by 1), tw as (select tt.i, tt.term, tt.n * idf.idf as w from tt join idf using (term)), tn as (select i, sqrt(sum(w * w)) as norm from tw group by 1),
+idf as (select term, ln({len(_ALL) + 1}.0 / (1 + count(*))) + 1 as idf from tt group by 1), tw as (select tt.i, tt.term, tt.n * idf.idf as w from tt join idf using (term)), tn as (select i, sqrt(sum(w * w)) as norm from tw group by 1),
 d as (select doc_id, source || '/k' || doc_id // 1000 || '/d' || doc_id // 20 || '/doc' || doc_id as path, text, array_to_string(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '(?i)licen[cs]ed? |licen[cs]e\\b|copyright|all rights reserved|spdx-')), chr(10)) as header from documents),
 h as (select distinct header from d where header <> ''), ht as (select header, term, count(*) as n from (select header, unnest({_TERMS.format("header")}) as term from h) group by all),
-hw as (select header, term, n * coalesce(idf.idf, ln(12.0) + 1) as w from ht left join idf using (term)), hn as (select header, sqrt(sum(w * w)) as norm from hw group by 1),
+hw as (select header, term, n * coalesce(idf.idf, ln({len(_ALL) + 1}.0) + 1) as w from ht left join idf using (term)), hn as (select header, sqrt(sum(w * w)) as norm from hw group by 1),
 c as (select hw.header, tw.i, sum(hw.w * tw.w) / any_value(hn.norm) / any_value(tn.norm) as score from hw join tw using (term) join hn using (header) join tn using (i) group by all),
 b as (select header, first(i order by score desc, i) as i, max(score) as score from c group by 1), own as (select b.header, t.name, round(b.score, 6) as score from b join t using (i) where b.score >= {lic.LEAST}),
 f as (select d.*, own.name, own.score, regexp_extract(d.path, '^(.*)/[^/]*$', 1) as dir from d left join own using (header)),

@@ -11,12 +11,12 @@ def plain_score(header):
     own = re.findall(r"[a-z0-9]+(?:[.-][0-9a-z]+)*", header.lower())
     v = {t: own.count(t) * idf.get(t, other) for t in own}
     norm = math.sqrt(sum(x * x for x in v.values()))
-    best = max(((sum(v[t] * x.get(t, 0) for t in v) / norm, -i, n) for i, (n, x) in enumerate(vectors.items())), default=None)
+    best = max(((sum(v[t] * x.get(t, 0) for t in v) / norm, -i, n) for i, (n, x) in enumerate(vectors)), default=None)
     return best if v else None
 
 
 def test_templates_are_their_own_best():
-    for name, text in lic.TEMPLATES.items():
+    for name, text in lic.all_templates():
         score, _, best = plain_score(text)
         assert best == name and abs(score - 1) < 1e-9
 
@@ -44,5 +44,17 @@ def test_scan(spark):
     assert sorted(r[3] for r in out if r[0] is None) == ["header", "none"]
 
 
+def test_clashing_columns_and_license_files(spark):
+    names = ["own_license", "own_score", "near", "n_text", "header", "row", "own_dir", "stated_license", "above"]
+    bsd = lic.FULL["BSD-3-Clause"].replace("Neither the name of the copyright holder", "The name of the project may not be used; nor the names of authors")
+    rows = [("a/LICENSE", bsd), ("a/x.py", "x = 1"), ("b/COPYING", lic.FULL["GPL-3.0"]), ("b/c/y.py", None), ("d/LICENSE", "a shopping list: bread, milk and cheese"), ("d/z.py", "z")]
+    df = spark.createDataFrame([(*r, *names) for r in rows], "path string, text string, " + ", ".join(f"{n} string" for n in names))
+    got = lic.scan(df)
+    assert got.columns == ["path", *names, "license", "score", "origin", "inherited_from"]
+    found = {r.path: r for r in got.collect()}
+    assert {p: r.license for p, r in found.items()} == {"a/LICENSE": "BSD-3-Clause", "a/x.py": "BSD-3-Clause", "b/COPYING": "GPL-3.0", "b/c/y.py": "GPL-3.0", "d/LICENSE": None, "d/z.py": None}
+    assert all(r[n] == n for r in found.values() for n in names)
+
+
 def test_empty(spark):
     assert lic.scan(spark.createDataFrame([], SCHEMA)).count() == 0
