@@ -16,13 +16,20 @@ unknown,1
 
 
 def test_compact_format(spark):
-    got = compact.parse(COMPACT)
-    assert got["scalars"] == {"total": 2, "truncated": False, "name": "a b", "tool": "x"} or got["scalars"] == {"total": 2, "truncated": False, "name": "a b"}
-    assert got["tables"] == {"symbols": [{"id": "clip/model.py::CLIP.forward#method", "file": "clip/model.py", "sig": "def forward(\n    self, x)"}], "other": [{"n": "7"}]}
+    got = [*compact.facts(COMPACT)]
+    assert [(f.column, f.value) for f in got if f.table is None] == [("total", "2"), ("truncated", "false"), ("name", "a b")]
+    assert [f for f in got if f.table] == [("symbols", 0, "id", "clip/model.py::CLIP.forward#method"), ("symbols", 0, "file", "clip/model.py"), ("symbols", 0, "sig", "def forward(\n    self, x)"), ("other", 0, "n", "7")]
     assert compact.is_compact(COMPACT) and not compact.is_compact("{}")
-    assert compact.parse("nothing here")["tables"] == {}
-    rows = compact.rows(spark.createDataFrame([("1", COMPACT), ("2", None)], "id string, text string")).collect()
-    assert {(r.name, r.cells.get("n")) for r in rows} == {("symbols", None), ("other", "7")}
+    assert [*compact.facts("nothing here")] == [] and [*compact.facts('#MUNCH/1\n\na="x y" __tables="s:t"')] == [(None, None, "a", "x y")]
+    answers = spark.createDataFrame([("1", COMPACT), ("2", None), ("3", '#MUNCH/1\n__tables="s:symbols:id"\n\ns,"open')], "id string, text string")
+    rows = compact.rows(answers).collect()
+    assert {(r.id, r.name, r.cells.get("n")) for r in rows if r.id == "1"} == {("1", "symbols", None), ("1", "other", "7")}
+    assert {(r.name, r.text, r.number, r.flag) for r in compact.scalars(answers).collect()} == {("total", "2", 2, None), ("truncated", "false", None, False), ("name", "a b", None, None)}
+
+
+def test_absence_of_an_answer():
+    assert compact.absence('#MUNCH/1\ntotal=0 absence_evidence="{""ref"":""absent:0a1b""}"') == "absent:0a1b"
+    assert compact.absence('{"ref": "absent:ff00"}') == "absent:ff00" and compact.absence("#MUNCH/1\ntotal=1") is None
 
 
 def test_feed(spark):
