@@ -47,8 +47,8 @@ def _papers(spark, d):
     return t.derived(spark, d, t.PAPERS)
 
 
-def _events(spark, d):
-    return scan_events(_papers(spark, d))
+def _events(spark, d, *kinds):
+    return scan_events(_papers(spark, d), [*kinds])
 
 
 def _kept(df: DataFrame) -> DataFrame:
@@ -146,38 +146,35 @@ def strip_comments(spark, d):
 @query("""select 'P' || p_partkey || 'v1' as paper_version, p.path as section_path, p.level::bigint as level, replace(p.title, '#', p_name) as title, p.label as latex_label, p.line::bigint as src_line_start, (p.ord)::bigint as ordinal
 from part, (values ('1', 1, 'Introduction to #', null, 4, 0, 0), ('1.1', 2, 'Model architecture', 'sec:m', 9, 1, 0), ('*remarks', 2, 'Remarks', null, 12, 2, 0), ('2', 1, 'Training', null, 14, 3, 0), ('2.1', 2, 'Loss', null, 15, 4, 0), ('A', 1, 'Proofs', null, 18, 5, 1), ('A.1', 2, 'Details', null, 19, 6, 1)) p(path, level, title, label, line, ord, late) where late = 0 or p_partkey % 5 = 0""")
 def extract_sections(spark, d):
-    return extract.sections(_events(spark, d)).select("paper_version", "section_path", "level", "title", "latex_label", "src_line_start", "ordinal")
+    return extract.sections(_events(spark, d, "heading")).select("paper_version", "section_path", "level", "title", "latex_label", "src_line_start", "ordinal")
 
 
 @query("""select 'P' || p_partkey || 'v1' as paper_version, e.env as environment, replace(replace(e.latex, '#', (p_partkey % 9)::string), '@', (p_partkey % 4)::string) as latex, e.num as derived_number, e.conf as number_conf, e.line::bigint as src_line
 from part, (values ('equation', 'y = a_{#} x', '1', 'LIKELY', 10), ('align', 'a = b', '2', 'LIKELY', 11), ('align', 'c = d \\nonumber', null, 'UNKNOWN', 11), ('align', 'e = f', '3', 'LIKELY', 11), ('displaymath', 'z < @', null, 'UNKNOWN', 16)) e(env, latex, num, conf, line)""")
 def equation_numbers(spark, d):
-    return extract.equations(_events(spark, d)).select("paper_version", "environment", "latex", "derived_number", "number_conf", "src_line")
+    return extract.equations(_events(spark, d, "equation")).select("paper_version", "environment", "latex", "derived_number", "number_conf", "src_line")
 
 
 @query("""select 'P' || p_partkey || 'v1' as paper_version, v.ord::bigint as ordinal, v.symbol, case v.ord when 0 then p_size || 'e-4' when 1 then '0.' || lpad(p_size::string, 2, '0') else (p_size * 8)::string end as value_text,
 case v.ord when 0 then (p_size || 'e-4')::double when 1 then ('0.' || lpad(p_size::string, 2, '0'))::double else (p_size * 8)::double end as value_num, 7::bigint as src_line from part, (values (0, 'tau'), (1, 'dropout'), (2, 'hidden size')) v(ord, symbol)""")
 def stated_values(spark, d):
-    return extract.stated_values(_events(spark, d)).select("paper_version", "ordinal", "symbol", "value_text", "value_num", "src_line")
+    return extract.stated_values(_events(spark, d, "value")).select("paper_version", "ordinal", "symbol", "value_text", "value_num", "src_line")
 
 
 @query("""select 'P' || p_partkey || 'v1' as paper_version, 'https://github.com/lab' || p_partkey % 11 || '/tool' || p_partkey % 13 || '.git' as url, 'github.com' as host, 'lab' || p_partkey % 11 as owner, 'tool' || p_partkey % 13 as repo, true as in_abstract, 2::bigint as src_line from part""")
 def declared_urls(spark, d):
-    return extract.declared_urls(_events(spark, d)).select("paper_version", "url", "host", "owner", "repo", "in_abstract", "src_line")
+    return extract.declared_urls(_events(spark, d, "url")).select("paper_version", "url", "host", "owner", "repo", "in_abstract", "src_line")
 
 
 @query("""select 'P' || p_partkey || 'v1' as paper_version, c.ord::bigint as ordinal, case c.ord when 0 then 'k' || p_partkey % 7 when 1 then 'k' || p_partkey % 5 else 'z' || p_partkey % 3 end as bib_key, case when c.ord < 2 then 'cite' else 'citep' end as command,
-case when c.ord < 2 then 'We extend earlier work \\cite{k' || p_partkey % 7 || ', k' || p_partkey % 5 || '}.' end as context, 5::bigint as src_line from part, (values (0), (1), (2)) c(ord)""")
+case when c.ord < 2 then chr(92) || 'end{abstract} ' || chr(92) || 'section{Introduction to ' || p_name || '} We extend earlier work ' || chr(92) || 'cite{k' || p_partkey % 7 || ', k' || p_partkey % 5 || '}.' else 'See also ' || chr(92) || 'citep{z' || p_partkey % 3 || '}.' end as context, 5::bigint as src_line from part, (values (0), (1), (2)) c(ord)""")
 def citation_sites(spark, d):
-    c = extract.citation_sites(_events(spark, d))
-    # the sentence before begins with a title, which runs on without a full stop
-    context = F.when(F.col("ordinal") < 2, F.regexp_extract("context", r"(We extend.*)$", 1))
-    return c.select("paper_version", "ordinal", "bib_key", "command", context.alias("context"), "src_line")
+    return extract.citation_sites(_events(spark, d, "cite")).select("paper_version", "ordinal", "bib_key", "command", "context", "src_line")
 
 
 @query("""select 'P' || p_partkey || 'v1' as paper_version, 'step-brand-' || substr(p_brand, 7) as slug, 'Step ' || p_brand as name, 'latex_env' as presentation, true as extractable, (case when p_partkey % 5 = 0 then 20 else 18 end)::bigint as src_line from part""")
 def algorithms(spark, d):
-    return extract.algorithms(_events(spark, d)).select("paper_version", "slug", "name", "presentation", "extractable", "src_line")
+    return extract.algorithms(_events(spark, d, "algorithm")).select("paper_version", "slug", "name", "presentation", "extractable", "src_line")
 
 
 _KIND_CASE = "case " + " ".join(f"when regexp_matches(x, '(?i){p}') then '{k}'" for k, p in T.TITLE_KINDS) + " end"
@@ -191,12 +188,12 @@ def component_kinds(spark, d):
 
 @query("""select 'P' || p_partkey || 'v1' as paper_version, c.slug, c.kind, 'P' || p_partkey || 'v1:sec:' || c.path as section_id from part, (values ('model-architecture', 'architecture', '1.1'), ('training', 'training', '2'), ('loss', 'loss', '2.1')) c(slug, kind, path)""")
 def section_components(spark, d):
-    return extract.components(extract.sections(_events(spark, d))).select("paper_version", "slug", "kind", "section_id")
+    return extract.components(extract.sections(_events(spark, d, "heading"))).select("paper_version", "slug", "kind", "section_id")
 
 
 @query("""select 'P' || p_partkey || 'v1' as paper_version, v.symbol, 'P' || p_partkey || 'v1:sec:1' as section_id from part, (values ('tau'), ('dropout'), ('hidden size')) v(symbol)""")
 def locate_section(spark, d):
-    e = _kept(_events(spark, d))
+    e = _kept(_events(spark, d, "heading", "value"))
     return extract.located(extract.stated_values(e), extract.sections(e)).select("paper_version", "symbol", "section_id")
 
 
@@ -206,16 +203,16 @@ def paper_counts(spark, d):
 
 
 @query("""select 'P' || p_partkey || 'v1' as paper_version, s.entity, s.n::bigint as n, case s.entity when 'equations' then '1; 2; ' || substr(sha256('c = d'), 1, 12) || '; 3; ' || substr(sha256('z < ' || p_partkey % 4), 1, 12) when 'algorithms' then 'step-brand-' || substr(p_brand, 7)
-when 'components' then 'loss; model-architecture; training' else 'tau=' || p_size || 'e-4; dropout=0.' || lpad(p_size::string, 2, '0') || '; hidden size=' || p_size * 8 end as labels from part, (values ('equations', 5), ('algorithms', 1), ('components', 3), ('stated_values', 3)) s(entity, n)""")
+when 'components' then 'loss; model-architecture; training' else 'tau=' || p_size || 'e-4; dropout=0.' || lpad(p_size::string, 2, '0') || '; hidden size=' || p_size * 8 end as labels from part, (values ('equations', 5), ('algorithms', 1), ('components', 3), ('stated_values', 3)) s(entity, n)
+union all select 'P' || p_partkey || 'v1', 'sections', case when p_partkey % 5 = 0 then 7 else 5 end, '1 Introduction to ' || p_name || '; 1.1 Model architecture; *remarks Remarks; 2 Training; 2.1 Loss' || case when p_partkey % 5 = 0 then '; A Proofs; A.1 Details' else '' end from part""")
 def paper_skeleton(spark, d):
-    return reads.skeleton(extract.ingest(_kept(_events(spark, d)))).where("entity != 'sections'")
+    return reads.skeleton(extract.ingest(_kept(_events(spark, d))))
 
 
 # ── evidence ─────────────────────────────────────────────────────────────────
 
-_ASSESS = f"""with s as (select * from {_d(t.SIGNALS)} where not contradicted), k as (select distinct subject_kind, subject_id from {_d(t.SIGNALS)}),
-n as (select k.*, (select count(*) from s where s.subject_id = k.subject_id and weight = 'DECISIVE') d, (select count(*) from s where s.subject_id = k.subject_id and weight = 'STRONG') st, (select count(*) from s where s.subject_id = k.subject_id and weight = 'WEAK') w from k),
-j as (select n.*, (select string_agg(detail, '; ' order by ord) from s where s.subject_id = n.subject_id and weight = 'DECISIVE') ds, (select string_agg(detail, '; ' order by ord) from s where s.subject_id = n.subject_id and weight = 'STRONG') ss, (select string_agg(detail, '; ' order by ord) from s where s.subject_id = n.subject_id and weight = 'WEAK') ws from n)
+_ASSESS = f"""with s as (select *, not contradicted and weight = 'DECISIVE' as is_d, not contradicted and weight = 'STRONG' as is_s, not contradicted and weight = 'WEAK' as is_w from {_d(t.SIGNALS)}),
+j as (select subject_kind, subject_id, count(*) filter (is_d) as d, count(*) filter (is_s) as st, count(*) filter (is_w) as w, string_agg(detail, '; ' order by ord) filter (is_d) as ds, string_agg(detail, '; ' order by ord) filter (is_s) as ss, string_agg(detail, '; ' order by ord) filter (is_w) as ws from s group by all)
 select subject_kind, subject_id, case when d > 0 then 'CONFIRMED' when st >= 2 or (st = 1 and w > 0) then 'LIKELY' when st + w > 0 then 'POSSIBLE' else 'UNKNOWN' end as confidence,
 case when d > 0 then ds when st >= 2 then ss when st = 1 and w > 0 then ss || '; ' || ws when st = 1 then ss when w > 0 then ws else 'no supporting evidence was found' end as rationale from j"""
 
@@ -239,8 +236,7 @@ def _user_evidence(spark, d):
     return s, e, there
 
 
-@query(f"""with s as (select * from {_d(t.SIGNALS)}) select subject_id, case when exists (select 1 from s x where x.subject_id = k.subject_id and not x.contradicted and x.ord % 50 % 2 = 0) then 'CONFIRMED' else 'UNKNOWN' end as confidence,
-(select count(*) from s x where x.subject_id = k.subject_id and (x.contradicted or x.ord % 50 % 2 = 0)) as n_kept from (select distinct subject_id from s) k""")
+@query(f"""select subject_id, case when bool_or(not contradicted and ord % 50 % 2 = 0) then 'CONFIRMED' else 'UNKNOWN' end as confidence, count(*) filter (contradicted or ord % 50 % 2 = 0) as n_kept from {_d(t.SIGNALS)} group by 1""")
 def evidence_invariant(spark, d):
     s, e, there = _user_evidence(spark, d)
     final, kept = evidence.record(s.select(*evidence.SUBJECT).distinct().withColumn("confidence", F.lit("CONFIRMED")), e, there)
@@ -302,10 +298,10 @@ def search_or_absence(spark, d):
     return codeindex.searched(s, s.select("repo", F.explode(F.array(F.lit("gizmo turbine"), F.lit("loss7"))).alias("query")).distinct())
 
 
-@query(f"""with p as (select repo, path, line from {_d(t.CODE_LINES)} where line % 40 = 0), s as (select * from {_d(t.SYMBOLS)})
-select repo, path, line::bigint as line, coalesce((select first(qualified_name order by ordinal) from s where s.repo = p.repo and s.file_path = p.path and p.line between line_start and line_end and kind in ('function', 'method')), (select first(qualified_name order by ordinal) from s where s.repo = p.repo and s.file_path = p.path and p.line between line_start and line_end)) as symbol from p""")
+@query(f"""with p as (select repo, path, line from {_d(t.CODE_LINES)}), s as (select * from {_d(t.SYMBOLS)}), j as (select p.*, s.qualified_name, row_number() over (partition by p.repo, p.path, p.line order by (s.kind in ('function', 'method'))::int desc, s.ordinal) as n from p left join s on s.repo = p.repo and s.file_path = p.path and p.line between s.line_start and s.line_end)
+select repo, path, line::bigint as line, qualified_name as symbol from j where n = 1""")
 def enclosing_symbol(spark, d):
-    return codeindex.enclosing(_lines(spark, d).where("line % 40 = 0").select("repo", "path", "line"), _symbols(spark, d))
+    return codeindex.enclosing(_lines(spark, d).select("repo", "path", "line"), _symbols(spark, d))
 
 
 @query(f"""with c as (select distinct repo, path, line, regexp_extract(text, 'y = (fn_[0-9]+)\\(', 1) as name from {_d(t.CODE_LINES)} where regexp_matches(text, 'y = fn_[0-9]+\\(') union select distinct repo, path, line, regexp_extract(text, 'def (fn_[0-9]+)\\(', 1) from {_d(t.CODE_LINES)} where regexp_matches(text, 'def fn_[0-9]+\\(')), s as (select * from {_d(t.SYMBOLS)}),
@@ -331,10 +327,11 @@ def language_histogram(spark, d):
 _SOURCE_FILES = """select 'r' || cast(p_partkey % 10 as string) as repo, 'pkg/f' || cast(p_partkey as string) || '.py' as path, 'LIMIT = ' || cast(p_size as string) || chr(10) || 'class Net' || cast(p_size as string) || ':' || chr(10) || '    def run(self, x):' || chr(10) || '        return x' || chr(10) || 'async def go(a, b=' || cast(p_size as string) || '):' || chr(10) || '    pass' || case when p_partkey % 10 = 3 then chr(10) || 'oops (' else '' end as text from part"""
 
 
-@query("""select 'r' || p_partkey % 10 as repo, 'pkg/f' || p_partkey || '.py::' || replace(s.q, '#n', p_size::string) as qualified_name, s.kind, s.a::bigint as line_start, s.b::bigint as line_end, replace(s.sig, '#n', p_size::string) as signature from part,
-(values ('LIMIT#constant', 'constant', 1, 1, null), ('Net#n#class', 'class', 2, 4, 'class Net#n'), ('Net#n.run#method', 'method', 3, 4, 'def run(self, x)'), ('go#function', 'function', 5, 6, 'async def go(a, b=#n)')) s(q, kind, a, b, sig) where p_partkey % 10 <> 3""")
+@query("""select 'r' || p_partkey % 10 as repo, 'pkg/f' || p_partkey || '.py::' || replace(s.q, '#n', p_size::string) as qualified_name, s.kind, s.a::bigint as line_start, s.b::bigint as line_end, replace(s.sig, '#n', p_size::string) as signature, 'pkg/f' || p_partkey || '.py' as file_path, null as warning from part,
+(values ('LIMIT#constant', 'constant', 1, 1, null), ('Net#n#class', 'class', 2, 4, 'class Net#n'), ('Net#n.run#method', 'method', 3, 4, 'def run(self, x)'), ('go#function', 'function', 5, 6, 'async def go(a, b=#n)')) s(q, kind, a, b, sig) where p_partkey % 10 <> 3
+union all select 'r' || p_partkey % 10, null, null, null, null, null, 'pkg/f' || p_partkey || '.py', 'pkg/f' || p_partkey || '.py: unparseable' from part where p_partkey % 10 = 3""")
 def python_symbols(spark, d):
-    return codeindex.python_symbols(t.derived(spark, d, _SOURCE_FILES)).where("warning is null").select("repo", "qualified_name", "kind", "line_start", "line_end", "signature")
+    return codeindex.python_symbols(t.derived(spark, d, _SOURCE_FILES)).select("repo", "qualified_name", "kind", "line_start", "line_end", "signature", "file_path", F.substring_index("warning", " (", 1).alias("warning"))
 
 
 # ── correlation ──────────────────────────────────────────────────────────────
@@ -347,7 +344,7 @@ union all select 'P' || p_partkey || 'v1', 'r' || p_partkey % 10, 'hidden size',
 
 
 def _mapped_values(spark, d):
-    e = _kept(_events(spark, d))
+    e = _kept(_events(spark, d, "heading", "value"))
     values = extract.located(extract.stated_values(e), extract.sections(e))
     return correlate.map_values(values, t.derived(spark, d, t.PAIRS), codeindex.literals(_lines(spark, d)), _symbols(spark, d))
 
@@ -387,7 +384,7 @@ def map_components(spark, d):
 
 @query("""select 'P' || p_partkey || 'v1' as paper_version, 'Step ' || p_brand as label, case when exists (select 1 from part s where s.p_partkey % 10 = p.p_partkey % 10 and (contains(case s.p_partkey % 4 when 0 then 'encode_' || replace(s.p_name, ' ', '_') when 1 then 'loss' || s.p_size else 'fn' end, 'step') or contains(case s.p_partkey % 4 when 0 then 'encode_' || s.p_name when 1 then 'loss' || s.p_size else 'fn' end, 'brand'))) then 'AMBIGUOUS' else 'ABSENT' end as status from part p""")
 def map_algorithms(spark, d):
-    e = _kept(_events(spark, d))
+    e = _kept(_events(spark, d, "heading", "algorithm"))
     a = extract.located(extract.algorithms(e), extract.sections(e)).withColumn("id", F.concat("paper_version", F.lit(":algo:"), "slug"))
     return correlate.map_algorithms(a, t.derived(spark, d, t.PAIRS), _symbols(spark, d)).select("paper_version", "label", "status")
 
@@ -399,14 +396,15 @@ def map_summary(spark, d):
     return correlate.histogram(both, ["paper_version"])
 
 
-_BEHAVIOUR = """select 'P' || p_partkey || 'v1' as paper_version, 'r' || p_partkey % 10 as repo, b.kind, b.subject, case when p_size >= 0 then 'BLOCKING' end as severity from part, (values ('TRAINING', 'learning-rate warmup'), ('TRAINING', 'weight decay'), ('ARCHITECTURAL', 'dropout')) b(kind, subject)
-where (b.subject = 'learning-rate warmup' and p_partkey % 2 = 0) or (b.subject = 'weight decay' and not exists (select 1 from lineitem l where l.l_suppkey % 10 = p_partkey % 10 and l.l_suppkey % 10 < 4 and l.l_partkey % 4 = 3 and l.l_orderkey % 997 <> 0))"""
+_BEHAVIOUR = f"""with x as (select 'P' || p_partkey || 'v1' as paper_version, 'r' || p_partkey % 10 as repo, b.*, tex from part join {_d(t.PAPERS)} on k = p_partkey, (values ('TRAINING', 'learning-rate warmup', 'warmup', 'BLOCKING'), ('TRAINING', 'weight decay', 'weight decay', 'BLOCKING'), ('ARCHITECTURAL', 'dropout', 'dropout', 'MINOR')) b(kind, subject, word, severity)
+where (b.subject = 'learning-rate warmup' and p_partkey % 2 = 0) or (b.subject = 'weight decay' and not exists (select 1 from lineitem l where l.l_suppkey % 10 = p_partkey % 10 and l.l_suppkey % 10 < 4 and l.l_partkey % 4 = 3 and l.l_orderkey % 997 <> 0)) or b.subject = 'dropout')
+select paper_version, repo, kind, subject, severity, trim(regexp_replace(substr(tex, greatest(strpos(tex, word) - 95, 1), strpos(tex, word) - greatest(strpos(tex, word) - 95, 1) + length(word) + 95), '\\s+', ' ', 'g')) as paper_states from x"""
 
 
 @query(_BEHAVIOUR)
 def behaviour_differences(spark, d):
     rows = correlate.behaviour_differences(_kept(_papers(spark, d)), t.derived(spark, d, t.PAIRS), _lines(spark, d))
-    return rows.where("subject != 'dropout'").select("paper_version", "repo", "kind", "subject", "severity")
+    return rows.select("paper_version", "repo", "kind", "subject", "severity", "paper_states")
 
 
 @query(f"""with m as ({_MAP_COMPONENTS}), c as (select * from {_d(t.COMPONENTS)}) select m.paper_version, m.label as subject, case c.kind when 'loss' then 'BLOCKING' when 'training' then 'BLOCKING' when 'optimizer' then 'SIGNIFICANT' when 'architecture' then 'SIGNIFICANT' else 'MINOR' end as severity from m join c using (paper_version) where m.status = 'ABSENT'""")
@@ -442,12 +440,17 @@ _VERDICTS = """select 'P' || cast(l_orderkey % 60 as string) as paper_version, '
  min(case when l_quantity < 10 then 'BLOCKING' when l_quantity < 25 then 'SIGNIFICANT' else 'MINOR' end) as severity from lineitem group by l_orderkey % 60, l_suppkey % 4, l_linenumber, l_partkey % 3"""
 
 
-@query(f"""with v as (select * from {_d(_VERDICTS)}), c as (select paper_version, repo, count(*) filter (status = 'MATCHED') as n_matched, count(*) filter (status = 'ABSENT') as n_absent, count(*) filter (severity = 'BLOCKING') as n_blocking, count(*) filter (severity = 'SIGNIFICANT') as n_significant from v group by all)
+_DIFFERENCES = """select 'P' || cast(l_orderkey % 60 as string) as paper_version, 'r' || cast(l_suppkey % 4 as string) as repo, 'CHANGED_HYPERPARAMETER' as kind, 'v' || cast(l_partkey % 11 as string) as subject, min(case when l_discount > 0.08 then 'BLOCKING' when l_discount > 0.04 then 'SIGNIFICANT' else 'MINOR' end) as severity
+ from lineitem where l_quantity > 40 group by l_orderkey % 60, l_suppkey % 4, l_partkey % 11"""
+
+
+@query(f"""with v as (select * from {_d(_VERDICTS)}), f as (select paper_version, repo, count(*) filter (severity = 'BLOCKING') as n_blocking, count(*) filter (severity = 'SIGNIFICANT') as n_significant from {_d(_DIFFERENCES)} group by all),
+c as (select paper_version, repo, count(*) filter (status = 'MATCHED') as n_matched, count(*) filter (status = 'ABSENT') as n_absent, coalesce(any_value(n_blocking), 0) as n_blocking, coalesce(any_value(n_significant), 0) as n_significant from v left join f using (paper_version, repo) group by all)
 select a.*, (select count(*) + 1 from c b where b.paper_version = a.paper_version and (b.n_blocking, b.n_absent, b.n_significant, -b.n_matched) < (a.n_blocking, a.n_absent, a.n_significant, -a.n_matched))::bigint as place,
 not exists (select 1 from c b where b.paper_version = a.paper_version and b.repo <> a.repo and (b.n_blocking, b.n_absent, b.n_significant, -b.n_matched) <= (a.n_blocking, a.n_absent, a.n_significant, -a.n_matched)) as closest from c a""")
 def compare_implementations(spark, d):
-    v = t.derived(spark, d, _VERDICTS)
-    return correlate.compare_repositories(v, v).select("paper_version", "repo", "n_matched", "n_absent", "n_blocking", "n_significant", "place", "closest")
+    rows = correlate.compare_repositories(t.derived(spark, d, _VERDICTS), t.derived(spark, d, _DIFFERENCES))
+    return rows.select("paper_version", "repo", "n_matched", "n_absent", "n_blocking", "n_significant", "place", "closest")
 
 
 @query(f"""with v as (select * from {_d(_VERDICTS)}), r as (select distinct paper_version, repo from v), a as (select distinct paper_version, anchor_kind, label from v), x as (select a.*, r.repo, coalesce(v.status, 'UNKNOWN') as status from a join r using (paper_version) left join v using (paper_version, anchor_kind, label, repo))
@@ -472,11 +475,15 @@ def candidate_signals(spark, d):
     return discover.signals(_candidates(spark, d)).select("paper_version", "repo", "name", "weight")
 
 
-@query(_SIGNAL_SQL + """ select paper_version, repo, case when s1 then case when s2 or s3 or s4 then 'OFFICIAL' else 'DECLARED_DEPENDENCY' end when contains(readme, 'unofficial') then 'REPRODUCTION' when s2 then 'ORGANIZATION' when s3 or s4 then 'THIRD_PARTY' else 'UNRELATED' end as relation,
-case when s1 then case when archived then 'LIKELY' else 'CONFIRMED' end when not contains(readme, 'unofficial') and not s2 and not s3 and not s4 then 'UNKNOWN' when s2::int + s3::int + s4::int >= 2 then 'LIKELY' when s2 or s3 or s4 then 'POSSIBLE' else 'UNKNOWN' end as confidence from c""")
+@query(_SIGNAL_SQL + """, r as (select *, case when s1 then case when s2 or s3 or s4 then 'OFFICIAL' else 'DECLARED_DEPENDENCY' end when contains(readme, 'unofficial') then 'REPRODUCTION' when s2 then 'ORGANIZATION' when s3 or s4 then 'THIRD_PARTY' else 'UNRELATED' end as relation,
+case when s1 then case when archived then 'LIKELY' else 'CONFIRMED' end when not contains(readme, 'unofficial') and not s2 and not s3 and not s4 then 'UNKNOWN' when s2::int + s3::int + s4::int >= 2 then 'LIKELY' when s2 or s3 or s4 then 'POSSIBLE' else 'UNKNOWN' end as confidence from c),
+l as (select *, repo_name = 'awesome-list' and seed % 5 > 0 as listed from r)
+select paper_version, repo, case when listed then 'DERIVED' else relation end as relation, case when listed and confidence in ('CONFIRMED', 'LIKELY') then 'POSSIBLE' else confidence end as confidence, case when not listed and seed % 5 > 0 then (seed % 4) / 4 end as coverage, case when listed then 'NOT_AN_IMPLEMENTATION' when seed % 5 = 0 then 'NONE' else 'SHALLOW' end as coverage_checked from l""")
 def candidate_relation(spark, d):
-    none = spark.createDataFrame([], "paper_version string, repo string, n_files long, n_matched int, n_missing int, score double, checked string, missing string")
-    return discover.assessed(_candidates(spark, d), none).select("paper_version", "repo", "relation", "confidence")
+    c = _candidates(spark, d)
+    n = F.col("seed") % 4
+    covered = c.where("seed % 5 > 0").select("paper_version", "repo", F.lit(2).cast("long").alias("n_files"), n.alias("n_matched"), (4 - n).alias("n_missing"), (n / 4).alias("score"), F.lit("SHALLOW").alias("checked"), F.lit("").alias("missing"))
+    return discover.assessed(c, covered).select("paper_version", "repo", "relation", "confidence", "coverage", "coverage_checked")
 
 
 _KIND_FILES = {"loss": "false", "training": "b like 'train%'", "dataset": "b like 'dataset%'", "architecture": "b like 'model%'", "evaluation": "false"}
@@ -566,6 +573,14 @@ def trace_method(spark, d):
     return lineage.trace_method(_sites(spark, d), _entries(spark, d), sections, methods)[0].select("method", "paper_version", "bib_key", "title", "context")
 
 
+@query("""with m as (select * from (values ('loss function'), ('small things'), ('xx')) m(method)), s as (select 'P' || p_partkey || 'v1' as paper_version, q.path, q.title, q.n from part, (values ('2.1', 'Loss', 4), ('1', 'Introduction', 0)) q(path, title, n) where q.path = '2.1' or contains(lower(p_name), 'small'))
+select m.method, s.paper_version, s.path as section_path from m join s on (m.method = 'loss function' and s.path = '2.1') or (m.method = 'small things' and s.path = '1')""")
+def trace_method_sections(spark, d):
+    methods = spark.createDataFrame([("loss function",), ("small things",), ("xx",)], "method string")
+    sections = extract.sections(_events(spark, d, "heading")).where("section_path in ('1', '2.1')")
+    return lineage.trace_method(_sites(spark, d), _entries(spark, d), sections, methods)[1].select("method", "paper_version", "section_path")
+
+
 _EDGES = "select distinct 'C' || cast(o_custkey % 700 as string) as from_paper, 'C' || cast(o_orderkey % 700 as string) as to_paper, 'CITES' as relation from orders"
 
 
@@ -604,7 +619,7 @@ def components_left_mappings(spark, d):
 
 @query(f"with m as ({_MAP_VALUES}) select paper_version, label as symbol, status, case when status in ('MATCHED', 'ABSENT') then 'CONFIRMED' else 'UNKNOWN' end as confidence from m")
 def values_left_mappings(spark, d):
-    v = extract.stated_values(_events(spark, d)).join(t.derived(spark, d, t.PAIRS), "paper_version")
+    v = extract.stated_values(_events(spark, d, "value")).join(t.derived(spark, d, t.PAIRS), "paper_version")
     return reproduction.with_status(v, correlate.graded(_mapped_values(spark, d))).select("paper_version", "symbol", "status", "confidence")
 
 
@@ -634,7 +649,7 @@ def route_address(spark, d):
 
 @query("""select 'P' || p_partkey || 'v1' as paper_version, (case when r = 'x' then '9' else r end) as ref, substr(sha256(case r when '1' then 'y = a_{' || p_partkey % 9 || '} x' when '2' then 'a = b' else 'e = f' end), 1, 12) as content_hash, 1::bigint as n_same from part, (values ('1'), ('2'), ('3')) q(r)""")
 def equation_by_number(spark, d):
-    e = extract.equations(_events(spark, d))
+    e = extract.equations(_events(spark, d, "equation"))
     asked = _papers(spark, d).select("paper_version", F.explode(F.array(*map(F.lit, ["1", "2", "3", "9"]))).alias("ref"))
     return reads.equation(e, asked)
 
@@ -654,7 +669,7 @@ def _plan(spark, d):
     pairs = t.derived(spark, d, t.PAIRS)
     values = _kept(_mapped_values(spark, d))
     c = reproduction.component_parts(t.derived(spark, d, t.COMPONENTS), _verdicts(spark, d, values), pairs)
-    v = reproduction.value_part(extract.stated_values(_events(spark, d)), correlate.graded(values), pairs)
+    v = reproduction.value_part(extract.stated_values(_events(spark, d, "value")), correlate.graded(values), pairs)
     return c.unionByName(v)
 
 

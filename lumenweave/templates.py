@@ -65,8 +65,8 @@ COMPONENTS = """select 'P' || cast(p_partkey as string) || 'v1' as paper_version
 
 #: Events as evidence signals.
 SIGNALS = """select 'user' as subject_kind, cast(user_id as string) as subject_id, event_id as ord,
-  case event_type when 'purchase' then 'DECISIVE' when 'signup' then 'STRONG' else 'WEAK' end as weight, event_type || cast(event_id as string) as detail, event_type = 'error' as contradicted
-  from events where event_id % 7 < 2 and (event_type <> 'purchase' or event_id % 5 = 0)"""
+  case when event_type = 'purchase' and value > 150 then 'DECISIVE' when event_type = 'signup' and value > 120 then 'STRONG' when event_type = 'view' and value > 60 then 'WEAK' else 'NONE' end as weight,
+  event_type || cast(event_id as string) as detail, event_type = 'error' or value < 1 as contradicted from events"""
 
 #: Versions of papers: orders of a customer.
 VERSIONS = """select 'C' || cast(o_custkey as string) as arxiv_id, cast(row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as int) as version,
@@ -75,9 +75,9 @@ VERSIONS = """select 'C' || cast(o_custkey as string) as arxiv_id, cast(row_numb
 
 #: Bibliographies and citation sites: parts cited by orders.
 ENTRIES = """select distinct 'O' || cast(l_orderkey % 500 as string) as paper_version, 'k' || cast(l_partkey % 97 as string) as bib_key, 'T' || cast(l_partkey % 97 as string) as title, cast(1990 + l_partkey % 97 % 30 as int) as year,
-  case when l_partkey % 97 % 2 = 0 then '2001.' || lpad(cast(l_partkey % 97 as string), 5, '0') end as arxiv_id, case when l_partkey % 97 % 5 = 0 then '10.1000/' || cast(l_partkey % 97 as string) end as doi from lineitem where l_partkey % 3 > 0"""
-SITES = """select 'O' || cast(l_orderkey % 500 as string) as paper_version, 'k' || cast(l_partkey % 97 as string) as bib_key, 'says ' || cast(l_partkey as string) || ' of ' || l_returnflag || ' and ' || cast(l_orderkey as string) as context,
-  cast(l_linenumber as int) as src_line, cast(row_number() over (partition by l_orderkey % 500 order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as int) as ordinal from lineitem where l_suppkey % 2 = 0"""
+  case when l_partkey % 97 % 2 = 0 then '2001.' || lpad(cast(l_partkey % 97 as string), 5, '0') end as arxiv_id, case when l_partkey % 97 % 5 = 0 then '10.1000/' || cast(l_partkey % 97 as string) end as doi from lineitem"""
+SITES = """select 'O' || cast(l_orderkey % 500 as string) as paper_version, 'k' || cast(l_suppkey * 7 % 101 as string) as bib_key, 'says ' || cast(l_partkey as string) || ' of ' || l_returnflag || ' and ' || cast(l_orderkey as string) as context,
+  cast(l_linenumber as int) as src_line, cast(row_number() over (partition by l_orderkey % 500 order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as int) as ordinal from lineitem"""
 
 #: Requests to sources and a cache's puts and gets.
 REQUESTS = "select event_type as source, cast(ts as timestamp) as ts, event_id as seq from events"
