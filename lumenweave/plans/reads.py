@@ -120,3 +120,27 @@ def report(counts: DataFrame, mappings: DataFrame, differences: DataFrame) -> Da
 
 def top_of(rows: DataFrame, by: list[str], order: list, n: int = 1) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+
+
+#: Keys that a miss names, at most, in order.
+SHOWN = 40
+
+
+def lookup(rows: DataFrame, asked: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """asked (paper_version, ref) to (paper_version, ref, found, columns, available) among rows of a paper with that key.
+
+    A miss has no columns, and the paper's first keys in available; a paper without rows has none available. Of equal
+    keys the least row counts.
+    """
+    one = rows.groupBy("paper_version", F.col(key).alias("ref")).agg(F.min(F.struct(*columns)).alias("x"))
+    place = F.row_number().over(Window.partitionBy("paper_version").orderBy("ref"))
+    keys = one.withColumn("n", place).where(F.col("n") <= SHOWN).groupBy("paper_version").agg(F.array_join(F.array_sort(F.collect_list("ref")), ",").alias("available"))
+    out = asked.join(one, ["paper_version", "ref"], "left").join(keys, "paper_version", "left")
+    found = F.col("x").isNotNull()
+    return out.select("paper_version", "ref", found.alias("found"), *(F.col(f"x.{c}").alias(c) for c in columns), F.when(~found, F.col("available")).alias("available"))
+
+
+def listed(rows: DataFrame, what: str, label) -> DataFrame:
+    """(paper_version, what, listed): all labels of a paper's rows in order."""
+    items = F.array_sort(F.collect_list(F.struct("ordinal", label.alias("label"))))
+    return rows.groupBy("paper_version").agg(F.array_join(F.transform(items, lambda x: x["label"]), "; ").alias("listed")).select("paper_version", F.lit(what).alias("what"), "listed")
