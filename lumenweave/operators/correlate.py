@@ -91,11 +91,14 @@ def map_components(components: DataFrame, pairs: DataFrame, symbols: DataFrame,
     for kind, pattern in SYMBOL_KINDS.items():
         bonus = F.when((F.col("kind") == kind) & F.col("symbol_name").rlike("(?i)" + pattern), 1).otherwise(bonus)
     best = scored.groupBy(*key).agg(F.min(F.struct((-F.col("covered")).alias("c"), (-bonus).alias("b"), "qualified_name")).alias("best"))
-    # words of names in code: names' distinctive tokens meet the words of lines by equality of their first four letters, and are then looked for
+    # words of names in code: names' distinctive tokens meet the distinct words of a repository by equality of four letters, and are then looked for in those words
     words = F.filter("tokens", lambda t: (F.length(t) >= 4) & ~t.isin(T.GENERIC_WORDS))
     tokens = c.select("repo", F.explode(words).alias("token")).distinct()
-    grams = lines.where(F.col("path").rlike(codeindex.SOURCE)).select("repo", "path", "line", "text", F.explode(F.array_distinct(F.flatten(F.transform(F.regexp_extract_all("text", F.lit("[a-z0-9]{4,}"), F.lit(0)), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 3), lambda i: F.substring(w, i, F.lit(4))))))).alias("gram"))
-    places = tokens.withColumn("gram", F.substring("token", 1, 4)).join(grams, ["repo", "gram"]).where(F.contains("text", F.col("token"))).groupBy("repo", "token").agg(F.min(F.struct("path", "line")).alias("at"))
+    in_code = lines.where(F.col("path").rlike(codeindex.SOURCE)).select("repo", "path", "line", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z0-9]{4,}"), F.lit(0)))).alias("word"))
+    firsts = in_code.groupBy("repo", "word").agg(F.min(F.struct("path", "line")).alias("at"))
+    starts = F.sequence(F.lit(1), F.length("word") - 3)
+    grams = firsts.select("repo", "word", "at", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("word"), i, F.lit(4))))).alias("gram"))
+    places = tokens.withColumn("gram", F.substring("token", 1, 4)).join(grams, ["repo", "gram"]).where(F.contains("word", F.col("token"))).groupBy("repo", "token").agg(F.min("at").alias("at"))
     inside = c.select(*key, F.posexplode(words).alias("place", "token")).join(places, ["repo", "token"]).groupBy(*key).agg(F.min_by(F.struct("token", "at.path", "at.line"), "place").alias("inside"))
     located = values.where("anchor_kind = 'stated_value' and status = 'MATCHED'")
     sections = located.where("section_id is not null").select(*PAIR, "section_id").distinct().withColumn("same", F.lit(True))
