@@ -38,6 +38,12 @@ class Catalog:
         else:
             rows.write.mode("overwrite").parquet(self.path(name))
 
+    def export_json(self, results: dict[str, DataFrame], root: str) -> None:
+        """Results by tool (each with a paper_version) as lines of JSON under root/paper_version=<paper>/tool=<tool>; papers written before are replaced tool by tool."""
+        for tool, rows in results.items():
+            lines = rows.select("paper_version", F.lit(tool).alias("tool"), F.to_json(F.struct(*(c for c in rows.columns if c != "paper_version")), {"ignoreNullFields": "false"}).alias("value"))
+            lines.repartition("paper_version").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("paper_version", "tool").text(root)
+
     def views(self) -> None:
         for name in TABLES:
             self.read(name).createOrReplaceTempView(name)

@@ -8,9 +8,9 @@ from . import queries as q
 from . import templates as t
 from .functions import text as T
 from .operators import codeindex, correlate, discover, evidence, extract, lineage, scan
-from .plans import reads, reproduction
+from .plans import ingest, reads, reproduction
 from .queries import ORACLES, query
-from .sources import compact, landing
+from .sources import compact, flatten, landing
 
 _d = t.for_duckdb
 
@@ -222,3 +222,70 @@ def component_lookup(spark, d):
 def values_and_urls(spark, d):
     e = q._kept(q._events(spark, d, "value", "url"))
     return reads.listed(extract.stated_values(e), "values", F.concat_ws("=", "symbol", "value_text")).unionByName(reads.listed(extract.declared_urls(e), "urls", F.col("url")))
+
+
+# ── ingest ───────────────────────────────────────────────────────────────────
+
+_TREE_FILES = f"""select 'P' || cast(p_partkey as string) as paper_version, f.path, case f.path
+ when 'main.tex' then {_B} || 'documentclass{{x}}' || chr(10) || {_B} || 'newcommand{{' || {_B} || 'net}}{{Deep ' || p_name || '}}' || {_B} || 'def' || {_B} || 'two#1{{}}' || {_B} || 'newcommand{{' || {_B} || 'pair}}[2]{{<#2, {{#1}} of ' || {_B} || 'net>}}' || chr(10) || 'A ' || {_B} || 'input{{sec/a}} Z ' || {_B} || 'net{{}} ' || {_B} || 'network ' || {_B} || 'pair{{u}}{{v' || cast(p_size as string) || '}} % ' || {_B} || 'input{{gone}}' || chr(10) || {_B} || 'include{{ ./sec/b.tex }}!'
+ when 'sec/a.tex' then '[a ' || {_B} || 'input{{sec/b}} a]% note' when 'sec/b.tex' then '(b' || cast(p_size as string) || {_B} || 'input{{main}}' || {_B} || 'input{{none}})' else 'never ' || {_B} || 'input{{sec/a}}' end as text
+ from part join (select case n_nationkey when 0 then 'main.tex' when 1 then 'sec/a.tex' when 2 then 'sec/b.tex' else 'aside.tex' end as path from nation where n_nationkey < 4) f on true"""
+
+
+@query(f"""select 'P' || p_partkey as paper_version, {_B} || 'documentclass{{x}}' || chr(10) || {_B} || 'def' || {_B} || 'two#1{{}}' || chr(10) || 'A [a (b' || p_size || ') a] Z Deep ' || p_name || ' ' || {_B} || 'network <v' || p_size || ', {{u}} of Deep ' || p_name || '> ' || chr(10) || '(b' || p_size || ')!' as tex from part""")
+def flattened_sources(spark, d):
+    return flatten.flattened(t.derived(spark, d, _TREE_FILES))
+
+
+_RECORDS = "select c_custkey as k, c_name as name, c_nationkey as n, lower(c_mktsegment) as word from customer"
+
+
+def _bodies(spark, d):
+    """A registered work for each customer: every seventh without references, one reference without a DOI, one key twice."""
+    refs = F.when(F.col("k") % 7 == 0, F.lit("[]")).otherwise(F.concat(F.lit('[{"key":"a","DOI":"10.2/A'), "k", F.lit('","article-title":"On '), "word", F.lit('","year":"1999"},{"unstructured":"Loose words","year":"about"},{"key":"c","article-title":"old"},{"key":"c","DOI":"10.2/c","article-title":"new","year":"2001a"}]')))
+    body = F.concat(F.lit('{"message":{"title":["'), "name", F.lit('"],"author":[{"given":"Ada","family":"'), "word", F.lit('"}],"issued":{"date-parts":[['), F.col("n") + 2000, F.lit(',3]]},"reference":'), refs, F.lit("}}"))
+    works = landing.work_records(t.derived(spark, d, _RECORDS).select(F.concat(F.lit("10.1/W"), "k").alias("doi"), body.alias("body")))
+    return works, landing.work_references(works)
+
+
+_REGISTERED = f"""select k, r.key, case r.key when 'a' then 'On ' || word else r.title end as title, r.year::bigint as year, case r.key when 'a' then '10.2/a' || k else r.doi end as doi from {_d(_RECORDS)}, (values ('a', null, 1999, null), ('ref1', 'Loose words', null, null), ('c', 'new', 2001, '10.2/c')) r(key, title, year, doi) where k % 7 > 0"""
+
+
+@query(f"""select p.paper_version, p.title, p.published_at, 'UNAVAILABLE' as fidelity, r.key as bib_key, r.title as cited, r.year, r.doi, r.doi is not null as edge from (select k, '10.1/w' || k || 'v1' as paper_version, name as title, (2000 + n) || '-3' as published_at from {_d(_RECORDS)}) p left join ({_REGISTERED}) r using (k)""")
+def metadata_only_papers(spark, d):
+    got = ingest.metadata_only(*_bodies(spark, d))
+    edges = got["lineage_edges"].select(F.concat("from_paper", F.lit("v1")).alias("paper_version"), F.col("to_paper").alias("doi"), F.lit(True).alias("edge"))
+    entries = got["bib_entries"].select("paper_version", "bib_key", F.col("title").alias("cited"), "year", "doi").join(edges, ["paper_version", "doi"], "left")
+    papers = got["papers"].select(F.col("latest_version").alias("paper_version"), "title", "published_at").join(got["paper_versions"].select("paper_version", "fidelity"), "paper_version")
+    return papers.join(entries, "paper_version", "left").select("paper_version", "title", "published_at", "fidelity", "bib_key", "cited", "year", "doi", F.coalesce("edge", F.lit(False)).alias("edge"))
+
+
+@query(f"""with r as ({_REGISTERED}) select 'V' || k as paper_version, key as bib_key, title, year, doi, case when doi is not null then 'V' || k || '->' || doi || ':CITES' end as edge from r where k % 3 > 0""")
+def enriched_references(spark, d):
+    _, references = _bodies(spark, d)
+    versions = t.derived(spark, d, "select 'V' || cast(c_custkey as string) as paper_version, 'V' || cast(c_custkey as string) as paper, '10.1/w' || cast(c_custkey as string) as doi, c_custkey as k from customer")
+    got = ingest.enriched(versions, versions.where("k % 3 = 0").select("paper_version"), references)
+    edges = got["lineage_edges"].select(F.col("from_paper").alias("paper_version"), F.col("to_paper").alias("doi"), F.col("id").alias("edge"))
+    return got["bib_entries"].select("paper_version", "bib_key", "title", "year", "doi").join(edges, ["paper_version", "doi"], "left")
+
+
+@query(f"""select 'q' || n as query, i::bigint as place, '10.3/' || lower(x) || i as doi, case when i = 1 then '(untitled)' else 'T' || i || ' ' || x end as title, case when i % 2 = 0 then 'Venue' end as venue, case when i = 2 then null else (1990 + i)::bigint end as year, case when i = 3 then 'A0 B;A1 B;A2 B;A3 B;A4 B;A5 B' else 'Solo' end as authors from (select n_nationkey as n, n_name as x from nation), range(8) r(i)""")
+def found_works(spark, d):
+    def item(i):
+        people = ",".join(f'{{"given":"A{j}","family":"B"}}' for j in range(7)) if i == 3 else '{"family":"Solo"}'
+        title, venue, year = ("" if i == 1 else f'"title":["T{i} #"],'), ('"container-title":["Venue"],' if i % 2 == 0 else ""), ("" if i == 2 else f'"issued":{{"date-parts":[[{1990 + i}]]}},')
+        return f'{{"DOI":"10.3/#{i}",{title}{venue}{year}"author":[{people}]}}'
+
+    body = '{"message":{"items":[' + ",".join(map(item, range(10))) + "]}}"
+    rows = t.derived(spark, d, "select n_nationkey as n, n_name as x from nation").select(F.concat(F.lit("q"), "n").alias("query"), F.replace(F.lit(body), F.lit("#"), F.col("x")).alias("body"))
+    return landing.work_search(rows).select("query", "place", "doi", "title", "venue", "year", F.array_join("authors", ";").alias("authors"))
+
+
+_SHELF = "select '2001.' || lpad(cast(p_partkey as string), 5, '0') as arxiv_id, 'Study of ' || p_name || ' zz' || cast(p_partkey as string) || 'z' as title, 'about ' || p_type as abstract, cast(null as string) as doi, '2001.' || lpad(cast(p_partkey as string), 5, '0') || 'v1' as latest_version, p_partkey as k from part"
+_WANTED = "select case p_partkey % 4 when 0 then '2001.' || lpad(cast(p_partkey as string), 5, '0') when 1 then 'zz' || cast(p_partkey as string) || 'z' when 2 then '2009.' || lpad(cast(p_partkey as string), 5, '0') else 'qq' || cast(p_partkey as string) end as text from part"
+
+
+@query(f"""with a as (select p_partkey as k, text from part, lateral (select case p_partkey % 4 when 0 then '2001.' || lpad(p_partkey::string, 5, '0') when 1 then 'zz' || p_partkey || 'z' when 2 then '2009.' || lpad(p_partkey::string, 5, '0') else 'qq' || p_partkey end as text) x)
+select text, case k % 4 when 0 then 'CONFIRMED' when 1 then 'POSSIBLE' else 'UNKNOWN' end as confidence, case when k % 4 < 2 then '2001.' || lpad(k::string, 5, '0') end as arxiv_id, case when k % 4 < 2 then '2001.' || lpad(k::string, 5, '0') || 'v1' end as paper_version from a""")
+def resolved_candidates(spark, d):
+    return reads.candidates(t.derived(spark, d, _WANTED), t.derived(spark, d, _SHELF))

@@ -170,7 +170,7 @@ def kind_of_title(title: Column) -> Column:
 
 def strip_comments(text: Column) -> Column:
     """Each line up to its first percent sign that isn't escaped."""
-    return F.regexp_replace(text, r"(?md)^((?:[^%\\\n]|\\.)*)%.*$", "$1")
+    return F.regexp_replace(text, r"(?md)^((?:[^%\\\n]++|\\.)*+)%.*$", "$1")
 
 
 def line_at(text: Column, offset: Column) -> Column:

@@ -28,6 +28,23 @@ def resolve(asked: DataFrame, papers: DataFrame) -> DataFrame:
     return rows.select("text", F.when(one, "FOUND").when(F.col("n") > 1, "AMBIGUOUS").otherwise("NOT_FOUND").alias("status"), F.when(one, F.col("arxiv_id")).alias("arxiv_id"), F.when(one, F.col("paper_version")).alias("paper_version"))
 
 
+def candidates(asked: DataFrame, papers: DataFrame) -> DataFrame:
+    """asked (text) to (text, confidence, arxiv_id, paper_version): an exact id is CONFIRMED; other texts are searched for, and what is found is POSSIBLE; nothing is UNKNOWN.
+
+    papers: arxiv_id, title, abstract, doi, latest_version. A text that names an id isn't searched for.
+    """
+    from ..sources.landing import title_search
+
+    exact = resolve(asked, papers)
+    id_, _ = T.arxiv_parts(F.col("text"))
+    sure = exact.where("status = 'FOUND'").select("text", F.lit("CONFIRMED").alias("confidence"), "arxiv_id", "paper_version")
+    open_ = exact.where((F.col("status") != "FOUND") & id_.isNull()).select(F.col("text").alias("query"))
+    hits = title_search(papers, open_).select(F.col("query").alias("text"), "arxiv_id")
+    likely = hits.join(papers.select("arxiv_id", F.col("latest_version").alias("paper_version")), "arxiv_id").select("text", F.lit("POSSIBLE").alias("confidence"), "arxiv_id", "paper_version")
+    found = sure.unionByName(likely)
+    return asked.select("text").distinct().join(found, "text", "left").select("text", F.coalesce("confidence", F.lit("UNKNOWN")).alias("confidence"), "arxiv_id", "paper_version")
+
+
 def route(addresses: DataFrame) -> DataFrame:
     """addresses (uri) to (uri, kind, subject, target): the first kind that fits, with the encoding undone."""
     path = F.regexp_extract("uri", f"^{T.SCHEME}://(.*)$", 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,12 +12,16 @@ from ..functions import text as T
 
 
 def shared_checkpoints(spark: SparkSession) -> str:
-    """The folder for checkpoints: the session's, or a temporary one where none is set."""
+    """The folder for checkpoints: the session's; a temporary one only where none is set and one machine does all the work."""
     context = spark.sparkContext
     got = context._jsc.sc().getCheckpointDir()
     if got.isDefined():
         return got.get()
-    uri = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="shared-")
+    uri = spark.conf.get("spark.checkpoint.dir", None)
+    if not uri:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        uri = "file://" + tempfile.mkdtemp(prefix="shared-")
     context.setCheckpointDir(uri)
     return uri
 
@@ -64,7 +69,7 @@ def work_records(bodies: DataFrame) -> DataFrame:
     schema = f"message struct<DOI:string,title:array<string>,author:array<struct<{name}>>,`container-title`:array<string>,issued:struct<`date-parts`:array<array<int>>>,abstract:string,reference:array<struct<key:string,DOI:string,`article-title`:string,unstructured:string,year:string,author:string>>>"
     m = bodies.select("doi", _json("body", schema).getField("message").alias("m")).where("m is not null")
     parts = F.try_element_at("m.issued.date-parts", F.lit(1))
-    date = F.array_join(F.transform(parts, lambda p: F.lpad(p.cast("string"), 2, "0")), "-")
+    date = F.array_join(F.transform(parts, lambda p: p.cast("string")), "-")
     return m.select(
         "doi", F.try_element_at("m.title", F.lit(1)).alias("title"),
         F.transform("m.author", lambda a: F.coalesce(a["name"], F.trim(F.concat_ws(" ", a["given"], a["family"])))).alias("authors"),
@@ -73,6 +78,17 @@ def work_records(bodies: DataFrame) -> DataFrame:
     )
 
 
+def work_search(bodies: DataFrame, limit: int = 8) -> DataFrame:
+    """bodies (query, body: JSON of a list of registered works) to the first works of each query: (query, place, doi, title, venue, year, authors, six at most)."""
+    name = "given:string,family:string"
+    schema = f"message struct<items:array<struct<DOI:string,title:array<string>,author:array<struct<{name}>>,`container-title`:array<string>,issued:struct<`date-parts`:array<array<int>>>>>>"
+    rows = bodies.select("query", F.posexplode(F.slice(_json("body", schema).getField("message").getField("items"), 1, limit)).alias("place", "m"))
+    return rows.select(
+        "query", "place", F.lower("m.DOI").alias("doi"), F.coalesce(F.try_element_at("m.title", F.lit(1)), F.lit("(untitled)")).alias("title"), F.try_element_at("m.container-title", F.lit(1)).alias("venue"),
+        F.try_element_at(F.try_element_at("m.issued.date-parts", F.lit(1)), F.lit(1)).alias("year"), F.slice(F.transform("m.author", lambda a: F.trim(F.concat_ws(" ", a["given"], a["family"]))), 1, 6).alias("authors"),
+    )
+
+
 def work_references(works: DataFrame) -> DataFrame:
     """References of work_records, one row each: (doi, ordinal, key, ref_doi, title, year)."""
     cut = works.select("doi", F.posexplode("references").alias("ordinal", "r"))

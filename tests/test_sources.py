@@ -2,7 +2,8 @@
 
 from lumenweave import catalog
 from lumenweave.operators import codeindex, discover
-from lumenweave.sources import compact, landing
+from lumenweave.plans import ingest
+from lumenweave.sources import compact, flatten, landing
 
 COMPACT = """#MUNCH/1 tool=x
 @1=clip/model.py
@@ -106,3 +107,46 @@ def test_entry_works_without_the_text_operators(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def _tex(spark, files, **options):
+    rows = [("p", path, text) for path, text in files]
+    return {r.paper_version: r.tex for r in flatten.flattened(spark.createDataFrame(rows, "paper_version string, path string, text string"), **options).collect()}
+
+
+def test_flattened_sources(spark):
+    # a file within itself, a missing one and a commented one add nothing; without \\documentclass the file that no other names is the root
+    assert _tex(spark, [("b.tex", r"b\input{a}"), ("a.tex", "1\\input{c.tex}2\\input{gone}3 % \\input{c}\n4\\input b"), ("c.tex", r"<\include{a}>"), ("z.tex", None)]) == {"p": "b1<>23 \n4\\input b"}
+    assert _tex(spark, [("a.tex", r"\begin{document}x"), ("b.tex", r"\input{a}")]) == {"p": r"\begin{document}x"}
+    assert _tex(spark, []) == {}
+    long = "w " * 200_000
+    assert _tex(spark, [("a.tex", r"\input{b}\input{b}"), ("b.tex", long)]) == {"p": long + long}
+
+
+def test_macros(spark):
+    text = r"\newcommand{\x}{5\$ {a{b}}}\renewcommand\y[1]{(#1 #2 \x)}\newcommand{\x}{other}\x \xy \y{q}\y {\x}\x{}"
+    assert _tex(spark, [("m.tex", text)]) == {"p": r"5\$ {a{b}} \xy (q #2 5\$ {a{b}})\y {5\$ {a{b}}}5\$ {a{b}}"}
+    assert _tex(spark, [("m.tex", text)], macros=False) == {"p": text}
+
+
+def test_registered_references(spark):
+    works = spark.createDataFrame([("10.1/A", None, None, None, [], [("k", "10.2/X"), ("k", "10.2/Y"), (None, None)])], "doi string, title string, abstract string, published_at string, authors array<string>, references array<struct<key:string,DOI:string>>")
+    refs = works.selectExpr("doi", "posexplode(references) as (ordinal, r)").selectExpr("doi", "ordinal", "coalesce(r.key, 'ref' || ordinal) as key", "lower(r.DOI) as ref_doi", "cast(null as string) as title", "cast(null as int) as year")
+    got = ingest.metadata_only(works, refs)
+    assert [(r.arxiv_id, r.title, r.latest_version) for r in got["papers"].collect()] == [("10.1/a", "(untitled)", "10.1/av1")]
+    assert {(r.bib_key, r.doi) for r in got["bib_entries"].collect()} == {("k", "10.2/y"), ("ref2", None)}
+    assert [r.id for r in got["lineage_edges"].collect()] == ["10.1/a->10.2/y:CITES"]
+    versions = spark.createDataFrame([("v", "p", "10.1/a"), ("w", "q", "10.1/A"), ("n", "r", None)], "paper_version string, paper string, doi string")
+    more = ingest.enriched(versions, versions.where("paper = 'q'"), refs)
+    assert {r.paper_version for r in more["bib_entries"].collect()} == {"v"} and more["lineage_edges"].count() == 1
+    for rows in ingest.metadata_only(works.limit(0), refs.limit(0)).values():
+        assert rows.count() == 0
+
+
+def test_json_export(spark, tmp_path):
+    c = catalog.Catalog(spark, str(tmp_path / "graph"))
+    rows = spark.createDataFrame([("p1", "a", None), ("p1", "b", 2), ("p2", "c", 3)], "paper_version string, slug string, n int")
+    c.export_json({"values": rows, "components": rows.where("n = 3")}, str(tmp_path / "out"))
+    c.export_json({"values": rows.where("slug = 'a'")}, str(tmp_path / "out"))
+    got = spark.read.text(str(tmp_path / "out")).collect()
+    assert {(r.paper_version, r.tool, r.value) for r in got} == {("p1", "values", '{"slug":"a","n":null}'), ("p2", "values", '{"slug":"c","n":3}'), ("p2", "components", '{"slug":"c","n":3}')}
