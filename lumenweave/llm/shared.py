@@ -60,6 +60,13 @@ def text_column(docs: DataFrame):
     return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """name, lengthened until it is no column's."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def filesystem(uri: str):
     """(pyarrow filesystem, path) of a URI of the shared folder."""
     from pyarrow import fs

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import likeness
 from .blocks import SPACES, Words, blocks, combine, mix, runs_of
 from .components import components, local_roots
-from .shared import prepare, text_column, width, written
+from .shared import prepare, text_column, unused, width, written
 
 #: Fingerprints in a run of equal keys beyond which its keys are cut again, at least; it alters cost, not links.
 HOT = 2048
@@ -257,8 +257,9 @@ def one_of_each(docs: DataFrame, like: float = likeness.LIKE, k: int = 5) -> Dat
     """docs with one row of each group of near copies: that of its smallest doc_id; all columns as they were.
 
     Groups are joined by pairs whose sets of k-word shingles have a Jaccard similarity of like or more, each of them
-    compared exactly. Of repeated rows one stays, and of rows without a doc_id those that no row with one has the
-    shingles of, one of each text.
+    compared exactly. Of rows of one doc_id and text that with the least other columns stays (maps compare as JSON; a
+    null text is behind an empty one), and of rows without a doc_id those that no row with one has the shingles of, one
+    of each text.
     """
     prepare(docs.sparkSession)
     found, uri = likeness.sets_of(docs, k)
@@ -270,9 +271,14 @@ def one_of_each(docs: DataFrame, like: float = likeness.LIKE, k: int = 5) -> Dat
     named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("s0", "s1", F.coalesce("root", "rep").alias("component_id"))
     kept = sets.select("doc_id", "own_hash", "s0", "s1").join(named, ["s0", "s1"]).where("doc_id = component_id or (doc_id is null and component_id is null)")
     kept = kept.select(F.col("doc_id").alias("own_id"), "own_hash").distinct()
-    rows = docs.withColumn("own_hash", F.xxhash64(text_column(docs)))
-    same = rows["doc_id"].eqNullSafe(kept["own_id"]) & (rows["own_hash"] == kept["own_hash"])
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "own_hash"]).drop("own_hash")
+    own = unused("own_hash", docs.columns)
+    rows = docs.withColumn(own, F.xxhash64(text_column(docs)))
+    same = rows["doc_id"].eqNullSafe(kept["own_id"]) & (rows[own] == kept["own_hash"])
+    column = {c: F.col(f"`{c}`") for c in docs.columns}
+    others = [F.to_json(F.struct(column[c])) if "map<" in kind else column[c] for c, kind in docs.dtypes if c not in ("doc_id", "text")]
+    # texts of one hash are alike, so they take no part in the order and travel once
+    least = F.min_by(F.struct(*column.values()), F.struct(F.col("text").isNull(), *others))
+    return rows.join(kept, same, "left_semi").groupBy("doc_id", own).agg(least.alias("x")).select("x.*")
 
 
 def near_copies(docs: DataFrame, kind: str = "shingles", k: int = 3, segments: int = 2, bits: int = 32, distance: int = 3) -> DataFrame:
