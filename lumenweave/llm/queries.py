@@ -9,9 +9,10 @@ from .license import op6_license
 from .mixing import op10_mixing
 from .ngrams import op8_ngrams
 from .oracles import ORACLES  # noqa: F401
+from .pieces import op13_pieces
 from .pii import op2_pii
 from .quality import op9_quality
 from .simhash import op3_simhash
 from .tokencount import op7_tokens
 
-QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_pii, op3_simhash, op4_chat, op5_decontaminate, op6_license, op7_tokens, op8_ngrams, op9_quality, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_pii, op3_simhash, op4_chat, op5_decontaminate, op6_license, op7_tokens, op8_ngrams, op9_quality, op10_mixing, op13_pieces)}
