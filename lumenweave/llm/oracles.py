@@ -36,4 +36,36 @@ l as (select dir, first(name order by score desc, path) as name, first(score ord
 a as (select f.dir, first(l.dir order by length(l.dir) desc) as above from (select distinct dir from f where name is null) f join l on l.dir = f.dir or f.dir like l.dir || '/%' group by f.dir)
 select f.doc_id, f.path, coalesce(f.name, l.name) as license, coalesce(f.score, l.score) as score, case when f.name is not null then 'header' when l.name is not null then 'directory' else 'none' end as origin, case when f.name is null then l.dir end as inherited_from from f left join a on a.dir = f.dir and f.name is null left join l on l.dir = a.above"""
 
-ORACLES = {"op4_chat": CHAT, "op5_decontaminate": DECONTAMINATE, "op6_license": LICENSE}
+#: Every pattern of failures runs through every order of the filters, step by step.
+AUDIT = r"""
+with x as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, min(doc_id) over (partition by coalesce(text, '')) as least,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w
+  from documents),
+f as (
+  select part, (case when len(w) < 100 then 'A' else '' end || case when 100 * len(list_distinct(w)) < 80 * len(w) then 'B' else '' end
+    || case when 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) then 'C' else '' end
+    || case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end || case when doc_id > least then 'E' else '' end) as fails,
+    exists (select 1 from labels l where l.doc_id = x.doc_id and l.quality = 1)::int as good,
+    exists (select 1 from labels l where l.doc_id = x.doc_id and l.toxic = 1)::int as toxic
+  from x),
+p as (select part, fails, count(*) as n, sum(good) as good, sum(toxic) as toxic from f group by all),
+l as (select unnest(['A', 'B', 'C', 'D', 'E']) as c),
+o as (
+  select a.c || b.c || c.c || d.c || e.c as filter_order from l a, l b, l c, l d, l e
+  where len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+s as (select *, i::int as step, substr(filter_order, i, 1) as letter from (select *, unnest(range(1, 6)) as i from o)),
+r as (
+  select p.*, s.*, contains(fails, letter) as here, coalesce(list_min(list_filter(range(1, 6), lambda k: contains(fails, substr(filter_order, k, 1)))), 6) as gone
+  from p, s),
+y as (
+  select part, filter_order, step, any_value(letter) as letter, sum(n) filter (gone > step) as kept, sum(n) filter (gone = step) as removed,
+    sum(n) filter (here and gone < step) as redundant, sum(n) filter (fails = letter) as unique_fails, sum(good) filter (gone = step) as good_lost,
+    sum(toxic) filter (gone = step) as toxic_lost
+  from r group by part, filter_order, step)
+select part, filter_order, step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed, coalesce(redundant, 0)::bigint as redundant,
+  coalesce(unique_fails, 0)::bigint as unique_fails, coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost,
+  coalesce(sum(removed) over (partition by part, letter), 0)::bigint as shapley
+from y"""
+
+ORACLES = {"op12_audit": AUDIT, "op4_chat": CHAT, "op5_decontaminate": DECONTAMINATE, "op6_license": LICENSE}

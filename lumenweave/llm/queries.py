@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .audit import op12_audit
 from .chat import op4_chat
 from .decontaminate import op5_decontaminate
 from .fingerprint import op1_fingerprint
@@ -15,4 +16,4 @@ from .quality import op9_quality
 from .simhash import op3_simhash
 from .tokencount import op7_tokens
 
-QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_pii, op3_simhash, op4_chat, op5_decontaminate, op6_license, op7_tokens, op8_ngrams, op9_quality, op10_mixing, op13_pieces)}
+QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_pii, op3_simhash, op4_chat, op5_decontaminate, op6_license, op7_tokens, op8_ngrams, op9_quality, op10_mixing, op12_audit, op13_pieces)}
