@@ -68,4 +68,30 @@ select part, filter_order, step, coalesce(kept, 0)::bigint as kept, coalesce(rem
   coalesce(sum(removed) over (partition by part, letter), 0)::bigint as shapley
 from y"""
 
-ORACLES = {"op12_audit": AUDIT, "op4_chat": CHAT, "op5_decontaminate": DECONTAMINATE, "op6_license": LICENSE}
+_D = "list_sum(list_transform(list_zip(x, y), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint"
+
+
+def _clusters(k: int = 40, rounds: int = 5) -> str:
+    """Every vector against every centroid, round by round; ties go to the smaller number."""
+    parts = [
+        """v as materialized (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda e: floor(256 * e::double)::bigint) as x from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0)""",
+        f"""c0 as materialized (
+  select row_number() over (order by h) - 1 as c, x as y from (select x, sha256('2:' || vec_id) as h from v order by h limit {k}))""",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} as materialized (select r, arg_min(c, d * 64 + c) as c, min(d) as d from (select r, c, {_D} as d from v, c{i}) group by r)")
+        if i < rounds:
+            parts.append(f"""c{i + 1} as materialized (
+  select c{i}.c, coalesce(m.y, c{i}.y) as y from c{i} left join (
+    select c, list((s - ((s % n + n) % n)) // n order by i)::bigint[] as y from (
+      select c, i, sum(e) as s, count(*) as n from (select c, unnest(x) as e, unnest(range(64)) as i from v join a{i} using (r)) group by c, i)
+    group by c) m on m.c = c{i}.c)""")
+    return "with " + ",\n".join(parts) + f"""
+select vec_id, a.c::int as cluster, d as distance, (sum(d) over (partition by a.c))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia,
+  sha256(array_to_string(y, ',')) as centroid_sha256
+from v join a{rounds} a using (r) join c{rounds} c on c.c = a.c"""
+
+
+ORACLES = {"op11_clusters": _clusters(), "op12_audit": AUDIT, "op4_chat": CHAT, "op5_decontaminate": DECONTAMINATE, "op6_license": LICENSE}
