@@ -27,7 +27,7 @@ from .shared import prepare, table, text_column
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Encoded words that a worker keeps, more are encoded again; the length up to which words are kept and share an array.
-KEPT, SHORT = 500_000, 64
+KEPT, SHORT = 200_000, 64
 #: Words of an array of agendas.
 ROWS = 20_000
 
