@@ -169,12 +169,28 @@ def feed_entries(spark, d):
 _TITLES = "select cast(p_partkey as string) as arxiv_id, case when p_partkey % 2 = 0 then 'Study of ' || p_name else p_type end as title, case when p_partkey % 2 = 0 then p_type else 'about ' || p_name end as abstract from part"
 
 
-@query(f"""with p as (select *, lower(title || ' ' || abstract) as x, string_split_regex(lower(title || ' ' || abstract), '[^a-z0-9.-]+') as w from {_d(_TITLES)}), a as (select query, list_filter(string_split(lower(query), ' '), lambda y: length(y) > 2) as tk from (select distinct p_name as query from part)),
-l as (select *, list_sort(list_transform(tk, lambda y: {{'n': -length(y), 'y': y}}))[1].y as lead from a where len(tk) > 0), h as (select l.query, p.arxiv_id, p.title, case when contains(p.x, lower(l.query)) then 0 else 1 end as tier from l join p on list_bool_and(list_transform(tk, lambda y: contains(p.x, y))) and (list_contains(p.w, l.lead) or list_contains(p.w, l.tk[1]))),
-b as (select query, min(tier) as tier from h group by 1) select query, tier::bigint as tier, arxiv_id from (select h.*, row_number() over (partition by h.query order by h.arxiv_id, h.title) as n from h join b using (query, tier)) where n <= 8""")
+#: Queries: names, parts of two words, three words of a title with others, and five with one that is nowhere.
+_ASKED = """select distinct case n when 0 then p_name when 1 then substr(p_name, 2, 3) || ' ' || lower(substr(p_type, 2, 4))
+  when 2 then split_part(p_name, ' ', 2) || ' tudy ' || split_part(p_name, ' ', 1) || ' nowhere'
+  else 'Study ' || p_name || ' stud ' || substr(split_part(p_name, ' ', 2), 1, 3) || ' ' || substr(p_name, 1, 3) || ' qqq' end as query
+  from part join (select r_regionkey as n from region) on n < 4"""
+
+
+@query(f"""
+with p as (select *, lower(title || ' ' || abstract) as x, lower(title) as y from {_d(_TITLES)}),
+a as (
+  select query, list_filter(string_split_regex(lower(query), '[^a-z0-9.-]+'), lambda w: length(w) > 2 and not list_contains({T.STOP_WORDS!r}, w)) as w
+  from {_d(_ASKED)}),
+h as (
+  select query, arxiv_id, title, case when contains(x, lower(query)) then 0 when list_bool_and(list_transform(w[1:8], lambda e: contains(x, e))) then 1
+    when list_bool_and(list_transform(w[1:5], lambda e: contains(y, e))) then 2
+    when len(w) > 3 and list_bool_and(list_transform(w[1:3], lambda e: contains(x, e))) then 3 end as tier
+  from a, p where len(w) > 0),
+b as (select query, min(tier) as tier from h group by 1),
+n as (select h.*, row_number() over (partition by h.query order by h.arxiv_id, h.title) as n from h join b using (query, tier))
+select query, tier::bigint as tier, arxiv_id from n where n <= 8""")
 def found_by_title(spark, d):
-    asked = t.derived(spark, d, "select distinct p_name as query from part")
-    return landing.title_search(t.derived(spark, d, _TITLES), asked).select("query", "tier", "arxiv_id")
+    return landing.title_search(t.derived(spark, d, _TITLES), t.derived(spark, d, _ASKED)).select("query", "tier", "arxiv_id")
 
 
 @query(f"select 'own/' || k as repo, 'read ' || word || ' é' as readme, 3::bigint as n_files, 'a.py,b/' || word || '.md,c' as files from {_d(_CUSTOMERS)}")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import grams, intervals
 
 METHOD = "python-ast:symbol_search"
 # Fixed value: suffixes of files that text searches read.
@@ -89,13 +90,27 @@ def literals(lines: DataFrame) -> DataFrame:
     return lines.select("repo", "path", "line", F.explode(F.array_distinct(F.filter(F.concat(runs, powers), lambda x: x != ""))).alias("literal"))
 
 
-def search_symbols(symbols: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """queries (repo, query, terms: array) to the symbols that hold most terms: (repo, query, hits, rank, symbol columns)."""
-    hay = F.lower(F.concat_ws(" ", "name", "qualified_name"))
-    asked = queries.select("repo", "query", "terms").distinct()
-    held = symbols.where("qualified_name is not null").withColumn("hay", hay).join(asked, "repo").withColumn("hits", F.size(F.filter("terms", lambda t: F.contains(F.col("hay"), t)))).where("hits > 0")
-    rank = F.row_number().over(Window.partitionBy("repo", "query").orderBy(F.desc("hits"), "qualified_name"))
-    return held.withColumn("rank", rank).where(F.col("rank") <= limit).drop("hay", "terms")
+def _hay() -> Column:
+    return F.lower(F.concat_ws(" ", "name", "qualified_name"))
+
+
+def symbol_index(symbols: DataFrame) -> grams.Index:
+    """The index of the names of symbols by repository, for search_symbols."""
+    return grams.index(symbols.where("qualified_name is not null").select("repo", _hay().alias("hay")), ["repo"], "hay")
+
+
+def search_symbols(symbols: DataFrame, queries: DataFrame, limit: int, index: grams.Index | None = None) -> DataFrame:
+    """queries (repo, query, terms: array) to the symbols that hold most terms: (repo, query, hits, rank, symbol columns).
+
+    Terms are held anywhere in a name; a term given twice counts twice, an empty one never. They find names through the
+    index of the repository, made here if none is given. Equal qualified names are ranked by their order.
+    """
+    index = index or symbol_index(symbols)
+    asked = queries.select("repo", "query", "terms").distinct().select("repo", "query", F.explode("terms").alias("term")).groupBy("repo", "query", "term").agg(F.count("*").alias("times"))
+    met = asked.join(grams.holding(index, asked), ["repo", "term"]).groupBy("repo", "query", F.col("name").alias("hay")).agg(F.sum("times").cast("int").alias("hits"))
+    held = symbols.where("qualified_name is not null").withColumn("hay", _hay()).join(met, ["repo", "hay"])
+    order = [F.desc("hits"), "qualified_name", *(c for c in ("ordinal",) if c in symbols.columns)]
+    return held.withColumn("rank", F.row_number().over(Window.partitionBy("repo", "query").orderBy(*order))).where(F.col("rank") <= limit).drop("hay")
 
 
 def query_terms(query: Column) -> Column:
@@ -111,24 +126,29 @@ def searched(symbols: DataFrame, queries: DataFrame, limit: int = 20) -> DataFra
     return out.select("repo", "query", (~none).alias("found"), F.coalesce("n", F.lit(0)).alias("n"), "best", F.when(none, T.absence_ref(F.col("repo"), F.col("query"), F.lit(METHOD))).alias("absence_ref"))
 
 
-def enclosing(places: DataFrame, symbols: DataFrame) -> DataFrame:
-    """places (repo, path, line, ...) with the symbol around each: the first function or method by order, else the first of any kind.
+def _spans(symbols: DataFrame, rank: Column) -> DataFrame:
+    return symbols.where("qualified_name is not null").select("repo", F.col("file_path").alias("path"), F.col("line_start").alias("start"), F.coalesce("line_end", "line_start").alias("last"), rank.alias("rank"), F.col("qualified_name").alias("value"))
 
-    Places meet only symbols of their own file.
-    """
-    s = symbols.where("qualified_name is not null").select("repo", F.col("file_path").alias("path"), F.struct((~F.col("kind").isin("function", "method")).alias("other"), "ordinal", "qualified_name").alias("s"), F.col("line_start").alias("a"), F.coalesce("line_end", "line_start").alias("b"))
-    spots = places.select("repo", "path", "line").distinct()
-    best = spots.join(s, ["repo", "path"]).where("line between a and b").groupBy("repo", "path", "line").agg(F.min("s").getField("qualified_name").alias("symbol"))
+
+def enclosing(places: DataFrame, symbols: DataFrame) -> DataFrame:
+    """places (repo, path, line, ...) with the symbol around each: the first function or method by order, else the first of any kind."""
+    rank = F.col("ordinal").cast("long") + F.when(F.col("kind").isin("function", "method"), 0).otherwise(1 << 40)
+    best = intervals.around(places, _spans(symbols, rank), ["repo", "path"], "line").withColumnRenamed("first", "symbol").drop("second")
     return places.join(best, ["repo", "path", "line"], "left")
 
 
 def callers(symbols: DataFrame, lines: DataFrame) -> DataFrame:
-    """(repo, callee, caller): symbols, first in order, around a line in which a callee's name is followed by a parenthesis; by name only."""
-    calls = lines.select("repo", "path", "line", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Za-z_]\w*)\s*\("), F.lit(1)))).alias("name"))
+    """(repo, callee, caller): symbols, first in order, around a line in which a callee's name is followed by a parenthesis; by name only.
+
+    The first two symbols around a line are enough: the second is the caller where the first is the callee itself.
+    """
+    names = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Za-z_]\w*)\s*\("), F.lit(1)))
     callee = symbols.where("kind in ('function', 'method', 'class')").select("repo", "name", F.col("qualified_name").alias("callee"))
-    around = symbols.where("qualified_name is not null").select("repo", F.col("file_path").alias("path"), "qualified_name", "ordinal", F.col("line_start").alias("a"), F.coalesce("line_end", "line_start").alias("b"))
-    rows = calls.join(callee, ["repo", "name"]).join(around, ["repo", "path"]).where("line between a and b and qualified_name != callee")
-    return rows.groupBy("repo", "callee", "path", "line").agg(F.min_by("qualified_name", "ordinal").alias("caller")).select("repo", "callee", "caller").distinct()
+    calls = lines.select("repo", "path", "line", F.explode(names).alias("name")).join(callee.select("repo", "name").distinct(), ["repo", "name"], "left_semi")
+    found = intervals.around(calls, _spans(symbols, F.col("ordinal").cast("long")), ["repo", "path"], "line")
+    sites = calls.join(found, ["repo", "path", "line"]).select("repo", "name", "first", "second").distinct()
+    caller = F.when(F.col("first") == F.col("callee"), F.col("second")).otherwise(F.col("first"))
+    return sites.join(callee, ["repo", "name"]).select("repo", "callee", caller.alias("caller")).where("caller is not null").distinct()
 
 
 def symbol_source(symbols: DataFrame, files: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import codeindex
+from ..sources.landing import kept
+from . import codeindex, grams
 
 PAIR = ["paper_version", "repo"]
 MOST_HITS, MANY_HITS = 25, 6
@@ -72,7 +73,7 @@ def component_queries(components: DataFrame) -> DataFrame:
     return components.select("id", F.explode(F.concat(F.array(one), more)).alias("x")).select("id", "x.*")
 
 
-def map_components(components: DataFrame, pairs: DataFrame, symbols: DataFrame, lines: DataFrame, values: DataFrame) -> DataFrame:
+def map_components(components: DataFrame, pairs: DataFrame, symbols: DataFrame, lines: DataFrame, values: DataFrame, index: grams.Index | None = None) -> DataFrame:
     """Components against symbols; values are the mapped stated values of the same papers.
 
     components (paper_version, id, name, slug, kind, description, section_id, source). Only components that were written
@@ -83,7 +84,7 @@ def map_components(components: DataFrame, pairs: DataFrame, symbols: DataFrame,
     key = [*PAIR, "id"]
     queries = c.select("id", "repo").join(component_queries(c.select("id", "name", "tokens").distinct()), "id")
     asked = queries.select("repo", F.array_join("terms", " ").alias("query"), "terms").distinct()
-    found = codeindex.search_symbols(symbols, asked, 25).select("repo", "query", "qualified_name", F.col("name").alias("symbol_name"))
+    found = codeindex.search_symbols(symbols, asked, 25, index).select("repo", "query", "qualified_name", F.col("name").alias("symbol_name"))
     meets = queries.withColumn("query", F.array_join("terms", " ")).join(found, ["repo", "query"]).select("id", "repo", "qualified_name", "symbol_name").distinct()
     hay = F.lower(F.concat_ws(" ", "symbol_name", "qualified_name"))
     scored = c.join(meets, ["id", "repo"]).withColumn("covered", F.size(F.filter("tokens", lambda t: F.contains(hay, T.prefix_stem(t)))))
@@ -91,14 +92,13 @@ def map_components(components: DataFrame, pairs: DataFrame, symbols: DataFrame,
     for kind, pattern in SYMBOL_KINDS.items():
         bonus = F.when((F.col("kind") == kind) & F.col("symbol_name").rlike("(?i)" + pattern), 1).otherwise(bonus)
     best = scored.groupBy(*key).agg(F.min(F.struct((-F.col("covered")).alias("c"), (-bonus).alias("b"), "qualified_name")).alias("best"))
-    # words of names in code: names' distinctive tokens meet the distinct words of a repository by equality of four letters, and are then looked for in those words
+    # words of names in code: names' distinctive tokens are looked for in the distinct words of a repository
     words = F.filter("tokens", lambda t: (F.length(t) >= 4) & ~t.isin(T.GENERIC_WORDS))
     tokens = c.select("repo", F.explode(words).alias("token")).distinct()
     in_code = lines.where(F.col("path").rlike(codeindex.SOURCE)).select("repo", "path", "line", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z0-9]{4,}"), F.lit(0)))).alias("word"))
     firsts = in_code.groupBy("repo", "word").agg(F.min(F.struct("path", "line")).alias("at"))
-    starts = F.sequence(F.lit(1), F.length("word") - 3)
-    grams = firsts.select("repo", "word", "at", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("word"), i, F.lit(4))))).alias("gram"))
-    places = tokens.withColumn("gram", F.substring("token", 1, 4)).join(grams, ["repo", "gram"]).where(F.contains("word", F.col("token"))).groupBy("repo", "token").agg(F.min("at").alias("at"))
+    holding = grams.holding(grams.index(firsts, ["repo"], "word"), tokens.withColumnRenamed("token", "term"))
+    places = holding.select("repo", F.col("term").alias("token"), F.col("name").alias("word")).join(firsts, ["repo", "word"]).groupBy("repo", "token").agg(F.min("at").alias("at"))
     inside = c.select(*key, F.posexplode(words).alias("place", "token")).join(places, ["repo", "token"]).groupBy(*key).agg(F.min_by(F.struct("token", "at.path", "at.line"), "place").alias("inside"))
     located = values.where("anchor_kind = 'stated_value' and status = 'MATCHED'")
     sections = located.where("section_id is not null").select(*PAIR, "section_id").distinct().withColumn("same", F.lit(True))
@@ -118,12 +118,12 @@ def map_components(components: DataFrame, pairs: DataFrame, symbols: DataFrame,
     return out.select(*PAIR, F.lit("component").alias("anchor_kind"), F.col("id").alias("anchor_id"), F.col("name").alias("label"), "status", F.when(named, F.col("best.qualified_name")).alias("symbol_id"), F.when(~named & (F.col("status") == "AMBIGUOUS"), F.concat_ws(":", "inside.path", "inside.line")).alias("site"), reason.alias("reasoning"), "section_id", F.lit(None).cast("string").alias("value_text"), F.when(absent, T.absence_ref(F.col("repo"), F.col("name"), F.lit("search_variants"))).alias("absence_ref"))
 
 
-def map_algorithms(algorithms: DataFrame, pairs: DataFrame, symbols: DataFrame) -> DataFrame:
+def map_algorithms(algorithms: DataFrame, pairs: DataFrame, symbols: DataFrame, index: grams.Index | None = None) -> DataFrame:
     """Named algorithms with text against symbols; a name alone never settles one."""
     a = algorithms.join(pairs, "paper_version").withColumn("tokens", T.name_tokens(F.coalesce("name", F.lit(""))))
     terms = F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(codeindex.query_terms(F.coalesce("name", F.lit(""))))
     a = a.withColumn("query", F.array_join(terms, " "))
-    best = codeindex.search_symbols(symbols, a.select("repo", "query", terms.alias("terms")).distinct(), 1).select("repo", "query", F.col("qualified_name").alias("best"))
+    best = codeindex.search_symbols(symbols, a.select("repo", "query", terms.alias("terms")).distinct(), 1, index).select("repo", "query", F.col("qualified_name").alias("best"))
     out = a.join(best, ["repo", "query"], "left")
     status = F.when(~F.col("extractable") | F.coalesce("name", F.lit("")).eqNullSafe(""), "UNKNOWN").when(F.col("best").isNull(), "ABSENT").otherwise("AMBIGUOUS")
     none = F.lit(None).cast("string")
@@ -142,7 +142,8 @@ def graded(mapped: DataFrame) -> DataFrame:
 def map_papers(tables: dict[str, DataFrame], pairs: DataFrame, symbols: DataFrame, lines: DataFrame) -> DataFrame:
     """All anchors of papers against their repositories, graded."""
     values = map_values(tables["stated_values"], pairs, codeindex.literals(lines), symbols)
-    parts = [values, map_components(tables["components"], pairs, symbols, lines, values), map_algorithms(tables["algorithms"], pairs, symbols)]
+    index = grams.kept(codeindex.symbol_index(symbols), kept)
+    parts = [values, map_components(tables["components"], pairs, symbols, lines, values, index), map_algorithms(tables["algorithms"], pairs, symbols, index)]
     return graded(reduce(DataFrame.unionByName, parts))
 
 

@@ -16,7 +16,7 @@ from .functions import text as T
 from .operators import codeindex, correlate, discover, evidence, extract, lineage
 from .operators.scan import events as scan_events
 from .plans import reads, reproduction
-from .sources.landing import shared_checkpoints
+from .sources.landing import kept as _kept
 from .streaming import state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,12 +51,6 @@ def _events(spark, d, *kinds):
     return scan_events(_papers(spark, d), [*kinds])
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Written once to the shared folder, for plans that read it more than once."""
-    shared_checkpoints(df.sparkSession)
-    return df.checkpoint()
-
-
 # ── scalar functions ─────────────────────────────────────────────────────────
 
 _SLUG = "coalesce(nullif(substr(trim(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '-'), 1, {1}), ''), 'untitled')"

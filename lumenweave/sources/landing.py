@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import grams
 
 
 def shared_checkpoints(spark: SparkSession) -> str:
@@ -26,6 +27,12 @@ def shared_checkpoints(spark: SparkSession) -> str:
     return uri
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder, for plans that read it more than once."""
+    shared_checkpoints(df.sparkSession)
+    return df.checkpoint()
+
+
 def preprint_entries(feeds: DataFrame) -> DataFrame:
     """feeds (query, xml: an Atom feed) to entries (query, arxiv_id, version, title, abstract, authors, published_at), one for each id."""
     clean = F.regexp_replace("xml", r"<(/?)(?:[a-z]+:)?([A-Za-z]+)(?:\s[^>]*?)?(/?)>", "<$1$2$3>")
@@ -37,23 +44,32 @@ def preprint_entries(feeds: DataFrame) -> DataFrame:
     return rows.where("arxiv_id is not null").groupBy("query", "arxiv_id").agg(F.min_by(F.struct(*rest), "place").alias("x")).select("query", "arxiv_id", "x.*")
 
 
-def title_search(papers: DataFrame, queries: DataFrame, limit: int = 8) -> DataFrame:
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9.-]+"), lambda t: t != ""))
+
+
+def title_index(papers: DataFrame) -> tuple[DataFrame, grams.Index]:
+    """The words of papers (arxiv_id, title, abstract) as (arxiv_id, name), and the letter index of those words."""
+    words = papers.select("arxiv_id", F.explode(_words(F.concat_ws(" ", "title", "abstract"))).alias("name"))
+    return words, grams.index(words, [], "name")
+
+
+def title_search(papers: DataFrame, queries: DataFrame, limit: int = 8, index: tuple[DataFrame, grams.Index] | None = None) -> DataFrame:
     """queries (query) over papers (arxiv_id, title, abstract): matches of the tightest form of each query that has any.
 
     Forms: the phrase; all terms anywhere (the first 8); all in the title (5); and of over three, the first 3 anywhere.
-    Terms meet the words of papers by equality, so no query is held against every paper.
+    Terms may be parts of words. All forms hold the first three terms, and a term lies in one word, so the longest of the
+    three finds words through the letter index (made here if none is given), words find papers, and those are checked.
     """
-    words = F.array_distinct(F.filter(F.split(F.lower(F.concat_ws(" ", "title", "abstract")), "[^a-z0-9.-]+"), lambda t: F.length(t) > 2))
-    q = queries.select("query", F.filter(F.split("query", r"[^A-Za-z0-9.\-]+"), lambda t: (F.length(t) > 2) & ~F.lower(t).isin(T.STOP_WORDS)).alias("terms")).where("size(terms) > 0")
-    index = papers.select("arxiv_id", "title", "abstract", F.explode(words).alias("word"))
-    # one term of each query, its longest, finds the papers; the others are checked on them
-    lead = F.element_at(F.array_sort("terms", lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).otherwise(1)), 1)
-    lead3 = F.element_at("terms", 1)
-    near = q.select("*", F.explode(F.array_distinct(F.array(F.lower(lead), F.lower(lead3)))).alias("word")).join(index, "word").dropDuplicates(["query", "arxiv_id"])
+    words, letters = index or title_index(papers)
+    q = queries.select("query", F.filter(F.split("query", r"[^A-Za-z0-9.\-]+"), lambda t: (F.length(t) > 2) & ~F.lower(t).isin(T.STOP_WORDS)).alias("terms")).where("size(terms) > 0").distinct()
+    longest = F.array_max(F.transform(F.slice("terms", 1, 3), lambda t: F.struct(F.length(t).alias("n"), F.lower(t).alias("term"))))
+    q = q.withColumn("term", longest["term"])
+    near = q.join(grams.holding(letters, q), "term").join(words, "name").select("query", "terms", "arxiv_id").distinct()
     whole, title = F.lower(F.concat_ws(" ", "title", "abstract")), F.lower("title")
     every = lambda n, where: F.forall(F.slice("terms", 1, n), lambda t: F.contains(where, F.lower(t)))
     tier = F.when(F.contains(whole, F.lower("query")), 0).when(every(8, whole), 1).when(every(5, title), 2).when((F.size("terms") > 3) & every(3, whole), 3)
-    rows = near.withColumn("tier", tier).where("tier is not null")
+    rows = near.join(papers.select("arxiv_id", "title", "abstract"), "arxiv_id").withColumn("tier", tier).where("tier is not null")
     best = rows.groupBy("query").agg(F.min("tier").alias("tier"))
     top = rows.join(best, ["query", "tier"]).groupBy("query", "tier").agg(F.slice(F.sort_array(F.collect_set(F.struct("arxiv_id", "title"))), 1, limit).alias("x"))
     return top.select("query", "tier", F.inline("x"))
