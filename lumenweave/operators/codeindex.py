@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import grams, intervals
+from . import grams, intervals, patterns
 
 METHOD = "python-ast:symbol_search"
 # Fixed value: suffixes of files that text searches read.
@@ -71,9 +71,12 @@ def lines(files: DataFrame) -> DataFrame:
     return files.where(F.col("path").rlike(SEARCHED)).select("repo", "path", F.posexplode(F.split("text", "\r\n|\n|\r")).alias("line", "text")).withColumn("line", F.col("line") + 1)
 
 
-def search_text(lines: DataFrame, pattern: str, limit: int | None = None) -> DataFrame:
-    """Lines that a pattern fits, trimmed and cut to 240; with a limit, the first of each repository by path and line."""
-    hits = lines.where(F.col("text").rlike(pattern)).withColumn("text", F.substring(F.trim("text"), 1, 240))
+def search_text(lines: DataFrame, pattern: str, limit: int | None = None, index: DataFrame | None = None) -> DataFrame:
+    """Lines that a pattern fits, trimmed and cut to 240; with a limit, the first of each repository by path and line.
+
+    With an index of the lines (patterns.line_index) only blocks that hold the pattern's literals are read.
+    """
+    hits = patterns.search(lines, {"": pattern}, index).drop("name").withColumn("text", F.substring(F.trim("text"), 1, 240))
     if limit is None:
         return hits
     return hits.withColumn("n", F.row_number().over(Window.partitionBy("repo").orderBy("path", "line"))).where(F.col("n") <= limit).drop("n")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.landing import kept
-from . import codeindex, grams
+from . import codeindex, grams, patterns
 
 PAIR = ["paper_version", "repo"]
 MOST_HITS, MANY_HITS = 25, 6
@@ -158,8 +158,11 @@ def _flags(rows: DataFrame, column: str, keys: list[str], part: int) -> DataFram
     return rows.groupBy(*keys).agg(*(F.bool_or(F.col(column).rlike(pattern(b))).alias(f"b{i}") for i, b in enumerate(BEHAVIOURS)))
 
 
-def behaviour_differences(papers: DataFrame, pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Behaviours that a paper (paper_version, tex) tells of and whose vocabulary its repository lacks."""
+def behaviour_differences(papers: DataFrame, pairs: DataFrame, lines: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """Behaviours that a paper (paper_version, tex) tells of and whose vocabulary its repository lacks.
+
+    Without an index of the lines one pass flags all vocabularies; with one, only blocks that hold their literals are read.
+    """
     def quote(pattern: str):
         """The first place of a pattern with 95 characters on either side."""
         at, tex = F.regexp_instr("tex", F.lit(pattern)), F.col("tex")
@@ -168,8 +171,11 @@ def behaviour_differences(papers: DataFrame, pairs: DataFrame, lines: DataFrame)
 
     quotes = [F.when(F.col("tex").rlike("(?i)" + b[1]), F.struct(F.lit(i).alias("behaviour"), quote("(?i)" + b[1]).alias("quote"))) for i, b in enumerate(BEHAVIOURS)]
     told = papers.select("paper_version", F.explode(F.array_compact(F.array(*quotes))).alias("x")).select("paper_version", "x.*").join(pairs, "paper_version")
-    code = _flags(lines, "text", ["repo"], 2)
-    shown = code.select("repo", F.explode(F.array(*(F.struct(F.lit(i).alias("behaviour"), F.col(f"b{i}").alias("there")) for i in range(len(BEHAVIOURS))))).alias("x")).select("repo", "x.*").where("there")
+    if index is None:
+        code = _flags(lines, "text", ["repo"], 2)
+        shown = code.select("repo", F.explode(F.array(*(F.struct(F.lit(i).alias("behaviour"), F.col(f"b{i}").alias("there")) for i in range(len(BEHAVIOURS))))).alias("x")).select("repo", "x.*").where("there")
+    else:
+        shown = patterns.search(lines, {str(i): b[2] for i, b in enumerate(BEHAVIOURS)}, index).select("repo", F.col("name").cast("int").alias("behaviour")).distinct()
     missing = told.join(shown, ["repo", "behaviour"], "left_anti")
     of = lambda k: F.element_at(F.array(*(F.lit(b[k]) for b in BEHAVIOURS)), F.col("behaviour") + 1)
     severity = F.when(F.col("quote").rlike(NECESSITY), "BLOCKING").otherwise(of(4))

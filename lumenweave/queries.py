@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import templates as t
 from .functions import text as T
-from .operators import codeindex, correlate, discover, evidence, extract, lineage
+from .operators import codeindex, correlate, discover, evidence, extract, lineage, patterns
 from .operators.scan import events as scan_events
 from .plans import reads, reproduction
 from .sources.landing import kept as _kept
@@ -276,6 +276,22 @@ def text_search(spark, d):
     return codeindex.search_text(_lines(spark, d), r"rate = 1\.\d{3}7", 20)
 
 
+#: Patterns over code: the ten behaviours, and others with and without literals that they need.
+_PATTERNS = {b[0]: b[2] for b in correlate.BEHAVIOURS} | {
+    "number": r"rate = 1\.\d{3}7", "call": r"\bfn_4\d\(x\)", "any case": r"(?i)WEIGHT_Decay|(?:no)(?:ne|thing)$", "no literal": r"^[xt]\w* = ", "definition": r"^def .*\(a\):$", "nowhere": "unheard of",
+}
+_PATTERN_ROWS = ", ".join("('{}', '{}')".format(n, p.replace("'", "''")) for n, p in _PATTERNS.items())
+
+
+@query(f"""
+select p.name, repo, path, count(*) as n, min(line)::bigint as first
+from {_d(t.CODE_LINES)} l join (values {_PATTERN_ROWS}) p(name, pattern) on regexp_matches(text, pattern) group by all""")
+def pattern_search(spark, d):
+    lines = _kept(_lines(spark, d))
+    hits = patterns.search(lines, _PATTERNS, _kept(patterns.line_index(lines)))
+    return hits.groupBy("name", "repo", "path").agg(F.count("*").alias("n"), F.min("line").alias("first"))
+
+
 @query(f"""with s as (select repo, qualified_name, (contains(lower(name || ' ' || qualified_name), 'encode')::int + contains(lower(name || ' ' || qualified_name), 'ring')::int) as hits from {_d(t.SYMBOLS)})
 select repo, 'encode ring' as query, hits::bigint as hits, qualified_name, n as rank from (select *, row_number() over (partition by repo order by hits desc, qualified_name) as n from s where hits > 0) where n <= 10""")
 def symbol_search(spark, d):

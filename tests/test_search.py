@@ -5,7 +5,7 @@ import time
 
 import pytest
 
-from lumenweave.operators import codeindex, grams, intervals
+from lumenweave.operators import codeindex, correlate, grams, intervals, patterns
 from lumenweave.sources import landing
 
 SPANS = "repo string, path string, start int, last int, rank long, value string"
@@ -111,3 +111,44 @@ def test_titles_by_parts_of_words(spark):
     for index in (None, landing.title_index(papers)):
         got = {(r.query, r.tier, r.arxiv_id) for r in landing.title_search(papers, q, index=index).collect()}
         assert got == {("adapt segment", 1, "1"), ("adapt segment", 1, "3"), ("LANGUAGE model", 0, "2"), ("volumetric segment adapt zzz", 3, "3")}
+
+
+# ── patterns ─────────────────────────────────────────────────────────────────
+
+FREE = [
+    r"(?i)warm-?up", r"foo(?:bar|baz)+", r"(?:opt)?ional", r"x|yonder", r"[Ll]oss\w*\(", r"^\s*$", r"a{3,}bcd", r"(?!never)ever", r"\Qa.b\E", r"(?<![\w.])(\d\.\d{4,})(?![\w.])",
+    r"(?:ab|cd)(?:efg|hij)", r"é[a-z]+loss", r"(loss|gain)_\1", r"\bema\b|exponential_moving", r"end$", r"(?>atom)ic",
+]
+
+
+@pytest.mark.parametrize("pattern,needs", [
+    (r"\bclamp\b|\.clip\(", {"clamp", ".clip("}), (r"[Dd]ropout", {"dropout"}), (r"warmup|warm_up", {"warm"}), (r"x|foobar", None), (r"(abc)?", None), (r"a(bcd){0,2}", None), (r"(?=seen)x", None),
+    (r"\QIt\E", None), (r"[a&&b]abc", None), (r"(?x) abc d", None), (r"(", None), (r"foo.barbar", {"barbar"}), (r"(?:ab)(?:cd)", {"abcd"}), (r"(ab)(cd)", None),
+])
+def test_required_literals(pattern, needs):
+    got = patterns.required(pattern)
+    assert (set(got) if got else None) == needs
+
+
+def test_patterns_through_the_index_find_what_a_full_scan_finds(spark, tmp_path):
+    r = random.Random(5)
+    parts = ["warmup", "warm_up", "WARM-UP", "foobarbaz", "optional", "ional", "yonder", "x", "Loss_a(", "  ", "aaabcd", "ever", "never", "a.b", "0.12345", "1.2", "abhij", "émyloss", "loss_loss", "ema", "schema", "end",
+             "clamp", "torch.clamp", "clip_grad", "weight_decay", "label_smooth", "Dropout", "fp16", "RandomCrop", "normalise", "normalisation", "atomic"]
+    rows = [(r.choice("ab"), r.choice(["p.py", "q.py"]), i // 3, r.choice([" ".join(r.choice(parts) for _ in range(r.randint(0, 4))), None])) for i in range(1500)]
+    lines = spark.createDataFrame(rows, "repo string, path string, line int, text string")
+    asked = {p: p for p in FREE} | {b[0]: b[2] for b in correlate.BEHAVIOURS}
+    index = patterns.written_index(lines, str(tmp_path / "index"))
+    key = lambda df: sorted(map(tuple, df.collect()))
+    got, want = key(patterns.search(lines, asked, index)), key(patterns.search(lines, asked))
+    assert got == want and len({x[0] for x in want}) >= len(asked) - 2
+    assert "PushedFilters: [In(gram" in patterns.candidates(index, {"a": "warmup"})._jdf.queryExecution().toString()
+    assert not patterns.search(lines, {}, index).collect()
+    assert key(codeindex.search_text(lines, "clip_grad", 3, index)) == key(codeindex.search_text(lines, "clip_grad", 3))
+
+
+def test_behaviours_through_the_index(spark):
+    papers = spark.createDataFrame([("p", "We use warm-up, weight decay and dropout. " + "Gradient clipping is crucial.")], "paper_version string, tex string")
+    pairs = spark.createDataFrame([("p", "r"), ("p", "s")], "paper_version string, repo string")
+    lines = spark.createDataFrame([("r", "a.py", 1, "warm_up = 3"), ("s", "a.py", 90, "nn.Dropout()"), ("s", "b.py", 2, "clip_grad_norm(x)")], "repo string, path string, line int, text string")
+    key = lambda index: sorted(map(tuple, correlate.behaviour_differences(papers, pairs, lines, index).collect()))
+    assert key(patterns.line_index(lines)) == key(None) != []
