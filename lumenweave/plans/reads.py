@@ -12,7 +12,7 @@ ROUTES = [
     ("section", r"paper/([^/]+)/section/(.+)"), ("equation", r"paper/([^/]+)/equation/([^/]+)"), ("component", r"paper/([^/]+)/component/([^/]+)"), ("algorithm", r"paper/([^/]+)/algorithm/([^/]+)"),
     ("values", r"paper/([^/]+)/values()"), ("urls", r"paper/([^/]+)/urls()"), ("implementations", r"paper/([^/]+)/implementations()"), ("references", r"paper/([^/]+)/references()"), ("analysis", r"paper/([^/]+)/analysis()"), ("paper", r"paper/([^/]+)()"),
     ("file", r"repo/([^/]+/[^/]+)/file/(.+)"), ("symbol", r"repo/([^/]+/[^/]+)/symbol/(.+)"), ("repo", r"repo/([^/]+/[^/]+)()"),
-    ("mapping", r"mapping/([^/]+)/([^/]+/[^/]+)"), ("difference", r"difference/([^/]+)/([^/]+/[^/]+)"), ("plan", r"plan/([^/]+)/([^/]+/[^/]+)"), ("lineage", r"lineage/([^/]+)()"),
+    ("mapping", r"mapping/([^/]+)/([^/]+/[^/]+)"), ("difference", r"difference/([^/]+)/([^/]+/[^/]+)"), ("plan", r"plan/([^/]+)/([^/]+/[^/]+)"), ("lineage", r"lineage/(.+)()"),
 ]
 
 
@@ -58,19 +58,6 @@ def route(addresses: DataFrame) -> DataFrame:
     return addresses.select("uri", kind.alias("kind"), subject.alias("subject"), target.alias("target"))
 
 
-def resolvable(tables: dict[str, DataFrame]) -> DataFrame:
-    """Addresses that exist in the paper tables, as (uri): the set that evidence is held against."""
-    base = T.base_id(F.col("paper_version"))
-    parts = []
-    for name, tag, key in (("sections", "section", "section_path"), ("equations", "equation", "content_hash"), ("components", "component", "slug"), ("algorithms", "algorithm", "slug")):
-        if name in tables:
-            parts.append(tables[name].select(T.paper_uri(base, F.lit(tag), T.encode_segment(F.col(key))).alias("uri")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
-
-
 def equation(equations: DataFrame, asked: DataFrame) -> DataFrame:
     """asked (paper_version, ref) to the equation of that printed number, or hash: (.., content_hash, n_same)."""
     digits = F.col("ref").rlike(r"^\d+$")
@@ -135,10 +122,6 @@ def report(counts: DataFrame, mappings: DataFrame, differences: DataFrame) -> Da
     return c.join(m, "paper_version", "left").join(d, "paper_version", "left").na.fill(0)
 
 
-def top_of(rows: DataFrame, by: list[str], order: list, n: int = 1) -> DataFrame:
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
-
-
 #: Keys that a miss names, at most, in order.
 SHOWN = 40
 

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from lumenweave import composites, queries  # noqa: F401  (both register queries)
+from lumenweave import composites, queries, served  # noqa: F401  (all register queries)
 from lumenweave.templates import TABLES
 
 FOLDER = "/root/testdata/sf0.001"
