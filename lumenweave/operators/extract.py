@@ -102,6 +102,11 @@ def citation_sites(events: DataFrame) -> DataFrame:
     return c.select(PAPER, order.alias("ordinal"), F.col("name").alias("bib_key"), F.col("arg").alias("command"), "context", F.col("line").alias("src_line"), "pos")
 
 
+def errors(events: DataFrame) -> DataFrame:
+    """(paper_version, step, error, message): what failed on a paper, beside what didn't."""
+    return _of(events, "error").select(PAPER, F.col("name").alias("step"), F.col("arg").alias("error"), F.col("body").alias("message"))
+
+
 def bibliography_with_sites(entries: DataFrame, sites: DataFrame) -> DataFrame:
     """Entries with cite_count; keys that are cited but not listed are kept as empty entries."""
     n = sites.groupBy(PAPER, "bib_key").agg(F.count("*").alias("cite_count"))

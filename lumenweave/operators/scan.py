@@ -233,32 +233,43 @@ def _citations(m: Marks):
 READERS = {"heading": _headings, "equation": _displays, "algorithm": _pseudocode, "value": lambda m: _numbers(m.text), "url": _addresses, "cite": _citations}
 
 
-def events_of(tex: str, kinds=None):
-    """(kind, pos, sub, stop, name, arg, body, context, flag) of a text, of the asked kinds or all."""
-    m = Marks(tex)
-    for kind, read in READERS.items():
+def events_of(tex: str, kinds=None, readers=None):
+    """(kind, pos, sub, stop, name, arg, body, context, flag) of a text, of the asked kinds or all.
+
+    A reader that fails gives one event of kind error (name: the reader, arg: the error, body: its message) instead of its own.
+    """
+    m = None
+    for kind, read in (readers or READERS).items():
         if not kinds or kind in kinds:
-            yield from read(m)
+            try:
+                m = m or Marks(tex)
+                found = list(read(m))
+            except Exception as e:  # whatever a text does to one reader, the others and other papers go on
+                found = [("error", 0, 0, 0, kind, type(e).__name__, str(e)[:1000], None, False)]
+            yield from found
 
 
-def _with_lines(kinds, batches):
+def _with_lines(kinds, readers, batches):
     for b in batches:
         rows = []
         for pv, tex in zip(b["paper_version"], b["tex"]):
             tex = tex or ""
             breaks = [m.start() for m in re.finditer("\n", tex)]
-            for e in events_of(tex, kinds):
+            for e in events_of(tex, kinds, readers):
                 rows.append((pv, *e, bisect_left(breaks, e[1]) + 1, bisect_left(breaks, e[3]) + 1 if e[0] == "heading" else None))
         yield pd.DataFrame(rows, columns=[*_COLUMNS, "line", "last_line"]).astype({"last_line": "Int64"})
 
 
-def events(papers: DataFrame, kinds: list[str] | None = None) -> DataFrame:
-    """papers (paper_version, tex) to events, of some kinds or all, with line (of pos) and last_line (of a heading's end). A null text has none."""
+def events(papers: DataFrame, kinds: list[str] | None = None, readers: dict | None = None) -> DataFrame:
+    """papers (paper_version, tex) to events, of some kinds or all, with line (of pos) and last_line (of a heading's end).
+
+    A null text has none. Where a reader fails on a text there is an event of kind error in place of its events.
+    """
     spark = papers.sparkSession
     rows = papers.select("paper_version", "tex")
     if rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # parsing is slow for its bytes
         rows = rows.repartition(spark.sparkContext.defaultParallelism)
-    return rows.mapInPandas(partial(_with_lines, kinds), EVENTS + ", line int, last_line int")
+    return rows.mapInPandas(partial(_with_lines, kinds, readers), EVENTS + ", line int, last_line int")
 
 
 # Patterns of bibliographies, and commands whose group is kept as it is.

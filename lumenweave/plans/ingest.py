@@ -1,10 +1,108 @@
-"""Papers without a readable text: what a registered record says of them, and reference lists for those that have none."""
+"""Ingest: only what has changed goes through all tables, and counts at once; papers without a readable text by their registered record."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import codeindex, correlate, extract, scan
+from ..sources.landing import kept
+from ..streaming.state import PARSER_VERSION
+from .publish import Published
+
+#: Tables of papers, of repositories and of pairs, with the columns of their keys.
+PAPER_TABLES = ["papers_text", "sections", "equations", "algorithms", "stated_values", "declared_urls", "citation_sites", "components", "bib_entries", "errors"]
+REPO_TABLES = ["code_files", "symbols", "index_errors"]
+PAIR_TABLES = ["mappings", "differences"]
+KEYS = {t: ["paper_version"] for t in PAPER_TABLES} | {t: ["repo"] for t in REPO_TABLES} | {t: ["paper_version", "repo"] for t in PAIR_TABLES}
+
+
+def graph(spark, root: str) -> Published:
+    return Published(spark, root, KEYS)
+
+
+def _changed(wanted: DataFrame, valid: DataFrame, run: str) -> DataFrame:
+    """Of wanted (key, stamp) the entries (key, stamp, run) that the list doesn't have with that stamp; written once."""
+    same = wanted.join(valid.select("key", "stamp"), ["key", "stamp"], "left_anti")
+    return kept(same.select("key", "stamp", F.lit(run).alias("run")))
+
+
+def _papers(g: Published, run: str, sources: DataFrame, bibliographies: DataFrame | None, work: DataFrame, readers: dict) -> None:
+    own = kept(sources.join(work.select(F.col("key").alias("paper_version")), "paper_version", "left_semi"))
+    events = kept(scan.events(own.select("paper_version", "tex"), readers=readers))
+    entries = None
+    if bibliographies is not None:
+        entries = scan.bibliography(bibliographies.join(own.select("paper_version"), "paper_version", "left_semi"))
+    tables = extract.ingest(events, entries)
+    tables |= {"components": extract.components(tables["sections"]), "errors": extract.errors(events)}
+    tables["papers_text"] = own.select("paper_version", "tex", F.when(F.col("tex").isNull(), "NONE").otherwise("LATEX").alias("source_kind"), F.when(F.col("tex").isNull(), "UNAVAILABLE").otherwise("LATEX_EXACT").alias("fidelity"))
+    for name in PAPER_TABLES:
+        if name in tables:
+            g.write(run, name, tables[name])
+
+
+def _repos(g: Published, run: str, files: DataFrame, work: DataFrame) -> None:
+    own = kept(files.join(work.select(F.col("key").alias("repo")), "repo", "left_semi").select("repo", "path", "text"))
+    symbols = kept(codeindex.python_symbols(own))
+    g.write(run, "code_files", own)
+    g.write(run, "symbols", symbols.where("qualified_name is not null"))
+    g.write(run, "index_errors", symbols.where("warning is not null").select("repo", F.col("file_path").alias("path"), F.lit("symbols").alias("step"), F.lit("SyntaxError").alias("error"), F.col("warning").alias("message")))
+
+
+def _pairs(g: Published, run: str, pairs: DataFrame, work: DataFrame, plan: DataFrame) -> None:
+    """Mappings and differences of the pairs to be done, from the tables as they will be."""
+    own = kept(pairs.join(work.select("key"), F.concat_ws("|", "paper_version", "repo") == F.col("key"), "left_semi").select("paper_version", "repo"))
+    of_papers = lambda name: g.read(name, plan).join(own.select("paper_version").distinct(), "paper_version", "left_semi")
+    of_repos = lambda name: g.read(name, plan).join(own.select("repo").distinct(), "repo", "left_semi")
+    tables = {name: of_papers(name) for name in ("stated_values", "components", "algorithms")}
+    lines = kept(codeindex.lines(of_repos("code_files")))
+    mapped = kept(correlate.map_papers(tables, own, of_repos("symbols"), lines))
+    g.write(run, "mappings", mapped)
+    g.write(run, "differences", correlate.differences(mapped, tables["components"], of_papers("papers_text"), own, lines))
+
+
+def ingest_changed(g: Published, sources: DataFrame, files: DataFrame | None = None, commits: DataFrame | None = None, pairs: DataFrame | None = None, bibliographies: DataFrame | None = None, parser: str = PARSER_VERSION, readers: dict | None = None) -> dict[str, int]:
+    """Brings a graph up to date with papers, repositories and pairs of them; how many of each had to be done.
+
+    sources (paper_version, tex), each once; files (repo, path, text) at commits (repo, commit_sha); pairs (paper_version,
+    repo); bibliographies (paper_version, file, kind, text). A paper is done again if its text, its bibliographies or the
+    parser have changed, but a paper that has lost its text stays as it was; a repository if its commit has; a pair if
+    either has. All goes into one run and counts at once, so readers see all tables before or after it. With nothing to
+    do, nothing is written. A reader of marks that fails on a paper gives a row of errors, and the others go on. What is no
+    longer among the sources stays.
+    """
+    spark, valid, run = g.spark, g.valid(), g.new_run()
+    readers = readers or scan.READERS
+    text = sources.select("paper_version", F.sha2(F.coalesce("tex", F.lit("")), 256).alias("sha"), F.col("tex").isNull().alias("bare"))
+    if bibliographies is not None:
+        listed = bibliographies.groupBy("paper_version").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2(F.concat_ws("|", "file", "kind", "text"), 256))), ","), 256).alias("bib"))
+        text = text.join(listed, "paper_version", "left").withColumn("sha", F.concat_ws("+", "sha", "bib"))
+    had = valid.select(F.col("key").alias("paper_version"), F.lit(True).alias("had"))
+    text = text.join(had, "paper_version", "left").where(~F.col("bare") | F.col("had").isNull())
+    papers = _changed(text.select(F.col("paper_version").alias("key"), F.concat_ws("|", "sha", F.lit(parser)).alias("stamp")), valid, run)
+    done = {"papers": papers.count(), "repos": 0, "pairs": 0}
+    entries = papers
+    if done["papers"]:
+        _papers(g, run, sources, bibliographies, papers, readers)
+    if commits is not None:
+        repos = _changed(commits.select(F.col("repo").alias("key"), F.col("commit_sha").alias("stamp")), valid, run)
+        done["repos"] = repos.count()
+        if done["repos"]:
+            _repos(g, run, files, repos)
+        entries = entries.unionByName(repos)
+    if pairs is not None:
+        plan = kept(g.planned(entries, valid))
+        stamp = lambda name, as_: plan.select(F.col("key").alias(name), F.col("stamp").alias(as_))
+        wanted = pairs.select("paper_version", "repo").distinct().join(stamp("paper_version", "a"), "paper_version").join(stamp("repo", "b"), "repo")
+        both = _changed(wanted.select(F.concat_ws("|", "paper_version", "repo").alias("key"), F.concat_ws("@", "a", "b").alias("stamp")), valid, run)
+        done["pairs"] = both.count()
+        if done["pairs"]:
+            _pairs(g, run, pairs, both, plan)
+        entries = entries.unionByName(both)
+    if any(done.values()):
+        g.publish(entries)
+    return done
+
 
 def _entries(references: DataFrame) -> DataFrame:
     """References (paper_version, key, ref_doi, title, year) as bibliography entries; of a repeated key the last counts."""
