@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from . import templates as t
 from .operators import evidence
-from .plans import fetch
+from .plans import fetch, ingest
 from .queries import query
-from .sources.landing import kept
+from .sources.landing import kept, shared_checkpoints
 
 _d = t.for_duckdb
 
@@ -163,3 +165,24 @@ def evidence_by_address(spark, d):
     final, left = evidence.record(claims, e, fetch.resolving(e.select("uri"), graph(spark, d)))
     n = left.groupBy("subject_id").agg(F.count("*").alias("n_kept"))
     return final.join(n, "subject_id", "left").select("subject_id", "confidence", F.coalesce("n_kept", F.lit(0)).alias("n_kept"))
+
+
+# ── ingest ───────────────────────────────────────────────────────────────────
+
+
+@query("""
+select 'P' || p_partkey || 'v1' as paper_version, case when p_partkey % 4 <> 3 and p_partkey % 3 <> 0 then 1 else 2 end::bigint as turn,
+  case when p_partkey % 5 = 0 then 7 else 5 end::bigint as n_sections, p_size || 'e-4' as tau, 0::bigint as n_errors from part""")
+def incremental_ingest(spark, d):
+    """Papers ingested in two turns, of which the second brings new and changed ones; a third has nothing to do."""
+    g = ingest.graph(spark, f"{shared_checkpoints(spark).rstrip('/')}/graph-{uuid.uuid4().hex}")
+    papers = kept(t.derived(spark, d, t.PAPERS))
+    old = papers.where("k % 4 <> 3").withColumn("tex", F.when(F.col("k") % 3 == 0, F.concat("tex", F.lit("\n\\section{To be dropped} rho = 7."))).otherwise(F.col("tex")))
+    for sources in (old, papers, papers):
+        ingest.ingest_changed(g, sources)
+    turns = g.valid(1).select("key", "run", F.lit(1).alias("turn")).unionByName(g.valid(2).join(g.valid(1), ["key", "run"], "left_anti").select("key", "run", F.lit(2).alias("turn")))
+    at = g.valid().join(turns, ["key", "run"]).select(F.col("key").alias("paper_version"), "turn")
+    n = g.read("sections").groupBy("paper_version").agg(F.count("*").alias("n_sections"))
+    values = g.read("stated_values").where("symbol in ('tau', 'rho')").groupBy("paper_version").agg(F.max_by("value_text", "symbol").alias("tau"))
+    errors = g.read("errors").groupBy("paper_version").agg(F.count("*").alias("n_errors"))
+    return at.join(n, "paper_version", "left").join(values, "paper_version", "left").join(errors, "paper_version", "left").withColumn("n_errors", F.coalesce("n_errors", F.lit(0)))
