@@ -151,18 +151,41 @@ def to_index(snapshots: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(snapshots.select("repo_id", "commit_sha"), ["repo_id", "commit_sha"], "left_anti")
 
 
-def upsert_stream(stream: DataFrame, path: str, key: list[str], seq: str, checkpoint: str):
-    """Starts a query that keeps the last row of each key of a stream in a Parquet folder, written anew in turns."""
+_BUCKET = "key_bucket"
+
+
+def _buckets(spark, path: str):
+    from ..plans.publish import Published
+
+    return Published(spark, path, {"rows": [_BUCKET]})
+
+
+def upserted(spark, path: str) -> DataFrame | None:
+    """The rows that a stream of upserts has left so far, as of its last whole batch; None before the first."""
+    rows = _buckets(spark, path).read("rows")
+    return None if rows is None else rows.drop(_BUCKET)
+
+
+def upsert_stream(stream: DataFrame, path: str, key: list[str], seq: str, checkpoint: str, buckets: int = 256):
+    """Starts a query that keeps the last row of each key of a stream under a folder; upserted reads it.
+
+    Keys are dealt into buckets by hash. A batch reads and writes the buckets of its own keys only, and all of them count
+    at once, so what is written follows the batch, and a batch that is repeated after a failure leaves the same rows. Rows
+    that a reader has begun on stay for one more batch. buckets mustn't change under a folder in use.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        jvm = spark._jvm.org.apache.hadoop.fs
-        at = lambda n: f"{path}/turn={n}"
-        files = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-        old = [n for n in range(number - 1, max(-1, number - 3), -1) if files.exists(jvm.Path(at(n)))]
-        rows = batch if not old else spark.read.parquet(at(old[0])).unionByName(batch)
-        last_writer_wins(rows, key, seq).write.mode("overwrite").parquet(at(number))
-        for n in old[1:]:
-            files.delete(jvm.Path(at(n)), True)
+        tables = _buckets(spark, path)
+        rows = batch.withColumn(_BUCKET, F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("string")).persist()
+        hit = [r[0] for r in rows.select(_BUCKET).distinct().collect()]  # as many as buckets at most
+        if hit:
+            old = tables.read("rows", tables.valid().where(F.col("key").isin(hit)))
+            new = rows if old is None else old.where(F.col(_BUCKET).isin(hit)).unionByName(rows)
+            run = tables.new_run()
+            tables.write(run, "rows", last_writer_wins(new, [_BUCKET, *key], seq))
+            tables.publish(spark.createDataFrame([(b, str(number), run) for b in hit], "key string, stamp string, run string"))
+            tables.clear()
+        rows.unpersist()
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).outputMode("update").start()

@@ -60,17 +60,36 @@ def test_cache(spark):
     assert {r.seq: r.body for r in state.ttl_lookups(puts, gets).collect()} == {0: None, 1: "old", 2: None, 3: "new", 4: None}
 
 
+def run_stream(spark, folder, out, checkpoint, buckets=256):
+    stream = spark.readStream.schema("id int, v string, seq int").option("maxFilesPerTrigger", 1).parquet(folder)
+    q = state.upsert_stream(stream, out, ["id"], "seq", checkpoint, buckets)
+    q.processAllAvailable()
+    q.stop()
+
+
 def test_upsert_stream(spark, tmp_path):
-    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
-    rows = [(i % 7, f"v{i}", i) for i in range(50)]
+    folder, out, checkpoint = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
+    assert state.upserted(spark, out) is None
+    rows = [(i % 7, f"v{i}", i) for i in range(50)] + [(None, "null key", 3), (3, "no seq", None)]
     spark.createDataFrame(rows, "id int, v string, seq int").repartition(5).write.parquet(folder)
-    stream = spark.readStream.schema("id int, v string, seq int").option("maxFilesPerTrigger", 1).parquet(folder)
-    state.upsert_stream(stream, out, ["id"], "seq", str(tmp_path / "cp")).processAllAvailable()
-    for q in spark.streams.active:
-        q.stop()
-    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out").iterdir())
-    got = {r.id: r.v for r in spark.read.parquet(f"{out}/turn={last}").collect()}
-    assert got == {i: f"v{max(n for n in range(50) if n % 7 == i)}" for i in range(7)}
+    run_stream(spark, folder, out, checkpoint, 4)
+    got = {r.id: r.v for r in state.upserted(spark, out).collect()}
+    assert got == {i: f"v{max(n for n in range(50) if n % 7 == i)}" for i in range(7)} | {None: "null key"}
+
+
+def test_upsert_stream_writes_what_a_batch_hits(spark, tmp_path):
+    folder, out, checkpoint = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
+    spark.createDataFrame([(i, "old", 0) for i in range(5000)], "id int, v string, seq int").coalesce(1).write.parquet(folder)
+    run_stream(spark, folder, out, checkpoint)
+    before = {p: p.stat().st_size for p in (tmp_path / "out/runs").rglob("*.parquet")}
+    spark.createDataFrame([(17, "new", 1), (17, "older", -1), (9999, "more", 0)], "id int, v string, seq int").coalesce(1).write.mode("append").parquet(folder)
+    run_stream(spark, folder, out, checkpoint)
+    after = {p: p.stat().st_size for p in (tmp_path / "out/runs").rglob("*.parquet")}
+    assert before.items() <= after.items()
+    new = [p for p in after if p not in before]
+    assert 0 < sum(spark.read.parquet(str(p)).count() for p in new) < 150
+    got = {r.id: r.v for r in state.upserted(spark, out).collect()}
+    assert got == {i: "old" for i in range(5000)} | {17: "new", 9999: "more"}
 
 
 def test_upserts(spark):
