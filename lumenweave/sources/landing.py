@@ -160,12 +160,6 @@ def code_tree(spark: SparkSession, root: str, repo: str) -> DataFrame:
     return kept.select("repo", "path", F.coalesce("strict", F.expr("make_valid_utf8(loose)")).alias("text"))
 
 
-def bibliography_files(spark: SparkSession, root: str) -> DataFrame:
-    """Bibliographies under root/<paper version>/ as (paper_version, file, kind, text)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{bbl,bib}").load(root)
-    return files.select(F.element_at(F.split("path", "/"), -2).alias("paper_version"), F.element_at(F.split("path", "/"), -1).alias("file"), F.regexp_extract("path", r"\.([a-z]+)$", 1).alias("kind"), F.expr("make_valid_utf8(cast(content as string))").alias("text"))
-
-
 # Dependency manifests, in order of preference.
 MANIFESTS = ["requirements.txt", "requirements-training.txt", "pyproject.toml", "setup.py", "environment.yml", "environment.yaml", "Pipfile"]
 
