@@ -8,7 +8,7 @@ no result before its call, checked against the tools' schemas, and written as ca
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import prepare, table
@@ -129,8 +129,8 @@ def chat_lines(messages: DataFrame, tools: DataFrame) -> DataFrame:
     return plain_rows.unionByName(call_rows).unionByName(result_rows)
 
 
-#: Calls of a conversation up to which it is ordered in one row; those of more are ordered together, round by round.
-AT_ONCE = 128
+#: Calls of a conversation up to which it is ordered in one row; those of more are ordered together, in rounds.
+AT_ONCE = 256
 
 
 def call_order(calls: DataFrame) -> DataFrame:
@@ -138,60 +138,107 @@ def call_order(calls: DataFrame) -> DataFrame:
 
     level is the longest chain of calls that a call comes after, and at_turn the latest turn along it; ids that no call
     has are passed over. Calls on a cycle, or after one, are cyclic and keep their own turn. Of repeated calls the least
-    turn counts, and the least list of equal turns. Conversations of few calls are ordered each in one row; the rounds of
-    the others are as many as their longest chain.
+    turn counts, and the least list of equal turns. Conversations of few calls are ordered each in one row. In the others
+    runs of calls that come after one other call only are jumped over, twice as far in each round, so that rounds grow
+    with the logarithm of a chain, and with the calls along it that come after several.
     """
     key = ["conv_id", "call_id"]
     own = calls.groupBy(*key).agg(F.min(F.struct(F.col("turn").alias("at_turn"), F.col("after"))).alias("x")).select(*key, "x.*").checkpoint()
-    linked = own.where("size(after) > 0").select("conv_id").distinct()
+    links = own.select(*key, F.explode("after").alias("before")).distinct().join(own.select("conv_id", F.col("call_id").alias("before")), ["conv_id", "before"])
+    linked = links.select("conv_id").distinct()
     free = own.join(linked, "conv_id", "left_anti").select(*key, "at_turn", F.lit(0).alias("level"), F.lit(False).alias("cyclic"))
     asked = own.join(linked, "conv_id", "left_semi")
     sizes = asked.groupBy("conv_id").agg(F.count("*").alias("n"))
-    few = asked.join(sizes.where(F.col("n") <= AT_ONCE).select("conv_id"), "conv_id", "left_semi")
-    many = asked.join(sizes.where(F.col("n") > AT_ONCE).select("conv_id"), "conv_id", "left_semi")
-    return free.unionByName(_ordered_at_once(few)).unionByName(_ordered_in_rounds(many))
-
-
-def _ordered_at_once(calls: DataFrame) -> DataFrame:
-    """Each conversation's calls as one array, in which levels and turns travel along links as often as there are calls."""
-    rows = calls.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("call_id", "at_turn", "after"))).alias("own"))
-    ids = F.transform("own", lambda c: c["call_id"])
-    before = lambda c: F.filter(F.transform(F.coalesce(c["after"], F.array().cast("array<string>")), lambda a: F.array_position("ids", a).cast("int")), lambda i: i > 0)
-    rows = rows.withColumn("ids", ids).withColumn("links", F.transform("own", before))
-    start = F.transform("own", lambda c: F.struct(F.lit(0).alias("level"), c["at_turn"].alias("at_turn")))
-    most = lambda now, ps, f, name: F.array_max(F.transform(ps, lambda i: F.element_at(now, i)[name]))
-    step = lambda now, _: F.transform(
-        F.col("links"),
-        lambda ps, k: F.when(F.size(ps) == 0, F.element_at(now, k + 1)).otherwise(
-            F.struct((most(now, ps, None, "level") + 1).alias("level"), F.greatest(F.element_at(now, k + 1)["at_turn"], most(now, ps, None, "at_turn")).alias("at_turn"))
-        ),
-    )
-    done = rows.withColumn("found", F.aggregate(F.sequence(F.lit(1), F.size("own")), start, step))
-    each = done.select("conv_id", F.size("own").alias("n"), F.explode(F.arrays_zip("own", "found")).alias("x"))
+    few, many = (sizes.where(x).select("conv_id") for x in (F.col("n") <= AT_ONCE, F.col("n") > AT_ONCE))
+    of = lambda rows, which: rows.join(which, "conv_id", "left_semi")
+    return free.unionByName(_ordered_at_once(of(asked, few), of(links, few))).unionByName(_ordered_in_rounds(of(asked, many), of(links, many)))
+
+
+def _ordered_at_once(calls: DataFrame, links: DataFrame) -> DataFrame:
+    """Each conversation's calls as one array in order of turns, passed over until no level or turn changes.
+
+    Calls mostly come after calls before them, so the second pass mostly ends it. On a cycle levels grow in every pass, so
+    after as many passes as there are calls they are longer than any chain.
+    """
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("at_turn", "call_id"))
+    numbered = calls.select("conv_id", "call_id", "at_turn", place.alias("i"))
+    parents = links.join(numbered.select("conv_id", F.col("call_id").alias("before"), "i"), ["conv_id", "before"]).groupBy("conv_id", "call_id").agg(F.collect_list("i").alias("parents"))
+    each = numbered.join(parents, ["conv_id", "call_id"], "left").select("conv_id", F.struct("i", "call_id", "at_turn", "parents").alias("c"))
+    rows = each.groupBy("conv_id").agg(F.sort_array(F.collect_list("c")).alias("own"))
+    kind = "array<struct<level:int,at_turn:bigint>>"
+    start = F.transform("own", lambda c: F.struct(F.lit(0).alias("level"), c["at_turn"].cast("long").alias("at_turn"))).cast(kind)
+
+    def passed(before):
+        def one(now, c):
+            met = F.transform(c["parents"], lambda p: F.coalesce(F.get(now, p - 1), F.get(before, p - 1)))
+            most = lambda f: F.array_max(F.transform(met, lambda m: m[f]))
+            linked = F.struct((most("level") + 1).alias("level"), F.greatest(c["at_turn"].cast("long"), most("at_turn")).alias("at_turn"))
+            alone = F.struct(F.lit(0).alias("level"), c["at_turn"].cast("long").alias("at_turn"))
+            return F.array_append(now, F.when(c["parents"].isNull(), alone).otherwise(linked))
+
+        return F.aggregate("own", F.array().cast(kind), one)
+
+    step = lambda s, _: F.when(s["done"], s).otherwise(F.get(F.transform(F.array(passed(s["now"])), lambda x: F.struct(x.alias("now"), (x == s["now"]).alias("done"))), F.lit(0)))
+    found = F.aggregate(F.sequence(F.lit(1), F.size("own")), F.struct(start.alias("now"), F.lit(False).alias("done")), step)["now"]
+    out = rows.select("conv_id", F.size("own").alias("n"), F.explode(F.arrays_zip(F.col("own"), found.alias("found"))).alias("x"))
     cyclic = F.col("x.found.level") >= F.col("n")  # no chain is as long as there are calls
-    return each.select(
+    return out.select(
         "conv_id", F.col("x.own.call_id").alias("call_id"), F.when(cyclic, F.col("x.own.at_turn")).otherwise(F.col("x.found.at_turn")).alias("at_turn"),
         F.when(cyclic, 0).otherwise(F.col("x.found.level")).alias("level"), cyclic.alias("cyclic"),
     )
 
 
-def _ordered_in_rounds(calls: DataFrame) -> DataFrame:
+def _ordered_in_rounds(calls: DataFrame, links: DataFrame) -> DataFrame:
     key = ["conv_id", "call_id"]
-    own = calls.checkpoint()
-    done = own.select(*key, "at_turn", F.lit(0).alias("level"), F.lit(False).alias("cyclic"))
+    own = calls.select(*key, "at_turn").checkpoint()
     if not own.limit(1).count():
-        return done
-    links = own.select(*key, F.explode("after").alias("before")).distinct().join(own.select("conv_id", F.col("call_id").alias("before")), ["conv_id", "before"]).checkpoint()
-    waiting = own.join(links, key, "left_semi").select(*key, "at_turn")
-    done = done.join(links, key, "left_anti").checkpoint()
+        return own.select(*key, "at_turn", F.lit(0).alias("level"), F.lit(False).alias("cyclic"))
+    links = links.checkpoint()
+    degree = links.groupBy(*key).agg(F.count("*").alias("n"), F.min("before").alias("before"))
+    # a call after one other, as (top, far, latest): the call above it that isn't such a one, how far, and the latest turn below that
+    jumps = degree.where("n = 1").join(own, key).select(*key, F.col("before").alias("top"), F.lit(1).alias("far"), F.col("at_turn").alias("latest")).checkpoint()
+    over = lambda j: j.select("conv_id", F.col("call_id").alias("top"), F.col("top").alias("top_"), F.col("far").alias("far_"), F.col("latest").alias("latest_"))
+    largest = own.groupBy("conv_id").count().agg(F.max("count")).first()[0]
+    reach = 1
+    while reach <= largest and jumps.join(over(jumps), ["conv_id", "top"], "left_semi").limit(1).count():
+        both = jumps.join(over(jumps), ["conv_id", "top"], "left")
+        jumps = both.select(*key, F.coalesce("top_", "top").alias("top"), (F.col("far") + F.coalesce("far_", F.lit(0))).alias("far"), F.greatest("latest", "latest_").alias("latest")).checkpoint()
+        reach *= 2
+    round_ = over(jumps).select("conv_id", "top")  # what still leads to such a call runs in a circle
+    jumps = jumps.join(round_, ["conv_id", "top"], "left_anti").checkpoint()
+    core = own.join(degree.where("n = 1"), key, "left_anti")
+    several = links.join(degree.where("n > 1").select(*key), key, "left_semi").join(jumps.select("conv_id", F.col("call_id").alias("before"), "top", "far", "latest"), ["conv_id", "before"], "left")
+    several = several.select(*key, F.coalesce("top", "before").alias("before"), F.coalesce("far", F.lit(0)).alias("far"), "latest").checkpoint()
+    waiting = core.join(several, key, "left_semi").checkpoint()
+    done = core.join(several, key, "left_anti").select(*key, "at_turn", F.lit(0).alias("level")).checkpoint()
     while True:
         latest = done.select("conv_id", F.col("call_id").alias("before"), F.col("at_turn").alias("t"), F.col("level").alias("l"))
-        ready = links.join(waiting, key).join(latest, ["conv_id", "before"], "left").groupBy(*key).agg(F.max("t").alias("t"), F.max("l").alias("l"), F.bool_and(F.col("l").isNotNull()).alias("all"), F.max("at_turn").alias("at_turn"))
-        new = ready.where("all").select(*key, F.greatest("at_turn", "t").alias("at_turn"), (F.col("l") + 1).alias("level"), F.lit(False).alias("cyclic")).checkpoint()
+        ready = several.join(waiting, key).join(latest, ["conv_id", "before"], "left").groupBy(*key).agg(
+            F.max(F.greatest("t", "latest", "at_turn")).alias("t"), F.max(F.col("l") + F.col("far")).alias("l"), F.bool_and(F.col("l").isNotNull()).alias("all")
+        )
+        new = ready.where("all").select(*key, F.col("t").alias("at_turn"), (F.col("l") + 1).alias("level")).checkpoint()
         if not new.limit(1).count():
-            return done.unionByName(waiting.select(*key, "at_turn", F.lit(0).alias("level"), F.lit(True).alias("cyclic")))
+            break
         done, waiting = done.unionByName(new).checkpoint(), waiting.join(new, key, "left_anti").checkpoint()
+    tops = done.select("conv_id", F.col("call_id").alias("top"), F.col("at_turn").alias("t"), "level")
+    below = jumps.join(tops, ["conv_id", "top"]).select(*key, F.greatest("t", "latest").alias("at_turn"), (F.col("level") + F.col("far")).alias("level"))
+    settled = done.unionByName(below).withColumn("cyclic", F.lit(False))
+    rest = own.join(settled, key, "left_anti").select(*key, "at_turn", F.lit(0).alias("level"), F.lit(True).alias("cyclic"))
+    return settled.unionByName(rest)
 
 
 def op4_chat(spark, sf_dir):
     return chat_lines(table(spark, sf_dir, "conversations"), tools_table(spark))
+
+
+#: Conversations in which every turn also calls a tool, in runs of four calls that come after each other, some of them
+#: wrong, and most of them answered; Spark and DuckDB read it alike.
+CALLS = """select conv_id, turn * 2 as turn, 'assistant' as role, coalesce(text, '') || '<tool_call>{"name":"' || case when turn % 5 = 3 then 'none' else 'search' end || '","id":"c' || cast(turn as string)
+    || '","arguments":{"query":"q' || cast(turn as string) || '","limit":' || cast(turn as string) || case when turn % 2 = 0 then '.0' else '' end || '}' || case when turn % 4 = 0 then '' else ',"after":["c' || cast(turn - 1 as string) || '"]' end || '}</tool_call>' as text
+  from conversations where role <> 'tool'
+  union all select conv_id, turn * 2 + 1, 'tool', '{"tool_call_id":"c' || cast(turn as string) || '","content":"r' || cast(turn as string) || '"}' from conversations where role <> 'tool' and turn % 3 <> 1"""
+
+
+def linked_calls(spark, sf_dir):
+    table(spark, sf_dir, "conversations").createOrReplaceTempView("conversations")
+    return chat_lines(spark.sql(CALLS), tools_table(spark))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import license as lic
+from .chat import CALLS as CALLS_TABLE
 
 _LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(" + _LOW.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -20,6 +21,15 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(
 CHAT = """select conv_id, turn, 0::bigint as part, 'message' as kind, null::string as call_id, null::string as name, 'ok' as status, turn as at_turn, 0::bigint as level,
 '{"content":' || to_json(coalesce(text, '')) || case when role is null then '' else ',"role":' || to_json(role) end || '}' as json from conversations where role is null or role <> 'tool'"""
 
+#: The same for conversations with calls: of a run, a call's level is its place, or the number of calls of the run that there are before it.
+CALLS = f"""with m as ({CALLS_TABLE}), c as (select * from conversations where role <> 'tool'),
+h as (select c.*, (select count(*) from generate_series(1, c.turn % 4) g(k) where (select count(*) from c x where x.conv_id = c.conv_id and x.turn between c.turn - k and c.turn - 1) = k) as level from c)
+select conv_id, turn, 0::bigint as part, 'message' as kind, null::string as call_id, null::string as name, 'ok' as status, turn as at_turn, 0::bigint as level,
+  '{{"content":' || to_json(regexp_replace(text, '<tool_call>.*</tool_call>', '', 's')) || ',"role":"assistant"}}' as json from m where role = 'assistant'
+union all select conv_id, turn * 2, 1, 'call', 'c' || turn, case when turn % 5 = 3 then 'none' else 'search' end, case when turn % 5 = 3 then 'invalid' when turn % 3 = 1 then 'unanswered' else 'ok' end, turn * 2, level,
+  '{{"arguments":{{"limit":' || turn || ',"query":"q' || turn || '"}},"id":"c' || turn || '","name":"' || case when turn % 5 = 3 then 'none' else 'search' end || '","type":"call"}}' from h
+union all select conv_id, turn * 2 + 1, 1, 'result', 'c' || turn, null, 'ok', turn * 2 + 1, level + 1, '{{"content":"r' || turn || '","id":"c' || turn || '","type":"result"}}' from h where turn % 3 <> 1"""
+
 _ALL = lic.all_templates()
 _TEMPLATES = ", ".join(f"({i}, '{n}', '{x}')" for i, (n, x) in enumerate(_ALL))
 _TERMS = "regexp_extract_all(lower({0}), '[a-z0-9]+(?:[.-][0-9a-z]+)*')"
@@ -94,4 +104,4 @@ select vec_id, a.c::int as cluster, d as distance, (sum(d) over (partition by a.
 from v join a{rounds} a using (r) join c{rounds} c on c.c = a.c"""
 
 
-ORACLES = {"op11_clusters": _clusters(), "op12_audit": AUDIT, "op4_chat": CHAT, "op5_decontaminate": DECONTAMINATE, "op6_license": LICENSE}
+ORACLES = {"op11_clusters": _clusters(), "op12_audit": AUDIT, "op4_chat": CHAT, "linked_calls": CALLS, "op5_decontaminate": DECONTAMINATE, "op6_license": LICENSE}

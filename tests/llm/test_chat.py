@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 import pytest
 
@@ -98,7 +99,7 @@ def test_numbers_are_written_by_value(spark):
     assert got == {0: "unanswered", 1: "unanswered", 2: "invalid", 3: "unanswered"}
 
 
-@pytest.mark.parametrize("most", [0, 128])
+@pytest.mark.parametrize("most", [0, 256])
 def test_order_against_plain_version(spark, monkeypatch, most):
     monkeypatch.setattr(chat, "AT_ONCE", most)
     r = random.Random(most)
@@ -107,6 +108,9 @@ def test_order_against_plain_version(spark, monkeypatch, most):
         n = r.randint(1, 12)
         rows += [(conv, f"c{i}", r.randint(0, 9), [f"c{r.randrange(n + 1)}" for _ in range(r.randint(0, 2))] if r.random() < 0.7 else None) for i in range(n)]
     rows += [(100, f"c{i}", i, [f"c{i - 1}"]) for i in range(40)]
+    rows += [(101, f"c{i}", i, [f"c{i + 1}"] + [f"c{i + 5}"] * (i % 7 == 0)) for i in range(30)]  # each comes after later ones
+    rows += [(102, f"c{i}", i, [f"c{(i + 1) % 9}"] if i < 9 else [f"c{i - 1}"]) for i in range(14)]  # a circle, and calls after it
+    rows += [(103, "a", 1, ["a"]), (103, "b", 2, ["a"]), (103, "c", 3, None)]
     rows += rows[:3]
     got = sorted(tuple(x) for x in chat.call_order(spark.createDataFrame(rows, "conv_id long, call_id string, turn long, after array<string>")).collect())
     own = {(c, i): (t, [a for a in after or [] if any(x[0] == c and x[1] == a for x in rows)]) for c, i, t, after in rows}
@@ -119,3 +123,14 @@ def test_order_against_plain_version(spark, monkeypatch, most):
 
     want = sorted((*k, *(level(k) or (t, 0)), level(k) is None) for k, (t, _) in own.items())
     assert got == want
+
+
+@pytest.mark.parametrize("n,most", [(250, 256), (1000, 256), (3000, 256)])
+@pytest.mark.parametrize("turned", [False, True])
+def test_long_chains_take_less_than_a_minute(spark, monkeypatch, n, most, turned):
+    monkeypatch.setattr(chat, "AT_ONCE", most)
+    rows = [(1, f"c{i}", n - i if turned else i, [f"c{i - 1}"]) for i in range(n)]
+    began = time.time()
+    got = {r.call_id: (r.at_turn, r.level, r.cyclic) for r in chat.call_order(spark.createDataFrame(rows, "conv_id long, call_id string, turn long, after array<string>")).collect()}
+    assert time.time() - began < 60
+    assert got == {f"c{i}": (n if turned else i, i, False) for i in range(n)}
