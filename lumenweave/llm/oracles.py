@@ -31,16 +31,21 @@ union all select conv_id, turn * 2, 1, 'call', 'c' || turn, case when turn % 5 =
 union all select conv_id, turn * 2 + 1, 1, 'result', 'c' || turn, null, 'ok', turn * 2 + 1, level + 1, '{{"content":"r' || turn || '","id":"c' || turn || '","type":"result"}}' from h where turn % 3 <> 1"""
 
 _ALL = lic.all_templates()
-_TEMPLATES = ", ".join(f"({i}, '{n}', '{x}')" for i, (n, x) in enumerate(_ALL))
+_TEMPLATES = ", ".join("({}, '{}', '{}')".format(i, n, x.replace("'", "''")) for i, (n, x) in enumerate(_ALL))
+_GRANTED = "regexp_replace(regexp_replace(coalesce(text, ''), '{}', ' ', 'g'), '{}', ' ', 'g')".format(*(x.replace("'", "''") for x in (lic.DENIED, lic.QUOTED)))
 _TERMS = "regexp_extract_all(lower({0}), '[a-z0-9]+(?:[.-][0-9a-z]+)*')"
 
 LICENSE = f"""with t as (select * from (values {_TEMPLATES}) v(i, name, x)), tt as (select i, term, count(*) as n from (select i, unnest({_TERMS.format("x")}) as term from t) group by all),
 idf as (select term, ln({len(_ALL) + 1}.0 / (1 + count(*))) + 1 as idf from tt group by 1), tw as (select tt.i, tt.term, tt.n * idf.idf as w from tt join idf using (term)), tn as (select i, sqrt(sum(w * w)) as norm from tw group by 1),
-d as (select doc_id, source || '/k' || doc_id // 1000 || '/d' || doc_id // 20 || '/doc' || doc_id as path, text, array_to_string(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '(?i)licen[cs]ed? |licen[cs]e\\b|copyright|all rights reserved|spdx-')), chr(10)) as header from documents),
+d as (select doc_id, source || '/k' || doc_id // 1000 || '/d' || doc_id // 20 || '/doc' || doc_id as path, text,
+    array_to_string(list_filter(string_split({_GRANTED}, chr(10)), lambda l: regexp_matches(l, '{lic.HEADER}')), chr(10)) as lines, case when regexp_matches(lines, '{lic.GRANT}') then lines else '' end as header from documents),
 h as (select distinct header from d where header <> ''), ht as (select header, term, count(*) as n from (select header, unnest({_TERMS.format("header")}) as term from h) group by all),
 hw as (select header, term, n * coalesce(idf.idf, ln({len(_ALL) + 1}.0) + 1) as w from ht left join idf using (term)), hn as (select header, sqrt(sum(w * w)) as norm from hw group by 1),
 c as (select hw.header, tw.i, sum(hw.w * tw.w) / any_value(hn.norm) / any_value(tn.norm) as score from hw join tw using (term) join hn using (header) join tn using (i) group by all),
-b as (select header, first(i order by score desc, i) as i, max(score) as score from c group by 1), own as (select b.header, t.name, round(b.score, 6) as score from b join t using (i) where b.score >= {lic.LEAST}),
+b as (select header, first(i order by score desc, i) as i, max(score) as score from c group by 1), o as (select c.header, max(c.score) as score from c join b using (header) join t x on x.i = c.i join t y on y.i = b.i where x.name <> y.name group by 1),
+m as (select header, sum(n) as n, bool_or(term in ('2', '2.0', 'v2')) as v2, bool_or(term in ('3', '3.0', 'v3')) as v3 from ht group by 1),
+own as (select b.header, t.name, round(b.score, 6) as score from b join t using (i) join m using (header) left join o using (header) where b.score >= case when m.n > {lic.SHORT} then {lic.LEAST_LONG} else {lic.LEAST} end and b.score - coalesce(o.score, 0) >= {lic.MARGIN}
+  and case when t.name = 'GPL-2.0' then m.v2 when t.name in ('GPL-3.0', 'LGPL-3.0', 'AGPL-3.0') then m.v3 else true end),
 f as (select d.*, own.name, own.score, regexp_extract(d.path, '^(.*)/[^/]*$', 1) as dir from d left join own using (header)),
 l as (select dir, first(name order by score desc, path) as name, first(score order by score desc, path) as score from f where name is not null and length(header) / greatest(length(text), 1) >= {lic.FILE_SHARE} group by dir),
 a as (select f.dir, first(l.dir order by length(l.dir) desc) as above from (select distinct dir from f where name is null) f join l on l.dir = f.dir or f.dir like l.dir || '/%' group by f.dir)
