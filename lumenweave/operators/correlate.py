@@ -202,15 +202,21 @@ def differences(mappings: DataFrame, components: DataFrame, papers: DataFrame, p
 
 
 def hidden_constants(papers: DataFrame, pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Exact constants in settings and code that the paper doesn't hold, one row for each file: the constants in order, each listed where it comes first."""
+    """Exact constants in settings and code that the paper doesn't hold, one row for each file: the constants in order, each listed where it comes first.
+
+    A file's constants are listed once; from the list go those that a paper holds, so no paper meets single constants of
+    its repository but its own.
+    """
     found = lines.where(T.is_config_source(F.col("path"))).select("repo", "path", "line", F.posexplode(F.regexp_extract_all("text", F.lit(EXACT), F.lit(1))).alias("place", "constant"))
     stated = papers.join(pairs, "paper_version").select(*PAIR, F.explode(F.array_distinct(F.regexp_extract_all("tex", F.lit(r"\d\.\d{4,}"), F.lit(0)))).alias("constant"))
-    firsts = found.groupBy("repo", "constant").agg(F.min(F.struct("path", "line", "place")).alias("at"))
+    firsts = found.groupBy("repo", "constant").agg(F.min(F.struct("path", "line", "place")).alias("at")).select("repo", "at.*", "constant")
+    files = firsts.groupBy("repo", "path").agg(F.array_sort(F.collect_list(F.struct("line", "place", "constant"))).alias("listed"))
     # a paper holds a constant if one of its numbers begins with it
-    known = stated.select(*PAIR, F.explode(F.transform(F.sequence(F.lit(6), F.length("constant")), lambda n: F.substring(F.col("constant"), F.lit(1), n))).alias("constant")).distinct()
-    open_ = pairs.join(firsts, "repo").join(known, [*PAIR, "constant"], "left_anti")
-    listed = F.array_sort(F.collect_list(F.struct("at.line", "at.place", "constant")))
-    return open_.groupBy(*PAIR, F.col("at.path").alias("path")).agg(F.count("*").alias("n"), F.min("at.line").alias("line"), F.array_join(F.transform(listed, lambda x: x["constant"]), ",").alias("constants"))
+    begins = stated.select(*PAIR, F.explode(F.transform(F.sequence(F.lit(6), F.length("constant")), lambda n: F.substring(F.col("constant"), F.lit(1), n))).alias("constant")).distinct()
+    held = begins.join(firsts, ["repo", "constant"]).groupBy(*PAIR, "path").agg(F.collect_set("constant").alias("held"))
+    rows = pairs.select(*PAIR).distinct().join(files, "repo").join(held, [*PAIR, "path"], "left")
+    left = F.when(F.col("held").isNull(), F.col("listed")).otherwise(F.filter("listed", lambda x: ~F.array_contains("held", x["constant"])))
+    return rows.select(*PAIR, "path", left.alias("left")).where("size(left) > 0").select(*PAIR, "path", F.size("left").cast("long").alias("n"), F.col("left")[0]["line"].alias("line"), F.array_join(F.col("left.constant"), ",").alias("constants"))
 
 
 def external_artifacts(lines: DataFrame) -> DataFrame:

@@ -427,15 +427,18 @@ def changed_hyperparameters(spark, d):
     return correlate.changed_values(correlate.graded(_mapped_values(spark, d))).select("paper_version", "subject", "paper_states")
 
 
-_TEXTS = "select paper_version, 'we use 1.' || lpad(cast(k as string), 5, '0') || '9 and 1.' || lpad(cast(k + 10 as string), 5, '0') as tex, k from (select p_partkey as k, 'P' || cast(p_partkey as string) || 'v1' as paper_version from part where p_partkey < 40)"
+_TEXTS = "select paper_version, 'we use 1.' || lpad(cast(k as string), 5, '0') || '9 and 1.' || lpad(cast(k + 10 as string), 5, '0') as tex, k from (select p_partkey as k, 'P' || cast(p_partkey as string) || 'v1' as paper_version from part)"
 
 
-@query(f"""with l as (select *, regexp_extract(text, 'rate = (1\\.[0-9]{{5}})$', 1) as c from {_d(t.CODE_LINES)} where regexp_matches(text, 'rate = 1\\.[0-9]{{5}}$')), f as (select repo, c, min({{'path': path, 'line': line}}) as at from l group by all), p as (select *, 'r' || k % 10 as repo from {_d(_TEXTS)})
-select p.paper_version, p.repo, f.at.path as path, count(*) as n, min(f.at.line)::bigint as line from p join f on f.repo = p.repo and not contains(p.tex, f.c) group by all""")
+@query(f"""
+with l as (select *, regexp_extract(text, 'rate = (1\\.[0-9]{{5}})$', 1) as c from {_d(t.CODE_LINES)} where regexp_matches(text, 'rate = 1\\.[0-9]{{5}}$')),
+f as (select repo, c, min({{'path': path, 'line': line}}) as at from l group by all), p as (select *, 'r' || k % 10 as repo from {_d(_TEXTS)})
+select p.paper_version, p.repo, f.at.path as path, count(*) as n, min(f.at.line)::bigint as line, string_agg(f.c, ',' order by f.at.line, f.c) as constants
+from p join f on f.repo = p.repo and not contains(p.tex, f.c) group by all""")
 def hidden_constants(spark, d):
     papers = t.derived(spark, d, _TEXTS)
     pairs = papers.select("paper_version", F.concat(F.lit("r"), F.col("k") % 10).alias("repo"))
-    return correlate.hidden_constants(papers.select("paper_version", "tex"), pairs, _lines(spark, d)).select("paper_version", "repo", "path", "n", "line")
+    return correlate.hidden_constants(papers.select("paper_version", "tex"), pairs, _lines(spark, d))
 
 
 _DOWNLOADS = "select 'r' || cast(page_id % 7 as string) as repo, 'get' || cast(page_id % 3 as string) || '.py' as path, cast(page_id as int) as line, 'fetch(\"' || split_part(url, '?', 1) || case when page_id % 2 = 0 then '.pth' else '.html' end || '\")' as text from pages"
