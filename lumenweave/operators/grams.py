@@ -57,3 +57,12 @@ def holding(index: Index, terms: DataFrame) -> DataFrame:
     probes = probes.where("p[0].n > 0").select(*scope, "term", F.size("p").alias("asked"), F.explode("p.gram").alias("gram"))
     met = probes.join(index.postings, [*scope, "gram"]).groupBy(*scope, "term", "name", "asked").agg(F.count("*").alias("met"))
     return met.where((F.col("met") == F.col("asked")) & F.contains("name", F.lower("term"))).select(*scope, "term", "name")
+
+
+def containing(texts: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
+    """terms (term), none with white space in it, to (term, key): the texts that hold the term anywhere, in any case.
+
+    A term lies within one word, so it finds words by their letters, and words find texts.
+    """
+    words = texts.select(key, F.explode(F.array_distinct(F.split(F.lower(text), r"\s+"))).alias("name"))
+    return holding(index(words, [], "name"), terms).join(words, "name").select("term", key).distinct()

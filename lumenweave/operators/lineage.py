@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import grams
+
 METHODOLOGY = "methodology"
 FETCHED = 40
 
@@ -60,13 +62,21 @@ def edges(back: DataFrame, ahead: DataFrame) -> DataFrame:
 def trace_method(sites: DataFrame, entries: DataFrame, sections: DataFrame, methods: DataFrame) -> tuple[DataFrame, DataFrame]:
     """methods (method) through the literature: citing sentences that hold all its terms, and the first six sections that hold its first.
 
-    Methods are a stated set of queries, held against all sentences as a small broadcast table.
+    The longest term finds sentences through the letters of their words, and the others are looked for there; so no
+    method is held against every sentence. Equal sentences are looked at once.
     """
     terms = F.filter(F.split(F.lower("method"), r"\s+"), lambda t: F.length(t) > 2)
-    asked = F.broadcast(methods.select("method", terms.alias("terms")).where("size(terms) > 0"))
-    low = F.lower("context")
-    said = sites.join(asked, F.forall("terms", lambda t: F.contains(low, t))).join(entries.select("paper_version", "bib_key", "title", "year"), ["paper_version", "bib_key"], "left")
-    first = F.element_at("terms", 1)
-    told = sections.join(asked, F.contains(F.lower("title"), first) | F.contains(F.lower("body"), first))
+    asked = methods.select("method", terms.alias("terms")).where("size(terms) > 0").distinct()
+    longest = F.array_max(F.transform("terms", lambda t: F.struct(F.length(t), t.alias("t"))))["t"]
+
+    def held(rows: DataFrame, text, term) -> DataFrame:
+        """rows that hold a method's term, with the method and its terms."""
+        keyed = rows.withColumn("_text", text).withColumn("_key", F.sha2("_text", 256))
+        found = grams.containing(keyed.select("_key", "_text").dropDuplicates(["_key"]), "_key", "_text", asked.select(term.alias("term")))
+        return keyed.join(asked.withColumn("term", term).join(found, "term"), "_key").drop("_key", "_text", "term")
+
+    said = held(sites, F.col("context"), longest).where(F.forall("terms", lambda t: F.contains(F.lower("context"), t)))
+    said = said.join(entries.select("paper_version", "bib_key", "title", "year"), ["paper_version", "bib_key"], "left")
+    told = held(sections, F.concat_ws("\n", "title", "body"), F.try_element_at("terms", F.lit(1)))
     told = told.withColumn("n", F.row_number().over(Window.partitionBy("method", "paper_version").orderBy("ordinal"))).where("n <= 6")
     return said.select("method", "paper_version", "bib_key", "title", "year", "context", "src_line"), told.select("method", "paper_version", "section_path", "title")

@@ -454,7 +454,7 @@ _VERDICTS = """select 'P' || cast(l_orderkey % 60 as string) as paper_version, '
 
 
 _DIFFERENCES = """select 'P' || cast(l_orderkey % 60 as string) as paper_version, 'r' || cast(l_suppkey % 4 as string) as repo, 'CHANGED_HYPERPARAMETER' as kind, 'v' || cast(l_partkey % 11 as string) as subject, min(case when l_discount > 0.08 then 'BLOCKING' when l_discount > 0.04 then 'SIGNIFICANT' else 'MINOR' end) as severity
- from lineitem where l_quantity > 40 group by l_orderkey % 60, l_suppkey % 4, l_partkey % 11"""
+ from lineitem group by l_orderkey % 60, l_suppkey % 4, l_partkey % 11"""
 
 
 @query(f"""with v as (select * from {_d(_VERDICTS)}), f as (select paper_version, repo, count(*) filter (severity = 'BLOCKING') as n_blocking, count(*) filter (severity = 'SIGNIFICANT') as n_significant from {_d(_DIFFERENCES)} group by all),
@@ -579,18 +579,20 @@ def successor_rank(spark, d):
     return lineage.successors(_forward(spark, d), 10).select("cited", "from_paper", "rank")
 
 
-@query(f"""with s as (select * from {_d(t.SITES)}), e as (select * from {_d(t.ENTRIES)}), m as (select * from (values ('says 10 of'), ('says n')) m(method)) select m.method, s.paper_version, s.bib_key, e.title, s.context from m join s on contains(lower(s.context), 'says') left join e on e.paper_version = s.paper_version and e.bib_key = s.bib_key""")
+@query(f"""with s as (select * from {_d(t.SITES)}), e as (select * from {_d(t.ENTRIES)}), m as (select * from (values ('says 10 of', 'says', ''), ('says n', 'says', ''), ('ays 771', 'ays', '771')) m(method, a, b))
+select m.method, s.paper_version, s.bib_key, e.title, s.context from m join s on contains(lower(s.context), a) and contains(lower(s.context), b) left join e on e.paper_version = s.paper_version and e.bib_key = s.bib_key""")
 def trace_method(spark, d):
-    methods = spark.createDataFrame([("says 10 of",), ("says n",)], "method string")
-    sections = spark.createDataFrame([], "paper_version string, section_path string, title string, body string, ordinal int")
+    methods = spark.createDataFrame([("says 10 of",), ("says n",), ("ays 771",)], "method string")
+    sections = extract.sections(_events(spark, d, "heading"))
     return lineage.trace_method(_sites(spark, d), _entries(spark, d), sections, methods)[0].select("method", "paper_version", "bib_key", "title", "context")
 
 
 @query("""with m as (select * from (values ('loss function'), ('small things'), ('xx')) m(method)), s as (select 'P' || p_partkey || 'v1' as paper_version, q.path, q.title, q.n from part, (values ('2.1', 'Loss', 4), ('1', 'Introduction', 0)) q(path, title, n) where q.path = '2.1' or contains(lower(p_name), 'small'))
-select m.method, s.paper_version, s.path as section_path from m join s on (m.method = 'loss function' and s.path = '2.1') or (m.method = 'small things' and s.path = '1')""")
+select m.method, s.paper_version, s.path as section_path from m join s on (m.method = 'loss function' and s.path = '2.1') or (m.method = 'small things' and s.path = '1')
+union all select 'armup', 'P' || p_partkey || 'v1', '*remarks' from part where p_partkey % 2 = 0""")
 def trace_method_sections(spark, d):
-    methods = spark.createDataFrame([("loss function",), ("small things",), ("xx",)], "method string")
-    sections = extract.sections(_events(spark, d, "heading")).where("section_path in ('1', '2.1')")
+    methods = spark.createDataFrame([("loss function",), ("small things",), ("xx",), ("armup",)], "method string")
+    sections = _kept(extract.sections(_events(spark, d, "heading")))
     return lineage.trace_method(_sites(spark, d), _entries(spark, d), sections, methods)[1].select("method", "paper_version", "section_path")
 
 
