@@ -122,6 +122,32 @@ def report(counts: DataFrame, mappings: DataFrame, differences: DataFrame) -> Da
     return c.join(m, "paper_version", "left").join(d, "paper_version", "left").na.fill(0)
 
 
+#: Tables whose rows an overview counts.
+STRUCTURE = ["sections", "equations", "algorithms", "stated_values", "components", "claims"]
+
+
+def overview(tables: dict[str, DataFrame]) -> DataFrame:
+    """Every paper version as one answer: (paper_version, n_<table> .., implementations, mapped, status, analysis).
+
+    implementations are repositories in order of rank; mapped lists each repository's verdicts as status=n, repositories
+    and statuses in order; status is analysed, with the id of the latest analysis, or needs_analysis.
+    """
+    out = tables["paper_versions"].select("paper_version").distinct()
+    for name in STRUCTURE:
+        n = tables[name].groupBy("paper_version").agg(F.count("*").alias(f"n_{name}")) if name in tables else None
+        out = out.withColumn(f"n_{name}", F.lit(0).cast("long")) if n is None else out.join(n, "paper_version", "left").na.fill(0, [f"n_{name}"])
+    ranked = F.array_sort(F.collect_set(F.struct("rank", "repo_id")))
+    found = tables["implementation_candidates"].groupBy("paper_version").agg(F.array_join(F.transform(ranked, lambda x: x["repo_id"]), ",").alias("implementations"))
+    verdicts = status_by_repository(tables["mappings"])
+    listed = verdicts.groupBy("paper_version", "repo").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "status", "n"))), ",").alias("own"))
+    mapped = listed.groupBy("paper_version").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "repo", "own"))), "; ").alias("mapped"))
+    last = tables["analyses"].groupBy("paper_version").agg(F.max(F.struct("created_at", "id")).getField("id").alias("analysis"))
+    for part in (found, mapped, last):
+        out = out.join(part, "paper_version", "left")
+    status = F.when(F.col("analysis").isNull(), "needs_analysis").otherwise("analysed")
+    return out.withColumn("status", status).select("paper_version", *(f"n_{n}" for n in STRUCTURE), *(F.coalesce(c, F.lit("")).alias(c) for c in ("implementations", "mapped")), "status", "analysis")
+
+
 #: Keys that a miss names, at most, in order.
 SHOWN = 40
 

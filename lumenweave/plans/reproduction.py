@@ -57,6 +57,11 @@ def verification(mappings: DataFrame) -> DataFrame:
     return values.unionByName(parts)
 
 
+def missing_information(mappings: DataFrame) -> DataFrame:
+    """(paper_version, repo, anchor_id, item): what a reproduction would have to make up, each absent anchor and reason once."""
+    return mappings.where("status = 'ABSENT'").select(*PAIR, "anchor_id", F.col("reasoning").alias("item")).distinct()
+
+
 def expected_results(values: DataFrame, limit: int = 8) -> DataFrame:
     """Stated values that speak of accuracy or BLEU, the first of each paper by line."""
     says = lambda c: F.lower(F.coalesce(c, F.lit(""))).rlike("accuracy|bleu")

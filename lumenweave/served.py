@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from . import templates as t
 from .operators import evidence
-from .plans import fetch, ingest
+from .plans import fetch, ingest, reads, reproduction
 from .queries import query
 from .sources.landing import kept, shared_checkpoints
 
@@ -167,6 +167,41 @@ def evidence_by_address(spark, d):
     return final.join(n, "subject_id", "left").select("subject_id", "confidence", F.coalesce("n_kept", F.lit(0)).alias("n_kept"))
 
 
+@query(f"""with {_G},
+m as (select paper_version, split_part(snapshot_id, '@', 1) as repo, status, count(*) as n from mappings group by all),
+r as (select paper_version, repo, string_agg(status || '=' || n, ',' order by status || '=' || n) as own from m group by all)
+select v.paper_version, {", ".join(f"(select count(*) from {n} x where x.paper_version = v.paper_version) as n_{n}" for n in ("sections", "equations", "algorithms", "stated_values", "components"))}, 0::bigint as n_claims,
+  coalesce((select string_agg(repo_id, ',' order by rank, repo_id) from implementation_candidates c where c.paper_version = v.paper_version), '') as implementations,
+  coalesce((select string_agg(repo || ': ' || own, '; ' order by repo) from r where r.paper_version = v.paper_version), '') as mapped,
+  case when exists (select 1 from analyses a where a.paper_version = v.paper_version) then 'analysed' else 'needs_analysis' end as status,
+  (select arg_max(id, created_at) from analyses a where a.paper_version = v.paper_version) as analysis
+from paper_versions v""")
+def paper_overviews(spark, d):
+    """What a graph has on every paper version, as one answer each."""
+    return reads.overview(graph(spark, d))
+
+
+@query(f"""with {_G} select distinct paper_version, split_part(snapshot_id, '@', 1) as repo, anchor_id, reasoning as item from mappings where status = 'ABSENT'""")
+def missing_information(spark, d):
+    return reproduction.missing_information(graph(spark, d)["mappings"].withColumn("repo", F.substring_index("snapshot_id", "@", 1)))
+
+
+_CLAIMED = """select doc_id as item, 'D' || cast(doc_id % 9 as string) as paper_version, case when doc_id % 13 = 0 then cast(null as string) else ' claims ' || cast(doc_id as string) || ' ' end as name,
+  case when doc_id % 4 = 0 then cast(null as string) when doc_id % 6 = 0 then 'guess' else 'result' end as kind, doc_id as n from documents"""
+
+
+@query(f"""with c as (select *, trim(name) as statement, doc_kind from (select *, coalesce(kind, 'contribution') as doc_kind from {_d(_CLAIMED)})),
+r as (select *, case when statement is null then 'no statement' when doc_kind = 'guess' then 'unknown kind' when n % 5 = 1 then 'no cited address resolves' end as reason from c)
+select item, doc_kind as kind, reason, reason is null as accepted, case when reason is null and n % 2 = 0 then paper_version || ':sec:' || n end as section_id,
+  paper_version || ':claim:' || substr(sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(coalesce(statement, ''))), 1, 12) as claim_id from r""")
+def validated_claims(spark, d):
+    """Claims written back: which are accepted, why the others aren't, and their ids."""
+    rows = kept(t.derived(spark, d, _CLAIMED))
+    own = F.concat(F.lit("evi://paper/x/"), F.when(F.col("n") % 2 == 0, "section/").otherwise("values/"), "n")
+    items = rows.withColumn("uris", F.array(F.lit("evi://nowhere"), own)).drop("n")
+    return evidence.validate_claims(items, rows.where("n % 5 <> 1").select(own.alias("uri"))).select("item", "kind", "reason", "accepted", "section_id", "claim_id")
+
+
 # ── ingest ───────────────────────────────────────────────────────────────────
 
 
