@@ -84,7 +84,8 @@ def chat_lines(messages: DataFrame, tools: DataFrame) -> DataFrame:
     or of another type), broken (not JSON with an id), duplicate (the id is taken by an earlier call), cycle (it comes
     after itself), unanswered; result: unmatched, duplicate or broken. Sorted by (conv_id, at_turn, level, turn, part)
     the rows are in topological order. Null conversations, turns, roles and texts are kept as they are (null text:
-    empty); repeated rows stay repeated, of repeated ids the first by (turn, part) counts. Extra columns are not read.
+    empty); repeated rows stay repeated, of repeated ids the first by (turn, part) counts. An empty table gives no rows.
+    Extra columns are not read.
     """
     spark = messages.sparkSession
     prepare(spark)

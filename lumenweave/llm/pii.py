@@ -248,7 +248,7 @@ def _digests(judge, batches):
 def find(docs: DataFrame) -> DataFrame:
     """documents to (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans), one row for each row.
 
-    The counts and base_sha256 are of base spans; spans has all of them as kind:start:end in code points, n_spans says how many. Null and empty
+    The counts and base_sha256 are of base spans; spans has all of them as kind:start:end in code points, n_spans says how many. An empty table gives no rows. Null and empty
     texts have none. Repeated and null ids stay; other columns are not read.
     """
     prepare(docs.sparkSession)

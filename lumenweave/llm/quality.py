@@ -230,8 +230,10 @@ def classify(docs: DataFrame, labels: DataFrame, columns: list[str] | None = Non
     """docs, or the given columns of it, with perplexity and accepted added (columns of those names are replaced), by a model trained on labels' good documents.
 
     most: trusted documents to learn from, at most. One row for each row. Null and empty texts hold only the end, and are
-    accepted or not by its perplexity like any other; a null or unseen language has the threshold of all languages. An
-    empty table gives an empty table.
+    accepted or not by its perplexity like any other. A null language is one of its own, like the empty string; a language
+    with fewer than ENOUGH trusted documents outside the sample has the threshold of all languages. The threshold is the
+    quantile of those documents' perplexities times STRETCH, so that clean documents a little beyond it stay. An empty
+    table gives an empty table.
     """
     about, known, learnt = train(docs, labels, most)
     rows = (docs.select(*columns) if columns else docs).drop("perplexity", "accepted").withColumn("perplexity", F.lit(0.0))

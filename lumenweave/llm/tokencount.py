@@ -176,7 +176,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, block: int = BL
     """documents to (doc_id, n_bytes, n_tokens, over_limit), one row for each row, by the tokenizer file at path.
 
     Null and empty texts have 0 bytes and tokens; repeated and null ids stay. Strings of special tokens inside texts
-    count as the library's default has them. Other columns are not read.
+    count as the library's default has them. An empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     prepare(spark)

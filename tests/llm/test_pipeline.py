@@ -79,3 +79,11 @@ def test_run_is_the_stages(spark, folder):
         rows = stage(spark, rows, path).checkpoint()
     assert a == sorted((tuple(r) for r in rows.collect()), key=str)
     assert decontaminate.WINDOW == 10 and simhash.LIKE_TEXTS.segments == 5
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_on_an_empty_table(spark, folder, name, stage):
+    path, _, _ = folder
+    rows = spark.read.parquet(f"{path}/documents.parquet").limit(0).selectExpr("*", "1 as extra")
+    got = stage(spark, rows, path)
+    assert got.count() == 0 and {*COLUMNS, "extra"} <= set(got.columns)
