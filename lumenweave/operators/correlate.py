@@ -97,7 +97,7 @@ def map_components(components: DataFrame, pairs: DataFrame, symbols: DataFrame,
     tokens = c.select("repo", F.explode(words).alias("token")).distinct()
     in_code = lines.where(F.col("path").rlike(codeindex.SOURCE)).select("repo", "path", "line", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z0-9]{4,}"), F.lit(0)))).alias("word"))
     firsts = in_code.groupBy("repo", "word").agg(F.min(F.struct("path", "line")).alias("at"))
-    holding = grams.holding(grams.index(firsts, ["repo"], "word"), tokens.withColumnRenamed("token", "term"))
+    holding = grams.holding(grams.index(firsts, ["repo"], "word", 4), tokens.withColumnRenamed("token", "term"))
     places = holding.select("repo", F.col("term").alias("token"), F.col("name").alias("word")).join(firsts, ["repo", "word"]).groupBy("repo", "token").agg(F.min("at").alias("at"))
     inside = c.select(*key, F.posexplode(words).alias("place", "token")).join(places, ["repo", "token"]).groupBy(*key).agg(F.min_by(F.struct("token", "at.path", "at.line"), "place").alias("inside"))
     located = values.where("anchor_kind = 'stated_value' and status = 'MATCHED'")

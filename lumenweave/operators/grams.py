@@ -28,17 +28,25 @@ class Index:
     sizes: DataFrame
 
 
-def index(names: DataFrame, scope: list[str], text: str) -> Index:
-    """The index of the distinct names of each scope. Runs of one and two letters are in it for shorter terms."""
+def _sizes(postings: DataFrame, scope: list[str]) -> DataFrame:
+    return postings.groupBy(*scope, "gram").agg(F.count("*").alias("n"))
+
+
+def index(names: DataFrame, scope: list[str], text: str, shortest: int = 1) -> Index:
+    """The index of the distinct names of each scope, for terms of so many letters or more; shorter ones find nothing.
+
+    Terms of one and two letters need postings of such runs.
+    """
     lowered = names.where(F.col(text).isNotNull()).select(*scope, F.lower(text).alias("name")).distinct()
     name = F.col("name")
-    postings = lowered.select(*scope, "name", F.explode(F.concat(grams(name), grams(name, 2), grams(name, 1))).alias("gram"))
-    return Index(scope, postings, postings.groupBy(*scope, "gram").agg(F.count("*").alias("n")))
+    postings = lowered.select(*scope, "name", F.explode(F.concat(*(grams(name, n) for n in range(min(shortest, N), N + 1)))).alias("gram"))
+    return Index(scope, postings, _sizes(postings, scope))
 
 
 def kept(found: Index, keep) -> Index:
-    """The index with its tables kept by a function (such as a write to the shared folder)."""
-    return Index(found.scope, keep(found.postings), keep(found.sizes))
+    """The index with its postings kept by a function (such as a write to the shared folder), and their sizes counted from those."""
+    postings = keep(found.postings)
+    return Index(found.scope, postings, keep(_sizes(postings, found.scope)))
 
 
 def holding(index: Index, terms: DataFrame) -> DataFrame:
@@ -59,10 +67,10 @@ def holding(index: Index, terms: DataFrame) -> DataFrame:
     return met.where((F.col("met") == F.col("asked")) & F.contains("name", F.lower("term"))).select(*scope, "term", "name")
 
 
-def containing(texts: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
-    """terms (term), none with white space in it, to (term, key): the texts that hold the term anywhere, in any case.
+def containing(texts: DataFrame, key: str, text: str, terms: DataFrame, shortest: int = 1) -> DataFrame:
+    """terms (term), none with white space in it or shorter than said, to (term, key): the texts that hold the term anywhere, in any case.
 
     A term lies within one word, so it finds words by their letters, and words find texts.
     """
     words = texts.select(key, F.explode(F.array_distinct(F.split(F.lower(text), r"\s+"))).alias("name"))
-    return holding(index(words, [], "name"), terms).join(words, "name").select("term", key).distinct()
+    return holding(index(words, [], "name", shortest), terms).join(words, "name").select("term", key).distinct()

@@ -72,7 +72,7 @@ def trace_method(sites: DataFrame, entries: DataFrame, sections: DataFrame, meth
     def held(rows: DataFrame, text, term) -> DataFrame:
         """rows that hold a method's term, with the method and its terms."""
         keyed = rows.withColumn("_text", text).withColumn("_key", F.sha2("_text", 256))
-        found = grams.containing(keyed.select("_key", "_text").dropDuplicates(["_key"]), "_key", "_text", asked.select(term.alias("term")))
+        found = grams.containing(keyed.select("_key", "_text").dropDuplicates(["_key"]), "_key", "_text", asked.select(term.alias("term")), 3)
         return keyed.join(asked.withColumn("term", term).join(found, "term"), "_key").drop("_key", "_text", "term")
 
     said = held(sites, F.col("context"), longest).where(F.forall("terms", lambda t: F.contains(F.lower("context"), t)))

@@ -51,7 +51,7 @@ def _words(text: Column) -> Column:
 def title_index(papers: DataFrame) -> tuple[DataFrame, grams.Index]:
     """The words of papers (arxiv_id, title, abstract) as (arxiv_id, name), and the letter index of those words."""
     words = papers.select("arxiv_id", F.explode(_words(F.concat_ws(" ", "title", "abstract"))).alias("name"))
-    return words, grams.index(words, [], "name")
+    return words, grams.index(words, [], "name", 3)
 
 
 def title_search(papers: DataFrame, queries: DataFrame, limit: int = 8, index: tuple[DataFrame, grams.Index] | None = None) -> DataFrame:

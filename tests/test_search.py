@@ -86,7 +86,10 @@ def test_names_that_hold_terms(spark, seed):
     terms = [(r.choice(["x", "y", "z"]), r.choice([word(r.randint(0, 5)), None])) for _ in range(200)]
     index = grams.index(spark.createDataFrame(names, "repo string, text string"), ["repo"], "text")
     got = {tuple(x) for x in grams.holding(index, spark.createDataFrame(terms, "repo string, term string")).collect()}
-    assert got == {(s, t, n.lower()) for s, t in terms for q, n in names if t and n and s == q and t.lower() in n.lower()}
+    want = {(s, t, n.lower()) for s, t in terms for q, n in names if t and n and s == q and t.lower() in n.lower()}
+    assert got == want
+    longer = grams.index(spark.createDataFrame(names, "repo string, text string"), ["repo"], "text", shortest=3)
+    assert {tuple(x) for x in grams.holding(longer, spark.createDataFrame(terms, "repo string, term string")).collect()} == {x for x in want if len(x[1]) > 2}
 
 
 def test_symbol_search_counts_terms_as_given(spark):
