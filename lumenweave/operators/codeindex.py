@@ -110,8 +110,8 @@ def search_symbols(symbols: DataFrame, queries: DataFrame, limit: int, index: gr
     """
     index = index or symbol_index(symbols)
     asked = queries.select("repo", "query", "terms").distinct().select("repo", "query", F.explode("terms").alias("term")).groupBy("repo", "query", "term").agg(F.count("*").alias("times"))
-    met = asked.join(grams.holding(index, asked), ["repo", "term"]).groupBy("repo", "query", F.col("name").alias("hay")).agg(F.sum("times").cast("int").alias("hits"))
-    held = symbols.where("qualified_name is not null").withColumn("hay", _hay()).join(met, ["repo", "hay"])
+    met = grams.dealt(asked).join(grams.holding(index, asked), ["repo", "term"]).groupBy("repo", "query", F.col("name").alias("hay")).agg(F.sum("times").cast("int").alias("hits"))
+    held = grams.dealt(symbols.where("qualified_name is not null").withColumn("hay", _hay())).join(met, ["repo", "hay"])
     order = [F.desc("hits"), "qualified_name", *(c for c in ("ordinal",) if c in symbols.columns)]
     return held.withColumn("rank", F.row_number().over(Window.partitionBy("repo", "query").orderBy(*order))).where(F.col("rank") <= limit).drop("hay")
 

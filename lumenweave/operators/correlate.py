@@ -48,7 +48,7 @@ def map_values(values: DataFrame, pairs: DataFrame, literals: DataFrame, symbols
     values (paper_version, id, symbol, value_text, context, section_id); pairs (paper_version, repo). Values meet
     literals by equality. The order of hits is that of (path, line).
     """
-    v = values.join(pairs, "paper_version").withColumn("value", F.trim(F.coalesce("value_text", F.lit(""))))
+    v = values.join(grams.dealt(pairs), "paper_version").withColumn("value", F.trim(F.coalesce("value_text", F.lit(""))))
     asked = v.select("repo", F.col("value").alias("literal")).distinct()
     hits = literals.join(asked, ["repo", "literal"]).groupBy("repo", "literal").agg(F.count("*").alias("n_hits"), F.min(F.struct("path", "line")).alias("first"))
     hits = hits.select("repo", F.col("literal").alias("value"), F.least("n_hits", F.lit(MOST_HITS)).alias("n_hits"), F.col("first.path").alias("path"), F.col("first.line").alias("line"))
@@ -80,9 +80,9 @@ def map_components(components: DataFrame, pairs: DataFrame, symbols: DataFrame,
     back can be absent, and only if no distinctive word of the name occurs in code and no constant that they describe,
     or that their section states, was located.
     """
-    c = components.join(pairs, "paper_version").withColumn("name", F.coalesce("name", "slug")).withColumn("tokens", T.name_tokens(F.col("name")))
+    c = grams.dealt(components).join(pairs, "paper_version").withColumn("name", F.coalesce("name", "slug")).withColumn("tokens", T.name_tokens(F.col("name")))
     key = [*PAIR, "id"]
-    queries = c.select("id", "repo").join(component_queries(c.select("id", "name", "tokens").distinct()), "id")
+    queries = c.select("id", "repo").join(grams.dealt(component_queries(c.select("id", "name", "tokens").distinct())), "id")
     asked = queries.select("repo", F.array_join("terms", " ").alias("query"), "terms").distinct()
     found = codeindex.search_symbols(symbols, asked, 25, index).select("repo", "query", "qualified_name", F.col("name").alias("symbol_name"))
     meets = queries.withColumn("query", F.array_join("terms", " ")).join(found, ["repo", "query"]).select("id", "repo", "qualified_name", "symbol_name").distinct()
@@ -98,7 +98,7 @@ def map_components(components: DataFrame, pairs: DataFrame, symbols: DataFrame,
     in_code = lines.where(F.col("path").rlike(codeindex.SOURCE)).select("repo", "path", "line", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z0-9]{4,}"), F.lit(0)))).alias("word"))
     firsts = in_code.groupBy("repo", "word").agg(F.min(F.struct("path", "line")).alias("at"))
     holding = grams.holding(grams.index(firsts, ["repo"], "word", 4), tokens.withColumnRenamed("token", "term"))
-    places = holding.select("repo", F.col("term").alias("token"), F.col("name").alias("word")).join(firsts, ["repo", "word"]).groupBy("repo", "token").agg(F.min("at").alias("at"))
+    places = holding.select("repo", F.col("term").alias("token"), F.col("name").alias("word")).join(grams.dealt(firsts), ["repo", "word"]).groupBy("repo", "token").agg(F.min("at").alias("at"))
     inside = c.select(*key, F.posexplode(words).alias("place", "token")).join(places, ["repo", "token"]).groupBy(*key).agg(F.min_by(F.struct("token", "at.path", "at.line"), "place").alias("inside"))
     located = values.where("anchor_kind = 'stated_value' and status = 'MATCHED'")
     sections = located.where("section_id is not null").select(*PAIR, "section_id").distinct().withColumn("same", F.lit(True))
@@ -120,7 +120,7 @@ def map_components(components: DataFrame, pairs: DataFrame, symbols: DataFrame,
 
 def map_algorithms(algorithms: DataFrame, pairs: DataFrame, symbols: DataFrame, index: grams.Index | None = None) -> DataFrame:
     """Named algorithms with text against symbols; a name alone never settles one."""
-    a = algorithms.join(pairs, "paper_version").withColumn("tokens", T.name_tokens(F.coalesce("name", F.lit(""))))
+    a = grams.dealt(algorithms).join(pairs, "paper_version").withColumn("tokens", T.name_tokens(F.coalesce("name", F.lit(""))))
     terms = F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(codeindex.query_terms(F.coalesce("name", F.lit(""))))
     a = a.withColumn("query", F.array_join(terms, " "))
     best = codeindex.search_symbols(symbols, a.select("repo", "query", terms.alias("terms")).distinct(), 1, index).select("repo", "query", F.col("qualified_name").alias("best"))
@@ -170,7 +170,7 @@ def behaviour_differences(papers: DataFrame, pairs: DataFrame, lines: DataFrame,
         return F.trim(F.regexp_replace(F.substring(tex, start, at - start + F.length(F.regexp_extract("tex", pattern, 0)) + 95), r"\s+", " "))
 
     quotes = [F.when(F.col("tex").rlike("(?i)" + b[1]), F.struct(F.lit(i).alias("behaviour"), quote("(?i)" + b[1]).alias("quote"))) for i, b in enumerate(BEHAVIOURS)]
-    told = papers.select("paper_version", F.explode(F.array_compact(F.array(*quotes))).alias("x")).select("paper_version", "x.*").join(pairs, "paper_version")
+    told = papers.select("paper_version", F.explode(F.array_compact(F.array(*quotes))).alias("x")).select("paper_version", "x.*").join(grams.dealt(pairs), "paper_version")
     if index is None:
         code = _flags(lines, "text", ["repo"], 2)
         shown = code.select("repo", F.explode(F.array(*(F.struct(F.lit(i).alias("behaviour"), F.col(f"b{i}").alias("there")) for i in range(len(BEHAVIOURS))))).alias("x")).select("repo", "x.*").where("there")
@@ -183,7 +183,7 @@ def behaviour_differences(papers: DataFrame, pairs: DataFrame, lines: DataFrame,
 
 
 def missing_components(mappings: DataFrame, components: DataFrame) -> DataFrame:
-    absent = mappings.where("anchor_kind = 'component' and status = 'ABSENT'").join(components.select(F.col("id").alias("anchor_id"), F.col("kind").alias("ckind")), "anchor_id")
+    absent = mappings.where("anchor_kind = 'component' and status = 'ABSENT'").join(grams.dealt(components.select(F.col("id").alias("anchor_id"), F.col("kind").alias("ckind"))), "anchor_id")
     severity = F.lit("MINOR")
     for kind, s in MISSING_SEVERITY.items():
         severity = F.when(F.col("ckind") == kind, s).otherwise(severity)

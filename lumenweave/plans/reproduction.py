@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.correlate import PAIR
+from ..operators.grams import dealt
 
 # Parts of a plan and the component kinds of each.
 PARTS = {"dataset": ["dataset"], "preprocessing": ["preprocessing"], "architecture": ["architecture", "module"], "training": ["training", "loss", "optimizer"], "evaluation": ["evaluation", "inference"]}
@@ -17,7 +18,7 @@ STATUSES = ["KNOWN", "PARTIAL", "UNKNOWN"]
 def with_status(rows: DataFrame, mappings: DataFrame) -> DataFrame:
     """Components or values of papers with the verdict on them in each repository of pairs, UNMAPPED where there is none."""
     m = mappings.select("paper_version", "repo", F.col("anchor_id").alias("id"), "status", "confidence")
-    return rows.join(m, ["paper_version", "repo", "id"], "left").withColumns({"status": F.coalesce("status", F.lit("UNMAPPED")), "confidence": F.coalesce("confidence", F.lit("UNKNOWN"))})
+    return dealt(rows).join(m, ["paper_version", "repo", "id"], "left").withColumns({"status": F.coalesce("status", F.lit("UNMAPPED")), "confidence": F.coalesce("confidence", F.lit("UNKNOWN"))})
 
 
 def component_parts(components: DataFrame, mappings: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -25,7 +26,7 @@ def component_parts(components: DataFrame, mappings: DataFrame, pairs: DataFrame
     part = F.lit(None).cast("string")
     for name, kinds in PARTS.items():
         part = F.when(F.col("kind").isin(kinds), name).otherwise(part)
-    rows = with_status(components.join(pairs, "paper_version"), mappings).withColumn("part", part).where("part is not null")
+    rows = with_status(components.join(dealt(pairs), "paper_version"), mappings).withColumn("part", part).where("part is not null")
     n = rows.groupBy(*PAIR, "part").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "MATCHED").alias("n_matched"))
     every = pairs.select(*PAIR, F.explode(F.array(*map(F.lit, PARTS))).alias("part")).join(n, [*PAIR, "part"], "left").na.fill(0, ["n", "n_matched"])
     return every.withColumn("status", F.when(F.col("n") == 0, "UNKNOWN").when(F.col("n") == F.col("n_matched"), "KNOWN").otherwise("PARTIAL"))
@@ -33,7 +34,7 @@ def component_parts(components: DataFrame, mappings: DataFrame, pairs: DataFrame
 
 def value_part(values: DataFrame, mappings: DataFrame, pairs: DataFrame) -> DataFrame:
     """Hyperparameters are never fully known: PARTIAL if any was located."""
-    rows = with_status(values.join(pairs, "paper_version"), mappings)
+    rows = with_status(values.join(dealt(pairs), "paper_version"), mappings)
     n = rows.groupBy(*PAIR).agg(F.count("*").alias("n"), F.count_if(F.col("status") == "MATCHED").alias("n_matched"))
     out = pairs.join(n, PAIR, "left").na.fill(0, ["n", "n_matched"])
     return out.select(*PAIR, F.lit("hyperparameters").alias("part"), "n", "n_matched", F.when(F.col("n_matched") > 0, "PARTIAL").otherwise("UNKNOWN").alias("status"))
