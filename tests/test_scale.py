@@ -1,6 +1,7 @@
 """Plans of joins whose sides look small to the planner, and results that growth brought to light."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from lumenweave.operators import codeindex, correlate, grams
 
@@ -38,3 +39,19 @@ def test_pairs_and_components_are_never_broadcast(spark, symbols):
     joined = grams.dealt(components).join(pairs, "paper_version")
     assert not broadcasts(joined)
     assert [x.status for x in correlate.map_algorithms(algorithms, pairs, symbols).collect()] == ["AMBIGUOUS"]
+
+
+def test_lists_of_constants_meet_papers_last(spark):
+    """Lists are never shuffled with papers: the join that brings them comes last, by file and part."""
+    lines = spark.createDataFrame([("r", "a.py", i, f"rate = 1.{10000 + i}") for i in range(1, 40)] + [("r", "b.py", 1, "x = 2.55555")], "repo string, path string, line int, text string")
+    papers = spark.createDataFrame([(f"P{i}", f"we use 1.{10000 + i}7") for i in range(1, 30)], "paper_version string, tex string")
+    pairs = papers.select("paper_version", F.lit("r").alias("repo"))
+    df = correlate.hidden_constants(papers, pairs, lines)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "part#" in next(x for x in plan.splitlines() if "Join" in x)
+    got = {(r.paper_version, r.path): (r.n, r.constants) for r in df.collect()}
+    assert len(got) == 58
+    every = [f"1.{10000 + i}" for i in range(1, 40)]
+    for i in range(1, 30):
+        assert got[f"P{i}", "a.py"] == (38, ",".join(c for c in every if c != f"1.{10000 + i}"))
+        assert got[f"P{i}", "b.py"] == (1, "2.55555")
