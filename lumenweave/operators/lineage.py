@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.landing import kept
 from . import grams
 
 METHODOLOGY = "methodology"
 FETCHED = 40
+#: Words holding a method's term that are sent to all tasks.
+MOST_WORDS = 100_000
 
 
 def cited_counts(entries: DataFrame, sites: DataFrame) -> DataFrame:
@@ -59,24 +62,44 @@ def edges(back: DataFrame, ahead: DataFrame) -> DataFrame:
     return b.unionByName(a).dropDuplicates(["from_paper", "to_paper", "relation"])
 
 
-def trace_method(sites: DataFrame, entries: DataFrame, sections: DataFrame, methods: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """methods (method) through the literature: citing sentences that hold all its terms, and the first six sections that hold its first.
+def _asked(methods: DataFrame) -> DataFrame:
+    terms = F.filter(F.split(F.lower("method"), r"\s+"), lambda t: F.length(t) > 2)
+    return methods.select("method", terms.alias("terms")).where("size(terms) > 0").distinct()
+
 
-    The longest term finds sentences through the letters of their words, and the others are looked for there; so no
-    method is held against every sentence. Equal sentences are looked at once.
+def _held(rows: DataFrame, text: Column, asked: DataFrame) -> DataFrame:
+    """rows whose text holds the term of a method, once for each, with the method and its terms; asked: method, terms, term.
+
+    A term lies within one word, so terms find words by their letters, and rows are looked through for those words. The
+    words are sent to all tasks up to MOST_WORDS of them, so that no row is shuffled or keyed; beyond that rows and words
+    are dealt by word.
     """
-    terms = F.filter(F.split(F.lower("method"), r"\s+"), lambda t: F.length(t) > 2)
-    asked = methods.select("method", terms.alias("terms")).where("size(terms) > 0").distinct()
+    words = F.array_distinct(F.split(F.lower(text), r"\s+"))
+    names = kept(grams.holding(grams.index(rows.select(F.explode(words).alias("name")), [], "name", 3), asked.select("term")))
+    names = F.broadcast(names) if names.count() <= MOST_WORDS else grams.dealt(names)
+    met = rows.withColumn("name", F.explode(words)).join(names, "name")
+    # of words that hold the same term the first counts
+    met = met.where(F.col("name") == F.element_at(F.filter(words, lambda w: F.contains(w, F.lower("term"))), 1))
+    return met.drop("name").join(F.broadcast(asked), "term").drop("term")
+
+
+def told_sentences(sites: DataFrame, entries: DataFrame, methods: DataFrame) -> DataFrame:
+    """methods (method) to the citing sentences that hold all its terms; the longest term finds them."""
+    asked = _asked(methods)
     longest = F.array_max(F.transform("terms", lambda t: F.struct(F.length(t), t.alias("t"))))["t"]
+    said = _held(sites, F.col("context"), asked.withColumn("term", longest)).where(F.forall("terms", lambda t: F.contains(F.lower("context"), t)))
+    said = said.join(entries.select("paper_version", "bib_key", "title", "year"), ["paper_version", "bib_key"], "left")
+    return said.select("method", "paper_version", "bib_key", "title", "year", "context", "src_line")
 
-    def held(rows: DataFrame, text, term) -> DataFrame:
-        """rows that hold a method's term, with the method and its terms."""
-        keyed = rows.withColumn("_text", text).withColumn("_key", F.sha2("_text", 256))
-        found = grams.containing(keyed.select("_key", "_text").dropDuplicates(["_key"]), "_key", "_text", asked.select(term.alias("term")), 3)
-        return keyed.join(asked.withColumn("term", term).join(found, "term"), "_key").drop("_key", "_text", "term")
 
-    said = held(sites, F.col("context"), longest).where(F.forall("terms", lambda t: F.contains(F.lower("context"), t)))
-    said = said.join(entries.select("paper_version", "bib_key", "title", "year"), ["paper_version", "bib_key"], "left")
-    told = held(sections, F.concat_ws("\n", "title", "body"), F.try_element_at("terms", F.lit(1)))
+def told_sections(sections: DataFrame, methods: DataFrame) -> DataFrame:
+    """methods (method) to the first six sections of each paper that hold its first term."""
+    asked = _asked(methods).withColumn("term", F.try_element_at("terms", F.lit(1)))
+    told = _held(sections, F.concat_ws("\n", "title", "body"), asked)
     told = told.withColumn("n", F.row_number().over(Window.partitionBy("method", "paper_version").orderBy("ordinal"))).where("n <= 6")
-    return said.select("method", "paper_version", "bib_key", "title", "year", "context", "src_line"), told.select("method", "paper_version", "section_path", "title")
+    return told.select("method", "paper_version", "section_path", "title")
+
+
+def trace_method(sites: DataFrame, entries: DataFrame, sections: DataFrame, methods: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """methods (method, stated ones) through the literature: told_sentences and told_sections."""
+    return told_sentences(sites, entries, methods), told_sections(sections, methods)

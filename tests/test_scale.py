@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lumenweave.operators import codeindex, correlate, grams
+from lumenweave.operators import codeindex, correlate, grams, lineage
+from lumenweave.plans import reads
 
 
 def broadcasts(df) -> int:
@@ -55,3 +56,23 @@ def test_lists_of_constants_meet_papers_last(spark):
     for i in range(1, 30):
         assert got[f"P{i}", "a.py"] == (38, ",".join(c for c in every if c != f"1.{10000 + i}"))
         assert got[f"P{i}", "b.py"] == (1, "2.55555")
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_methods_find_rows_without_keys(spark, monkeypatch, most):
+    """Whether words are sent or dealt: a row that holds a term in two words comes once, an equal row comes for itself; sentences aren't hashed."""
+    monkeypatch.setattr(lineage, "MOST_WORDS", most)
+    sites = spark.createDataFrame([("p", "k", "essays says it", 1), ("p", "k", "essays says it", 1), ("p", "k", "none", 2), ("p", "k", None, 3)], "paper_version string, bib_key string, context string, src_line int")
+    entries = spark.createDataFrame([("p", "k", "T", 2000)], "paper_version string, bib_key string, title string, year int")
+    methods = spark.createDataFrame([("says",), ("says none",), ("of",)], "method string")
+    df = lineage.told_sentences(sites, entries, methods)
+    assert "sha2" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.method, r.context) for r in df.collect()] == [("says", "essays says it")] * 2
+
+
+def test_lookup_sends_no_table_whole(spark, symbols):
+    asked = symbols.select(F.lit("p").alias("paper_version"), F.col("name").alias("ref"))
+    rows = symbols.select(F.lit("p").alias("paper_version"), "name", "kind")
+    df = reads.lookup(rows, asked, "name", ["kind"])
+    assert not broadcasts(df)
+    assert df.count() == 50
