@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lumenweave import templates
 from lumenweave.operators import codeindex, correlate, grams, lineage
 from lumenweave.plans import reads
 
@@ -84,3 +85,10 @@ def test_lookup_sends_no_table_whole(spark, symbols):
     df = reads.lookup(rows, asked, "name", ["kind"])
     assert not broadcasts(df)
     assert df.count() == 50
+
+
+def test_rows_that_grow_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(templates, "ROWS_EACH", 40)
+    df = templates.derived(spark, "/root/testdata/sf0.001", templates.PAPERS, "part")
+    assert df.rdd.getNumPartitions() == 5
+    assert df.count() == 200
