@@ -92,3 +92,25 @@ def test_rows_that_grow_are_dealt_over_tasks(spark, monkeypatch):
     df = templates.derived(spark, "/root/testdata/sf0.001", templates.PAPERS, "part")
     assert df.rdd.getNumPartitions() == 5
     assert df.count() == 200
+
+
+CANDIDATE = "paper_version string, repo string, arxiv_id string, title string, authors array<string>, declared boolean, in_abstract boolean, owner string, owner_name string, repo_name string, readme string, description string, archived boolean, stars long, seed int"
+
+
+def test_candidates_are_judged_row_by_row(spark):
+    """No join by candidate: signals, relation and given coverage come from the row, and equal those with a table of coverages."""
+    from lumenweave.operators import discover
+
+    rows = [
+        ("p", "a/Net1", "2001.00001", "Net1: Deep Rings", ["Ada Lovelace"], True, True, "a", "Ada Lovelace", "Net1", "see arXiv:2001.00001", None, True, 1, 1),
+        ("p", "b/tool", "2001.00001", "Net1: Deep Rings", ["Ada Lovelace"], False, True, "b", None, "tool", "an unofficial port of it", "Rings", False, 2, 2),
+        ("p", "c/Net1", "2001.00001", "Net1: Deep Rings", ["Ada Lovelace"], False, True, "c", "Ada Li", "Net1", None, "Point clouds, 3d", None, 3, 3),
+        (None, "d/none", None, None, None, False, None, None, None, None, None, None, None, 4, 4),
+    ]
+    c = spark.createDataFrame(rows, CANDIDATE)
+    own = discover.assessed(c.withColumns({"n_files": F.lit(20).cast("long"), "score": F.lit(0.5), "checked": F.lit("SHALLOW")}))
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "Aggregate" not in plan
+    table = c.select("paper_version", "repo", F.lit(20).cast("long").alias("n_files"), F.lit(0.5).alias("score"), F.lit("SHALLOW").alias("checked"))
+    assert [tuple(r) for r in own.collect()][:3] == sorted((tuple(r) for r in discover.assessed(c, table).where("paper_version is not null").collect()), key=lambda r: r[2])
+    assert [(r.relation, r.confidence, r.name_contradicted) for r in own.collect()] == [("OFFICIAL", "LIKELY", False), ("REPRODUCTION", "UNKNOWN", False), ("ORGANIZATION", "POSSIBLE", True), ("UNRELATED", "UNKNOWN", False)]
