@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.grams import dealt
+from .landing import kept
 
 #: Files within files, at most; and passes over macros, whose bodies may hold other macros.
 DEPTH, PASSES = 8, 3
@@ -36,11 +38,19 @@ def _roots(pieces: DataFrame) -> DataFrame:
     return by_file.join(named, ["paper_version", "path"], "left").groupBy("paper_version").agg(F.min_by("path", rank).alias("path"))
 
 
-def expand_macros(text: Column) -> Column:
-    """Uses of a text's own macros written out, and their definitions dropped; of several definitions of a name the first counts."""
+def _macros(text: Column) -> Column:
+    """The macros that a text defines, as an array of (name, n, body); of several definitions of a name the first counts."""
     found = lambda i: F.regexp_extract_all(text, F.lit(_MACRO), F.lit(i))
     every = F.arrays_zip(found(1).alias("name"), found(2).alias("n"), found(3).alias("body"))
-    macros = F.filter(every, lambda m, i: F.array_position(found(1), m["name"]) == i + 1)
+    first = lambda acc, m: F.when(F.exists(acc, lambda x: x["name"] == m["name"]), acc).otherwise(F.concat(acc, F.array(m)))
+    return F.aggregate(every, F.array().cast("array<struct<name:string,n:string,body:string>>"), first)
+
+
+def expand_macros(papers: DataFrame, text: str) -> DataFrame:
+    """Papers with uses of a text's own macros written out, and their definitions dropped.
+
+    Macros are gathered in a step of their own, once for each text; texts without any are left as they are.
+    """
 
     def written_out(acc, m):
         n = F.coalesce(m["n"].try_cast("int"), F.lit(0))
@@ -50,25 +60,28 @@ def expand_macros(text: Column) -> Column:
         body = F.when(n > 0, F.regexp_replace(safe, F.concat(F.lit("#([1-"), F.greatest(n, F.lit(1)).cast("string"), F.lit("])")), F.lit(r"\$$1"))).otherwise(safe)
         return F.regexp_replace(acc, use, body)
 
-    once = lambda acc: F.aggregate(macros, acc, written_out)
+    once = lambda acc: F.aggregate("_macros", acc, written_out)
     bare = F.regexp_replace(text, _MACRO, "")
-    return F.when(F.size(macros) > 0, reduce(lambda acc, _: once(acc), range(PASSES), bare)).otherwise(bare)
+    whole = F.when(F.size("_macros") > 0, reduce(lambda acc, _: once(acc), range(PASSES), bare)).otherwise(F.col(text))
+    return papers.withColumn("_macros", _macros(F.col(text))).withColumn(text, whole).drop("_macros")
 
 
 def flattened(files: DataFrame, macros: bool = True) -> DataFrame:
     """files (paper_version, path, text) to (paper_version, tex), one row for each paper.
 
-    Only the tree of names is walked, level by level; texts meet it once. A file that isn't there or that holds itself
+    Only the tree of names is walked, level by level, and each level is written once; texts meet it once. A file that isn't there or that holds itself
     adds nothing, files deeper than DEPTH neither; of repeated paths the least text counts; null texts are empty.
     """
-    pieces = _pieces(files)
+    pieces = kept(_pieces(files))
     links = pieces.where("child is not null").select("paper_version", "path", "place", "child")
-    level = _roots(pieces).select("paper_version", "path", F.array().cast("array<int>").alias("at"), F.array("path").alias("above"))
-    levels = [level]
+    levels = [kept(_roots(pieces).select("paper_version", "path", F.array().cast("array<int>").alias("at"), F.array("path").alias("above")))]
     for _ in range(DEPTH):
-        down = levels[-1].join(links, ["paper_version", "path"]).where(~F.array_contains("above", F.col("child")))
-        levels.append(down.select("paper_version", F.col("child").alias("path"), F.concat("at", F.array(F.col("place") * 2 + 1)).alias("at"), F.concat("above", F.array("child")).alias("above")))
+        down = levels[-1].join(dealt(links), ["paper_version", "path"]).where(~F.array_contains("above", F.col("child")))
+        down = kept(down.select("paper_version", F.col("child").alias("path"), F.concat("at", F.array(F.col("place") * 2 + 1)).alias("at"), F.concat("above", F.array("child")).alias("above")))
+        if down.isEmpty():
+            break
+        levels.append(down)
     tree = reduce(DataFrame.unionByName, levels).select("paper_version", "path", "at")
-    put = tree.join(pieces, ["paper_version", "path"]).select("paper_version", F.struct(F.concat("at", F.array(F.col("place") * 2)).alias("at"), "text").alias("x"))
+    put = tree.join(dealt(pieces), ["paper_version", "path"]).select("paper_version", F.struct(F.concat("at", F.array(F.col("place") * 2)).alias("at"), "text").alias("x"))
     whole = put.groupBy("paper_version").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["text"]), "").alias("tex"))
-    return whole.select("paper_version", (expand_macros(F.col("tex")) if macros else F.col("tex")).alias("tex"))
+    return expand_macros(whole, "tex") if macros else whole
