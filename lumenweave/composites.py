@@ -203,7 +203,7 @@ b as (select query, min(tier) as tier from h group by 1),
 n as (select h.*, row_number() over (partition by h.query order by h.arxiv_id, h.title) as n from h join b using (query, tier))
 select query, tier::bigint as tier, arxiv_id from n where n <= 8""")
 def found_by_title(spark, d):
-    return landing.title_search(t.derived(spark, d, _TITLES, "part"), t.derived(spark, d, _ASKED)).select("query", "tier", "arxiv_id")
+    return landing.title_search(t.derived(spark, d, _TITLES, "part"), t.derived(spark, d, _ASKED, "part")).select("query", "tier", "arxiv_id")
 
 
 @query(f"select 'own/' || k as repo, 'read ' || word || ' é' as readme, 3::bigint as n_files, 'a.py,b/' || word || '.md,c' as files from {_d(_CUSTOMERS)}")
@@ -263,7 +263,7 @@ _TREE_FILES = f"""select 'P' || cast(p_partkey as string) as paper_version, f.pa
 
 @query(f"""select 'P' || p_partkey as paper_version, {_B} || 'documentclass{{x}}' || chr(10) || {_B} || 'def' || {_B} || 'two#1{{}}' || chr(10) || 'A [a (b' || p_size || ') a] Z Deep ' || p_name || ' ' || {_B} || 'network <v' || p_size || ', {{u}} of Deep ' || p_name || '> ' || chr(10) || '(b' || p_size || ')!' as tex from part""")
 def flattened_sources(spark, d):
-    return flatten.flattened(t.derived(spark, d, _TREE_FILES))
+    return flatten.flattened(t.derived(spark, d, _TREE_FILES, "part"))
 
 
 _RECORDS = "select c_custkey as k, c_name as name, c_nationkey as n, lower(c_mktsegment) as word from customer"

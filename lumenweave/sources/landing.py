@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -48,9 +48,15 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9.-]+"), lambda t: t != ""))
 
 
+def _text_key() -> Column:
+    # texts of one hash are checked each for itself
+    return F.xxhash64("title", "abstract").alias("key")
+
+
 def title_index(papers: DataFrame) -> tuple[DataFrame, grams.Index]:
-    """The words of papers (arxiv_id, title, abstract) as (arxiv_id, name), and the letter index of those words."""
-    words = papers.select("arxiv_id", F.explode(_words(F.concat_ws(" ", "title", "abstract"))).alias("name"))
+    """The words of the distinct texts of papers (title, abstract) as (key: a hash of the text, name), and the letter index of those words."""
+    texts = papers.select("title", "abstract").distinct()
+    words = texts.select(_text_key(), F.explode(_words(F.concat_ws(" ", "title", "abstract"))).alias("name"))
     return words, grams.index(words, [], "name", 3)
 
 
@@ -59,19 +65,24 @@ def title_search(papers: DataFrame, queries: DataFrame, limit: int = 8, index: t
 
     Forms: the phrase; all terms anywhere (the first 8); all in the title (5); and of over three, the first 3 anywhere.
     Terms may be parts of words. All forms hold the first three terms, and a term lies in one word, so the longest of the
-    three finds words through the letter index (made here if none is given), words find papers, and those are checked.
+    three finds words through the letter index (made here if none is given), words find texts, and those are checked. A
+    text that papers share is checked once, and stands for the first of its papers, as many as the limit.
     """
     words, letters = index or title_index(papers)
     q = queries.select("query", F.filter(F.split("query", r"[^A-Za-z0-9.\-]+"), lambda t: (F.length(t) > 2) & ~F.lower(t).isin(T.STOP_WORDS)).alias("terms")).where("size(terms) > 0").distinct()
     longest = F.array_max(F.transform(F.slice("terms", 1, 3), lambda t: F.struct(F.length(t).alias("n"), F.lower(t).alias("term"))))
     q = q.withColumn("term", longest["term"])
-    near = q.join(grams.holding(letters, q), "term").join(words, "name").select("query", "terms", "arxiv_id").distinct()
+    near = q.join(grams.holding(letters, q), "term").join(grams.dealt(words), "name").select("query", "terms", "key").distinct()
     whole, title = F.lower(F.concat_ws(" ", "title", "abstract")), F.lower("title")
     every = lambda n, where: F.forall(F.slice("terms", 1, n), lambda t: F.contains(where, F.lower(t)))
     tier = F.when(F.contains(whole, F.lower("query")), 0).when(every(8, whole), 1).when(every(5, title), 2).when((F.size("terms") > 3) & every(3, whole), 3)
-    rows = near.join(papers.select("arxiv_id", "title", "abstract"), "arxiv_id").withColumn("tier", tier).where("tier is not null")
+    place = F.row_number().over(Window.partitionBy("title", "abstract").orderBy("arxiv_id"))
+    first = papers.select("arxiv_id", "title", "abstract").where("arxiv_id is not null").distinct().withColumn("n", place).where(F.col("n") <= limit)
+    texts = first.groupBy("title", "abstract").agg(F.collect_list("arxiv_id").alias("ids")).select(_text_key(), "title", "abstract", "ids")
+    rows = near.join(grams.dealt(texts), "key").withColumn("tier", tier).where("tier is not null").select("query", "tier", "title", "ids")
     best = rows.groupBy("query").agg(F.min("tier").alias("tier"))
-    top = rows.join(best, ["query", "tier"]).groupBy("query", "tier").agg(F.slice(F.sort_array(F.collect_set(F.struct("arxiv_id", "title"))), 1, limit).alias("x"))
+    top = rows.join(best, ["query", "tier"]).select("query", "tier", "title", F.explode("ids").alias("arxiv_id"))
+    top = top.groupBy("query", "tier").agg(F.slice(F.sort_array(F.collect_set(F.struct("arxiv_id", "title"))), 1, limit).alias("x"))
     return top.select("query", "tier", F.inline("x"))
 
 

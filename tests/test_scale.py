@@ -114,3 +114,25 @@ def test_candidates_are_judged_row_by_row(spark):
     table = c.select("paper_version", "repo", F.lit(20).cast("long").alias("n_files"), F.lit(0.5).alias("score"), F.lit("SHALLOW").alias("checked"))
     assert [tuple(r) for r in own.collect()][:3] == sorted((tuple(r) for r in discover.assessed(c, table).where("paper_version is not null").collect()), key=lambda r: r[2])
     assert [(r.relation, r.confidence, r.name_contradicted) for r in own.collect()] == [("OFFICIAL", "LIKELY", False), ("REPRODUCTION", "UNKNOWN", False), ("ORGANIZATION", "POSSIBLE", True), ("UNRELATED", "UNKNOWN", False)]
+
+
+def test_levels_of_source_trees_are_written_once(spark):
+    """A level's joins are no part of the next one's plan, and a search stops at the last level there is."""
+    from lumenweave.sources import flatten
+
+    files = [("p", "main.tex", "\\documentclass{x}\\newcommand{\\n}{A}\\newcommand{\\n}{B}\\n \\input{a}%c"), ("p", "a.tex", "(\\input{b})"), ("p", "b.tex", None), ("q", "x.tex", "bare")]
+    df = flatten.flattened(spark.createDataFrame(files, "paper_version string, path string, text string"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Join" in x for x in plan.splitlines()) == 1
+    assert {r.paper_version: r.tex for r in df.collect()} == {"p": "\\documentclass{x}A ()", "q": "bare"}
+
+
+def test_texts_that_papers_share_are_checked_once(spark):
+    from lumenweave.sources import landing
+
+    rows = [(f"{i:02d}", "Study of rings", "of things") for i in range(30)] * 2 + [("05", "Study of rings", None), (None, "Study of rings", "of things")]
+    papers = spark.createDataFrame(rows, "arxiv_id string, title string, abstract string")
+    assert landing.title_index(papers)[0].select("key").distinct().count() == 2
+    asked = spark.createDataFrame([("study of rings",), ("tudy thing",), ("nothing",)], "query string")
+    got = sorted((r.query, r.tier, r.arxiv_id) for r in landing.title_search(papers, asked, 3).collect())
+    assert got == [("study of rings", 0, f"0{i}") for i in range(3)] + [("tudy thing", 1, f"0{i}") for i in range(3)]
