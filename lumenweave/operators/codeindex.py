@@ -156,7 +156,7 @@ def callers(symbols: DataFrame, lines: DataFrame) -> DataFrame:
 
 def symbol_source(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """(repo, qualified_name, source): the lines of each symbol."""
-    joined = symbols.where("qualified_name is not null").join(files.select("repo", F.col("path").alias("file_path"), "text"), ["repo", "file_path"])
+    joined = grams.dealt(symbols.where("qualified_name is not null")).join(grams.dealt(files.select("repo", F.col("path").alias("file_path"), "text")), ["repo", "file_path"])
     n = F.coalesce("line_end", "line_start") - F.col("line_start") + 1
     return joined.select("repo", "qualified_name", F.array_join(F.slice(F.split("text", "\r\n|\n|\r"), F.col("line_start"), n), "\n").alias("source"))
 

@@ -136,3 +136,25 @@ def test_texts_that_papers_share_are_checked_once(spark):
     asked = spark.createDataFrame([("study of rings",), ("tudy thing",), ("nothing",)], "query string")
     got = sorted((r.query, r.tier, r.arxiv_id) for r in landing.title_search(papers, asked, 3).collect())
     assert got == [("study of rings", 0, f"0{i}") for i in range(3)] + [("tudy thing", 1, f"0{i}") for i in range(3)]
+
+
+@pytest.mark.parametrize("name", ["fetched_addresses", "evidence_by_address", "source_of_symbols", "equation_by_number"])
+def test_built_rows_are_never_broadcast(spark, name):
+    """A broadcast side stands in the memory of every task, and grows with the tables."""
+    from lumenweave import composites, queries, served  # noqa: F401
+
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    built = [x for x in plan.splitlines() if "BroadcastHashJoin" in x and not any(k in x for k in ("_nationkey", "_regionkey"))]
+    assert not built, built[:3]
+
+
+def test_workers_hold_few_papers_at_once(monkeypatch):
+    import pandas as pd
+
+    from lumenweave.operators import scan
+
+    monkeypatch.setattr(scan, "AT_ONCE", 2)
+    batch = pd.DataFrame({"paper_version": [f"p{i}" for i in range(5)], "tex": ["\\section{A} tau = 3.", None, "", "\\section{B}", "x"]})
+    frames = list(scan._with_lines(["heading"], None, [batch, batch.iloc[:0]]))
+    assert len(frames) == 4 and max(x["paper_version"].nunique() for x in frames) <= 2
+    assert [x for f in frames for x in f["paper_version"]] == ["p0", "p3"]
