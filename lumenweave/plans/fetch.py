@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.grams import dealt
 from .reads import route
 
 #: Keys that a miss names, at most.
@@ -32,9 +33,9 @@ def _items(kind: str, rows: DataFrame, subject: Column | str, target: Column | s
 def _papers(tables: dict[str, DataFrame]) -> DataFrame:
     n = lambda e: F.count_if(F.col("entity") == e).alias(e)
     rows = [tables[e].select("paper_version", F.lit(e).alias("entity")) for e in COUNTED if e in tables]
-    head = tables["paper_versions"].select("paper_version", "arxiv_id", "fidelity").join(tables["papers"].drop("latest_version"), "arxiv_id")
+    head = tables["paper_versions"].select("paper_version", "arxiv_id", "fidelity").join(dealt(tables["papers"].drop("latest_version")), "arxiv_id")
     if rows:
-        head = head.join(reduce(DataFrame.unionByName, rows).groupBy("paper_version").agg(*map(n, COUNTED)), "paper_version", "left")
+        head = dealt(head).join(reduce(DataFrame.unionByName, rows).groupBy("paper_version").agg(*map(n, COUNTED)), "paper_version", "left")
     counts = F.struct(*((F.coalesce(F.col(e), F.lit(0).cast("long")) if rows else F.lit(0).cast("long")).alias(e) for e in COUNTED))
     return _items("paper", head, "paper_version", None, F.lit(0), "arxiv_id", "paper_version", "title", F.transform("authors", lambda a: a["name"]).alias("authors"), "published_at", "abstract", "fidelity", counts.alias("counts"))
 
@@ -44,9 +45,9 @@ def _with_evidence(rows: DataFrame, tables: dict[str, DataFrame], kind: str, sub
     empty = F.array().cast("array<struct<id:string,kind:string,uri:string,stance:string>>")
     if "evidence" not in tables:
         return rows.withColumn("evidence", empty)
-    links = tables["evidence_links"].where(F.col("subject_kind") == kind).join(tables["evidence"].withColumnRenamed("id", "evidence_id"), "evidence_id")
+    links = tables["evidence_links"].where(F.col("subject_kind") == kind).join(dealt(tables["evidence"].withColumnRenamed("id", "evidence_id")), "evidence_id")
     own = links.groupBy("subject_id").agg(F.array_sort(F.collect_set(F.struct(F.col("evidence_id").alias("id"), "kind", "uri", "stance"))).alias("evidence"))
-    return rows.withColumn("subject_id", subject).join(own, "subject_id", "left").withColumn("evidence", F.coalesce("evidence", empty))
+    return rows.withColumn("subject_id", subject).join(dealt(own), "subject_id", "left").withColumn("evidence", F.coalesce("evidence", empty))
 
 
 def contents(tables: dict[str, DataFrame]) -> DataFrame:
@@ -69,12 +70,12 @@ def contents(tables: dict[str, DataFrame]) -> DataFrame:
     add("stated_values", lambda r: _items("values", r, "paper_version", None, "src_line", "id", "symbol", F.col("value_text").alias("value"), "section_id", "src_line", "context"))
     add("declared_urls", lambda r: _items("urls", r, "paper_version", None, "src_line", "url", "url", "host", "owner", "repo", "in_abstract", "section_id", "src_line", "context"))
     if "implementation_candidates" in t:
-        rows = t["implementation_candidates"].drop("id").join(t["repos"].select(F.col("id").alias("repo_id"), "stars", "license", "archived"), "repo_id")
+        rows = t["implementation_candidates"].drop("id").join(dealt(t["repos"].select(F.col("id").alias("repo_id"), "stars", "license", "archived")), "repo_id")
         rows = _with_evidence(rows, t, "implementation_candidate", F.concat_ws("|", "paper_version", "repo_id"))
         parts.append(_items("implementations", rows, "paper_version", None, "rank", "repo_id", "repo_id", "relation", "confidence", "rank", "stars", "license", "archived", "evidence"))
     if "bib_entries" in t:
         sites = t["citation_sites"].groupBy("paper_version", "bib_key").agg(F.count("*").alias("sites"))
-        rows = t["bib_entries"].join(sites, ["paper_version", "bib_key"], "left").withColumn("cited_times", F.coalesce("sites", F.lit(0).cast("long")))
+        rows = t["bib_entries"].join(dealt(sites), ["paper_version", "bib_key"], "left").withColumn("cited_times", F.coalesce("sites", F.lit(0).cast("long")))
         parts.append(_items("references", rows, "paper_version", None, -F.col("cited_times"), "bib_key", "bib_key", "title", "authors", "year", "arxiv_id", "doi", "cited_times"))
     if "analyses" in t:
         last = t["analyses"].groupBy("paper_version").agg(F.max(F.struct("created_at", "id", "author", F.map_entries("fields").alias("fields"))).alias("x")).select("paper_version", "x.*")
@@ -93,13 +94,13 @@ def contents(tables: dict[str, DataFrame]) -> DataFrame:
         last = t["repo_snapshots"].groupBy("repo_id").agg(F.max(F.struct("indexed_at", "id", "commit_sha", "indexer", "symbol_count", "file_count")).alias("x")).select("repo_id", "x.*")
         parts.append(_items("repo", last, "repo_id", None, F.lit(0), "id", "repo_id", "commit_sha", "indexer", "symbol_count", "file_count"))
         if "symbols" in t:
-            s = t["symbols"].drop("id").join(last.select("repo_id", F.col("id").alias("snapshot_id")), "snapshot_id")
+            s = t["symbols"].drop("id").join(dealt(last.select("repo_id", F.col("id").alias("snapshot_id"))), "snapshot_id")
             lines = F.array("line_start", "line_end").alias("lines")
             parts.append(_items("file", s, "repo_id", "file_path", "line_start", "qualified_name", "qualified_name", "name", "kind", lines, "signature"))
             n = F.coalesce("line_end", "line_start") - F.col("line_start") + 1
             source = F.array_join(F.slice(F.split("text", "\r\n|\n|\r"), F.col("line_start"), n), "\n") if "code_files" in t else F.lit(None).cast("string")
             if "code_files" in t:
-                s = s.join(t["code_files"].select(F.col("repo").alias("repo_id"), F.col("path").alias("file_path"), "text"), ["repo_id", "file_path"], "left")
+                s = s.join(dealt(t["code_files"].select(F.col("repo").alias("repo_id"), F.col("path").alias("file_path"), "text")), ["repo_id", "file_path"], "left")
             parts.append(_items("symbol", s, "repo_id", "qualified_name", "line_start", "file_path", "qualified_name", "name", "kind", "file_path", lines, "signature", source.alias("source")))
     return reduce(DataFrame.unionByName, parts)
 
@@ -109,7 +110,7 @@ def papers_by_key(tables: dict[str, DataFrame]) -> DataFrame:
     versions = tables["paper_versions"].select(F.col("paper_version").alias("key"), "paper_version", "arxiv_id")
     p = tables["papers"].where("latest_version is not null")
     others = p.select(F.explode(F.array_distinct(F.array_compact(F.array("arxiv_id", "doi")))).alias("key"), F.col("latest_version").alias("paper_version"), "arxiv_id")
-    rows = versions.unionByName(others.join(versions.select("key"), "key", "left_anti"))
+    rows = versions.unionByName(others.join(dealt(versions.select("key")), "key", "left_anti"))
     return rows.groupBy("key").agg(F.count_distinct("paper_version").alias("n"), F.min(F.struct("paper_version", "arxiv_id")).alias("x")).select("key", "n", "x.*")
 
 
@@ -126,20 +127,20 @@ def fetch(addresses: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     id_, version = T.arxiv_parts(F.col("subject"))
     key = F.coalesce(F.concat(id_, F.coalesce(F.concat(F.lit("v"), version), F.lit(""))), F.trim("subject"))
     of_repo = F.col("kind").isin(OF_REPO)
-    found = asked.withColumn("key", F.when(~of_repo, key)).join(papers_by_key(tables).withColumnRenamed("n", "papers"), "key", "left")
+    found = asked.withColumn("key", F.when(~of_repo, key)).join(dealt(papers_by_key(tables).withColumnRenamed("n", "papers")), "key", "left")
     subject = F.when(of_repo, F.col("subject")).when(F.col("papers") == 1, F.when(F.col("kind") == "lineage", F.col("arxiv_id")).otherwise(F.col("paper_version")))
     found = found.select("uri", "kind", "papers", subject.alias("subject"), F.coalesce("target", F.lit("")).alias("target"))
     items, on = contents(tables), ["kind", "subject", "target"]
     wanted = found.where("subject is not null").select(*on).distinct()
-    met = items.join(wanted, on).groupBy(*on).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("place", "sort", "item"))).alias("x"))
+    met = items.join(dealt(wanted), on).groupBy(*on).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("place", "sort", "item"))).alias("x"))
     listed = F.concat(F.lit("["), F.array_join(F.transform("x", lambda i: i["item"]), ","), F.lit("]"))
     met = met.select(*on, "n", F.when(F.col("kind").isin(LISTS), listed).otherwise(F.col("x")[0]["item"]).alias("content"))
-    out = found.join(met, on, "left")
+    out = found.join(dealt(met), on, "left")
     missed = out.where(F.col("n").isNull() & F.col("kind").isin(KEYED) & F.col("subject").isNotNull()).select("kind", "subject").distinct()
-    keys = items.where(F.col("kind").isin(KEYED) & ~((F.col("kind") == "equation") & F.col("target").rlike(r"^\d+$"))).join(missed, ["kind", "subject"]).groupBy(*on).agg(F.min(F.struct("place", "sort")).alias("at"))
+    keys = items.where(F.col("kind").isin(KEYED) & ~((F.col("kind") == "equation") & F.col("target").rlike(r"^\d+$"))).join(dealt(missed), ["kind", "subject"]).groupBy(*on).agg(F.min(F.struct("place", "sort")).alias("at"))
     place = F.row_number().over(Window.partitionBy("kind", "subject").orderBy("at", "target"))
     shown = keys.withColumn("p", place).where(F.col("p") <= SHOWN).groupBy("kind", "subject").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "target"))), lambda x: x["target"]), ",").alias("available"))
-    out = out.join(shown, ["kind", "subject"], "left")
+    out = out.join(dealt(shown), ["kind", "subject"], "left")
     there = F.col("n").isNotNull()
     status = (
         F.when(F.col("kind").isNull(), "UNRECOGNISED").when(F.col("papers") > 1, "AMBIGUOUS").when(there, "FOUND")
