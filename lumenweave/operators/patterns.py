@@ -10,7 +10,7 @@ from re import _parser
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .grams import N, grams
+from .grams import N, dealt, grams
 
 #: Lines of a block, as a power of two: the postings name blocks, and the pattern reads the lines of those.
 BLOCK = 5
@@ -123,7 +123,7 @@ def search(lines: DataFrame, patterns: dict[str, str], index: DataFrame | None =
         parts.append(lines.select(F.explode(fits).alias("name"), "repo", "path", "line", "text").select(*columns))
     if bound:
         fit = reduce(lambda out, x: F.when(F.col("name") == x[0], F.col("text").rlike(x[1])).otherwise(out), bound.items(), F.lit(False))
-        near = lines.withColumn("block", F.shiftright(F.col("line").cast("long"), BLOCK)).join(candidates(index, bound), ["repo", "path", "block"])
+        near = lines.withColumn("block", F.shiftright(F.col("line").cast("long"), BLOCK)).join(dealt(candidates(index, bound)), ["repo", "path", "block"])
         parts.append(near.where(fit).select(*columns))
     return reduce(DataFrame.unionByName, parts) if parts else _none(lines.sparkSession)
 
