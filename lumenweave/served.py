@@ -211,7 +211,7 @@ select 'P' || p_partkey || 'v1' as paper_version, case when p_partkey % 4 <> 3 a
 def incremental_ingest(spark, d):
     """Papers ingested in two turns, of which the second brings new and changed ones; a third has nothing to do."""
     g = ingest.graph(spark, f"{shared_checkpoints(spark).rstrip('/')}/graph-{uuid.uuid4().hex}")
-    papers = kept(t.derived(spark, d, t.PAPERS))
+    papers = kept(t.derived(spark, d, t.PAPERS, "part"))
     old = papers.where("k % 4 <> 3").withColumn("tex", F.when(F.col("k") % 3 == 0, F.concat("tex", F.lit("\n\\section{To be dropped} rho = 7."))).otherwise(F.col("tex")))
     for sources in (old, papers, papers):
         ingest.ingest_changed(g, sources)
