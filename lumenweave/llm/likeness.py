@@ -1,6 +1,6 @@
 """Near copies by exact Jaccard similarity of word shingles.
 
-Candidates share a band of MinHash values of their shingles. The sets themselves lie in files of the shared folder, so a
+Candidates share a band of MinHash values of their shingles, or any other key that callers deal them by. The sets themselves lie in files of the shared folder, so a
 row of a band carries only where its set lies, and whoever meets in a run of equal bands is compared set by set.
 """
 
@@ -54,13 +54,16 @@ def drop(uri: str) -> None:
         store.delete_dir(path)
 
 
-def _set_batches(uri: str, k: int, batches):
-    """Rows (doc_id, own_hash, s0, s1, file, start, size, bands): s0 and s1 stand for the set, which lies in the file."""
+def _set_batches(uri: str, k: int, fingerprint, batches):
+    """Rows (doc_id, own_hash, s0, s1, file, start, size, bands, f0): s0 and s1 stand for the set, which lies in the file."""
     file, out, at = uuid.uuid4().int >> 65, None, 0
     store, path = filesystem(f"{uri}/{file}")
     try:
         for b in batches:
-            sets = shingle_sets([x.encode() for x in b.column(1).to_pylist()], k)
+            texts = [x.encode() for x in b.column(1).to_pylist()]
+            prints = np.fromiter(map(fingerprint, texts), U, len(texts))
+            sets = shingle_sets(texts, k)
+            del texts
             size = np.fromiter(map(len, sets), np.int64, len(sets))
             some = np.flatnonzero(size)
             s, keys = np.zeros((2, len(sets)), U), np.zeros((len(sets), BANDS), U)
@@ -75,20 +78,20 @@ def _set_batches(uri: str, k: int, batches):
                     out = store.open_output_stream(path)
                 out.write(full.tobytes())
             lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
-            columns = [b.column(0), b.column(2), *(pa.array(x.view(np.int64)) for x in s), pa.array(np.full(len(sets), file)), pa.array(at + np.cumsum(size) - size), pa.array(size), lists]
+            columns = [b.column(0), b.column(2), *(pa.array(x.view(np.int64)) for x in s), pa.array(np.full(len(sets), file)), pa.array(at + np.cumsum(size) - size), pa.array(size), lists, pa.array(prints.view(np.int64))]
             at += int(size.sum())
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "own_hash", "s0", "s1", "file", "start", "size", "bands"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "own_hash", "s0", "s1", "file", "start", "size", "bands", "f0"])
     finally:
         if out is not None:
             out.close()
 
 
-def sets_of(docs: DataFrame, k: int) -> tuple[DataFrame, str]:
-    """documents to (doc_id, own_hash, s0, s1, file, start, size, bands), to be written once, and the folder of the sets."""
+def sets_of(docs: DataFrame, k: int, fingerprint) -> tuple[DataFrame, str]:
+    """documents to (doc_id, own_hash, s0, s1, file, start, size, bands, f0), to be written once, and the folder of the sets; f0 is a function of the text, of 64 bits."""
     uri = fresh(docs.sparkSession, "sets")
     text = text_column(docs)
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("own_hash"))
-    return rows.mapInArrow(partial(_set_batches, uri, k), "doc_id long, own_hash long, s0 long, s1 long, file long, start long, size long, bands array<long>"), uri
+    return rows.mapInArrow(partial(_set_batches, uri, k, fingerprint), "doc_id long, own_hash long, s0 long, s1 long, file long, start long, size long, bands array<long>, f0 long"), uri
 
 
 @lru_cache(256)
@@ -110,8 +113,12 @@ def alike(one: np.ndarray, others: list[np.ndarray], like: float = LIKE) -> np.n
     return common >= like * (len(one) + size - common) - 1e-9
 
 
-def _reached(uri: str, place: list[np.ndarray], like: float):
-    """Links that span what is alike in a run: each member is compared only with those not yet reached, and of fitting size."""
+def _reached(uri: str, place: list[np.ndarray], like: float, distance: int = 64):
+    """Links that span what is alike in a run: each member is compared only with those not yet reached, and of fitting size.
+
+    With fingerprints behind the places, only those within the distance are compared.
+    """
+    place, prints = place[:3], place[3:]
     size = place[2]
     left, front = np.arange(len(size)), []
     while len(left):
@@ -120,6 +127,8 @@ def _reached(uri: str, place: list[np.ndarray], like: float):
         i = front.pop()
         one = None
         fits = left[(size[left] >= like * size[i] - 1e-9) & (size[i] >= like * size[left] - 1e-9)]
+        for f in prints:
+            fits = fits[np.bitwise_count(f[fits] ^ f[i]) <= distance]
         hits = []
         while len(fits):
             n = max(1, int(np.searchsorted(np.cumsum(size[fits]), AT_ONCE)))
@@ -133,8 +142,8 @@ def _reached(uri: str, place: list[np.ndarray], like: float):
             left = np.setdiff1d(left, hit, assume_unique=True)
 
 
-def _link_batches(uri: str, like: float, batches):
-    """Links of rows (key, rep, file, start, size) sorted by key; the last run of a part waits for the rest of it."""
+def _link_batches(uri: str, like: float, distance: int, batches):
+    """Links of rows (key, rep, file, start, size, perhaps f0) sorted by key; the last run of a part waits for the rest of it."""
 
     def links(columns):
         edges = runs_of(columns[0])
@@ -142,7 +151,7 @@ def _link_batches(uri: str, like: float, batches):
         for e in np.flatnonzero(np.diff(edges) > 1):
             a, b = edges[e], edges[e + 1]
             rep = columns[1][a:b]
-            found |= {(min(rep[i], rep[j]), max(rep[i], rep[j])) for i, j in _reached(uri, [x[a:b] for x in columns[2:]], like)}
+            found |= {(min(rep[i], rep[j]), max(rep[i], rep[j])) for i, j in _reached(uri, [x[a:b] for x in columns[2:]], like, distance)}
         if found:
             got = np.array(sorted(found), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
@@ -164,6 +173,10 @@ def _link_batches(uri: str, like: float, batches):
 
 def links(sets: DataFrame, uri: str, like: float = LIKE) -> DataFrame:
     """(rep, file, start, size, bands) of distinct sets to links (a, b) between reps of a similarity of like or more, which join all that share a band."""
-    rows = sets.where("size > 0").select(F.explode("bands").alias("key"), "rep", "file", "start", "size")
-    dealt = rows.repartition(width(sets.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(partial(_link_batches, uri, like), "a long, b long").distinct()
+    return links_within(sets.where("size > 0").select(F.explode("bands").alias("key"), "rep", "file", "start", "size"), uri, like)
+
+
+def links_within(rows: DataFrame, uri: str, like: float = LIKE, distance: int = 64) -> DataFrame:
+    """Rows (key, rep, file, start, size, perhaps f0) to links (a, b) between reps of one key and a similarity of like or more, and fingerprints within the distance."""
+    dealt = rows.repartition(width(rows.sparkSession), "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(partial(_link_batches, uri, like, distance), "a long, b long").distinct()

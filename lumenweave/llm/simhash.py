@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import likeness
 from .blocks import SPACES, Words, blocks, combine, mix, runs_of
 from .components import components, local_roots
-from .shared import prepare, text_column, unused, width, written
+from .shared import discard, fresh, prepare, text_column, unused, width, written
 
 #: Fingerprints in a run of equal keys beyond which its keys are cut again, at least; it alters cost, not links.
 HOT = 2048
@@ -100,6 +100,8 @@ class Cut:
         self.segments, self.bits, self.distance, self.shingle_distance = segments, bits, distance, shingle_distance
 
     def near(self, a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+        if len(a) == 1:
+            return np.bitwise_count(a[0] ^ b[0]) <= self.distance
         out = np.bitwise_count(a[0] ^ b[0]).astype(np.int16) + np.bitwise_count(a[1] ^ b[1]) <= self.distance
         return out & (np.bitwise_count(a[2] ^ b[2]) <= self.shingle_distance) if len(a) > 2 else out
 
@@ -127,10 +129,14 @@ class Cut:
         return list(zip(sorted([*range(self.segments)] * each), self.parts(f0, f1, widths * self.segments)))
 
 
+def _bits(prints: list[np.ndarray]) -> list[np.ndarray]:
+    """f0 and f1 of the columns of fingerprints; those of 64 bits may come without f1."""
+    return prints[:2] if len(prints) > 1 else [prints[0], np.zeros_like(prints[0])]
+
+
 def _segment_batches(cut: Cut, batches):
     for b in batches:
-        f0, f1 = (b.column(i).to_numpy().view(np.uint64) for i in (0, 1))
-        for s, v in enumerate(cut.segments_of(f0, f1)):
+        for s, v in enumerate(cut.segments_of(*_bits([x.to_numpy().view(np.uint64) for x in b.columns]))):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), s, np.int32)), pa.array(v.view(np.int64))], names=["s", "v"])
 
 
@@ -138,10 +144,11 @@ def _variant_batches(cut: Cut, hot: dict[int, np.ndarray], batches):
     """Rows (key, rep, f0, f1, ...): one for each segment and deleted bit; for hot keys one for each piece outside the segment."""
     one = np.uint64(1)
     for b in batches:
-        columns = [b.column(i).to_numpy().view(np.uint64) for i in range(b.num_columns)]  # rep first
+        columns = [b.column(i).to_numpy().view(np.uint64) for i in range(b.num_columns)]  # rep first, if there
         names = ["key", *b.schema.names]
-        pieces = cut.pieces_of(*columns[1:3])
-        for s, v in enumerate(cut.segments_of(*columns[1:3])):
+        prints = _bits(columns[1:] if "rep" in b.schema.names else columns)
+        pieces = cut.pieces_of(*prints)
+        for s, v in enumerate(cut.segments_of(*prints)):
             crowded = hot.get(s, np.empty(0, np.uint64))
             for i in range(cut.bits):
                 bit = one << np.uint64(i)
@@ -204,7 +211,8 @@ def _link_batches(cut: Cut, batches):
     """Links of rows sorted by key; the last run of a part waits for the rest of it."""
 
     def links(columns):
-        got = run_links(columns[0], columns[1], [x.view(np.uint64) for x in columns[2:]], cut)
+        # without reps the one column of fingerprints stands for itself
+        got = run_links(columns[0], columns[1], [x.view(np.uint64) for x in columns[2:] or columns[1:]], cut)
         if len(got):
             yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
 
@@ -223,11 +231,14 @@ def _link_batches(cut: Cut, batches):
 
 
 def fingerprint_links(fps: DataFrame, cut: Cut) -> DataFrame:
-    """Distinct fingerprints (rep, f0, f1, perhaps f2) to links (a, b) between their reps, which join what lies within the distance."""
+    """Distinct fingerprints (rep, f0, f1, perhaps f2) to links (a, b) between their reps, which join what lies within the distance.
+
+    Given as f0 alone, fingerprints of 64 bits are their own reps, and half as much is shuffled.
+    """
     spark = fps.sparkSession
     n = fps.count()
     most = max(HOT, cut.segments * n // 50_000)  # so hot values are 50,000 at most
-    crowded = fps.select("f0", "f1").mapInArrow(partial(_segment_batches, cut), "s int, v long").groupBy("s", "v").count().where(F.col("count") > most).select("s", "v").collect()
+    crowded = fps.select(*(c for c in ("f0", "f1") if c in fps.columns)).mapInArrow(partial(_segment_batches, cut), "s int, v long").groupBy("s", "v").count().where(F.col("count") > most).select("s", "v").collect()
     hot = {s: np.array(sorted(x.v for x in crowded if x.s == s), np.int64).view(np.uint64) for s in {x.s for x in crowded}}
     schema = ", ".join(f"{c} long" for c in ["key", *fps.columns])
     dealt = fps.mapInArrow(partial(_variant_batches, cut, hot), schema).repartition(width(spark), "key").sortWithinPartitions("key")
@@ -253,32 +264,50 @@ def groups(prints: DataFrame, cut: Cut) -> DataFrame:
 LIKE_TEXTS = Cut(5, 24, 13, 13)
 
 
+def alike_links(classes: DataFrame, uri: str, like: float = likeness.LIKE, cut: Cut | None = None) -> DataFrame:
+    """(rep, file, start, size, f0) of distinct sets to links (a, b) between reps by SimHash: those within the distance of op3 whose sets are alike, each compared exactly.
+
+    All of a run of variants link to its smallest fingerprint, so two that lie within the distance meet under that.
+    """
+    cut = cut or Cut(2, 32, 3)
+    rows = classes.where("size > 0 and rep is not null").select("rep", "file", "start", "size", "f0")
+    found = fingerprint_links(rows.select("f0").distinct(), cut).select(F.col("a").alias("key"), F.col("b").alias("f0"))
+    met = rows.hint("merge").join(found, "f0").select("key", *rows.columns).union(rows.select(F.col("f0").alias("key"), "*"))
+    return likeness.links_within(met, uri, like, cut.distance)
+
+
 def one_of_each(docs: DataFrame, like: float = likeness.LIKE, k: int = 5) -> DataFrame:
     """docs with one row of each group of near copies: that of its smallest doc_id; all columns as they were.
 
     Groups are joined by pairs whose sets of k-word shingles have a Jaccard similarity of like or more, each of them
-    compared exactly. Of rows of one doc_id and text that with the least other columns stays (maps compare as JSON; a
+    compared exactly. Pairs within the distance of op3 are found by SimHash; those beyond it, by bands of MinHash values.
+    Of rows of one doc_id and text that with the least other columns stays (maps compare as JSON; a
     null text is behind an empty one), and of rows without a doc_id those that no row with one has the shingles of, one
     of each text.
     """
     prepare(docs.sparkSession)
-    found, uri = likeness.sets_of(docs, k)
-    sets = written(found, "sets")
-    first = F.min_by(F.struct("file", "start", "size", "bands"), F.struct("doc_id", "file", "start"))
+    found, uri = likeness.sets_of(docs, k, shingle_fingerprint)
+    full, ids = fresh(docs.sparkSession, "full"), ["doc_id", "own_hash", "s0", "s1"]
+    found.write.parquet(full)
+    sets = docs.sparkSession.read.schema(found.schema).parquet(full)
+    first = F.min_by(F.struct("file", "start", "size", "bands", "f0"), F.struct("doc_id", "file", "start"))
     classes = written(sets.groupBy("s0", "s1").agg(F.min("doc_id").alias("rep"), first.alias("x")).select("s0", "s1", "rep", "x.*"), "classes")
-    roots = components(likeness.links(classes.where("rep is not null"), uri, like))
+    sets = written(sets.select(*ids), "sets")
+    discard(docs.sparkSession, full)  # bands are in classes now
+    roots = components(alike_links(classes, uri, like).union(likeness.links(classes.where("rep is not null"), uri, like)))
     likeness.drop(uri)
     named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("s0", "s1", F.coalesce("root", "rep").alias("component_id"))
-    kept = sets.select("doc_id", "own_hash", "s0", "s1").join(named, ["s0", "s1"]).where("doc_id = component_id or (doc_id is null and component_id is null)")
-    kept = kept.select(F.col("doc_id").alias("own_id"), "own_hash").distinct()
-    own = unused("own_hash", docs.columns)
-    rows = docs.withColumn(own, F.xxhash64(text_column(docs)))
-    same = rows["doc_id"].eqNullSafe(kept["own_id"]) & (rows[own] == kept["own_hash"])
+    kept = sets.join(named, ["s0", "s1"]).where("doc_id = component_id or (doc_id is null and component_id is null)")
+    # a null id is a number and a flag, so that the join and the groups are dealt by the same keys and texts travel once
+    own = [unused(c, docs.columns) for c in ("own_id", "no_id", "own_hash")]
+    key = lambda text: (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull(), text)
+    kept = kept.select(*(x.alias(c) for x, c in zip(key(F.col("own_hash")), own))).distinct()
+    rows = docs.withColumns(dict(zip(own, key(F.xxhash64(text_column(docs))))))
     column = {c: F.col(f"`{c}`") for c in docs.columns}
     others = [F.to_json(F.struct(column[c])) if "map<" in kind else column[c] for c, kind in docs.dtypes if c not in ("doc_id", "text")]
-    # texts of one hash are alike, so they take no part in the order and travel once
+    # texts of one hash are alike, so they take no part in the order
     least = F.min_by(F.struct(*column.values()), F.struct(F.col("text").isNull(), *others))
-    return rows.join(kept, same, "left_semi").groupBy("doc_id", own).agg(least.alias("x")).select("x.*")
+    return rows.join(kept.hint("merge"), own, "left_semi").groupBy(*own).agg(least.alias("x")).select("x.*")
 
 
 def near_copies(docs: DataFrame, kind: str = "shingles", k: int = 3, segments: int = 2, bits: int = 32, distance: int = 3) -> DataFrame:

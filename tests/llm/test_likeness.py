@@ -66,3 +66,27 @@ def test_files_are_read_past_the_held_rows(spark, monkeypatch):
     base = vocabulary(r, 300)
     texts = [base[:i] + ["x"] + base[i:] for i in range(0, 300, 5)] + [vocabulary(r, 300) for _ in range(5)]
     assert stays(spark, texts) == {0, *range(60, 65)}
+
+
+def test_simhash_finds_copies_that_share_no_band(spark):
+    """The named method finds near copies by itself; what is within its distance and not alike stays apart."""
+    r = random.Random(5)
+    texts, pairs = [], set()
+    while len(pairs) < 20:
+        a = vocabulary(r, 2000)
+        b = [*a[:1000], "edited", *a[1000:]]
+        if (simhash.shingle_fingerprint(" ".join(a).encode()) ^ simhash.shingle_fingerprint(" ".join(b).encode())).bit_count() <= 3:
+            pairs.add((len(texts), len(texts) + 1))
+            texts += [a, b]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    found, uri = likeness.sets_of(docs, 5, simhash.shingle_fingerprint)
+    classes = found.withColumnRenamed("doc_id", "rep").drop("bands").checkpoint()
+    assert {(x.a, x.b) for x in simhash.alike_links(classes, uri).collect()} == pairs
+    assert not simhash.alike_links(classes, uri, 0.9999).count()
+    likeness.drop(uri)
+
+
+def test_texts_travel_once(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (None, "g h i j k l")], "doc_id long, text string")
+    plan = simhash.one_of_each(docs)._jdf.queryExecution().executedPlan().toString()
+    assert sum("text#" in below for line, below in zip(plan.splitlines(), plan.splitlines()[1:]) if "Exchange hashpartitioning" in line) == 1
