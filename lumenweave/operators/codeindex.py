@@ -47,12 +47,15 @@ def symbols_of(path: str, text: str) -> tuple[list[tuple], str | None]:
 
 def _parsed(batches):
     for b in batches:
-        rows = []
+        rows, parsed = [], {}  # files of one text are parsed once; only their paths differ
         for repo, path, text in zip(b["repo"], b["path"], b["text"]):
-            found, warning = symbols_of(path, text or "")
-            rows += [(repo, path, i, *s, None) for i, s in enumerate(found)]
+            text = text or ""
+            if text not in parsed:
+                parsed[text] = symbols_of("", text)
+            found, warning = parsed[text]
+            rows += [(repo, path, i, path + s[0], *s[1:], None) for i, s in enumerate(found)]
             if warning:
-                rows.append((repo, path, -1, None, None, None, None, None, None, None, warning))
+                rows.append((repo, path, -1, None, None, None, None, None, None, None, path + warning))
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in SYMBOLS.split(", ")]).astype({"line_start": "Int64", "line_end": "Int64"})
 
 

@@ -158,3 +158,16 @@ def test_workers_hold_few_papers_at_once(monkeypatch):
     frames = list(scan._with_lines(["heading"], None, [batch, batch.iloc[:0]]))
     assert len(frames) == 4 and max(x["paper_version"].nunique() for x in frames) <= 2
     assert [x for f in frames for x in f["paper_version"]] == ["p0", "p3"]
+
+
+def test_files_of_one_text_are_parsed_once(monkeypatch):
+    import pandas as pd
+
+    calls, parse = [], codeindex.ast.parse
+    monkeypatch.setattr(codeindex.ast, "parse", lambda text: calls.append(text) or parse(text))
+    texts = ["def go(a):\n    pass\n"] * 3 + ["oops ("] * 2 + [None]
+    batch = pd.DataFrame({"repo": ["r"] * 6, "path": [f"f{i}.py" for i in range(6)], "text": texts})
+    got = next(codeindex._parsed([batch]))
+    assert len(calls) == 3
+    assert list(got["qualified_name"][:3]) == [f"f{i}.py::go#function" for i in range(3)]
+    assert [w.split(" (")[0] for w in got["warning"][3:]] == ["f3.py: unparseable", "f4.py: unparseable"]
