@@ -154,10 +154,11 @@ def histogram(mappings: DataFrame, by: list[str] = PAIR) -> DataFrame:
     return mappings.groupBy(*by).agg(*map(n, ["MATCHED", "ABSENT", "AMBIGUOUS", "UNKNOWN"]))
 
 
-def _flags(rows: DataFrame, column: str, keys: list[str], part: int) -> DataFrame:
-    """One row for each key, with a flag for each behaviour's vocabulary, in one pass."""
-    pattern = lambda b: ("(?i)" if part == 1 else "") + b[part]
-    return rows.groupBy(*keys).agg(*(F.bool_or(F.col(column).rlike(pattern(b))).alias(f"b{i}") for i, b in enumerate(BEHAVIOURS)))
+def _flags(rows: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """One row for each key, with a flag for each behaviour's vocabulary in code, in one pass; a pattern reads only texts that hold a literal it needs."""
+    rows = rows.select(*keys, column, F.lower(column).alias("lowered"))
+    fits = lambda pattern: patterns.may_fit(F.col("lowered"), pattern) & F.col(column).rlike(pattern)
+    return rows.groupBy(*keys).agg(*(F.bool_or(fits(b[2])).alias(f"b{i}") for i, b in enumerate(BEHAVIOURS)))
 
 
 def behaviour_differences(papers: DataFrame, pairs: DataFrame, lines: DataFrame, index: DataFrame | None = None) -> DataFrame:
@@ -165,16 +166,17 @@ def behaviour_differences(papers: DataFrame, pairs: DataFrame, lines: DataFrame,
 
     Without an index of the lines one pass flags all vocabularies; with one, only blocks that hold their literals are read.
     """
-    def quote(pattern: str):
-        """The first place of a pattern with 95 characters on either side."""
-        at, tex = F.regexp_instr("tex", F.lit(pattern)), F.col("tex")
-        start = F.greatest(at - 95, F.lit(1))
-        return F.trim(F.regexp_replace(F.substring(tex, start, at - start + F.length(F.regexp_extract("tex", pattern, 0)) + 95), r"\s+", " "))
-
-    quotes = [F.when(F.col("tex").rlike("(?i)" + b[1]), F.struct(F.lit(i).alias("behaviour"), quote("(?i)" + b[1]).alias("quote"))) for i, b in enumerate(BEHAVIOURS)]
-    told = papers.select("paper_version", F.explode(F.array_compact(F.array(*quotes))).alias("x")).select("paper_version", "x.*").join(grams.dealt(pairs), "paper_version")
+    spoken = [f"(?i){b[1]}" for b in BEHAVIOURS]
+    place = lambda p: F.when(patterns.may_fit(F.col("lowered"), p), F.regexp_instr("tex", F.lit(p)))
+    places = [F.struct(F.lit(i).alias("behaviour"), place(p).alias("at")) for i, p in enumerate(spoken)]
+    told = papers.select("paper_version", "tex", F.lower("tex").alias("lowered")).select("paper_version", "tex", F.inline(F.array(*places))).where("at > 0")
+    # the first place of a pattern with 95 characters on either side
+    length = reduce(lambda out, x: F.when(F.col("behaviour") == x[0], F.length(F.regexp_extract("tex", x[1], 0))).otherwise(out), enumerate(spoken), F.lit(0))
+    start = F.greatest(F.col("at") - 95, F.lit(1))
+    quote = F.trim(F.regexp_replace(F.substring("tex", start, F.col("at") - start + length + 95), r"\s+", " "))
+    told = told.select("paper_version", "behaviour", quote.alias("quote")).join(grams.dealt(pairs), "paper_version")
     if index is None:
-        code = _flags(lines, "text", ["repo"], 2)
+        code = _flags(lines, "text", ["repo"])
         shown = code.select("repo", F.explode(F.array(*(F.struct(F.lit(i).alias("behaviour"), F.col(f"b{i}").alias("there")) for i in range(len(BEHAVIOURS))))).alias("x")).select("repo", "x.*").where("there")
     else:
         shown = patterns.search(lines, {str(i): b[2] for i, b in enumerate(BEHAVIOURS)}, index).select("repo", F.col("name").cast("int").alias("behaviour")).distinct()

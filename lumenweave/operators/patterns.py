@@ -7,7 +7,7 @@ from functools import reduce
 from re import _constants as K
 from re import _parser
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .grams import N, dealt, grams
@@ -74,6 +74,13 @@ def required(pattern: str) -> list[str] | None:
     return sorted(found) if found else None
 
 
+def may_fit(lowered: Column, pattern: str) -> Column:
+    """Whether a text, given in lower case, holds a literal that the pattern needs; true if none is known."""
+    needs = required(pattern) or []
+    least = [x for x in needs if not any(y != x and y in x for y in needs)]
+    return reduce(Column.__or__, (F.contains(lowered, F.lit(x)) for x in least)) if least else F.lit(True)
+
+
 def line_index(lines: DataFrame) -> DataFrame:
     """lines (repo, path, line, text) to postings (gram, repo, path, block), in order of grams within each part when written.
 

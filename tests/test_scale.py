@@ -199,3 +199,27 @@ def test_topics_of_the_method_do_not_count(spark):
     rows = [("Deep Ring tool", "Net1: Deep Rings", True), ("rings of Net1", "Net1: Deep Rings", False), ("the net1", "Net1: Deep Rings", True), ("", "Net1: x", False), (None, "Net1: x", False), ("clouds", None, True), ("of", "of", True), ("rings", "rings", True)]
     df = spark.createDataFrame(rows, "d string, t string, want boolean")
     assert [x.got for x in df.select(T.description_contradicts(F.col("d"), F.col("t")).alias("got")).collect()] == [x[2] for x in rows]
+
+
+def test_behaviours_are_read_where_their_literals_are(spark):
+    """Patterns read only texts that hold a literal they need; what they find is what each finds in every text, in any case."""
+    words = ["WARM-up", "warmup", "Weight Decay", "dropout", "Dropouts", "remark", "EMA", "exponential moving Average", "clipped", "unclipped", "CLAMPing", "clip the  gradients", "fp16", "half Precision", "Normalised", "augmentations", "é", "İ", "K", "\n\n", "necessary", "x" * 60]
+    texts = [" ".join(words[(i * k + i // 7) % len(words)] for k in range(1, 9)) for i in range(120)] + ["", None]
+    papers = spark.createDataFrame([(f"P{i}", x) for i, x in enumerate(texts)], "paper_version string, tex string")
+    pairs = papers.select("paper_version", F.lit("r").alias("repo")).union(spark.createDataFrame([("P1", "s"), ("P2", None)], "paper_version string, repo string"))
+    code = ["warm_up = 1", "x.CLIP(", "Dropout(", "schema", "ema", None, "GRADSCALER", "GradScaler", "Normalize"]
+    lines = spark.createDataFrame([("r" if i % 2 else "s", "a.py", i, x) for i, x in enumerate(code)], "repo string, path string, line int, text string")
+    df = correlate.behaviour_differences(papers, pairs, lines)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE(tex#" not in plan and "Contains(lowered#" in plan
+    parts = []
+    for name, spoken, written, *_ in correlate.BEHAVIOURS:
+        p = F.lit("(?i)" + spoken)
+        at = F.regexp_instr("tex", p)
+        cut = F.substring("tex", F.greatest(at - 95, F.lit(1)), at - F.greatest(at - 95, F.lit(1)) + F.length(F.regexp_substr("tex", p)) + 95)
+        shown = lines.where(F.col("text").rlike(written)).select("repo").distinct()
+        rows = papers.where(F.col("tex").rlike("(?i)" + spoken)).join(pairs, "paper_version").join(shown, "repo", "left_anti")
+        parts.append(rows.select("paper_version", "repo", F.lit(name).alias("subject"), F.trim(F.regexp_replace(cut, r"\s+", " ")).alias("paper_states")))
+    want = correlate.reduce(lambda a, b: a.unionByName(b), parts)
+    key = lambda x: sorted(map(repr, x.select("paper_version", "repo", "subject", "paper_states").collect()))
+    assert key(df) == key(want) and len({x.subject for x in want.collect()}) >= 6
