@@ -223,3 +223,22 @@ def test_behaviours_are_read_where_their_literals_are(spark):
     want = correlate.reduce(lambda a, b: a.unionByName(b), parts)
     key = lambda x: sorted(map(repr, x.select("paper_version", "repo", "subject", "paper_states").collect()))
     assert key(df) == key(want) and len({x.subject for x in want.collect()}) >= 6
+
+
+def test_constants_are_counted_without_lists(spark):
+    """Gaps need how many constants a paper lacks and where the first is: no list of a file's constants is made, and lists are cut, not searched, for each paper."""
+    text = ["rate = 1.10001", "a = 1.10002, 1.10003", "b = 1.10001", "c = 1.10004"]
+    lines = spark.createDataFrame([("r", "a.py", i, x) for i, x in enumerate(text, 1)] + [("r", "b.py", 7, "x = 2.55555")], "repo string, path string, line int, text string")
+    stated = {"none": "", "first": "1.100019", "gap": "1.10001 1.10003", "leading": "1.10001 1.10002", "most": "1.10001 1.10002 1.10003", "last": "1.10004", "all": "1.10001 1.10002 1.10003 1.10004"}
+    papers = spark.createDataFrame(list(stated.items()), "paper_version string, tex string")
+    pairs = papers.select("paper_version", F.lit("r").alias("repo"))
+    whole, counts = correlate.hidden_constants(papers, pairs, lines), correlate.hidden_counts(papers, pairs, lines)
+    assert "whole" not in counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains" not in whole._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.paper_version: (r.n, r.line, r.constants) for r in whole.where("path = 'a.py'").collect()}
+    assert got == {
+        "none": (4, 1, "1.10001,1.10002,1.10003,1.10004"), "first": (3, 2, "1.10002,1.10003,1.10004"), "gap": (2, 2, "1.10002,1.10004"), "leading": (2, 2, "1.10003,1.10004"),
+        "most": (1, 4, "1.10004"), "last": (3, 1, "1.10001,1.10002,1.10003"),
+    }
+    assert {r.paper_version: (r.n, r.line) for r in counts.where("path = 'a.py'").collect()} == {k: v[:2] for k, v in got.items()}
+    assert counts.where("path = 'b.py' and n = 1 and line = 7").count() == len(stated)
