@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.landing import kept
 from . import grams, intervals, patterns
 
 METHOD = "python-ast:symbol_search"
@@ -113,10 +114,15 @@ def search_symbols(symbols: DataFrame, queries: DataFrame, limit: int, index: gr
     """
     index = index or symbol_index(symbols)
     asked = queries.select("repo", "query", "terms").distinct().select("repo", "query", F.explode("terms").alias("term")).groupBy("repo", "query", "term").agg(F.count("*").alias("times"))
-    met = grams.dealt(asked).join(grams.holding(index, asked), ["repo", "term"]).groupBy("repo", "query", F.col("name").alias("hay")).agg(F.sum("times").cast("int").alias("hits"))
-    held = grams.dealt(symbols.where("qualified_name is not null").withColumn("hay", _hay())).join(met, ["repo", "hay"])
-    order = [F.desc("hits"), "qualified_name", *(c for c in ("ordinal",) if c in symbols.columns)]
-    return held.withColumn("rank", F.row_number().over(Window.partitionBy("repo", "query").orderBy(*order))).where(F.col("rank") <= limit).drop("hay")
+    held = grams.holding(index, asked, grams.FEW_TERMS).groupBy("repo", F.col("name").alias("hay")).agg(F.array_sort(F.collect_set("term")).alias("held"))
+    # symbols that hold the same terms are alike to every query, so only the first of them can be among its first
+    order = ["qualified_name", *(c for c in ("ordinal",) if c in symbols.columns)]
+    alike = grams.dealt(symbols.where("qualified_name is not null").withColumn("hay", _hay())).join(held, ["repo", "hay"]).drop("hay")
+    first = kept(alike.withColumn("n", F.row_number().over(Window.partitionBy("repo", "held").orderBy(*order))).where(F.col("n") <= limit).drop("n"))
+    each = first.select("repo", "held").distinct().select("repo", "held", F.explode("held").alias("term"))
+    met = grams.dealt(asked).join(each, ["repo", "term"]).groupBy("repo", "query", "held").agg(F.sum("times").cast("int").alias("hits"))
+    found = grams.dealt(first).join(met, ["repo", "held"]).drop("held")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("repo", "query").orderBy(F.desc("hits"), *order))).where(F.col("rank") <= limit)
 
 
 def query_terms(query: Column) -> Column:

@@ -84,29 +84,33 @@ def map_components(components: DataFrame, pairs: DataFrame, symbols: DataFrame,
     """
     c = grams.dealt(components).join(pairs, "paper_version").withColumn("name", F.coalesce("name", "slug")).withColumn("tokens", T.name_tokens(F.col("name")))
     key = [*PAIR, "id"]
-    queries = c.select("id", "repo").join(grams.dealt(component_queries(c.select("id", "name", "tokens").distinct())), "id")
-    asked = queries.select("repo", F.array_join("terms", " ").alias("query"), "terms").distinct()
-    found = codeindex.search_symbols(symbols, asked, 25, index).select("repo", "query", "qualified_name", F.col("name").alias("symbol_name"))
-    meets = queries.withColumn("query", F.array_join("terms", " ")).join(found, ["repo", "query"]).select("id", "repo", "qualified_name", "symbol_name").distinct()
+    # what names find in a repository is found once, for all components of that name and kind
+    c = c.withColumn("of_kind", F.coalesce("kind", F.lit("")))
+    names = kept(c.where("name is not null").select("repo", "name", "of_kind", "tokens").distinct())
+    queries = names.select("repo", F.col("name").alias("id")).distinct().join(grams.dealt(component_queries(names.select(F.col("name").alias("id"), "name", "tokens").distinct())), "id")
+    # terms count in any order
+    queries = queries.withColumn("terms", F.array_sort("terms")).withColumn("query", F.array_join("terms", " "))
+    found = codeindex.search_symbols(symbols, queries.select("repo", "query", "terms").distinct(), 25, index).select("repo", "query", "qualified_name", F.col("name").alias("symbol_name"))
+    meets = queries.join(found, ["repo", "query"]).select("repo", F.col("id").alias("name"), "qualified_name", "symbol_name").distinct()
     hay = F.lower(F.concat_ws(" ", "symbol_name", "qualified_name"))
-    scored = c.join(meets, ["id", "repo"]).withColumn("covered", F.size(F.filter("tokens", lambda t: F.contains(hay, T.prefix_stem(t)))))
+    scored = names.join(grams.dealt(meets), ["repo", "name"]).withColumn("covered", F.size(F.filter("tokens", lambda t: F.contains(hay, T.prefix_stem(t)))))
     bonus = F.lit(0)
     for kind, pattern in SYMBOL_KINDS.items():
-        bonus = F.when((F.col("kind") == kind) & F.col("symbol_name").rlike("(?i)" + pattern), 1).otherwise(bonus)
-    best = scored.groupBy(*key).agg(F.min(F.struct((-F.col("covered")).alias("c"), (-bonus).alias("b"), "qualified_name")).alias("best"))
+        bonus = F.when((F.col("of_kind") == kind) & F.col("symbol_name").rlike("(?i)" + pattern), 1).otherwise(bonus)
+    best = scored.groupBy("repo", "name", "of_kind").agg(F.min(F.struct((-F.col("covered")).alias("c"), (-bonus).alias("b"), "qualified_name")).alias("best"))
     # words of names in code: names' distinctive tokens are looked for in the distinct words of a repository
     words = F.filter("tokens", lambda t: (F.length(t) >= 4) & ~t.isin(T.GENERIC_WORDS))
-    tokens = c.select("repo", F.explode(words).alias("token")).distinct()
+    tokens = names.select("repo", F.explode(words).alias("token")).distinct()
     in_code = lines.where(F.col("path").rlike(codeindex.SOURCE)).select("repo", "path", "line", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z0-9]{4,}"), F.lit(0)))).alias("word"))
-    firsts = in_code.groupBy("repo", "word").agg(F.min(F.struct("path", "line")).alias("at"))
-    holding = grams.holding(grams.index(firsts, ["repo"], "word", 4), tokens.withColumnRenamed("token", "term"))
+    firsts = kept(in_code.groupBy("repo", "word").agg(F.min(F.struct("path", "line")).alias("at")))
+    holding = grams.holding(grams.index(firsts, ["repo"], "word", 4), tokens.withColumnRenamed("token", "term"), grams.FEW_TERMS)
     places = holding.select("repo", F.col("term").alias("token"), F.col("name").alias("word")).join(grams.dealt(firsts), ["repo", "word"]).groupBy("repo", "token").agg(F.min("at").alias("at"))
-    inside = c.select(*key, F.posexplode(words).alias("place", "token")).join(places, ["repo", "token"]).groupBy(*key).agg(F.min_by(F.struct("token", "at.path", "at.line"), "place").alias("inside"))
+    inside = names.select("repo", "name", F.posexplode(words).alias("place", "token")).distinct().join(grams.dealt(places), ["repo", "token"]).groupBy("repo", "name").agg(F.min_by(F.struct("token", "at.path", "at.line"), "place").alias("inside"))
     located = values.where("anchor_kind = 'stated_value' and status = 'MATCHED'")
     sections = located.where("section_id is not null").select(*PAIR, "section_id").distinct().withColumn("same", F.lit(True))
     names = located.select(*PAIR, F.lower("label").alias("word")).distinct()
     about = c.select(*key, F.explode(F.array_distinct(T.name_tokens(F.concat_ws(" ", "name", F.coalesce("description", F.lit("")))))).alias("word")).join(names, [*PAIR, "word"]).select(*key).distinct().withColumn("described", F.lit(True))
-    out = c.join(best, key, "left").join(inside, key, "left").join(sections, [*PAIR, "section_id"], "left").join(about, key, "left")
+    out = c.join(grams.dealt(best), ["repo", "name", "of_kind"], "left").join(grams.dealt(inside), ["repo", "name"], "left").join(sections, [*PAIR, "section_id"], "left").join(about, key, "left")
     share = -F.col("best.c") / F.nullif(F.size("tokens"), F.lit(0))
     derived = F.col("source") == "DETERMINISTIC"
     status = (

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 N = 3
 #: Grams of a term, the rarest ones, whose postings are intersected.
 PROBES = 3
+#: Terms, at most, that each name is held against where a search allows it; more meet postings.
+FEW_TERMS = 500
 
 
 def grams(text: Column, n: Column | int = N) -> Column:
@@ -21,11 +23,13 @@ def grams(text: Column, n: Column | int = N) -> Column:
 
 @dataclass
 class Index:
-    """Postings (scope, gram, name) and sizes (scope, gram, n) of names in lower case; made once, and asked often."""
+    """Postings (scope, gram, name) and sizes (scope, gram, n) of names in lower case, and the names (scope, name); made once, and asked often."""
 
     scope: list[str]
     postings: DataFrame
     sizes: DataFrame
+    names: DataFrame
+    shortest: int
 
 
 def dealt(df: DataFrame) -> DataFrame:
@@ -45,23 +49,35 @@ def index(names: DataFrame, scope: list[str], text: str, shortest: int = 1) -> I
     lowered = names.where(F.col(text).isNotNull()).select(*scope, F.lower(text).alias("name")).distinct()
     name = F.col("name")
     postings = lowered.select(*scope, "name", F.explode(F.concat(*(grams(name, n) for n in range(min(shortest, N), N + 1)))).alias("gram"))
-    return Index(scope, postings, _sizes(postings, scope))
+    return Index(scope, postings, _sizes(postings, scope), lowered, min(shortest, N))
 
 
 def kept(found: Index, keep) -> Index:
     """The index with its postings kept by a function (such as a write to the shared folder), and their sizes counted from those."""
     postings = keep(found.postings)
-    return Index(found.scope, postings, keep(_sizes(postings, found.scope)))
+    return Index(found.scope, postings, keep(_sizes(postings, found.scope)), found.names, found.shortest)
 
 
-def holding(index: Index, terms: DataFrame) -> DataFrame:
+def _held_by_each(index: Index, asked: DataFrame, lowered: list[str]) -> DataFrame:
+    """The same as holding, for few terms: one pass over the names, of which only hits are dealt, no postings."""
+    scope = index.scope
+    hits = index.names.select(*scope, "name", F.explode(F.filter(F.array(*map(F.lit, lowered)), lambda t: F.contains("name", t))).alias("lowered"))
+    return hits.join(dealt(asked.withColumn("lowered", F.lower("term"))), [*scope, "lowered"]).select(*scope, "term", "name")
+
+
+def holding(index: Index, terms: DataFrame, few: int = 0) -> DataFrame:
     """terms (scope, term) to (scope, term, name): the names of the scope that hold the term, in any case.
 
     A term meets the postings of its rarest grams only; names in all of them are checked. Empty and null terms find
-    nothing. Names come in lower case.
+    nothing. Names come in lower case. Up to few terms, over all scopes, are fetched and held against each name instead.
     """
     scope = index.scope
     asked = terms.where("term is not null and term != ''").select(*scope, "term").distinct()
+    if few:
+        long_enough = asked.where(F.length("term") >= index.shortest)
+        lowered = [r.term for r in long_enough.select(F.lower("term").alias("term")).distinct().limit(few + 1).collect()]
+        if 0 < len(lowered) <= few:
+            return _held_by_each(index, long_enough, sorted(lowered))
     n = F.least(F.length("term"), F.lit(N))
     cut = asked.select(*scope, "term", F.explode(grams(F.lower("term"), n)).alias("gram"))
     sized = dealt(cut).join(dealt(index.sizes), [*scope, "gram"], "left")

@@ -242,3 +242,18 @@ def test_constants_are_counted_without_lists(spark):
     }
     assert {r.paper_version: (r.n, r.line) for r in counts.where("path = 'a.py'").collect()} == {k: v[:2] for k, v in got.items()}
     assert counts.where("path = 'b.py' and n = 1 and line = 7").count() == len(stated)
+
+
+def test_names_are_searched_once_however_many_components(spark, symbols, monkeypatch):
+    """Few terms meet names without postings, symbols alike to every query are cut before they meet it, and components of one name share what it finds."""
+    asked = spark.createDataFrame([("r", "a b", ["code", "encode_4"]), ("r", "c", ["ENCODE", "x"])], "repo string, query string, terms array<string>")
+    few = [(r.query, r.hits, r["rank"], r.name) for r in codeindex.search_symbols(symbols, asked, 12).orderBy("query", "rank").collect()]
+    monkeypatch.setattr(grams, "FEW_TERMS", 1)
+    assert few == [(r.query, r.hits, r["rank"], r.name) for r in codeindex.search_symbols(symbols, asked, 12).orderBy("query", "rank").collect()]
+    assert [x[3] for x in few[:12]] == ["encode_4", *(f"encode_4{i}" for i in range(10)), "encode_0"]
+    monkeypatch.undo()
+    index = codeindex.symbol_index(symbols)
+    terms = spark.createDataFrame([("r", "Code"), ("s", "code"), ("r", ""), ("r", None)], "repo string, term string")
+    found = grams.holding(index, terms, 5)
+    assert "gram" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.repo, r.term) for r in found.collect()} == {("r", "Code")} and found.count() == 50
