@@ -257,3 +257,13 @@ def test_names_are_searched_once_however_many_components(spark, symbols, monkeyp
     found = grams.holding(index, terms, 5)
     assert "gram" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.repo, r.term) for r in found.collect()} == {("r", "Code")} and found.count() == 50
+
+
+def test_signals_are_not_sifted_by_lambdas(spark):
+    """Owners' parts are intersected as they are, and signals that aren't there fall away behind the explode: only the parts of authors and preprint numbers are sifted."""
+    from lumenweave.operators import discover
+
+    rows = [("p", "a/Net1", "2001.00001", "Net1: Deep Rings", ["Ada M. Lovelace"], True, True, "ada-ada", "M. Lovelace", "Net-1", "see arXiv:2001.00001", None, True, 1, 1), ("p", "m/x", "2001.00001", "Net1: Deep Rings", ["Ada M. Lovelace"], False, True, "m", "m ada", "x", None, None, True, 1, 2)]
+    df = discover.signals(spark.createDataFrame(rows, CANDIDATE))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count(" filter(") + df._jdf.queryExecution().optimizedPlan().toString().count("(filter(") == 1
+    assert [(r.repo, r.ord, r.name, r.weight) for r in df.collect()] == [("a/Net1", 1, "declared_in_paper", "DECISIVE"), ("a/Net1", 2, "author_owner_match", "STRONG"), ("a/Net1", 3, "name_affinity", "STRONG"), ("a/Net1", 4, "readme_backlink", "STRONG")]
