@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -114,14 +115,15 @@ def papers_by_key(tables: dict[str, DataFrame]) -> DataFrame:
     return rows.groupBy("key").agg(F.count_distinct("paper_version").alias("n"), F.min(F.struct("paper_version", "arxiv_id")).alias("x")).select("key", "n", "x.*")
 
 
-def fetch(addresses: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+def fetch(addresses: DataFrame, tables: dict[str, DataFrame], keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """addresses (uri) to (uri, kind, status, subject, target, n, content, available), one row for each distinct address.
 
     status: FOUND; EMPTY, a list of an ingested paper that has nothing; NOT_FOUND, with the keys that there are in
     available (none if the paper or repository isn't there either); AMBIGUOUS, an identifier of several papers;
     UNRECOGNISED, no kind fits. Papers are named by id, version or DOI, exactly. content is the JSON of the thing, or of the
     list in order; n is how many there are, so more than one under a key means that the first is shown. Null addresses
-    are UNRECOGNISED.
+    are UNRECOGNISED. keep: what is read more than once (addresses with what they name, then with contents) goes through
+    it, such as a write to the shared folder; without it, each reading derives the tables' items anew.
     """
     asked = route(addresses.select(F.trim("uri").alias("uri")).distinct())
     id_, version = T.arxiv_parts(F.col("subject"))
@@ -129,13 +131,13 @@ def fetch(addresses: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     of_repo = F.col("kind").isin(OF_REPO)
     found = asked.withColumn("key", F.when(~of_repo, key)).join(dealt(papers_by_key(tables).withColumnRenamed("n", "papers")), "key", "left")
     subject = F.when(of_repo, F.col("subject")).when(F.col("papers") == 1, F.when(F.col("kind") == "lineage", F.col("arxiv_id")).otherwise(F.col("paper_version")))
-    found = found.select("uri", "kind", "papers", subject.alias("subject"), F.coalesce("target", F.lit("")).alias("target"))
+    found = keep(found.select("uri", "kind", "papers", subject.alias("subject"), F.coalesce("target", F.lit("")).alias("target")))
     items, on = contents(tables), ["kind", "subject", "target"]
     wanted = found.where("subject is not null").select(*on).distinct()
     met = items.join(dealt(wanted), on).groupBy(*on).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("place", "sort", "item"))).alias("x"))
     listed = F.concat(F.lit("["), F.array_join(F.transform("x", lambda i: i["item"]), ","), F.lit("]"))
     met = met.select(*on, "n", F.when(F.col("kind").isin(LISTS), listed).otherwise(F.col("x")[0]["item"]).alias("content"))
-    out = found.join(dealt(met), on, "left")
+    out = keep(found.join(dealt(met), on, "left"))
     missed = out.where(F.col("n").isNull() & F.col("kind").isin(KEYED) & F.col("subject").isNotNull()).select("kind", "subject").distinct()
     keys = items.where(F.col("kind").isin(KEYED) & ~((F.col("kind") == "equation") & F.col("target").rlike(r"^\d+$"))).join(dealt(missed), ["kind", "subject"]).groupBy(*on).agg(F.min(F.struct("place", "sort")).alias("at"))
     place = F.row_number().over(Window.partitionBy("kind", "subject").orderBy("at", "target"))

@@ -144,7 +144,7 @@ select uri, kind, case when kind is null then 'UNRECOGNISED' when papers > 1 the
 from c left join m using (kind, subject, target) left join h using (kind, subject)""")
 def fetched_addresses(spark, d):
     """Addresses of all kinds, found, empty, missing and ambiguous, with their content."""
-    return fetch.fetch(kept(t.derived(spark, d, ADDRESSES)), graph(spark, d))
+    return fetch.fetch(kept(t.derived(spark, d, ADDRESSES)), graph(spark, d), kept)
 
 
 #: Evidence of subjects: each address supports one and speaks against the next.

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lumenweave import templates
 from lumenweave.operators import codeindex, correlate, grams, lineage
-from lumenweave.plans import reads
+from lumenweave.plans import fetch, reads
 
 
 def broadcasts(df) -> int:
@@ -267,3 +267,31 @@ def test_signals_are_not_sifted_by_lambdas(spark):
     df = discover.signals(spark.createDataFrame(rows, CANDIDATE))
     assert df._jdf.queryExecution().optimizedPlan().toString().count(" filter(") + df._jdf.queryExecution().optimizedPlan().toString().count("(filter(") == 1
     assert [(r.repo, r.ord, r.name, r.weight) for r in df.collect()] == [("a/Net1", 1, "declared_in_paper", "DECISIVE"), ("a/Net1", 2, "author_owner_match", "STRONG"), ("a/Net1", 3, "name_affinity", "STRONG"), ("a/Net1", 4, "readme_backlink", "STRONG")]
+
+
+def test_kept_addresses_read_the_items_once_more_for_keys_only(spark, tmp_path):
+    sections = [("P1v1", "1", 1, 1, "Ring", None, 1, 2, "body"), ("P1v1", "2", 2, 1, None, None, 3, 4, "more"), ("P1v1", "2", 2, 1, None, None, 3, 4, "more")]
+    columns = "paper_version string, section_path string, ordinal int, level int, title string, latex_label string, src_line_start int, src_line_end int, body string"
+    spark.createDataFrame(sections, columns).write.parquet(str(tmp_path / "sections"))
+    tables = {
+        "paper_versions": spark.createDataFrame([("P1v1", "P1", "full")], "paper_version string, arxiv_id string, fidelity string"),
+        "papers": spark.createDataFrame([("P1", "P1v1", None, "t", [("A",)], None, None)], "arxiv_id string, latest_version string, doi string, title string, authors array<struct<name:string>>, published_at string, abstract string"),
+        "sections": spark.read.parquet(str(tmp_path / "sections")),
+    }
+    asked = ["evi://paper/P1v1/section/1", "evi://paper/P1v1/section/2", "evi://paper/P1v1/section/9", "evi://paper/P1v1/values", "evi://paper/P2v1", "evi://x/y", None]
+    addresses = spark.createDataFrame([(a,) for a in asked], "uri string")
+    scans = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Scan parquet")
+    n = 0
+
+    def keep(df):
+        nonlocal n
+        n += 1
+        path = str(tmp_path / f"kept{n}")
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    plain, once = fetch.fetch(addresses, tables), fetch.fetch(addresses, tables, keep)
+    key = lambda r: str(r["uri"])
+    assert sorted(plain.collect(), key=key) == sorted(once.collect(), key=key)
+    assert once.where("status = 'FOUND'").count() == 2 and once.where("available = '1,2'").count() == 1
+    assert n == 2 and scans(once) < scans(plain)
